@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     from flowlens.plans.catalog import (  # noqa: F401
-        cleaning, detection, evaluation, labels, model, sampling, sources, streaming,
+        cleaning, detection, evaluation, labels, model, profile, sampling, sources, streaming,
     )
 
 

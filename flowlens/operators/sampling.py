@@ -82,10 +82,7 @@ def _draw_rows(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFr
     """Join draws (group, draw_no, rank) to ranked rows; draws are the small side."""
     draws, n = materialize_small(draws)
     draws = F.broadcast(draws) if n <= MAX_BROADCAST_ROWS else draws
-    g = group or "__g"
-    left = ranked if group else ranked.withColumn("__g", F.lit(_ALL))
-    out = left.join(draws, [g, "rank"], "inner")
-    return out if group else out.drop("__g")
+    return ranked.join(draws, [group, "rank"] if group else ["rank"], "inner")
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed=42) -> DataFrame:

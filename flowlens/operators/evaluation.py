@@ -89,8 +89,10 @@ def classification_report(per_class: DataFrame) -> DataFrame:
     extra = tail.select(F.inline(F.array(
         F.struct(F.lit("accuracy").alias("row"), null.alias("precision"), null.alias("recall"),
                  F.col("accuracy").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")))))
+        F.struct(F.lit("macro avg").alias("row"), F.col("mp").alias("precision"),
+                 F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("row"), F.col("wp").alias("precision"),
+                 F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support")))))
     return rows.unionByName(extra)
 
 

@@ -65,20 +65,19 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(1).alias("features_count"), "value")
 
 
-def _q(i: int) -> Column:
-    x = F.element_at(F.col("embedding"), i).cast("double")
-    return x * x * x * x
+def probability_table(spark: SparkSession, sf_dir: str, offset: int = 0) -> DataFrame:
+    """vec_id, actual class, probs (p_i = e_i^4 / sum of 10 e_j^4), predicted.
 
-
-def probability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, actual class, probs (p_i = e_i^4 / sum of the first 10 e_j^4), predicted."""
+    ``offset`` picks which 10 embedding entries act as class scores (0 -> the
+    first ten); a second offset gives a second "model" on the same rows.
+    The sum runs left to right, the same order as the SQL text.
+    """
     em = table(spark, sf_dir, "embeddings")
-    qs = [_q(i) for i in range(1, N_CLASSES + 1)]
-    total = qs[0]
-    for q in qs[1:]:
-        total = total + q
-    probs = F.array(*[q / total for q in qs])
-    out = em.select("vec_id", F.col("label").alias("actual"), probs.alias("probs"))
+    q = F.transform(F.slice("embedding", offset + 1, N_CLASSES),
+                    lambda x: x.cast("double") * x.cast("double") * x.cast("double") * x.cast("double"))
+    out = em.select("vec_id", F.col("label").alias("actual"), q.alias("__q"))
+    total = F.aggregate("__q", F.lit(0.0), lambda acc, x: acc + x)
+    out = out.select("vec_id", "actual", F.transform("__q", lambda x: x / total).alias("probs"))
     return out.withColumn("predicted",
                           (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))
 
@@ -88,11 +87,11 @@ def q_sql(i: int) -> str:
            f"CAST(embedding[{i}] AS DOUBLE) * CAST(embedding[{i}] AS DOUBLE))"
 
 
-def probability_sql() -> str:
+def probability_sql(offset: int = 0) -> str:
     """DuckDB text of ``probability_table`` (same arithmetic order)."""
-    total = " + ".join(q_sql(i) for i in range(1, N_CLASSES + 1))
+    total = " + ".join(q_sql(offset + i) for i in range(1, N_CLASSES + 1))
     total = "(" + total + ")"
-    probs = ", ".join(f"{q_sql(i)} / {total}" for i in range(1, N_CLASSES + 1))
+    probs = ", ".join(f"{q_sql(offset + i)} / {total}" for i in range(1, N_CLASSES + 1))
     base = f"SELECT vec_id, label AS actual, [{probs}] AS probs FROM embeddings"
     return (f"SELECT vec_id, actual, probs, "
             f"CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS predicted FROM ({base})")

@@ -50,6 +50,16 @@ def encode_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None
               .drop("__lbl"))
 
 
+def encode_with_classes(df: DataFrame, label: str, classes: list[str], out: str = "label_idx") -> DataFrame:
+    """Encode against a known class list as an expression (no join).
+
+    The list comes from ``label_dictionary`` (k entries, already size-checked).
+    """
+    arr = F.array(*[F.lit(c) for c in classes])
+    idx = F.array_position(arr, F.col(label).cast("string")).cast("int") - 1
+    return df.withColumn(out, F.when(idx >= 0, idx))
+
+
 def decode_labels(df: DataFrame, index: str, dictionary: DataFrame,
                   out: str = "label") -> DataFrame:
     d = dictionary.select(F.col("label_idx").alias("__idx"), F.col("label").alias(out))

@@ -1 +1,92 @@
-"""placeholder"""
+"""Model queries on ``embeddings`` (64 features, 10 classes; benign = class "0").
+
+Forest results depend on the fit, so only ``standardize`` has an exact
+oracle; the others are checked on row counts here and by invariants in tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import cleaning, model
+from flowlens.plans import fixtures as fx
+from flowlens.plans import training
+from flowlens.plans.catalog import register
+from flowlens.session import scratch_path
+from flowlens.sources import bundle as bd
+
+EMB_FEATURES = [f"f{i}" for i in range(64)]
+BENIGN_CLASS = "0"
+
+
+def embedding_flows(spark, sf):
+    em = fx.table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
+    return cleaning.array_to_columns(em, "embedding", EMB_FEATURES, keep=["vec_id", "label"])
+
+
+def _train(spark, sf):
+    return training.train_pipeline(embedding_flows(spark, sf), "label", EMB_FEATURES, ["vec_id"],
+                                   benign=BENIGN_CLASS, seed=fx.SEED)
+
+
+@register("standardize", sql=" ".join([
+    "SELECT l_orderkey, l_linenumber,",
+    ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 "
+              f"ELSE stddev_pop({c}) OVER () END, 6) AS {c}" for c in fx.FLOW_FEATURES),
+    "FROM lineitem"]))
+def q_standardize(spark, sf):
+    flows = fx.flows(spark, sf).drop(fx.FLOW_LABEL)
+    params = model.scaler_params(flows, fx.FLOW_FEATURES)
+    out = model.standardize(flows, fx.FLOW_FEATURES, params)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in fx.FLOW_FEATURES])
+
+
+@register("train_forest")
+def q_train_forest(spark, sf):
+    r = _train(spark, sf)
+    return r.test_predictions.select("vec_id", "label_idx", "predicted")
+
+
+@register("train_pipeline")
+def q_train_pipeline(spark, sf):
+    return _train(spark, sf).metrics
+
+
+@register("score_flows")
+def q_score_flows(spark, sf):
+    r = _train(spark, sf)
+    rows = embedding_flows(spark, sf)
+    b = r.bundle
+    out = model.score_flows(b.model, rows, b.contract, b.scaler, b.classes, benign=b.benign, keep=["vec_id"])
+    text = F.array_join(F.transform("probabilities", lambda s: F.concat(
+        s["label"], F.lit(":"), F.format_string("%.4f", s["prob"]))), ",")
+    return out.select("vec_id", "status", "predicted_label", F.round("confidence", 6).alias("confidence"),
+                      "encoded_value", "threat_level", text.alias("probabilities"))
+
+
+@register("model_bundle_io")
+def q_model_bundle_io(spark, sf):
+    r = _train(spark, sf)
+    root = scratch_path(spark, "bundle")
+    bd.save_bundle(spark, root, r.bundle)
+    b = bd.load_bundle(spark, root)
+    rows = embedding_flows(spark, sf)
+    out = model.score_flows(b.model, rows, b.contract, b.scaler, b.classes, benign=b.benign, keep=["vec_id"])
+    return out.select("vec_id", "predicted_label", F.round("confidence", 6).alias("confidence"), "threat_level")
+
+
+@register("retrain_pipeline")
+def q_retrain_pipeline(spark, sf):
+    rows = embedding_flows(spark, sf)
+    # "original" training table: classes 0..7; the upload brings every class
+    # (8 and 9 are new), with blanks in its header names
+    original = rows.filter(F.col("label").cast("int") < 8).drop("vec_id")
+    upload = rows.drop("vec_id").select(*[F.col(c).alias(f" {c}") for c in EMB_FEATURES],
+                                        F.col("label").alias("label "))
+    old_classes = [str(i) for i in range(8)]
+    r = training.retrain_pipeline(upload, original, "label", EMB_FEATURES, old_classes,
+                                  benign=BENIGN_CLASS, seed=fx.SEED)
+    m = r.metrics
+    st = r.stats.select("total_samples", F.array_join("new_labels", ",").alias("new_labels"),
+                        "new_labels_count")
+    return st.unionByName(m, allowMissingColumns=True)

@@ -30,6 +30,10 @@ def build_session(master: str | None = None, app: str = "flowlens",
         # k-row dictionaries are broadcast explicitly after a size check;
         # keep the automatic threshold modest so big sides never broadcast.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        # Flow tables are wide (78 features); constraint inference over many
+        # aliased columns grows exponentially in Catalyst.  Results do not
+        # depend on it.
+        "spark.sql.constraintPropagation.enabled": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -41,6 +45,16 @@ def build_session(master: str | None = None, app: str = "flowlens",
     return spark
 
 
+def wide_table_mode(spark: SparkSession) -> None:
+    """Turn off Catalyst constraint propagation for plans over wide tables.
+
+    With dozens of aliased feature columns followed by a filter and a join,
+    constraint inference grows exponentially and exhausts the driver heap;
+    this optimizer-only switch leaves results unchanged.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 

@@ -1 +1,124 @@
-"""placeholder"""
+"""Streaming queries: the events table replayed as a file stream, in time order."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from flowlens.functions.levels import threat_level
+from flowlens.functions.timefn import epoch_ms, ms_to_text
+from flowlens.operators import model
+from flowlens.plans import fixtures as fx
+from flowlens.plans.catalog import register
+from flowlens.plans.catalog.detection import NON_BENIGN, _level_sql
+from flowlens.session import scratch_path
+from flowlens.streaming import detect
+
+SLICES = 4
+
+
+def stage_event_stream(spark, sf, slices: int = SLICES) -> tuple[str, object]:
+    """Write events as ``slices`` time-ordered parquet drops (oldest first)."""
+    ev = fx.table(spark, sf, "events")
+    lo, hi = ev.agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
+    width = (hi - lo) // slices + 1
+    root = scratch_path(spark, "event_stream")
+    part = F.floor((epoch_ms("ts") - F.lit(lo)) / F.lit(width))
+    for k in range(slices):
+        ev.filter(part == k).write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
+    return root, ev.schema
+
+
+def _read_stream(spark, root, schema, files_per_trigger: int = 1):
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .option("recursiveFileLookup", "true").parquet(root))
+
+
+def _score_events(stream):
+    conf = F.expr(fx.CONFIDENCE_SQL)
+    ms = epoch_ms("ts")
+    return stream.select(F.col("event_id").alias("id"), ms.alias("ms"), ms_to_text(ms).alias("timestamp"),
+                         F.col("event_type").alias("predicted_label"), conf.alias("confidence"),
+                         threat_level(F.col("event_type"), conf, benign=fx.EVENT_BENIGN).alias("threat_level"),
+                         F.lit(1).alias("features_count"))
+
+
+def _run_detections(spark, sf):
+    root, schema = stage_event_stream(spark, sf)
+    hist, alerts, ckpt = (scratch_path(spark, n) for n in ("s_history", "s_alerts", "s_ckpt"))
+    detect.run_detection_stream(_read_stream(spark, root, schema), _score_events, hist, alerts, ckpt,
+                                benign=fx.EVENT_BENIGN)
+    return hist, alerts
+
+
+_DET_SQL = f"""
+SELECT event_id AS id, (epoch_us(ts) // 1000) AS ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+       event_type AS predicted_label, round({fx.CONFIDENCE_SQL}, 6) AS confidence,
+       CASE WHEN upper(event_type) = 'VIEW' THEN 'None' WHEN {fx.CONFIDENCE_SQL} > 0.9 THEN 'High'
+            WHEN {fx.CONFIDENCE_SQL} > 0.7 THEN 'Medium' ELSE 'Low' END AS threat_level
+FROM events"""
+
+
+def _det_out(df):
+    return df.select("id", "ms", "timestamp", "predicted_label", F.round("confidence", 6).alias("confidence"),
+                     "threat_level")
+
+
+@register("stream_detections", sql=_DET_SQL)
+def q_stream_detections(spark, sf):
+    hist, _ = _run_detections(spark, sf)
+    return _det_out(spark.read.parquet(hist))
+
+
+@register("stream_alerts", sql=f"SELECT * FROM ({_DET_SQL}) WHERE upper(trim(predicted_label)) <> 'VIEW'")
+def q_stream_alerts(spark, sf):
+    _, alerts = _run_detections(spark, sf)
+    return _det_out(spark.read.parquet(alerts))
+
+
+@register("window_frequency_stream", sql=f"""
+SELECT CAST(floor(ms / 3600000) * 3600000 AS BIGINT) AS window_start_ms,
+       CAST(floor(ms / 3600000) * 3600000 + 3600000 AS BIGINT) AS window_end_ms,
+       CAST(count(*) AS BIGINT) AS count, {_level_sql('count(*)')} AS level
+FROM (SELECT (epoch_us(ts) // 1000) AS ms FROM events WHERE {NON_BENIGN}) GROUP BY 1, 2
+""")
+def q_window_frequency_stream(spark, sf):
+    root, schema = stage_event_stream(spark, sf)
+    out, ckpt = scratch_path(spark, "s_windows"), scratch_path(spark, "s_wckpt")
+    detect.run_window_counts(_read_stream(spark, root, schema), "ts", "event_type", fx.EVENT_BENIGN,
+                             "1 hour", "1 hour", out, ckpt)
+    w = detect.latest_window_counts(spark, out)
+    from flowlens.functions.levels import intensity_level
+    return w.select("window_start_ms", "window_end_ms", "count", intensity_level("count").alias("level"))
+
+
+@register("stream_intensity")
+def q_stream_intensity(spark, sf):
+    root, schema = stage_event_stream(spark, sf)
+    out, ckpt = scratch_path(spark, "s_intensity"), scratch_path(spark, "s_ickpt")
+    detect.run_intensity_stream(_read_stream(spark, root, schema), "user_id", "ts", "event_id", "event_type",
+                                fx.EVENT_BENIGN, fx.INTENSITY_WINDOW_MS, out, ckpt)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    from flowlens.plans.catalog.model import EMB_FEATURES, _train, embedding_flows
+    r = _train(spark, sf)
+    b = r.bundle
+    src = scratch_path(spark, "emb_stream")
+    embedding_flows(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
+    schema = spark.read.parquet(src).schema
+    hist, alerts, ckpt = (scratch_path(spark, n) for n in ("e_history", "e_alerts", "e_ckpt"))
+
+    def score(stream):
+        s = model.score_flows(b.model, stream, EMB_FEATURES, b.scaler, b.classes, benign=b.benign,
+                              keep=["vec_id"])
+        return s.select(F.col("vec_id").alias("id"), F.lit(0).cast("bigint").alias("ms"), "timestamp",
+                        "predicted_label", "confidence", "threat_level",
+                        F.lit(len(EMB_FEATURES)).alias("features_count"))
+
+    detect.run_detection_stream(_read_stream(spark, src, schema, 2), score, hist, alerts, ckpt, benign=b.benign)
+    return spark.read.parquet(hist).select("id", "predicted_label", F.round("confidence", 6).alias("confidence"),
+                                           "threat_level")

@@ -30,10 +30,6 @@ def build_session(master: str | None = None, app: str = "flowlens",
         # k-row dictionaries are broadcast explicitly after a size check;
         # keep the automatic threshold modest so big sides never broadcast.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-        # Flow tables are wide (78 features); constraint inference over many
-        # aliased columns grows exponentially in Catalyst.  Results do not
-        # depend on it.
-        "spark.sql.constraintPropagation.enabled": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import ensure_checkpoint_dir
+from flowlens.session import scratch_path
 
 # Largest table ever broadcast by flowlens: dictionaries of labels, quotas,
 # per-(group, bucket) counts.  Anything larger joins by shuffle instead.
 MAX_BROADCAST_ROWS = 200_000
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a derived table to the shared checkpoint folder and read it back.
+
+    This cuts lineage (a lost executor re-reads the table instead of
+    replaying the scan behind it) and computes the table exactly once,
+    unlike an eager ``checkpoint()``, which evaluates its plan twice.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint a derived table to the shared folder and count it.
+    """Materialize a derived table and count it (parquet footers; no scan).
 
-    The reliable checkpoint cuts lineage (a lost executor does not recompute
-    the full scan behind a dictionary) and gives the size check for free.
+    The count is the size check that decides whether it may be broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
+    df = materialize(df, "small")
     return df, df.count()
 
 

@@ -1,11 +1,17 @@
 """Detection history, alerts and intensity over event time (batch forms).
 
-Sliding counts never put a whole run (or the whole stream) into one window
-partition: each event is copied into its own time bucket of width W and the
-next one, the range window runs per (run, bucket), and only the original
-copies are kept.  The copy factor is 2 and the result is exact, because the
-trailing frame [t - W, t] of an event in bucket b lies inside buckets b-1
-and b.
+Trailing-window counts are prefix sums, never one window over a run:
+
+1. rows are pre-aggregated to distinct (run, time) with a weight (map-side);
+2. each distinct time t gets a probe at t - W - 1, so that
+   count(t) = C(<= t) - C(<= t - W - 1), C being the run's running total;
+3. running totals are computed per (run, time range) of fixed width R, with
+   each range's offset taken from a per-run prefix sum over range totals.
+
+Every sort therefore holds at most R distinct times, however skewed a run
+is (one attacker holding a third of all flows inside one window included),
+and the result is exact.  ``level_changes`` uses the same ranges for its
+``lag``.
 """
 
 from __future__ import annotations
@@ -16,11 +22,16 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import LOW_MAX, MEDIUM_MAX, intensity_level
 from flowlens.functions.timefn import epoch_ms
-from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize_small
+from flowlens.operators._small import materialize
 
 _LEVEL_RANK = {"Low": 0, "Medium": 1, "High": 2}
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written once to the shared checkpoint folder: cuts lineage for a table read twice."""
+    return materialize(df, "times")
+
+
 def _level_rank(c: Column) -> Column:
     return (F.when(c == "Low", 0).when(c == "Medium", 1).when(c == "High", 2))
 
@@ -85,23 +96,66 @@ def top_probabilities(df: DataFrame, probs: str, class_names: list[str] | None =
                        F.col("__s.probability").alias("probability"))
 
 
-def _bucketed(df: DataFrame, ms: str, window_ms: int) -> DataFrame:
-    """Each row twice: in its own bucket (original) and in the next one (copy)."""
-    b = F.floor(F.col(ms) / F.lit(window_ms)).cast("bigint")
-    return (df.withColumn("__home", b)
-              .select("*", F.posexplode(F.array(b, b + 1)).alias("__copy", "__bucket")))
+RANGE_MS = 60_000
+
+
+def trailing_by_time(df: DataFrame, run: str | None, ms: str, window_ms: int,
+                     weight: Column | None = None, range_ms: int = RANGE_MS,
+                     carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per distinct (run, time): total weight of rows with time in [t - W, t].
+
+    Returns (run, ``ms``, count, *carry) where ``carry`` maps output names to
+    aggregates over the rows at that time (e.g. the first event id); join it
+    back to the rows on (run, ms) when per-row output is needed.
+    """
+    rc = _parts(run)
+    rn = [run] if run else []
+    carry = carry or {}
+    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    times = df.groupBy(*rc, F.col(ms).alias("__t")).agg(
+        F.sum(w).alias("__n"), *[agg.alias(name) for name, agg in carry.items()])
+    # the distinct-times table is read twice (range totals, then running sums):
+    # write it once to the shared checkpoint folder instead of rescanning the source
+    times = _cut(times)
+    nulls = [F.lit(None).cast(times.schema[name].dataType).alias(name) for name in carry]
+    point = F.struct(F.col("__t").alias("__t"), F.col("__n").alias("__n"), F.lit(0).alias("__kind"),
+                     *[F.col(name).alias(name) for name in carry])
+    probe = F.struct((F.col("__t") - F.lit(window_ms + 1)).alias("__t"), F.lit(0).cast("long").alias("__n"),
+                     F.lit(1).alias("__kind"), *nulls)
+    u = (times.select(*rn, F.col("__t").alias("__origin"), F.explode(F.array(point, probe)).alias("__p"))
+              .select(*rn, "__origin", "__p.*")
+              .withColumn("__range", F.floor(F.col("__t") / F.lit(range_ms)).cast("bigint")))
+    per_range = u.groupBy(*rn, "__range").agg(F.sum("__n").alias("__rn"))
+    before = (Window.partitionBy(*rn) if rn else Window.partitionBy()).orderBy("__range") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(*rn, "__range", F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__off"))
+    within = Window.partitionBy(*rn, "__range").orderBy("__t", "__kind") \
+                   .rowsBetween(Window.unboundedPreceding, 0)
+    c = (u.join(offsets, rn + ["__range"])
+          .withColumn("__c", F.col("__off") + F.sum("__n").over(within)))
+    # each origin has one event row and one probe row: fold them in one aggregate
+    signed = F.when(F.col("__kind") == 0, F.col("__c")).otherwise(-F.col("__c"))
+    return c.groupBy(*rn, F.col("__origin").alias(ms)).agg(
+        F.sum(signed).alias("count"), *[F.max(name).alias(name) for name in carry])
 
 
 def trailing_count(df: DataFrame, run: str | None, ms: str, window_ms: int,
-                   counted: Column | None = None, out: str = "count") -> DataFrame:
-    """Rows (or rows where ``counted``) with time in [t - W, t] per run, inclusive."""
-    x = df if counted is None else df.withColumn("__cnt", counted)
-    x = _bucketed(x, ms, window_ms)
-    w = Window.partitionBy(*(_parts(run) + [F.col("__bucket")])).orderBy(F.col(ms)) \
-              .rangeBetween(-window_ms, 0)
-    agg = F.count(F.lit(1)) if counted is None else F.count_if(F.col("__cnt"))
-    res = x.withColumn(out, agg.over(w)).filter(F.col("__copy") == 0)
-    return res.drop("__copy", "__bucket", "__cnt")
+                   counted: Column | None = None, out: str = "count",
+                   range_ms: int = RANGE_MS) -> DataFrame:
+    """Each row plus the number of rows (or rows where ``counted``) of its run
+    with time in [t - W, t], inclusive of rows at the same time."""
+    counts = trailing_by_time(df, run, ms, window_ms, counted, range_ms).withColumnRenamed("count", out)
+    return df.join(counts, ([run] if run else []) + [ms], "left")
+
+
+def sliding_attack_times(df: DataFrame, run: str | None, ts: str, label: str, benign: str,
+                         window_ms: int, id_col: str, low_max: int = LOW_MAX,
+                         medium_max: int = MEDIUM_MAX) -> DataFrame:
+    """Per distinct (run, ms) of non-benign events: trailing count, level and the
+    first event id at that time (the input of ``level_changes``)."""
+    ev = df.filter(~is_benign(label, benign)).withColumn("ms", epoch_ms(ts))
+    t = trailing_by_time(ev, run, "ms", window_ms, carry={id_col: F.min(id_col)})
+    return t.withColumn("level", intensity_level("count", low_max, medium_max))
 
 
 def sliding_attack_count(df: DataFrame, run: str | None, ts: str, label: str, benign: str,
@@ -113,30 +167,31 @@ def sliding_attack_count(df: DataFrame, run: str | None, ts: str, label: str, be
     return counted.withColumn("level", intensity_level("count", low_max, medium_max))
 
 
-def level_changes(counted: DataFrame, run: str | None, ms: str, id_col: str) -> DataFrame:
+def level_changes(counted: DataFrame, run: str | None, ms: str, id_col: str,
+                  range_ms: int = RANGE_MS) -> DataFrame:
     """Events whose level differs from the previous event's level of the run.
 
-    The first event compares with ``Low``.  Inside a bucket the previous event
-    comes from ``lag``; for the first event of a bucket it is the last event
-    of the closest earlier non-empty bucket (a per-bucket summary table).
+    The first event compares with ``Low``.  Events at the same time share a
+    count and level, so a change can only happen at the first event of a
+    distinct time; the previous level is the level at the run's previous
+    distinct time (``lag`` inside a time range, and for the first time of a
+    range the last level of the closest earlier range).
     """
-    parts = _parts(run)
-    key = parts + [F.col("__home")]
-    order = [F.col(ms), F.col(id_col)]
-    w = Window.partitionBy(*key).orderBy(*order)
-    x = counted.withColumn("__lag", F.lag("level").over(w))
-    last = counted.groupBy(*key).agg(F.max_by("level", F.struct(*order)).alias("__last"))
-    wb = Window.partitionBy(*parts).orderBy("__home") if parts else Window.orderBy("__home")
-    prev = last.withColumn("__prev_bucket", F.lag("__last").over(wb)).drop("__last")
-    prev, nrows = materialize_small(prev)
-    prev = F.broadcast(prev) if nrows <= MAX_BROADCAST_ROWS else prev
-    names = ([run] if run else []) + ["__home"]
-    y = x.join(prev, names, "left")
-    previous = F.coalesce(F.col("__lag"), F.col("__prev_bucket"), F.lit("Low"))
+    rn = [run] if run else []
+    times = _cut(counted.groupBy(*[F.col(c) for c in rn], F.col(ms))
+                 .agg(F.min(id_col).alias(id_col), F.max("count").alias("count"), F.max("level").alias("level"))
+                 .withColumn("__range", F.floor(F.col(ms) / F.lit(range_ms)).cast("bigint")))
+    w = Window.partitionBy(*rn, "__range").orderBy(ms)
+    x = times.withColumn("__lag", F.lag("level").over(w))
+    last = times.groupBy(*rn, "__range").agg(F.max_by("level", F.col(ms)).alias("__last"))
+    wb = (Window.partitionBy(*rn) if rn else Window.partitionBy()).orderBy("__range")
+    prev = last.withColumn("__prev_range", F.lag("__last").over(wb)).drop("__last")
+    y = x.join(prev, rn + ["__range"], "left")
+    previous = F.coalesce(F.col("__lag"), F.col("__prev_range"), F.lit("Low"))
     y = y.withColumn("previous_level", previous).filter(F.col("previous_level") != F.col("level"))
     direction = F.when(_level_rank(F.col("level")) > _level_rank(F.col("previous_level")),
                        F.lit("up")).otherwise(F.lit("down"))
-    return y.withColumn("direction", direction).drop("__lag", "__prev_bucket")
+    return y.withColumn("direction", direction).drop("__lag", "__prev_range", "__range")
 
 
 def window_frequency(df: DataFrame, ts: str, label: str, benign: str, duration: str,

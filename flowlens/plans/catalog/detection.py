@@ -102,8 +102,8 @@ FROM l WHERE previous_level <> level
 """)
 def q_level_changes(spark, sf):
     ev = fx.table(spark, sf, "events")
-    counted = detection.sliding_attack_count(ev, "user_id", "ts", "event_type", fx.EVENT_BENIGN, W)
-    out = detection.level_changes(counted, "user_id", "ms", "event_id")
+    by_time = detection.sliding_attack_times(ev, "user_id", "ts", "event_type", fx.EVENT_BENIGN, W, "event_id")
+    out = detection.level_changes(by_time, "user_id", "ms", "event_id")
     return out.select("event_id", "user_id", "ms", "count", "previous_level", "level", "direction")
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import cleaning, evaluation, labels, model, sampling
-from flowlens.session import ensure_checkpoint_dir, wide_table_mode
+from flowlens.operators._small import materialize
+from flowlens.session import wide_table_mode
 from flowlens.sources.bundle import Bundle
 from flowlens.sources.flows import strip_headers
 
@@ -28,10 +29,9 @@ class TrainResult:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: fit and evaluate reuse it and a
-    lost executor does not replay the scan/clean/split lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written once to the shared checkpoint folder: fit and evaluate reuse it
+    and a lost executor does not replay the scan/clean/split lineage."""
+    return materialize(df, "train_split")
 
 
 def _fit_and_evaluate(data: DataFrame, label: str, features: list[str], keys: list[str],

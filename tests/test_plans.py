@@ -31,11 +31,13 @@ def test_projection_pruned(spark):
            "l_returnflag:string>" in plan
 
 
-def test_sliding_window_partitioned_by_bucket(spark):
-    for name in ("sliding_attack_count", "sliding_attack_count_global"):
+def test_sliding_counts_are_range_partitioned_prefix_sums(spark):
+    # the sorts run per (run, time range); the only unkeyed window is over the
+    # per-range totals (bounded by time span / range width, not by rows)
+    for name in ("sliding_attack_count", "sliding_attack_count_global", "level_changes"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
-        assert "__bucket" in plan
-        assert "SinglePartition" not in plan
+        assert "__range" in plan
+        assert "rangebetween" not in plan.lower()
 
 
 def test_dictionary_join_is_broadcast(spark):

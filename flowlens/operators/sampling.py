@@ -78,6 +78,14 @@ def top_per_group(df: DataFrame, group: str | None, keys: list[str], n: int,
     return ranked
 
 
+def attach_draw(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFrame:
+    """The row picked by each draw: equi-join on (group, rank).
+
+    ``ranked`` comes from ``group_rank``; ``draws`` holds (group, draw_no, rank).
+    """
+    return _draw_rows(ranked, draws, group)
+
+
 def _draw_rows(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFrame:
     """Join draws (group, draw_no, rank) to ranked rows; draws are the small side."""
     draws, n = materialize_small(draws)

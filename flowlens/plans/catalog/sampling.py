@@ -190,3 +190,29 @@ def q_replay_schedule(spark, sf):
                          .alias("features"),
                          F.lit(h["mode"]).alias("mode"), F.lit(h["attack_frequency"]).alias("attack_frequency"),
                          F.lit(h["frequency_level"]).alias("frequency_level"))
+
+
+ATTACH_DRAWS = 3
+
+
+@register("attach_draw", sql=f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus,
+                  row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey)) AS rank,
+                  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders),
+d AS (SELECT s.label, g.draw_no, {_draw_sql("s.label", "g.draw_no", "s.n")} AS rank
+      FROM (SELECT DISTINCT o_orderstatus AS label, n FROM r) s,
+           (SELECT i AS draw_no FROM range(1, {ATTACH_DRAWS} + 1) t(i)) g)
+SELECT r.o_orderkey, r.o_orderstatus, d.draw_no, d.rank
+FROM d JOIN r ON r.o_orderstatus = d.label AND r.rank = d.rank
+""")
+def q_attach_draw(spark, sf):
+    from flowlens.functions.digest import draw_rank
+    orders = _orders(spark, sf)
+    ranked, sizes = sampling.group_rank(orders, "o_orderstatus", ["o_orderkey"], fx.SEED)
+    draws = (sizes.select(F.col("__g").alias("o_orderstatus"), "group_size",
+                          F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(ATTACH_DRAWS).cast("bigint")))
+                          .alias("draw_no"))
+             .withColumn("rank", draw_rank(fx.SEED, F.col("o_orderstatus"), F.col("draw_no"), F.col("group_size")))
+             .drop("group_size"))
+    out = sampling.attach_draw(ranked.drop("group_size"), draws, "o_orderstatus")
+    return out.select("o_orderkey", "o_orderstatus", "draw_no", "rank")

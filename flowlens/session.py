@@ -33,6 +33,10 @@ def build_session(master: str | None = None, app: str = "flowlens",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor (applies when this
+        # call starts the JVM; a running session keeps its heap)
+        conf["spark.driver.memory"] = "8g"
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

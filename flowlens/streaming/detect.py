@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,9 @@ def intensity_state_fn(window_ms: int, low_max: int = LOW_MAX, medium_max: int =
     Emits a ``change`` row when an event moves the level, and a ``cleared``
     row when the window has drained (event-time timeout after the last
     event + W).  Events with equal times are counted together, like the
-    inclusive range frame of the batch form.
+    inclusive range frame of the batch form.  Counting is vectorised
+    (sorted times + ``searchsorted``), O(n log n) per batch and run; the
+    state keeps only times that later in-order events can still see.
     """
     def fn(key, batches, state):
         run = int(key[0])
@@ -101,33 +104,27 @@ def intensity_state_fn(window_ms: int, low_max: int = LOW_MAX, medium_max: int =
             yield pd.DataFrame({"run": [run], "event_id": [None], "ms": [None], "count": [0],
                                 "previous_level": [last], "level": ["Low"], "kind": ["cleared"]})
             return
-        times, last = (list(state.get[0]), state.get[1]) if state.exists else ([], "Low")
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ms", "event_id"])
-        rows = []
-        ms_vals = pdf["ms"].to_numpy()
-        ids = pdf["event_id"].to_numpy()
-        i = 0
-        while i < len(pdf):
-            j = i
-            while j < len(pdf) and ms_vals[j] == ms_vals[i]:
-                j += 1
-            t = int(ms_vals[i])
-            times.extend([t] * (j - i))
-            times.sort()
-            times = [x for x in times if t - x <= window_ms]
-            count = sum(1 for x in times if x <= t)
-            level = _level(count, low_max, medium_max)
-            for k in range(i, j):
-                if level != last:
-                    rows.append((run, int(ids[k]), t, count, last, level, "change"))
-                    last = level
-            i = j
-        state.update((times, last))
-        if times:
-            state.setTimeoutTimestamp(max(times) + window_ms + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=["run", "event_id", "ms", "count", "previous_level", "level",
-                                              "kind"])
+        old, last = (np.asarray(state.get[0], dtype=np.int64), state.get[1]) if state.exists \
+            else (np.empty(0, dtype=np.int64), "Low")
+        pdf = pd.concat(list(batches), ignore_index=True)
+        # first event (smallest id) per distinct time, in time order
+        firsts = pdf.sort_values(["ms", "event_id"]).drop_duplicates("ms", keep="first")
+        t = firsts["ms"].to_numpy(dtype=np.int64)
+        times = np.sort(np.concatenate([old, pdf["ms"].to_numpy(dtype=np.int64)]))
+        counts = (np.searchsorted(times, t, side="right")
+                  - np.searchsorted(times, t - window_ms, side="left"))
+        levels = np.where(counts <= low_max, "Low", np.where(counts <= medium_max, "Medium", "High"))
+        previous = np.concatenate([[last], levels[:-1]])
+        changed = levels != previous
+        out = pd.DataFrame({"run": run, "event_id": firsts["event_id"].to_numpy()[changed],
+                            "ms": t[changed], "count": counts[changed],
+                            "previous_level": previous[changed], "level": levels[changed],
+                            "kind": "change"})
+        keep = times[times >= t.max() - window_ms]
+        state.update((keep.tolist(), str(levels[-1])))
+        state.setTimeoutTimestamp(int(times.max()) + window_ms + 1)
+        if len(out):
+            yield out
     return fn
 
 

@@ -211,12 +211,18 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
 
     An event at t is counted at every tick in [t, t + W]; the ticks of a run
     span from its first event to the first tick after the last event's window.
+    Events are pre-aggregated by the tick span they cover, so the fan-out
+    is per span, not per event.
     """
     ev = df.filter(~is_benign(label, benign)).select(F.col(run), epoch_ms(ts).alias("ms"))
     first_tick = F.ceil(F.col("ms") / F.lit(tick_ms)).cast("bigint")
     last_tick = F.floor((F.col("ms") + F.lit(window_ms)) / F.lit(tick_ms)).cast("bigint")
-    covered = ev.select(F.col(run), F.explode(F.sequence(first_tick, last_tick)).alias("tick"))
-    counts = covered.groupBy(run, "tick").agg(F.count(F.lit(1)).alias("count"))
+    # events with the same (first, last) tick cover the same ticks: count them
+    # first (map-side), then fan out groups instead of rows
+    spans = ev.groupBy(F.col(run), first_tick.alias("__a"), last_tick.alias("__z")) \
+              .agg(F.count(F.lit(1)).alias("__n"))
+    covered = spans.select(F.col(run), "__n", F.explode(F.sequence("__a", "__z")).alias("tick"))
+    counts = covered.groupBy(run, "tick").agg(F.sum("__n").alias("count"))
     span = ev.groupBy(run).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     domain = span.select(F.col(run), F.explode(F.sequence(
         F.ceil(F.col("lo") / F.lit(tick_ms)).cast("bigint"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flowlens.functions.labels import is_benign
 from flowlens.functions.numeric import coerce_double, fill_zero, inf_to_null_expr, is_missing
+from flowlens.functions.sqltext import ident, is_infinite_sql
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
@@ -49,10 +50,8 @@ def clean_for_training(df: DataFrame, cols: list[str] | None = None) -> DataFram
     floats = _float_columns(df, cols)
     out = df
     if floats:
-        any_inf = F.lit(False)
-        for c in floats:
-            any_inf = any_inf | F.coalesce(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(False))
-        out = out.filter(~any_inf)
+        any_inf = " OR ".join(f"coalesce({is_infinite_sql(c)}, false)" for c in floats)
+        out = out.filter(F.expr(f"NOT ({any_inf})"))
     return drop_missing(out, cols)
 
 
@@ -215,9 +214,9 @@ def feature_row_to_array(df: DataFrame, features: list[str], out: str = "feature
 def array_to_columns(df: DataFrame, features: str, names: list[str],
                      keep: list[str] | None = None) -> DataFrame:
     """Positional array -> named double columns (missing positions -> null)."""
-    arr = F.col(features)
-    cols = [F.try_element_at(arr, F.lit(i + 1)).cast("double").alias(n) for i, n in enumerate(names)]
-    return df.select(*[F.col(k) for k in (keep or [])], *cols)
+    arr = ident(features)
+    cols = [f"CAST(try_element_at({arr}, {i + 1}) AS DOUBLE) AS {ident(n)}" for i, n in enumerate(names)]
+    return df.selectExpr(*[ident(k) for k in (keep or [])], *cols)
 
 
 def dedup_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.levels import threat_level
-from flowlens.functions.numeric import fill_zero
+from flowlens.functions.numeric import fill_zero  # noqa: F401  (re-exported for callers)
+from flowlens.functions.sqltext import double_lit, fill_zero_sql, ident
 from flowlens.operators.profile import scaler_fit
 from flowlens.session import ensure_checkpoint_dir
 
@@ -77,10 +78,10 @@ def standardize(df: DataFrame, features: list[str], params: dict[str, tuple[floa
     for c in df.columns:
         if c in params:
             m, s = params[c]
-            exprs.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(c))
+            exprs.append(f"(CAST({ident(c)} AS DOUBLE) - {double_lit(m)}) / {double_lit(s)} AS {ident(c)}")
         else:
-            exprs.append(F.col(c))
-    return df.select(exprs)
+            exprs.append(ident(c))
+    return df.selectExpr(*exprs)
 
 
 def train_forest(train: DataFrame, features: list[str], label_idx: str, num_trees: int = NUM_TREES,
@@ -118,7 +119,7 @@ def score_flows(model: PipelineModel, df: DataFrame, features: list[str],
                 benign: str = "BENIGN", keep: list[str] | None = None) -> DataFrame:
     """Prediction records: label, confidence, encoded value, threat level,
     top-5 probabilities above 1 % (ordered) and a timestamp text."""
-    clean = df.select(*[F.col(k) for k in (keep or [])], *[fill_zero(F.col(c)).alias(c) for c in features])
+    clean = df.selectExpr(*[ident(k) for k in (keep or [])], *[f"{fill_zero_sql(c)} AS {ident(c)}" for c in features])
     scaled = standardize(clean, features, params)
     scored = predict_probabilities(model, scaled, len(class_names))
     names = F.array(*[F.lit(n) for n in class_names])

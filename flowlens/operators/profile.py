@@ -10,23 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import is_infinite
+from flowlens.functions.sqltext import ident, string_lit
 
 
 def _long_form(one_row: DataFrame, features: list[str], stats: list[str]) -> DataFrame:
     """Reshape a 1-row ``{stat}__{i}`` aggregate into (feature, stat...) rows."""
-    structs = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"),
-                        *[F.col(f"{s}__{i}").alias(s) for s in stats])
+    structs = [f"struct({string_lit(f)} AS feature, {i} AS position, "
+               + ", ".join(f"{s}__{i} AS {s}" for s in stats) + ")"
                for i, f in enumerate(features)]
-    return one_row.select(F.inline(F.array(*structs)))
+    return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def scaler_fit(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean and population std per feature (the scaler's parameters)."""
     aggs = []
     for i, c in enumerate(features):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean__{i}"), F.stddev_pop(x).alias(f"std__{i}")]
-    return _long_form(df.agg(*aggs), features, ["mean", "std"])
+        x = f"CAST({ident(c)} AS DOUBLE)"
+        aggs += [f"avg({x}) AS mean__{i}", f"stddev_pop({x}) AS std__{i}"]
+    return _long_form(df.selectExpr(*aggs), features, ["mean", "std"])
 
 
 def quality_report(df: DataFrame, cols: list[str]) -> DataFrame:

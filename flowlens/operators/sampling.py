@@ -30,12 +30,27 @@ def _group_col(group: str | None) -> Column:
     return F.col(group) if group else F.lit(_ALL)
 
 
-def bucket_sizes(df: DataFrame, group: str | None, keys: list[str], seed=42,
-                 bucket_hex: int = 3) -> DataFrame:
-    """Per (group, bucket): row count and the offset of the bucket inside its group."""
+def bucket_counts(df: DataFrame, group: str | None, keys: list[str], seed=42,
+                  bucket_hex: int = 3) -> DataFrame:
+    """Rows per (group, digest bucket): one aggregate pass with map-side combine.
+
+    The result (at most groups x 16^bucket_hex rows) is all that ranks,
+    quotas and label dictionaries need, so one pass can feed all three.
+    """
     d = df.select(_group_col(group).alias("__g"),
                   digest_int(order_digest(seed, *keys), bucket_hex).alias("__b"))
-    counts = d.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    return d.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def bucket_sizes(df: DataFrame, group: str | None, keys: list[str], seed=42,
+                 bucket_hex: int = 3, counts: DataFrame | None = None) -> DataFrame:
+    """Per (group, bucket): row count and the offset of the bucket inside its group.
+
+    ``counts`` may carry a precomputed ``bucket_counts`` table (same seed,
+    keys and bucket_hex) to skip the counting pass.
+    """
+    if counts is None:
+        counts = bucket_counts(df, group, keys, seed, bucket_hex)
     w = Window.partitionBy("__g").orderBy("__b")
     return (counts
             .withColumn("__off", F.coalesce(F.sum("__n").over(
@@ -45,13 +60,14 @@ def bucket_sizes(df: DataFrame, group: str | None, keys: list[str], seed=42,
 
 def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
                max_rank: int | None = None, bucket_hex: int = 3,
-               rank_col: str = "rank") -> tuple[DataFrame, DataFrame]:
+               rank_col: str = "rank", counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """1-based rank of each row inside its group by the seeded digest order.
 
-    Returns (ranked rows, sizes) where sizes holds ``group`` -> ``group_size``.
+    Returns (ranked rows, sizes) where sizes holds ``group`` -> ``group_size``
+    (broadcast-hinted when its row count is within the limit).
     With ``max_rank`` only buckets that can hold ranks <= max_rank are sorted.
     """
-    sizes = bucket_sizes(df, group, keys, seed, bucket_hex)
+    sizes = bucket_sizes(df, group, keys, seed, bucket_hex, counts)
     if max_rank is not None:
         sizes = sizes.filter(F.col("__off") < F.lit(max_rank))
     sizes, n = materialize_small(sizes)
@@ -68,7 +84,8 @@ def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
     ranked = ranked.withColumn("group_size", F.col("__gsize")).drop("__g", "__b", "__d", "__n",
                                                                      "__off", "__gsize")
     group_sizes = sizes.groupBy(F.col("__g").alias("__g")).agg(F.max("__gsize").alias("group_size"))
-    return ranked, group_sizes
+    # at most n rows: the size check made for the bucket table covers it
+    return ranked, (F.broadcast(group_sizes) if n <= MAX_BROADCAST_ROWS else group_sizes)
 
 
 def top_per_group(df: DataFrame, group: str | None, keys: list[str], n: int,
@@ -147,7 +164,7 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], quotas: DataFr
     ranked, sizes = group_rank(df, label, keys, seed)
     q = quotas.select(F.col("label").alias("__g"), F.col(quota_col).cast("bigint").alias("__q")) \
               .filter(F.col("__q") > 0)
-    q = q.join(F.broadcast(sizes), "__g", "left")
+    q = q.join(sizes, "__g", "left")   # sizes carries a checked broadcast hint
     missing = q.filter(F.col("group_size").isNull()).select(
         F.col("__g").alias("label"), F.col("__q").alias("quota"))
     draws = (q.filter(F.col("group_size").isNotNull())
@@ -180,14 +197,23 @@ def sample_library(df: DataFrame, label: str, keys: list[str], benign: str = "BE
     return top_per_group(attacks, label, keys, per_label, seed)
 
 
-def split_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
+def split_quotas(df: DataFrame, label: str, test_size: float = 0.2,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Per-label train/test sizes of a stratified shuffle split.
 
     n_test = ceil(test_size x N); train quotas are the largest-remainder
     allocation of n_train by class share (ties: label order); test takes the
     rest of each class.  Fails when a class has fewer than 2 rows.
     """
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    return _split_quotas(df, label, test_size, counts)[0]
+
+
+def _split_quotas(df: DataFrame, label: str, test_size: float,
+                  counts: DataFrame | None) -> tuple[DataFrame, int]:
+    if counts is None:
+        counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    else:   # a bucket_counts table: sum the buckets of each label
+        counts = counts.groupBy(F.col("__g").alias("label")).agg(F.sum("__n").alias("count"))
     counts, k = materialize_small(counts)
     stats = counts.agg(F.sum("count").alias("n"), F.min("count").alias("m")).first()
     n, smallest = stats["n"] or 0, stats["m"] or 0
@@ -211,20 +237,22 @@ def split_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
                .withColumn("train_quota", F.col("__floor") + F.when(
                    F.col("__order") <= F.col("__need"), 1).otherwise(0))
                .withColumn("test_quota", F.col("count") - F.col("train_quota")))
-    return q.select("label", "count", "train_quota", "test_quota")
+    return q.select("label", "count", "train_quota", "test_quota"), k
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: float = 0.2,
-                     seed=42, split_col: str = "split") -> DataFrame:
+                     seed=42, split_col: str = "split", counts: DataFrame | None = None) -> DataFrame:
     """Label-preserving train/test split; every row gets ``train`` or ``test``.
 
     Within each label the first ``test_quota`` rows of the seeded order are
     the test rows, so the split is exact (rare labels keep their share) and
-    reproducible.
+    reproducible.  ``counts`` (a ``bucket_counts`` table of ``df`` grouped by
+    ``label``) lets quotas and ranks share one counting pass.
     """
-    quotas = split_quotas(df, label, test_size)
-    q = F.broadcast(quotas.select(F.col("label").alias("__lbl"), "test_quota"))
-    ranked, _ = group_rank(df, label, keys, seed, rank_col="__rank")
+    quotas, k = _split_quotas(df, label, test_size, counts)
+    q = quotas.select(F.col("label").alias("__lbl"), "test_quota")
+    q = F.broadcast(q) if k <= MAX_BROADCAST_ROWS else q
+    ranked, _ = group_rank(df, label, keys, seed, rank_col="__rank", counts=counts)
     out = ranked.join(q, F.col(label) == F.col("__lbl"), "inner")
     out = out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), F.lit("test"))
                          .otherwise(F.lit("train")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import cleaning, evaluation, labels, model, sampling
-from flowlens.operators._small import materialize
+from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
 from flowlens.session import wide_table_mode
 from flowlens.sources.bundle import Bundle
 from flowlens.sources.flows import strip_headers
@@ -28,24 +28,42 @@ class TrainResult:
     stats: DataFrame | None = None
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Written once to the shared checkpoint folder: fit and evaluate reuse it
-    and a lost executor does not replay the scan/clean/split lineage."""
-    return materialize(df, "train_split")
+def _split_once(clean: DataFrame, label: str, keys: list[str], test_size: float,
+                seed: int) -> tuple[DataFrame, list[str]]:
+    """Encode and split in two passes over ``clean``.
 
-
-def _fit_and_evaluate(data: DataFrame, label: str, features: list[str], keys: list[str],
-                      classes: list[str], benign: str, test_size: float, seed: int,
-                      num_trees: int, max_depth: int) -> TrainResult:
-    split = _checkpoint(sampling.stratified_split(data, "label_idx", keys, test_size, seed))
+    Pass 1 counts rows per (label, digest bucket); that small table gives the
+    label dictionary (its distinct labels), the split quotas (its sums) and
+    the rank offsets.  Pass 2 ranks, splits and encodes the rows, and the
+    result is written once to the shared checkpoint folder: fit, scaler and
+    evaluation reuse it, and a lost executor does not replay the scan.
+    """
+    clean = clean.withColumn(label, F.col(label).cast("string"))
+    counts, _ = materialize_small(sampling.bucket_counts(clean, label, keys, seed))
+    labels_k = counts.select("__g").distinct()
+    k = labels_k.count()
+    if k > MAX_BROADCAST_ROWS:
+        raise ValueError(f"{k} distinct labels: too many classes for a label dictionary")
+    classes = [r["__g"] for r in labels_k.orderBy(F.col("__g").asc_nulls_first()).collect()]  # k labels
+    split = sampling.stratified_split(clean, label, keys, test_size, seed, counts=counts)
+    encoded = labels.encode_with_classes(split, label, classes)
+    return materialize(encoded, "train_split"), classes
+
+
+def _fit_and_evaluate(split: DataFrame, label: str, features: list[str], classes: list[str],
+                      benign: str, seed: int, num_trees: int, max_depth: int) -> TrainResult:
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     params = model.scaler_params(train, features)
     forest = model.train_forest(model.standardize(train, features, params), features, "label_idx",
                                 num_trees=num_trees, seed=seed, max_depth=max_depth)
+    # forest inference runs once: every metric pass reads the narrow scored table
     scored = model.predict_probabilities(forest, model.standardize(test, features, params), len(classes))
+    scored = materialize(scored.drop(*features), "test_scored")
     benign_idx = classes.index(benign) if benign in classes else 0
-    metrics = evaluation.metrics_record(scored, "label_idx", "predicted", "probs", benign_class=benign_idx)
+    metrics = materialize(
+        evaluation.metrics_record(scored, "label_idx", "predicted", "probs", benign_class=benign_idx),
+        "metrics")
     m = metrics.first().asDict()
     bundle = Bundle(model=forest, contract=list(features), classes=classes, scaler=params, label=label,
                     benign=benign, metrics={k: float(v) if v is not None else None for k, v in m.items()})
@@ -57,11 +75,8 @@ def train_pipeline(df: DataFrame, label: str, features: list[str], keys: list[st
                    num_trees: int = model.NUM_TREES, max_depth: int = model.MAX_DEPTH) -> TrainResult:
     wide_table_mode(df.sparkSession)
     clean = cleaning.clean_for_training(df.select(*keys, *features, label))
-    dictionary = labels.label_dictionary(clean, label)
-    classes = [r["label"] for r in dictionary.orderBy("label_idx").collect()]  # k labels
-    encoded = labels.encode_with_classes(clean, label, classes)
-    return _fit_and_evaluate(encoded, label, features, keys, classes, benign, test_size, seed,
-                             num_trees, max_depth)
+    split, classes = _split_once(clean, label, keys, test_size, seed)
+    return _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
 
 
 def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, contract: list[str] | None,
@@ -87,7 +102,7 @@ def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, con
             new = o2.unionByName(n2)
     spark = new.sparkSession
     old = spark.createDataFrame([(c,) for c in old_classes], "label string")
-    stats = _checkpoint(labels.retrain_stats(new, old, label))          # before de-duplication
+    stats = materialize(labels.retrain_stats(new, old, label), "retrain_stats")  # before de-duplication
     total = stats.first()["total_samples"]
     if not total:
         raise ValueError("No data remaining after cleaning. Please check your CSV file.")
@@ -96,10 +111,10 @@ def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, con
     features = list(contract) if contract else features_present
     aligned = cleaning.align_features(deduped, features, keep=[label])
     keyed = aligned.withColumn("__row_key", F.md5(F.to_json(F.struct(*[F.col(c) for c in aligned.columns]))))
-    dictionary = labels.label_dictionary(keyed, label)
-    classes = [r["label"] for r in dictionary.orderBy("label_idx").collect()]
-    encoded = labels.encode_with_classes(keyed, label, classes)
-    result = _fit_and_evaluate(encoded, label, features, ["__row_key"], classes, benign, test_size, seed,
-                               num_trees, max_depth)
+    # the de-duplication is a shuffle: write its result once instead of
+    # repeating it in the counting and the splitting pass
+    keyed = materialize(keyed, "retrain_rows")
+    split, classes = _split_once(keyed, label, ["__row_key"], test_size, seed)
+    result = _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
     result.stats = stats
     return result

@@ -11,7 +11,8 @@ W = 10_000
 
 def _drop(spark, root, k, rows):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
-    df.write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
+    # one file per drop: a drop is one arrival (one micro-batch with maxFilesPerTrigger=1)
+    df.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
     return df.schema
 
 

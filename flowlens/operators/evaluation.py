@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators._small import materialize_small
+from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize_small
 
 SCORE_RANGES = 1024
 
@@ -116,10 +116,11 @@ def _ranged_cumulative(scores: DataFrame, ranges: int = SCORE_RANGES) -> DataFra
         F.coalesce(F.sum("rp").over(desc), F.lit(0)).alias("pos_above_range"),
         F.coalesce(F.sum("rn").over(desc), F.lit(0)).alias("neg_above_range"),
         F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
-    offsets, _ = materialize_small(offsets)
+    offsets, n = materialize_small(offsets)   # at most classes x ranges rows
+    offsets = F.broadcast(offsets) if n <= MAX_BROADCAST_ROWS else offsets
     within = Window.partitionBy("class", "range").orderBy(F.desc("score")) \
                    .rowsBetween(Window.unboundedPreceding, -1)
-    return (s.join(F.broadcast(offsets), ["class", "range"])
+    return (s.join(offsets, ["class", "range"])
              .withColumn("tp_above", F.col("pos_above_range") + F.coalesce(F.sum("pos").over(within), F.lit(0)))
              .withColumn("fp_above", F.col("neg_above_range") + F.coalesce(F.sum("neg").over(within), F.lit(0))))
 

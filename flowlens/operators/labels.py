@@ -44,10 +44,11 @@ def encode_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None
                   out: str = "label_idx") -> DataFrame:
     """Attach the dictionary index of each row's label (broadcast equi-join)."""
     if dictionary is None:
-        dictionary = label_dictionary(df, label)
-    d = dictionary.select(F.col("label").alias("__lbl"), F.col("label_idx").alias(out))
-    return (df.join(F.broadcast(d), F.col(label).cast("string") == F.col("__lbl"), "left")
-              .drop("__lbl"))
+        d = label_dictionary(df, label)          # size-checked and broadcast-hinted
+    else:                                        # a caller's table: check its size first
+        d = broadcast_checked(dictionary)
+    d = d.select(F.col("label").alias("__lbl"), F.col("label_idx").alias(out))
+    return df.join(d, F.col(label).cast("string") == F.col("__lbl"), "left").drop("__lbl")
 
 
 def encode_with_classes(df: DataFrame, label: str, classes: list[str], out: str = "label_idx") -> DataFrame:
@@ -62,8 +63,8 @@ def encode_with_classes(df: DataFrame, label: str, classes: list[str], out: str
 
 def decode_labels(df: DataFrame, index: str, dictionary: DataFrame,
                   out: str = "label") -> DataFrame:
-    d = dictionary.select(F.col("label_idx").alias("__idx"), F.col("label").alias(out))
-    return df.join(F.broadcast(d), F.col(index) == F.col("__idx"), "left").drop("__idx")
+    d = broadcast_checked(dictionary.select(F.col("label_idx").alias("__idx"), F.col("label").alias(out)))
+    return df.join(d, F.col(index) == F.col("__idx"), "left").drop("__idx")
 
 
 def describe_attack_expr(label) -> Column:
@@ -137,9 +138,9 @@ def retrain_stats(new: DataFrame, old_dictionary: DataFrame, label: str,
     """The retraining statistics record, one row, from k-row aggregates."""
     counts = new.groupBy(F.col(label).cast("string").alias("label")) \
                 .agg(F.count(F.lit(1)).alias("count"))
-    old = old_dictionary.select(F.col(old_label).cast("string").alias("label")).distinct() \
-                        .withColumn("known", F.lit(True))
-    tagged = counts.join(F.broadcast(old), "label", "left")
+    old = broadcast_checked(old_dictionary.select(F.col(old_label).cast("string").alias("label"))
+                            .distinct().withColumn("known", F.lit(True)))
+    tagged = counts.join(old, "label", "left")
     return tagged.agg(
         F.sum("count").alias("total_samples"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "count"))))

@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from flowlens.functions.digest import digest_int, draw_rank, order_digest
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import MODE_INTERVAL_MS, intensity_level
-from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize_small
+from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
 
 _ALL = "__all__"
+# Rows per sorted (group, bucket) above which group_rank deepens its buckets,
+# and the deepest bucket key (16^8 buckets per group).
+TARGET_BUCKET_ROWS = 2_000_000
+MAX_BUCKET_HEX = 8
 
 
 def _group_col(group: str | None) -> Column:
@@ -66,11 +70,23 @@ def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
     Returns (ranked rows, sizes) where sizes holds ``group`` -> ``group_size``
     (broadcast-hinted when its row count is within the limit).
     With ``max_rank`` only buckets that can hold ranks <= max_rank are sorted.
+
+    The bucket depth adapts to the data: when the largest bucket that would
+    be sorted holds more than ``TARGET_BUCKET_ROWS`` rows (a group with a
+    third of a very large table), the counts are taken again with more
+    digest digits.  Ranks do not change (buckets are digest prefixes, so they
+    follow the same order); only the size of each sort does.
     """
-    sizes = bucket_sizes(df, group, keys, seed, bucket_hex, counts)
-    if max_rank is not None:
-        sizes = sizes.filter(F.col("__off") < F.lit(max_rank))
-    sizes, n = materialize_small(sizes)
+    while True:
+        sizes = bucket_sizes(df, group, keys, seed, bucket_hex, counts)
+        if max_rank is not None:
+            sizes = sizes.filter(F.col("__off") < F.lit(max_rank))
+        sizes = materialize(sizes, "bucket_sizes")
+        n, largest = sizes.agg(F.count(F.lit(1)), F.max("__n")).first()
+        if not largest or largest <= TARGET_BUCKET_ROWS or bucket_hex >= MAX_BUCKET_HEX:
+            break
+        bucket_hex = min(MAX_BUCKET_HEX, bucket_hex + math.ceil(math.log(largest / TARGET_BUCKET_ROWS, 16)))
+        counts = None   # counts at the old depth no longer apply
     sizes_b = F.broadcast(sizes) if n <= MAX_BROADCAST_ROWS else sizes
     digest = order_digest(seed, *keys)
     rows = (df.withColumn("__g", _group_col(group))

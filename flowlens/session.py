@@ -58,14 +58,19 @@ def wide_table_mode(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when the
-    session has none (local tests) is a private folder created.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  Only a local
+    session without one (tests) gets a private folder; on a cluster a
+    machine-local folder would not be visible to other executors, so an
+    unset setting is an error there.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: flowlens stages tables in that "
+                               "shared folder; set it to a path every executor can reach")
         base = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)

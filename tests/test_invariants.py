@@ -33,6 +33,23 @@ def test_two_level_rank_equals_plain_row_number(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_adaptive_bucket_depth_keeps_ranks(spark, monkeypatch):
+    # a tiny target forces deeper buckets (as a group with a third of a huge
+    # table would); the ranks must equal the plain per-group row_number
+    o = fx.table(spark, SF_MID, "orders")
+    monkeypatch.setattr(sampling, "TARGET_BUCKET_ROWS", 5)
+    ranked, sizes = sampling.group_rank(o, "o_orderpriority", ["o_orderkey"], 42, bucket_hex=1)
+    digest = F.md5(F.concat_ws("|", F.lit("42"), F.col("o_orderkey").cast("string")))
+    plain = o.withColumn("rank", F.row_number().over(
+        Window.partitionBy("o_orderpriority").orderBy(digest)).cast("bigint"))
+    a = ranked.select("o_orderkey", "rank")
+    b = plain.select("o_orderkey", "rank")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert sizes.agg(F.sum("group_size")).first()[0] == o.count()
+    top, _ = sampling.group_rank(o, "o_orderpriority", ["o_orderkey"], 42, max_rank=3, bucket_hex=1)
+    assert sorted(r["rank"] for r in top.collect()) == sorted([1, 2, 3] * 5)
+
+
 def test_quotas_sum_to_n(spark):
     o = fx.table(spark, SF_MID, "orders")
     q = sampling.quota_proportional(o, "o_orderstatus", 777)

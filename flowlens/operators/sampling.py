@@ -28,6 +28,8 @@ _ALL = "__all__"
 # and the deepest bucket key (16^8 buckets per group).
 TARGET_BUCKET_ROWS = 2_000_000
 MAX_BUCKET_HEX = 8
+# With-replacement draws generated per task (a quota is split into chunks).
+DRAW_CHUNK = 1_000_000
 
 
 def _group_col(group: str | None) -> Column:
@@ -183,9 +185,20 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], quotas: DataFr
     q = q.join(sizes, "__g", "left")   # sizes carries a checked broadcast hint
     missing = q.filter(F.col("group_size").isNull()).select(
         F.col("__g").alias("label"), F.col("__q").alias("quota"))
-    draws = (q.filter(F.col("group_size").isNotNull())
-              .select("__g", "group_size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__q")))
-                      .alias("draw_no"))
+    # draws are generated in chunks of DRAW_CHUNK: the chunk list is spread
+    # over tasks first, so a huge quota never comes out of one task
+    chunks = (q.filter(F.col("group_size").isNotNull())
+               .select("__g", "group_size", "__q",
+                       F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                            F.floor((F.col("__q") - 1) / F.lit(DRAW_CHUNK)).cast("bigint")))
+                        .alias("__chunk")))
+    n_chunks = chunks.select(F.sum(F.ceil(F.col("__q") / F.lit(DRAW_CHUNK)))).first()[0] or 0
+    if n_chunks > 1:
+        chunks = chunks.repartition(max(1, min(int(n_chunks), df.sparkSession.sparkContext.defaultParallelism * 4)),
+                                    "__g", "__chunk")
+    first = F.col("__chunk") * F.lit(DRAW_CHUNK) + F.lit(1)
+    last = F.least(F.col("__q"), (F.col("__chunk") + F.lit(1)) * F.lit(DRAW_CHUNK))
+    draws = (chunks.select("__g", "group_size", F.explode(F.sequence(first, last)).alias("draw_no"))
               .withColumn("rank", draw_rank(seed, F.col("__g"), F.col("draw_no"), F.col("group_size")))
               .select(F.col("__g").alias(label), "draw_no", "rank"))
     return _draw_rows(ranked.drop("group_size"), draws, label), missing

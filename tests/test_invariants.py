@@ -50,6 +50,17 @@ def test_adaptive_bucket_depth_keeps_ranks(spark, monkeypatch):
     assert sorted(r["rank"] for r in top.collect()) == sorted([1, 2, 3] * 5)
 
 
+def test_chunked_draws_equal_single_task_draws(spark, monkeypatch):
+    o = fx.table(spark, SF_SMALL, "orders")
+    quotas = spark.createDataFrame([("1-URGENT", 25), ("5-LOW", 3), ("2-HIGH", 0)], "label string, quota bigint")
+    one, _ = sampling.stratified_sample(o, "o_orderpriority", ["o_orderkey"], quotas)
+    ref = {(r["o_orderpriority"], r["draw_no"], r["o_orderkey"]) for r in one.collect()}
+    monkeypatch.setattr(sampling, "DRAW_CHUNK", 4)
+    many, _ = sampling.stratified_sample(o, "o_orderpriority", ["o_orderkey"], quotas)
+    got = [(r["o_orderpriority"], r["draw_no"], r["o_orderkey"]) for r in many.collect()]
+    assert len(got) == 28 and set(got) == ref
+
+
 def test_quotas_sum_to_n(spark):
     o = fx.table(spark, SF_MID, "orders")
     q = sampling.quota_proportional(o, "o_orderstatus", 777)

@@ -12,12 +12,17 @@ in a single task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize_small
+from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
 
 SCORE_RANGES = 1024
+# Distinct scores per sorted (class, range) above which the ranges get finer.
+RANGE_TARGET_SCORES = 2_000_000
+MAX_SCORE_RANGES = 1 << 40
 
 # Acceptance gates per metric (minimum / good / excellent).
 # Higher is better except for FPR, where the bound is an upper limit.
@@ -104,25 +109,41 @@ def _score_table(pred: DataFrame, actual: str, probs: str) -> DataFrame:
         F.count_if(F.col("__y") != F.col("class")).alias("neg"))
 
 
-def _ranged_cumulative(scores: DataFrame, ranges: int = SCORE_RANGES) -> DataFrame:
-    """Adds tp_above/fp_above (counts with a strictly higher score) per class."""
-    rng = F.least(F.greatest(F.floor(F.col("score") * ranges), F.lit(0)), F.lit(ranges - 1))
-    s = scores.withColumn("range", rng.cast("int"))
-    per_range = s.groupBy("class", "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    desc = Window.partitionBy("class").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("class")
-    offsets = per_range.select(
-        "class", "range",
-        F.coalesce(F.sum("rp").over(desc), F.lit(0)).alias("pos_above_range"),
-        F.coalesce(F.sum("rn").over(desc), F.lit(0)).alias("neg_above_range"),
-        F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
-    offsets, n = materialize_small(offsets)   # at most classes x ranges rows
-    offsets = F.broadcast(offsets) if n <= MAX_BROADCAST_ROWS else offsets
+def _ranged_cumulative(scores: DataFrame, ranges: int = SCORE_RANGES) -> tuple[DataFrame, DataFrame]:
+    """Adds tp_above/fp_above (counts with a strictly higher score) per class.
+
+    Scores are probabilities in [0, 1].  Running sums run per (class, score
+    range) with range offsets from a small prefix-sum table.  When one range
+    holds more than ``RANGE_TARGET_SCORES`` distinct scores (a confident
+    model piles them up near 1), the ranges are made 16x finer until it
+    does not; the sums do not change.  Returns (rows, per-class P and N).
+    """
+    scores = materialize(scores, "score_table")   # read by the offsets and by the running sums
+    while True:
+        rng = F.least(F.greatest(F.floor(F.col("score") * ranges), F.lit(0)), F.lit(ranges - 1))
+        s = scores.withColumn("range", rng.cast("bigint"))
+        per_range = s.groupBy("class", "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"),
+                                                    F.count(F.lit(1)).alias("rd"))
+        desc = Window.partitionBy("class").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy("class")
+        offsets = materialize(per_range.select(
+            "class", "range", "rd",
+            F.coalesce(F.sum("rp").over(desc), F.lit(0)).alias("pos_above_range"),
+            F.coalesce(F.sum("rn").over(desc), F.lit(0)).alias("neg_above_range"),
+            F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N")), "roc_offsets")
+        n, widest = offsets.agg(F.count(F.lit(1)), F.max("rd")).first()
+        if not widest or widest <= RANGE_TARGET_SCORES or ranges >= MAX_SCORE_RANGES:
+            break
+        ranges = min(MAX_SCORE_RANGES, ranges * 16 ** math.ceil(math.log(widest / RANGE_TARGET_SCORES, 16)))
+    totals = offsets.select("class", "P", "N").distinct()
+    offsets = offsets.drop("rd")
+    offsets = F.broadcast(offsets) if n <= MAX_BROADCAST_ROWS else offsets   # at most classes x ranges rows
     within = Window.partitionBy("class", "range").orderBy(F.desc("score")) \
                    .rowsBetween(Window.unboundedPreceding, -1)
-    return (s.join(offsets, ["class", "range"])
+    rows = (s.join(offsets, ["class", "range"])
              .withColumn("tp_above", F.col("pos_above_range") + F.coalesce(F.sum("pos").over(within), F.lit(0)))
              .withColumn("fp_above", F.col("neg_above_range") + F.coalesce(F.sum("neg").over(within), F.lit(0))))
+    return rows, totals
 
 
 def roc_points(pred: DataFrame, actual: str, probs: str) -> DataFrame:
@@ -131,11 +152,11 @@ def roc_points(pred: DataFrame, actual: str, probs: str) -> DataFrame:
     All thresholds are kept (no dropping of collinear points).  The start
     point has threshold +Infinity.
     """
-    c = _ranged_cumulative(_score_table(pred, actual, probs))
+    c, totals = _ranged_cumulative(_score_table(pred, actual, probs))
     pts = c.select("class", F.col("score").alias("threshold"),
                    (F.col("fp_above") + F.col("neg")).alias("fp"),
                    (F.col("tp_above") + F.col("pos")).alias("tp"), "P", "N")
-    starts = pts.groupBy("class").agg(F.first("P").alias("P"), F.first("N").alias("N")).select(
+    starts = totals.select(
         "class", F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("fp"),
         F.lit(0).cast("bigint").alias("tp"), "P", "N")
     allp = pts.unionByName(starts)
@@ -146,7 +167,7 @@ def roc_points(pred: DataFrame, actual: str, probs: str) -> DataFrame:
 
 def auc_ovr(pred: DataFrame, actual: str, probs: str) -> DataFrame:
     """Exact trapezoid AUC per class (ties count half); null when P or N is 0."""
-    c = _ranged_cumulative(_score_table(pred, actual, probs))
+    c, _ = _ranged_cumulative(_score_table(pred, actual, probs))
     return c.groupBy("class").agg(
         (F.sum(F.col("neg") * (F.col("tp_above") + F.col("pos") / 2.0))).alias("__area"),
         F.first("P").alias("positives"), F.first("N").alias("negatives")) \

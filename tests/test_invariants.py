@@ -61,6 +61,17 @@ def test_chunked_draws_equal_single_task_draws(spark, monkeypatch):
     assert len(got) == 28 and set(got) == ref
 
 
+def test_finer_score_ranges_keep_roc_and_auc(spark, monkeypatch):
+    pt = fx.probability_table(spark, SF_SMALL)
+    auc = {r["class"]: r.auc for r in evaluation.auc_ovr(pt, "actual", "probs").collect()}
+    roc = sorted(tuple(r) for r in evaluation.roc_points(pt, "actual", "probs").collect())
+    monkeypatch.setattr(evaluation, "RANGE_TARGET_SCORES", 2)
+    auc2 = {r["class"]: r.auc for r in evaluation.auc_ovr(pt, "actual", "probs").collect()}
+    roc2 = sorted(tuple(r) for r in evaluation.roc_points(pt, "actual", "probs").collect())
+    assert auc2.keys() == auc.keys() and all(abs(auc2[k] - auc[k]) < 1e-12 for k in auc)
+    assert roc2 == roc
+
+
 def test_quotas_sum_to_n(spark):
     o = fx.table(spark, SF_MID, "orders")
     q = sampling.quota_proportional(o, "o_orderstatus", 777)

@@ -79,7 +79,7 @@ def latest_window_counts(spark: SparkSession, path: str) -> DataFrame:
 
 INTENSITY_OUT = ("run long, event_id long, ms long, count long, previous_level string, level string, "
                  "kind string")
-INTENSITY_STATE = "times array<long>, last_level string"
+INTENSITY_STATE = "times array<long>, counts array<long>, last_level string"
 
 
 def _level(c: int, low_max: int, medium_max: int) -> str:
@@ -87,41 +87,53 @@ def _level(c: int, low_max: int, medium_max: int) -> str:
 
 
 def intensity_state_fn(window_ms: int, low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX):
-    """Per-run state: event times inside the window and the last level.
+    """Per-run state: (distinct event time, events at that time) inside the
+    window, and the last level.
 
     Emits a ``change`` row when an event moves the level, and a ``cleared``
     row when the window has drained (event-time timeout after the last
     event + W).  Events with equal times are counted together, like the
-    inclusive range frame of the batch form.  Counting is vectorised
-    (sorted times + ``searchsorted``), O(n log n) per batch and run; the
-    state keeps only times that later in-order events can still see.
+    inclusive range frame of the batch form.  Each Arrow batch is folded to
+    distinct times first, and the state keeps one (time, count) pair per
+    distinct millisecond that later in-order events can still see, so both
+    are bounded by the window's width in milliseconds, not by the number of
+    events of a hot run.  Counting is vectorised (prefix sums over sorted
+    distinct times + ``searchsorted``).
     """
     def fn(key, batches, state):
         run = int(key[0])
         if state.hasTimedOut:
-            _, last = state.get
+            last = state.get[2]
             state.remove()
             yield pd.DataFrame({"run": [run], "event_id": [None], "ms": [None], "count": [0],
                                 "previous_level": [last], "level": ["Low"], "kind": ["cleared"]})
             return
-        old, last = (np.asarray(state.get[0], dtype=np.int64), state.get[1]) if state.exists \
-            else (np.empty(0, dtype=np.int64), "Low")
-        pdf = pd.concat(list(batches), ignore_index=True)
-        # first event (smallest id) per distinct time, in time order
-        firsts = pdf.sort_values(["ms", "event_id"]).drop_duplicates("ms", keep="first")
-        t = firsts["ms"].to_numpy(dtype=np.int64)
-        times = np.sort(np.concatenate([old, pdf["ms"].to_numpy(dtype=np.int64)]))
-        counts = (np.searchsorted(times, t, side="right")
-                  - np.searchsorted(times, t - window_ms, side="left"))
+        if state.exists:
+            old_t, old_c, last = state.get
+            old_t, old_c = np.asarray(old_t, dtype=np.int64), np.asarray(old_c, dtype=np.int64)
+        else:
+            old_t, old_c, last = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), "Low"
+        # distinct times of this batch: events and first (smallest) id at each
+        parts = [b.groupby("ms")["event_id"].agg(["size", "min"]) for b in batches if len(b)]
+        if not parts:
+            return
+        agg = pd.concat(parts).groupby(level=0).agg({"size": "sum", "min": "min"}).sort_index()
+        t = agg.index.to_numpy(dtype=np.int64)
+        times, inverse = np.unique(np.concatenate([old_t, t]), return_inverse=True)
+        per_time = np.bincount(inverse, weights=np.concatenate([old_c, agg["size"].to_numpy(dtype=np.int64)]),
+                               minlength=len(times)).astype(np.int64)
+        cum = np.concatenate([[0], np.cumsum(per_time)])
+        counts = (cum[np.searchsorted(times, t, side="right")]
+                  - cum[np.searchsorted(times, t - window_ms, side="left")])
         levels = np.where(counts <= low_max, "Low", np.where(counts <= medium_max, "Medium", "High"))
         previous = np.concatenate([[last], levels[:-1]])
         changed = levels != previous
-        out = pd.DataFrame({"run": run, "event_id": firsts["event_id"].to_numpy()[changed],
+        out = pd.DataFrame({"run": run, "event_id": agg["min"].to_numpy(dtype=np.int64)[changed],
                             "ms": t[changed], "count": counts[changed],
                             "previous_level": previous[changed], "level": levels[changed],
                             "kind": "change"})
-        keep = times[times >= t.max() - window_ms]
-        state.update((keep.tolist(), str(levels[-1])))
+        keep = times >= t.max() - window_ms
+        state.update((times[keep].tolist(), per_time[keep].tolist(), str(levels[-1])))
         state.setTimeoutTimestamp(int(times.max()) + window_ms + 1)
         if len(out):
             yield out

@@ -27,6 +27,10 @@ from flowlens.operators._small import materialize
 _LEVEL_RANK = {"Low": 0, "Medium": 1, "High": 2}
 
 
+# Ticks generated per task when a run's timeline is laid out.
+TICK_CHUNK = 1_000_000
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder: cuts lineage for a table read twice."""
     return materialize(df, "times")
@@ -224,9 +228,18 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
     covered = spans.select(F.col(run), "__n", F.explode(F.sequence("__a", "__z")).alias("tick"))
     counts = covered.groupBy(run, "tick").agg(F.sum("__n").alias("count"))
     span = ev.groupBy(run).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    domain = span.select(F.col(run), F.explode(F.sequence(
-        F.ceil(F.col("lo") / F.lit(tick_ms)).cast("bigint"),
-        F.floor((F.col("hi") + F.lit(window_ms)) / F.lit(tick_ms)).cast("bigint") + 1)).alias("tick"))
+    span = span.select(F.col(run), F.ceil(F.col("lo") / F.lit(tick_ms)).cast("bigint").alias("__lo"),
+                       (F.floor((F.col("hi") + F.lit(window_ms)) / F.lit(tick_ms)).cast("bigint") + 1)
+                       .alias("__hi"))
+    # a long-lived run has many ticks: generate them in chunks spread over
+    # tasks (chunk ids first, ticks inside each chunk second)
+    chunk = F.lit(TICK_CHUNK)
+    chunks = span.select(F.col(run), "__lo", "__hi", F.explode(F.sequence(
+        F.floor(F.col("__lo") / chunk).cast("bigint"), F.floor(F.col("__hi") / chunk).cast("bigint")))
+        .alias("__c")).repartition(run, "__c")
+    domain = chunks.select(F.col(run), F.explode(F.sequence(
+        F.greatest(F.col("__lo"), F.col("__c") * chunk),
+        F.least(F.col("__hi"), (F.col("__c") + 1) * chunk - 1))).alias("tick"))
     out = domain.join(counts, [run, "tick"], "left").na.fill(0, ["count"])
     return out.select(F.col(run), (F.col("tick") * F.lit(tick_ms)).alias("tick_ms"), "count",
                       intensity_level("count").alias("level"))

@@ -72,6 +72,18 @@ def test_finer_score_ranges_keep_roc_and_auc(spark, monkeypatch):
     assert roc2 == roc
 
 
+def test_chunked_timeline_ticks_equal_single_sequence(spark, monkeypatch):
+    from flowlens.operators import detection
+    ev = fx.table(spark, SF_SMALL, "events")
+
+    def run():
+        t = detection.intensity_timeline(ev, "user_id", "ts", "event_type", "view", 2 * 86_400_000, 3_600_000)
+        return sorted(tuple(r) for r in t.collect())
+    whole = run()
+    monkeypatch.setattr(detection, "TICK_CHUNK", 7)
+    assert run() == whole and len(whole) > 0
+
+
 def test_quotas_sum_to_n(spark):
     o = fx.table(spark, SF_MID, "orders")
     q = sampling.quota_proportional(o, "o_orderstatus", 777)

@@ -130,15 +130,17 @@ def _draw_rows(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFr
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed=42) -> DataFrame:
     """n rows: without replacement when the table has n rows, else with replacement."""
-    total, = df.agg(F.count(F.lit(1))).first()
+    # the bucket counts give the total and serve the ranking: one counting pass
+    counts, _ = materialize_small(bucket_counts(df, None, keys, seed))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
     if total >= n:
-        ranked, _ = group_rank(df, None, keys, seed, max_rank=n)
+        ranked, _ = group_rank(df, None, keys, seed, max_rank=n, counts=counts)
         return ranked.withColumn("draw_no", F.col("rank"))
     if total == 0:
         return df.limit(0).withColumn("rank", F.lit(None).cast("bigint")) \
                  .withColumn("group_size", F.lit(None).cast("bigint")) \
                  .withColumn("draw_no", F.lit(None).cast("bigint"))
-    ranked, _ = group_rank(df, None, keys, seed)
+    ranked, _ = group_rank(df, None, keys, seed, counts=counts)
     spark = df.sparkSession
     draws = (spark.range(1, n + 1).select(F.col("id").alias("draw_no"))
              .withColumn("rank", draw_rank(seed, F.lit(_ALL), F.col("draw_no"), F.lit(total))))
@@ -183,6 +185,9 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], quotas: DataFr
     q = quotas.select(F.col("label").alias("__g"), F.col(quota_col).cast("bigint").alias("__q")) \
               .filter(F.col("__q") > 0)
     q = q.join(sizes, "__g", "left")   # sizes carries a checked broadcast hint
+    # quotas usually come from a scan (label counts): written once, the
+    # chunk count, the draws and the missing labels all read this table
+    q, _ = materialize_small(q)
     missing = q.filter(F.col("group_size").isNull()).select(
         F.col("__g").alias("label"), F.col("__q").alias("quota"))
     # draws are generated in chunks of DRAW_CHUNK: the chunk list is spread
@@ -278,6 +283,8 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     reproducible.  ``counts`` (a ``bucket_counts`` table of ``df`` grouped by
     ``label``) lets quotas and ranks share one counting pass.
     """
+    if counts is None:   # one counting pass serves the quotas and the rank offsets
+        counts, _ = materialize_small(bucket_counts(df, label, keys, seed))
     quotas, k = _split_quotas(df, label, test_size, counts)
     q = quotas.select(F.col("label").alias("__lbl"), "test_quota")
     q = F.broadcast(q) if k <= MAX_BROADCAST_ROWS else q

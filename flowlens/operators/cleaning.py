@@ -164,12 +164,15 @@ def validate_requests(df: DataFrame, body: str, expected: int) -> DataFrame:
     Duplicate keys: the last one wins (``from_json``).
     """
     text = F.col(body)
-    valid = F.get_json_object(text, "$").isNotNull()
-    keys = F.json_object_keys(text)
-    has_features = F.coalesce(F.array_contains(keys, F.lit("features")), F.lit(False))
-    raw = F.from_json(text, "features string").getField("features")
-    n = F.json_array_length(raw)
-    parsed = F.transform(F.from_json(raw, "array<string>"), lambda x: x.try_cast("double"))
+    # each parse once per row: the intermediate columns are referenced
+    # several times below, so Catalyst keeps them as one projection
+    parsed_cols = df.select(
+        "*",
+        F.get_json_object(text, "$").isNotNull().alias("__valid"),
+        F.coalesce(F.array_contains(F.json_object_keys(text), F.lit("features")), F.lit(False)).alias("__has"),
+        F.from_json(text, "features string").getField("features").alias("__raw"))
+    parsed_cols = parsed_cols.withColumn("__n", F.json_array_length("__raw"))
+    valid, has_features, n = F.col("__valid"), F.col("__has"), F.col("__n")
     status = (F.when(~valid, F.lit("malformed"))
               .when(~has_features, F.lit("missing"))
               .when(n.isNull(), F.lit("not_list"))
@@ -181,8 +184,10 @@ def validate_requests(df: DataFrame, body: str, expected: int) -> DataFrame:
                .when(n != F.lit(expected),
                      F.format_string(f"Feature mismatch. Expected {expected}, got %d.", n))
                .otherwise(F.lit(None).cast("string")))
-    return (df.withColumn("status", status).withColumn("message", message)
-              .withColumn("features", F.when(status == F.lit("ok"), parsed)))
+    features = F.when(F.col("status") == F.lit("ok"),
+                      F.transform(F.from_json("__raw", "array<string>"), lambda x: x.try_cast("double")))
+    return (parsed_cols.withColumn("status", status).withColumn("message", message)
+            .withColumn("features", features).drop("__valid", "__has", "__raw", "__n"))
 
 
 def normalize_label(df: DataFrame, label: str) -> DataFrame:

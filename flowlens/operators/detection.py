@@ -223,14 +223,16 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
     last_tick = F.floor((F.col("ms") + F.lit(window_ms)) / F.lit(tick_ms)).cast("bigint")
     # events with the same (first, last) tick cover the same ticks: count them
     # first (map-side), then fan out groups instead of rows
-    spans = ev.groupBy(F.col(run), first_tick.alias("__a"), last_tick.alias("__z")) \
-              .agg(F.count(F.lit(1)).alias("__n"))
+    # written once: the tick counts and the run spans both read it, so the
+    # events are scanned once
+    spans = materialize(ev.groupBy(F.col(run), first_tick.alias("__a"), last_tick.alias("__z"))
+                          .agg(F.count(F.lit(1)).alias("__n")), "timeline_spans")
     covered = spans.select(F.col(run), "__n", F.explode(F.sequence("__a", "__z")).alias("tick"))
     counts = covered.groupBy(run, "tick").agg(F.sum("__n").alias("count"))
-    span = ev.groupBy(run).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    span = span.select(F.col(run), F.ceil(F.col("lo") / F.lit(tick_ms)).cast("bigint").alias("__lo"),
-                       (F.floor((F.col("hi") + F.lit(window_ms)) / F.lit(tick_ms)).cast("bigint") + 1)
-                       .alias("__hi"))
+    # a run's ticks: from its first event's first tick to one past its last
+    # event's last tick; both are monotonic in ms, so the span table (not a
+    # second scan of the events) gives them
+    span = spans.groupBy(run).agg(F.min("__a").alias("__lo"), (F.max("__z") + 1).alias("__hi"))
     # a long-lived run has many ticks: generate them in chunks spread over
     # tasks (chunk ids first, ticks inside each chunk second)
     chunk = F.lit(TICK_CHUNK)

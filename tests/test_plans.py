@@ -43,3 +43,16 @@ def test_sliding_counts_are_range_partitioned_prefix_sums(spark):
 def test_dictionary_join_is_broadcast(spark):
     plan = _plan(E.queries()["encode_labels"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["sliding_attack_count", "display_threat", "intensity_timeline"])
+def test_events_scanned_once(spark, name):
+    # the small derived tables (distinct times, spans) are written once and
+    # read back; the event table is read by one scan at most (the timeline
+    # reads it only in the job that writes its span table)
+    import re
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    final = _plan(df).split("== Initial Plan ==")[0]
+    locs = re.findall(r"Location: InMemoryFileIndex\(\d+ paths\)\[file:([^\],]+)", final)
+    assert sum(1 for p in locs if p.endswith("events.parquet")) <= 1

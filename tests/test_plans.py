@@ -45,7 +45,8 @@ def test_dictionary_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["sliding_attack_count", "display_threat", "intensity_timeline"])
+@pytest.mark.parametrize("name", ["sliding_attack_count", "sliding_attack_count_global", "level_changes",
+                                  "display_threat", "intensity_timeline", "recent_alerts_per_user"])
 def test_events_scanned_once(spark, name):
     # the small derived tables (distinct times, spans) are written once and
     # read back; the event table is read by one scan at most (the timeline

@@ -23,3 +23,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN ids USING (rid)
 """
+
+
+def _secrets_sql() -> str:
+    from flowlens.llm.secrets import BASE_KINDS, RULES
+
+    parts = []
+    for k, r in enumerate(RULES):
+        pattern = f"(?s)(.*?)({r.pattern})".replace("'", "''")
+        got = ", ".join(f"regexp_extract_all(t, '{pattern}', {i}) AS x{i}" for i in (1, 2, 3))
+        parts.append(f"SELECT rid, '{r.kind}' AS kind, {k} AS k, {r.least} AS least, {got} FROM d")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+x AS (SELECT rid, kind, k, least, unnest(x1) AS gap, unnest(x2) AS hit, unnest(x3) AS held,
+             generate_subscripts(x1, 1) AS i FROM m),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM x),
+f AS (SELECT rid, kind, k, e - length(hit) AS s, kind || ':' || CAST(e - length(hit) AS BIGINT) || ':' || CAST(e AS BIGINT) AS span
+      FROM p WHERE length(held) >= least),
+g AS (SELECT rid, {counts},
+             string_agg(span, ',' ORDER BY s, k) FILTER (k < {len(BASE_KINDS)}) AS base,
+             string_agg(span, ',' ORDER BY s, k) AS spans FROM f GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLES["op4_secret_ledger"] = _secrets_sql()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.decontaminate import mark_contamination
 from flowlens.llm.oracles import ORACLES
+from flowlens.llm.secrets import BASE_KINDS, find_secrets, span_list
 from flowlens.llm.token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +28,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (hit > 0).alias("contaminated"))
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+              for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"),
+                        span_list(F.col(spans)).alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_secret_ledger": op4_secret_ledger,
     "op6_token_counts": op6_token_counts,
 }
 

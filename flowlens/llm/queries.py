@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import fold, table  # noqa: F401
@@ -31,8 +31,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, spans = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-              for k in BASE_KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"),
                         span_list(F.col(spans)).alias("spans"))
 

@@ -163,3 +163,20 @@ def connected_components(edges: DataFrame, a: str, b: str, kind: str = "long") -
             break
     roots = step.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return step.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(roots)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finalizer of a 64-bit mixing generator (public splitmix64 constants)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit keyed hash of every word, the same in every task; each distinct
+    word of the slice is hashed once."""
+    import pandas as pd
+
+    coded = words.dictionary_encode()
+    distinct = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
+    return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)

@@ -52,3 +52,17 @@ FROM d LEFT JOIN g USING (rid)
 
 
 ORACLES["op4_secret_ledger"] = _secrets_sql()
+
+ORACLES["op9_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[p:p + 4], ' ') AS g
+      FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE c.n / (x.n + y.n - c.n) >= 0.8),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+least AS (SELECT a, min(doc_id) AS m FROM reach JOIN d ON d.rid = reach.b GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, m) AS class_id, coalesce(links.n, 0) AS n_links
+FROM d LEFT JOIN least ON least.a = rid LEFT JOIN links ON links.a = rid
+"""

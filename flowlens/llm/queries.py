@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.decontaminate import mark_contamination
+from flowlens.llm.ngram_join import ngram_join
 from flowlens.llm.oracles import ORACLES
 from flowlens.llm.secrets import BASE_KINDS, find_secrets, span_list
 from flowlens.llm.token_counts import count_tokens
@@ -49,10 +50,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col(n["n_tokens"]) > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined, n = ngram_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", F.col(n["class"]).alias("class_id"), F.col(n["links"]).alias("n_links"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_secret_ledger": op4_secret_ledger,
     "op6_token_counts": op6_token_counts,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 

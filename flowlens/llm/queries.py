@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.decontaminate import mark_contamination
+from flowlens.llm.language_id import fit as fit_languages
+from flowlens.llm.language_id import identify
 from flowlens.llm.ngram_join import ngram_join
 from flowlens.llm.oracles import ORACLES
 from flowlens.llm.secrets import BASE_KINDS, find_secrets, span_list
 from flowlens.llm.token_counts import count_tokens
+from flowlens.llm.toxicity import fit as fit_toxicity
+from flowlens.llm.toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -29,6 +33,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (hit > 0).alias("contaminated"))
 
 
+def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.where(~held_out), "text", "lang")
+    found, n = identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), F.col(n["lang_pred"]).alias("lang_pred"),
+                        F.col(n["score"]).alias("score"), F.col(n["ambiguous"]).alias("ambiguous"))
+
+
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = fit_toxicity(docs, labels.where(~held_out), "text", "doc_id", "toxic")
+    scored, name = score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(name).alias("score"),
+                         (F.col(name) >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, spans = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
@@ -57,6 +79,8 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_codes": op2_language_codes,
+    "op3_noisy_channel_toxicity": op3_noisy_channel_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
     "op6_token_counts": op6_token_counts,
     "op9_ngram_join": op9_ngram_join,

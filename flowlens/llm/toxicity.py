@@ -34,8 +34,8 @@ LOOK_ALIKES = {
 }
 SEPARATORS = " .-_*"
 #: Channel costs (natural logarithms): a look-alike, a doubled letter meant
-#: single, a separator dropped or kept, a symbol dropped.
-SUBSTITUTE, SINGLE, GAP, DROP = -1.0, -2.5, -0.5, -7.0
+#: single, a separator dropped, a separator kept, a symbol dropped.
+SUBSTITUTE, SINGLE, JOIN, SPLIT, DROP = -1.0, -6.0, -0.2, -2.5, -9.0
 #: Hash bins of the character model: trigrams, bigrams, single characters.
 TRIGRAMS, BIGRAMS, CHARACTERS = 1 << 18, 1 << 16, 1 << 12
 #: Hash bins of word features.
@@ -46,7 +46,7 @@ BEGINNINGS = (3, 4, 5, 6)
 LABEL_ROWS = 200_000
 #: A feature needs this many toxic documents, and must be this many times as
 #: frequent in them after taking off DOUBT standard errors.
-SUPPORT, RATIO, DOUBT = 4, 3.0, 1.5
+SUPPORT, RATIO, DOUBT = 4, 3.0, 2.0
 #: One labelled row in CALIBRATE fits the final curve instead of the features.
 CALIBRATE = 5
 MEMO = 200_000
@@ -148,11 +148,11 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             if n == 1:
                 out.append([(c, 0.0)])
             else:
-                out.append([(c + c, 0.0), (c, SINGLE if n == 2 else 0.0)])
+                out.append([(c + c, 0.0 if n == 2 else SUBSTITUTE), (c, SINGLE if n == 2 else 0.0)])
         elif c in LOOK_ALIKES:
             out.append([(l * min(n, 2), SUBSTITUTE) for l in LOOK_ALIKES[c]] + [("", DROP)])
         elif c in SEPARATORS:
-            out.append([("", GAP), (" ", GAP)])
+            out.append([("", JOIN), (" ", SPLIT)])
         else:
             out.append([(c, 0.0)])
     return out
@@ -292,33 +292,33 @@ def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.slice(lo, hi - lo).column(0), pa.array(least.view(np.int64))], names=["id", "family"])
 
 
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature bins of the slice's distinct words; and text and word of every
+    distinct word of every text, by text).  A word repeated in a text counts
+    once, so repeated lines weigh no more than one."""
+    bins, word = word_features(words)
+    text = np.repeat(np.arange(len(words.first) - 1), words.per_text())
+    pair = np.unique(text * max(1, len(bins)) + word)
+    return bins, pair // max(1, len(bins)), pair % max(1, len(bins))
+
+
 def _count_features(characters, chosen):
-    """(bin, occurrences, documents) of a part's texts, only of the chosen bins
-    if given; bin -1 holds the number of words."""
+    """(bin, distinct words, texts) of a part, only of the chosen bins if
+    given; bin -1 counts all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters.value)
         for batch in batches:
             texts = text_column(batch, "t")
             for lo, hi in slices(texts):
-                words = Words(restorer.slice(texts.slice(lo, hi - lo)), ALNUM)
-                bins, word = word_features(words)
-                text = np.repeat(np.arange(hi - lo), words.per_text())
-                pair, times = np.unique(text * max(1, len(bins)) + word, return_counts=True)
-                text, word = pair // max(1, len(bins)), pair % max(1, len(bins))
+                bins, text, word = distinct_words(Words(restorer.slice(texts.slice(lo, hi - lo)), ALNUM))
                 flat = (text[:, None] * FEATURES + bins[word]).ravel()
-                times = np.repeat(times, bins.shape[1])
                 if chosen is not None:
-                    held = np.isin(flat % FEATURES, chosen.value)
-                    flat, times = flat[held], times[held]
-                # a short word's beginnings repeat the word: once per text and bin
-                order = np.argsort(flat, kind="stable")
-                flat, times = flat[order], times[order]
-                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else []
-                most = np.maximum.reduceat(times, first) if len(flat) else times
-                at, where = np.unique(flat[first] % FEATURES if len(flat) else flat, return_inverse=True)
+                    flat = flat[np.isin(flat % FEATURES, chosen.value)]
+                flat, times = np.unique(flat, return_counts=True)
+                at, where = np.unique(flat % FEATURES, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(at, -1), pa.int32()),
-                     pa.array(np.append(np.bincount(where, most, len(at)), len(words.words)), pa.float64()),
+                     pa.array(np.append(np.bincount(where, times, len(at)), len(word)), pa.float64()),
                      pa.array(np.append(np.bincount(where, minlength=len(at)), hi - lo), pa.float64())],
                     names=["bin", "n", "docs"])
     return run
@@ -334,20 +334,21 @@ class Model:
 
 def summary(bins: np.ndarray, weight: np.ndarray, texts: pa.StringArray, restorer: Restorer) -> np.ndarray:
     """What the final curve sees of each text: a constant, the strongest weight,
-    the weights' sum and density on log scales, and the length."""
-    words = Words(restorer.slice(texts), ALNUM)
-    found, word = word_features(words)
+    the weights' sum and density on log scales, and the length, all over distinct
+    words."""
+    found, text, word = distinct_words(Words(restorer.slice(texts), ALNUM))
     own = np.zeros(found.shape)
     if len(bins) and len(found):
         at = np.minimum(np.searchsorted(bins, found), len(bins) - 1)
         own = np.where(bins[at] == found, weight[at], 0.0)
     held = own.max(1, initial=0.0)[word] if len(word) else np.zeros(0)
-    n = words.per_text()
-    total = sum_ranges(held, words.first)
+    first = np.searchsorted(text, np.arange(len(texts) + 1))
+    n = np.diff(first)
+    total = sum_ranges(held, first)
     most = np.zeros(len(n))
     full = np.flatnonzero(n)
     if len(full):
-        most[full] = np.maximum.reduceat(held, words.first[full])
+        most[full] = np.maximum.reduceat(held, first[full])
     return np.stack([np.ones(len(n)), most, np.log1p(total), np.log1p(1000 * total / (n + 20)), np.log1p(n)], 1)
 
 

@@ -66,3 +66,14 @@ links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT doc_id, least(doc_id, m) AS class_id, coalesce(links.n, 0) AS n_links
 FROM d LEFT JOIN least ON least.a = rid LEFT JOIN links ON links.a = rid
 """
+
+ORACLES["op7_chat_snapshots"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, count(*) AS n, list(turn || chr(1) || role || chr(2) || text ORDER BY turn, role, text) AS l,
+             string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), ''
+                        ORDER BY turn, role, text) AS rendered FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT array_to_string(l[1:k], chr(3)) AS s FROM c, unnest(range(1, n)) AS u(k)),
+w AS (SELECT min(conv_id) AS conv_id, array_to_string(l, chr(3)) AS s FROM c GROUP BY 2)
+SELECT conv_id, CAST(0 AS BIGINT) AS chunk, 0 AS part, n AS turns, n AS conversation_turns, rendered
+FROM c JOIN w USING (conv_id) WHERE s NOT IN (SELECT s FROM p)
+"""

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm.chat import format_chats
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.decontaminate import mark_contamination
 from flowlens.llm.language_id import fit as fit_languages
 from flowlens.llm.language_id import identify
+from flowlens.llm.mixing import mix
 from flowlens.llm.ngram_join import ngram_join
 from flowlens.llm.oracles import ORACLES
 from flowlens.llm.secrets import BASE_KINDS, find_secrets, span_list
@@ -63,6 +65,11 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                         span_list(F.col(spans)).alias("spans"))
 
 
+def op5_source_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, n = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", *(F.col(n[k]).alias(k) for k in ("size", "source_size", "target", "taken")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +79,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col(n["n_tokens"]) > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined, n = ngram_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", F.col(n["class"]).alias("class_id"), F.col(n["links"]).alias("n_links"))
@@ -82,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_codes": op2_language_codes,
     "op3_noisy_channel_toxicity": op3_noisy_channel_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
+    "op5_source_flow": op5_source_flow,
     "op6_token_counts": op6_token_counts,
+    "op7_chat_snapshots": op7_chat_snapshots,
     "op9_ngram_join": op9_ngram_join,
 }
 

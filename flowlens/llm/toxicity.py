@@ -35,7 +35,7 @@ LOOK_ALIKES = {
 SEPARATORS = " .-_*"
 #: Channel costs (natural logarithms): a look-alike, a doubled letter meant
 #: single, a separator dropped, a separator kept, a symbol dropped.
-SUBSTITUTE, SINGLE, JOIN, SPLIT, DROP = -1.0, -6.0, -0.2, -2.5, -9.0
+SUBSTITUTE, SINGLE, JOIN, SPLIT, DROP = -1.0, -6.0, -0.2, -1.2, -9.0
 #: Hash bins of the character model: trigrams, bigrams, single characters.
 TRIGRAMS, BIGRAMS, CHARACTERS = 1 << 18, 1 << 16, 1 << 12
 #: Hash bins of word features.

@@ -269,7 +269,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     banded = known.select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")) \
         .where("head <> tail").select("band", "head")
-    edges = banded.join(heads, "band").where("node <> head").select("node", "head").distinct()
+    # merge hints: one plan at every size, whose large keys the adaptive join splits
+    edges = banded.join(heads.hint("merge"), "band").where("node <> head").select("node", "head").distinct()
     candidates = connected_components(edges, "node", "head", "binary")
 
     members = candidates.join(nodes, "node").select("node", "root", "copies", "size", "one.id", "one.body_hash")
@@ -280,7 +281,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_shingles = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = max(1, all_shingles // BLOCK_LEAST)
 
-    bodies = row.join(members.withColumnRenamed("id", "own_id").withColumnRenamed("body_hash", "own_hash"),
+    bodies = row.join(members.withColumnRenamed("id", "own_id").withColumnRenamed("body_hash", "own_hash").hint("merge"),
                       F.expr("id <=> own_id AND body_hash <=> own_hash")) \
         .select("node", "root", "copies", "body").dropDuplicates(["node"])
     body_schema = bodies.limit(0).withColumn("body", F.array().cast("array<bigint>")).schema

@@ -304,7 +304,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     info = nodes.join(linked, "node", "left").join(grouped, "node", "left").select(
         F.col("node").alias("of"), F.coalesce("class", "least").alias("class"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = sketch.select("id", "node").join(info, F.col("node") == F.col("of"), "left")
+    info = materialize(info, "info")  # a plain exchange on both sides: the adaptive join can split a hot node
+    out = sketch.select("id", "node").join(info.hint("merge"), F.col("node") == F.col("of"), "left")
     empty = docs.select(id_col)
     names = {k: free_name(empty, k) for k in ("class", "links", "node")}
     return out.select(

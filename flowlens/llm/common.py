@@ -180,3 +180,26 @@ def word_hashes(words: pa.StringArray) -> np.ndarray:
     coded = words.dictionary_encode()
     distinct = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
     return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+
+
+class Forest:
+    """Union-find over array positions; every tree hangs on its least position."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Unite the trees of i[k] and j[k] for all k."""
+        parent = self.parent
+        while True:
+            a, b = parent[i], parent[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent[:] = up

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import (
-    ALNUM, Words, connected_components, free_name, lists, mix64, slices, text_column, word_hashes,
+    ALNUM, Forest, Words, connected_components, free_name, lists, mix64, slices, text_column, word_hashes,
 )
 from flowlens.operators._small import materialize
 
@@ -166,7 +166,7 @@ class Links:
         self.n_columns = int(column.max()) + 1 if len(column) else 0
         self.first = np.searchsorted(owner, np.arange(n + 1))
         self.links = np.zeros(n, np.int64)
-        self.parent = np.arange(n)
+        self.forest = Forest(n)
 
     def _dense(self, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
         grid = np.zeros((len(rows), hi - lo), np.float32)
@@ -191,28 +191,13 @@ class Links:
         i, j = left[i], right[j]
         np.add.at(self.links, i, self.weight[j])
         np.add.at(self.links, j, self.weight[i])
-        self._join(i, j)
+        self.forest.join(i, j)
 
     def all_pairs(self, left: np.ndarray, right: np.ndarray, same: bool) -> None:
         for x in range(0, len(left), _TILE):
             for y in range(x if same else 0, len(right), _TILE):
                 self.tile(left[x:x + _TILE], right[y:y + _TILE], same and x == y)
 
-    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
-        parent = self.parent
-        while True:
-            a, b = parent[i], parent[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent[:] = up
-
 
 def _verify(threshold: float):
     def run(unit: pa.Table) -> pa.Table:
@@ -233,7 +218,7 @@ def _verify(threshold: float):
             else:
                 mine = block[lo:hi]
                 found.all_pairs(np.flatnonzero(mine == low[lo]), np.flatnonzero(mine == high[lo]), False)
-            links[lo:hi], parent[lo:hi] = found.links, found.parent + lo
+            links[lo:hi], parent[lo:hi] = found.links, found.forest.parent + lo
         return pa.table({"node": node, "links": pa.array(links, pa.int64()), "tied": node.take(pa.array(parent))})
     return run
 

@@ -77,3 +77,17 @@ w AS (SELECT min(conv_id) AS conv_id, array_to_string(l, chr(3)) AS s FROM c GRO
 SELECT conv_id, CAST(0 AS BIGINT) AS chunk, 0 AS part, n AS turns, n AS conversation_turns, rendered
 FROM c JOIN w USING (conv_id) WHERE s NOT IN (SELECT s FROM p)
 """
+
+ORACLES["op10_spherical_cells"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT rid, vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND list_dot_product(e, e) > 0),
+k AS (SELECT a.rid AS a, b.rid AS b FROM g a JOIN g b
+      ON a.rid <> b.rid AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM k UNION SELECT reach.a, k.b FROM reach JOIN k ON reach.b = k.a),
+low AS (SELECT a, min(vec_id) AS m FROM reach JOIN v ON v.rid = reach.b GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m) AS component_id, vec_id = least(vec_id, m) AS kept
+FROM v LEFT JOIN low ON low.a = rid LEFT JOIN n ON n.a = rid
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.chat import format_chats
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.decontaminate import mark_contamination
+from flowlens.llm.embedding_dedup import embedding_dedup
 from flowlens.llm.language_id import fit as fit_languages
 from flowlens.llm.language_id import identify
 from flowlens.llm.mixing import mix
@@ -88,6 +89,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col(n["class"]).alias("class_id"), F.col(n["links"]).alias("n_links"))
 
 
+def op10_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, n = embedding_dedup(table(spark, sf_dir, "embeddings"))
+    return grouped.select("vec_id", *(F.col(n[k]).alias(k) for k in ("n_links", "component_id", "kept")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_codes": op2_language_codes,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_chat_snapshots": op7_chat_snapshots,
     "op9_ngram_join": op9_ngram_join,
+    "op10_spherical_cells": op10_spherical_cells,
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.chat import format_chats
 from flowlens.llm.common import fold, table  # noqa: F401
+from flowlens.llm.context_mixing import score_texts
 from flowlens.llm.decontaminate import mark_contamination
 from flowlens.llm.embedding_dedup import embedding_dedup
 from flowlens.llm.language_id import fit as fit_languages
@@ -84,6 +85,13 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored, n = score_texts(table(spark, sf_dir, "documents"), ~held_out, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), *(F.col(n[k]).alias(k) for k in (
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined, n = ngram_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", F.col(n["class"]).alias("class_id"), F.col(n["links"]).alias("n_links"))
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_flow": op5_source_flow,
     "op6_token_counts": op6_token_counts,
     "op7_chat_snapshots": op7_chat_snapshots,
+    "op8_context_mixing": op8_context_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_spherical_cells": op10_spherical_cells,
 }

@@ -223,23 +223,10 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-               recall: float = RECALL, width: int = SHINGLE) -> tuple[DataFrame, dict]:
-    """Documents with the Jaccard links of their word shingles.
-
-    Returns (id, class, links, node) and the names of the last three: the
-    class is the smallest id reachable by links, ``links`` the number of other
-    rows whose shingle set has a Jaccard similarity of ``threshold`` or more,
-    ``node`` the fingerprint of the shingle set.
-
-    Words are as in decontamination, in lower case.  Rows with equal shingle
-    sets are linked.  A text without a word (null and empty ones too) links
-    with nothing: 0 links, its own id as class, null node.  Null ids are kept
-    and never the smallest.  Repeated rows link with each other and each get a
-    row.  An empty table gives an empty table.
-    """
+def classify(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, width: int) -> DataFrame:
+    """(id, body_hash, node, root, class, links) of every row; root names the
+    class by one of its nodes and is null, as node is, for a text without a word."""
     bands, rows = choose_bands(threshold, recall, MAX_HASHES)
-    id_type = docs.schema[id_col].dataType.simpleString()
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body_hash"),
                       F.col(text_col).cast("string").alias("body"))
     schema = row.limit(0).select("id", "body_hash").withColumn("node", F.lit(b"").cast("binary")) \
@@ -285,15 +272,57 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = connected_components(verified, "node", "tied", "binary")
 
     least = classes.join(nodes, "node").groupBy("root").agg(F.min("least").alias("class"))
-    grouped = classes.join(least, "root").select("node", "class")
+    grouped = classes.join(least, "root").select("node", "root", "class")
     info = nodes.join(linked, "node", "left").join(grouped, "node", "left").select(
-        F.col("node").alias("of"), F.coalesce("class", "least").alias("class"),
+        F.col("node").alias("of"), F.coalesce("root", "node").alias("root"), F.coalesce("class", "least").alias("class"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     info = materialize(info, "info")  # a plain exchange on both sides: the adaptive join can split a hot node
-    out = sketch.select("id", "node").join(info.hint("merge"), F.col("node") == F.col("of"), "left")
-    empty = docs.select(id_col)
-    names = {k: free_name(empty, k) for k in ("class", "links", "node")}
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class")).cast(id_type).alias(names["class"]),
-        F.coalesce("links", F.lit(0).cast("bigint")).alias(names["links"]), F.col("node").alias(names["node"])), names
+    out = sketch.select("id", "body_hash", "node").join(info.hint("merge"), F.col("node") == F.col("of"), "left")
+    return out.select("id", "body_hash", "node", "root",
+                      F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class")).alias("class"),
+                      F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+               recall: float = RECALL, width: int = SHINGLE) -> tuple[DataFrame, dict]:
+    """Documents with the Jaccard links of their word shingles.
+
+    Returns (id, class, links, node) and the names of the last three: the
+    class is the smallest id reachable by links, ``links`` the number of other
+    rows whose shingle set has a Jaccard similarity of ``threshold`` or more,
+    ``node`` the fingerprint of the shingle set.
+
+    Words are as in decontamination, in lower case.  Rows with equal shingle
+    sets are linked.  A text without a word (null and empty ones too) links
+    with nothing: 0 links, its own id as class, null node.  Null ids are kept
+    and never the smallest.  Repeated rows link with each other and each get a
+    row.  An empty table gives an empty table.
+    """
+    out = classify(docs, id_col, text_col, threshold, recall, width)
+    names = {k: free_name(docs.select(id_col), k) for k in ("class", "links", "node")}
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(n) for k, n in names.items())), names
+
+
+def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                       recall: float = RECALL, width: int = SHINGLE) -> DataFrame:
+    """One document of every class of linked texts: that with the smallest id,
+    nulls last, then the smallest text hash; of rows equal in both, any one.
+    Texts without a word all stay.  Columns are unchanged."""
+    rows = materialize(classify(docs, id_col, text_col, threshold, recall, width), "classes")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "body_hash")).alias("one"))
+    wordless = rows.where("root IS NULL").select("id", "body_hash").distinct()
+    names = [free_name(docs, c) for c in ("kept_id", "kept_hash", "kept_one")]
+    kept = first.select("one.id", "one.body_hash", F.lit(True).alias("one")).unionByName(
+        wordless.withColumn("one", F.lit(False))).toDF(*names)
+    own, body_hash, one = names
+    # rows equal in id and text meet the same kept row; only such rows are dealt out and reduced to one
+    many = rows.where("root IS NOT NULL").groupBy("id", "body_hash").count().where("count > 1") \
+        .select(F.col("id").alias("m_id"), F.col("body_hash").alias("m_hash"))
+    kept = kept.join(many, F.col(own).eqNullSafe(F.col("m_id")) & F.col(body_hash).eqNullSafe(F.col("m_hash"))
+                     & F.col(one), "left").withColumn(one, F.col("m_hash").isNotNull()).drop("m_id", "m_hash")
+    found = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(own))
+                      & F.xxhash64(F.col(text_col)).eqNullSafe(F.col(body_hash)))
+    single = found.where(~F.col(one)).select(*docs.columns)
+    repeated = found.where(F.col(one)).dropDuplicates([own, body_hash]).select(*docs.columns)
+    return single.unionByName(repeated)

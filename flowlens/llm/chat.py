@@ -25,6 +25,8 @@ BLOCK = 1024
 CHUNK = 64
 #: Rows of one turn number that are rendered together.
 TIES = 64
+#: Stands for a missing turn number; such turns come first, in chunk 0.
+UNNUMBERED = -(1 << 63)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _HASH = ("a", "b", "c", "d")
 
@@ -45,7 +47,7 @@ def distinct_turns(log: DataFrame, id_col: str, turn_col: str, role_col: str, te
     lone = F.sha2(F.to_json(F.struct(F.col(turn_col), F.col(role_col), F.col(text_col))), 256)
     return log.select(
         F.col(id_col).alias("conv"), F.when(F.col(id_col).isNull(), lone).alias("lone"),
-        F.coalesce(F.col(turn_col).cast("bigint"), F.lit(-(1 << 63))).alias("turn_no"),
+        F.coalesce(F.col(turn_col).cast("bigint"), F.lit(UNNUMBERED)).alias("turn_no"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).distinct()
 
 
@@ -110,7 +112,7 @@ def format_chats(log: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
     rows = rows.alias("t").join(ties.alias("x"), _same("t", "x", (*key, "turn_no")), "left").select(
         "t.*", F.when(F.col("x.ties").isNull(), 0).otherwise(F.pmod(
             F.xxhash64("t.role", "t.text"), F.ceil(F.col("x.ties") / TIES))).cast("int").alias("part"))
-    chunk = F.floor(F.col("turn_no") / F.lit(CHUNK)).alias("chunk")
+    chunk = F.when(F.col("turn_no") == UNNUMBERED, 0).otherwise(F.floor(F.col("turn_no") / F.lit(CHUNK))).alias("chunk")
     gathered = rows.groupBy(*key, chunk, "part", "whole").agg(
         F.sort_array(F.collect_list(F.struct("turn_no", "role", "text", segment().alias("segment")))).alias("all"))
     id_type = log.schema[id_col].dataType

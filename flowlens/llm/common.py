@@ -137,8 +137,9 @@ def connected_components(edges: DataFrame, a: str, b: str, kind: str = "long") -
 
     Alternating large-star and small-star steps: every step is a grouped
     minimum (combined before the shuffle) and an equi-join on the node, whose
-    large keys the adaptive skew join splits.  The edge table of each round is
-    written to the shared folder, so lineage stays short.
+    large keys the adaptive skew join splits (the minima are written first, as
+    it splits plain exchanges only).  The edge table of each round is written
+    to the shared folder, so lineage stays short.
     """
     both = edges.select(F.col(a).cast(kind).alias("u"), F.col(b).cast(kind).alias("v"))
     step = materialize(both.where("u <> v").select(
@@ -150,11 +151,11 @@ def connected_components(edges: DataFrame, a: str, b: str, kind: str = "long") -
     state = mark(step)
     while state[0]:
         around = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        step = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        step = around.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         step = materialize(step, "cc")
-        least = step.groupBy("u").agg(F.min("v").alias("m"))
-        linked = step.join(least, "u")
+        least = materialize(step.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        linked = step.join(least.hint("merge"), "u")
         step = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
         step = materialize(step, "cc")

@@ -169,13 +169,15 @@ def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text",
                      F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")))
         .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    hit = F.size(spans) > 0
+    new = free_name(found, "redacted")  # its own column first: a second use of the name would see the new text
+    found = found.withColumn(new, F.when(F.size(spans) > 0, cut).otherwise(text))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.when(hit, cut).otherwise(text).alias(c))
+            columns.append(F.col(new).alias(c))
         elif c == size_col:
-            columns.append(F.when(hit, F.length(cut).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.size(spans) > 0, F.length(new).cast(docs.schema[c].dataType))
+                           .otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
     return found.select(*columns)

@@ -229,7 +229,7 @@ def classify(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     bands, rows = choose_bands(threshold, recall, MAX_HASHES)
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body_hash"),
                       F.col(text_col).cast("string").alias("body"))
-    schema = row.limit(0).select("id", "body_hash").withColumn("node", F.lit(b"").cast("binary")) \
+    schema = row.limit(0).select("id", "body_hash").withColumn("node", F.lit(None).cast("binary")) \
         .withColumn("size", F.lit(0).cast("bigint")).withColumn("bands", F.array().cast("array<bigint>")).schema
     sketch = materialize(row.mapInArrow(_sketch("body", ["id", "body_hash"], bands, rows, width, schema), schema),
                          "sketch")

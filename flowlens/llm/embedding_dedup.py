@@ -178,8 +178,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    schema = rows.select("id").withColumn("node", F.lit(b"").cast("binary")).withColumn("dim", F.lit(0)) \
-        .withColumn("vector", F.array().cast("array<double>")).schema
+    schema = rows.select("id").withColumn("node", F.lit(None).cast("binary")) \
+        .withColumn("dim", F.lit(None).cast("int")).withColumn("vector", F.lit(None).cast("array<double>")).schema
     named = materialize(rows.mapInArrow(_identify(schema), schema), "vectors")
     nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(
         F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"),

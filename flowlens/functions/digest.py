@@ -11,13 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Stands for a null key in the digest.
+NULL_KEY = "\x00"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def order_digest(seed: int | str, *keys) -> Column:
-    """Hex md5 of ``seed|k1|k2...``; sort ascending for the seeded order."""
-    parts = [F.lit(str(seed))] + [_col(k).cast("string") for k in keys]
+    """Hex md5 of ``seed|k1|k2...``; sort ascending for the seeded order.
+
+    A null key counts as a value of its own, so its place among the keys matters.
+    """
+    parts = [F.lit(str(seed))] + [F.coalesce(_col(k).cast("string"), F.lit(NULL_KEY)) for k in keys]
     return F.md5(F.concat_ws("|", *parts))
 
 

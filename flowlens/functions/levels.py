@@ -28,7 +28,8 @@ def threat_level(label, confidence, benign: str = "BENIGN",
 
 
 def intensity_level(count, low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX) -> Column:
+    """Level of a trailing count; null for a null count."""
     count = F.col(count) if isinstance(count, str) else count
     return (F.when(count <= F.lit(low_max), F.lit("Low"))
             .when(count <= F.lit(medium_max), F.lit("Medium"))
-            .otherwise(F.lit("High")))
+            .when(count > F.lit(medium_max), F.lit("High")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.session import scratch_path
@@ -34,6 +36,14 @@ def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the key columns are the left side's."""
+    names = {c: f"__right_{i}" for i, c in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    met = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return left.join(right, reduce(Column.__and__, met), how).drop(*names.values())
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Materialize and broadcast when provably small, else leave it to a shuffle join."""
     df, n = materialize_small(df)

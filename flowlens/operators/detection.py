@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import LOW_MAX, MEDIUM_MAX, intensity_level
 from flowlens.functions.timefn import epoch_ms
-from flowlens.operators._small import materialize
+from flowlens.operators._small import join_null_safe, materialize
 
 _LEVEL_RANK = {"Low": 0, "Medium": 1, "High": 2}
 
@@ -108,6 +108,7 @@ def trailing_by_time(df: DataFrame, run: str | None, ms: str, window_ms: int,
                      carry: dict[str, Column] | None = None) -> DataFrame:
     """Per distinct (run, time): total weight of rows with time in [t - W, t].
 
+    Rows without a time are in no window; rows without a run form a run of their own.
     Returns (run, ``ms``, count, *carry) where ``carry`` maps output names to
     aggregates over the rows at that time (e.g. the first event id); join it
     back to the rows on (run, ms) when per-row output is needed.
@@ -116,7 +117,7 @@ def trailing_by_time(df: DataFrame, run: str | None, ms: str, window_ms: int,
     rn = [run] if run else []
     carry = carry or {}
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    times = df.groupBy(*rc, F.col(ms).alias("__t")).agg(
+    times = df.filter(F.col(ms).isNotNull()).groupBy(*rc, F.col(ms).alias("__t")).agg(
         F.sum(w).alias("__n"), *[agg.alias(name) for name, agg in carry.items()])
     # the distinct-times table is read twice (range totals, then running sums):
     # write it once to the shared checkpoint folder instead of rescanning the source
@@ -135,7 +136,7 @@ def trailing_by_time(df: DataFrame, run: str | None, ms: str, window_ms: int,
     offsets = per_range.select(*rn, "__range", F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__off"))
     within = Window.partitionBy(*rn, "__range").orderBy("__t", "__kind") \
                    .rowsBetween(Window.unboundedPreceding, 0)
-    c = (u.join(offsets, rn + ["__range"])
+    c = (join_null_safe(u, offsets, rn + ["__range"])
           .withColumn("__c", F.col("__off") + F.sum("__n").over(within)))
     # each origin has one event row and one probe row: fold them in one aggregate
     signed = F.when(F.col("__kind") == 0, F.col("__c")).otherwise(-F.col("__c"))
@@ -147,9 +148,10 @@ def trailing_count(df: DataFrame, run: str | None, ms: str, window_ms: int,
                    counted: Column | None = None, out: str = "count",
                    range_ms: int = RANGE_MS) -> DataFrame:
     """Each row plus the number of rows (or rows where ``counted``) of its run
-    with time in [t - W, t], inclusive of rows at the same time."""
+    with time in [t - W, t], inclusive of rows at the same time; null for a row
+    without a time."""
     counts = trailing_by_time(df, run, ms, window_ms, counted, range_ms).withColumnRenamed("count", out)
-    return df.join(counts, ([run] if run else []) + [ms], "left")
+    return join_null_safe(df, counts, ([run] if run else []) + [ms], "left")
 
 
 def sliding_attack_times(df: DataFrame, run: str | None, ts: str, label: str, benign: str,
@@ -190,7 +192,7 @@ def level_changes(counted: DataFrame, run: str | None, ms: str, id_col: str,
     last = times.groupBy(*rn, "__range").agg(F.max_by("level", F.col(ms)).alias("__last"))
     wb = (Window.partitionBy(*rn) if rn else Window.partitionBy()).orderBy("__range")
     prev = last.withColumn("__prev_range", F.lag("__last").over(wb)).drop("__last")
-    y = x.join(prev, rn + ["__range"], "left")
+    y = join_null_safe(x, prev, rn + ["__range"], "left")
     previous = F.coalesce(F.col("__lag"), F.col("__prev_range"), F.lit("Low"))
     y = y.withColumn("previous_level", previous).filter(F.col("previous_level") != F.col("level"))
     direction = F.when(_level_rank(F.col("level")) > _level_rank(F.col("previous_level")),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.digest import digest_int, draw_rank, order_digest
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import MODE_INTERVAL_MS, intensity_level
-from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
+from flowlens.operators._small import MAX_BROADCAST_ROWS, join_null_safe, materialize, materialize_small
 
 _ALL = "__all__"
 # Rows per sorted (group, bucket) above which group_rank deepens its buckets,
@@ -94,7 +94,7 @@ def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
     rows = (df.withColumn("__g", _group_col(group))
               .withColumn("__d", digest)
               .withColumn("__b", digest_int(F.col("__d"), bucket_hex)))
-    joined = rows.join(sizes_b, ["__g", "__b"], "inner")
+    joined = join_null_safe(rows, sizes_b, ["__g", "__b"])
     w = Window.partitionBy("__g", "__b").orderBy("__d")
     ranked = joined.withColumn(rank_col, (F.col("__off") + F.row_number().over(w)).cast("bigint"))
     if max_rank is not None:
@@ -289,7 +289,7 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     q = quotas.select(F.col("label").alias("__lbl"), "test_quota")
     q = F.broadcast(q) if k <= MAX_BROADCAST_ROWS else q
     ranked, _ = group_rank(df, label, keys, seed, rank_col="__rank", counts=counts)
-    out = ranked.join(q, F.col(label) == F.col("__lbl"), "inner")
+    out = ranked.join(q, F.col(label).eqNullSafe(F.col("__lbl")), "inner")
     out = out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), F.lit("test"))
                          .otherwise(F.lit("train")))
     return out.drop("__lbl", "test_quota", "__rank", "group_size")

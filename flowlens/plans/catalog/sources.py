@@ -124,12 +124,12 @@ FROM events
 def q_append_history(spark, sf):
     d = fx.detections(spark, sf)
     path = scratch_path(spark, "history")
-    # two micro-batches; the second is retried, which must not duplicate rows
+    # two runs that both start at batch 0; the second is retried, which must not duplicate rows
     first = d.filter(F.col("predicted_label") == F.lit(fx.EVENT_BENIGN))
     rest = d.filter(F.col("predicted_label") != F.lit(fx.EVENT_BENIGN))
-    records.append_history(first, path, batch_id=0)
-    records.append_history(rest, path, batch_id=1)
-    records.append_history(rest, path, batch_id=1)
+    records.append_history(first, path, run_id="first", batch_id=0)
+    records.append_history(rest, path, run_id="second", batch_id=0)
+    records.append_history(rest, path, run_id="second", batch_id=0)
     h = records.read_history(spark, path)
     return h.select("id", "ms", "timestamp", "predicted_label", F.round("confidence", 6).alias("confidence"),
                     "threat_level", "features_count", "date")

@@ -18,15 +18,21 @@ from flowlens.streaming import detect
 SLICES = 4
 
 
-def stage_event_stream(spark, sf, slices: int = SLICES) -> tuple[str, object]:
-    """Write events as ``slices`` time-ordered parquet drops (oldest first)."""
+def event_slices(spark, sf, slices: int = SLICES) -> tuple[int, int]:
+    """(first time, width) in ms of the slices of the events' time span."""
+    lo, hi = fx.table(spark, sf, "events").agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
+    return lo, (hi - lo) // slices + 1
+
+
+def stage_event_stream(spark, sf, slices: int = SLICES, files: int = 1) -> tuple[str, object]:
+    """Write events as ``slices`` time-ordered parquet drops (oldest first) of
+    ``files`` files; inside a drop, rows are in no order."""
     ev = fx.table(spark, sf, "events")
-    lo, hi = ev.agg(F.min(epoch_ms("ts")), F.max(epoch_ms("ts"))).first()
-    width = (hi - lo) // slices + 1
+    lo, width = event_slices(spark, sf, slices)
     root = scratch_path(spark, "event_stream")
     part = F.floor((epoch_ms("ts") - F.lit(lo)) / F.lit(width))
     for k in range(slices):
-        ev.filter(part == k).write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
+        ev.filter(part == k).repartition(files, "event_id").write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
     return root, ev.schema
 
 
@@ -84,10 +90,11 @@ SELECT CAST(floor(ms / 3600000) * 3600000 AS BIGINT) AS window_start_ms,
 FROM (SELECT (epoch_us(ts) // 1000) AS ms FROM events WHERE {NON_BENIGN}) GROUP BY 1, 2
 """)
 def q_window_frequency_stream(spark, sf):
-    root, schema = stage_event_stream(spark, sf)
+    root, schema = stage_event_stream(spark, sf, files=3)
     out, ckpt = scratch_path(spark, "s_windows"), scratch_path(spark, "s_wckpt")
+    _, delay = event_slices(spark, sf)  # a file may be a whole drop behind the newest one
     detect.run_window_counts(_read_stream(spark, root, schema), "ts", "event_type", fx.EVENT_BENIGN,
-                             "1 hour", "1 hour", out, ckpt)
+                             "1 hour", f"{delay} milliseconds", out, ckpt)
     w = detect.latest_window_counts(spark, out)
     from flowlens.functions.levels import intensity_level
     return w.select("window_start_ms", "window_end_ms", "count", intensity_level("count").alias("level"))
@@ -99,7 +106,7 @@ def q_stream_intensity(spark, sf):
     out, ckpt = scratch_path(spark, "s_intensity"), scratch_path(spark, "s_ickpt")
     detect.run_intensity_stream(_read_stream(spark, root, schema), "user_id", "ts", "event_id", "event_type",
                                 fx.EVENT_BENIGN, fx.INTENSITY_WINDOW_MS, out, ckpt)
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("run_id", "batch_id")
 
 
 @register("stream_score")

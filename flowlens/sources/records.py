@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,19 @@ HISTORY_SCHEMA = ("id bigint, ms bigint, timestamp string, predicted_label strin
 METRICS_SCHEMA = "accuracy double, precision double, recall double, f1 double, fpr double, auc double"
 
 
-def append_history(detections: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Append detection records, partitioned by day and batch.
+def append_history(detections: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    """Append detection records, partitioned by day, run and batch.
 
-    Re-running a batch overwrites only its own partitions (dynamic partition
-    overwrite), so a retried micro-batch never duplicates rows.
+    Writing a batch of a run again overwrites only its own partitions (dynamic
+    partition overwrite), so a retried micro-batch never duplicates rows.
+    Batches of different runs never replace each other.
     """
     out = (detections.select("id", "ms", "timestamp", "predicted_label", "confidence", "threat_level",
                              "features_count")
            .withColumn("date", F.substring(ms_to_text("ms"), 1, 10))
-           .withColumn("batch_id", F.lit(int(batch_id))))
+           .withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(int(batch_id))))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date", "batch_id").parquet(path))
+        .partitionBy("date", "run_id", "batch_id").parquet(path))
 
 
 def read_history(spark: SparkSession, path: str, dates: list[str] | None = None) -> DataFrame:
@@ -46,7 +48,9 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.schema(METRICS_SCHEMA).json(path)
         df.limit(1).collect()
         return df.withColumn("source", F.lit("stored"))
-    except Exception:  # noqa: BLE001 - missing record -> defaults, like the service
+    except AnalysisException as error:  # no record yet -> defaults, like the service
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         zero = [(0.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
         return spark.createDataFrame(zero, METRICS_SCHEMA).withColumn("source", F.lit("default"))
 

@@ -1,7 +1,7 @@
 """Streaming detection: score arriving flows, append history, route alerts,
 count per event-time window, and track intensity per run with state.
 
-Every sink is written per micro-batch into ``batch_id`` partitions with
+Every sink is written per micro-batch into (run, ``batch_id``) partitions with
 dynamic overwrite, so a batch replayed after a failure replaces its own
 output instead of duplicating it (exactly-once with the checkpoint).
 """
@@ -9,6 +9,7 @@ output instead of duplicating it (exactly-once with the checkpoint).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,25 @@ from flowlens.functions.levels import LOW_MAX, MEDIUM_MAX
 from flowlens.sources.records import append_history
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+def _write_batch(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    (df.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(path))
+
+
+def _drain(stream: DataFrame, sink: Callable[[DataFrame, str, int], None], checkpoint: str,
+           mode: str = "append") -> None:
+    """Run ``sink(batch, run id, batch id)`` over the available input.
+
+    The run id is the query id that Spark keeps in the checkpoint: the same
+    after a restart, another one for a new checkpoint, whose batch ids start
+    at 0 again.
+    """
+    run_id: Future[str] = Future()
+    q = (stream.writeStream.outputMode(mode)
+         .foreachBatch(lambda batch, batch_id: sink(batch, run_id.result(), batch_id))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run_id.set_result(str(q.id))
+    q.awaitTermination()
 
 
 def run_detection_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame],
@@ -37,15 +54,13 @@ def run_detection_stream(stream: DataFrame, score: Callable[[DataFrame], DataFra
     """
     scored = score(stream)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
+    def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
         batch = batch.persist()
-        append_history(batch, history_path, batch_id)
-        _write_batch(batch.filter(~is_benign("predicted_label", benign)), alerts_path, batch_id)
+        append_history(batch, history_path, run_id, batch_id)
+        _write_batch(batch.filter(~is_benign("predicted_label", benign)), alerts_path, run_id, batch_id)
         batch.unpersist()
 
-    q = (scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(scored, sink, checkpoint)
 
 
 def run_window_counts(stream: DataFrame, ts: str, label: str, benign: str, duration: str,
@@ -61,20 +76,20 @@ def run_window_counts(stream: DataFrame, ts: str, label: str, benign: str, durat
     counts = (stream.filter(~is_benign(label, benign)).withColumn("__et", et).withWatermark("__et", delay)
               .groupBy(F.window(F.col("__et"), duration).alias("w")).agg(F.count(F.lit(1)).alias("count")))
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
+    def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
         _write_batch(batch.select(F.unix_millis("w.start").alias("window_start_ms"),
                                   F.unix_millis("w.end").alias("window_end_ms"), "count"),
-                     out_path, batch_id)
+                     out_path, run_id, batch_id)
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(counts, sink, checkpoint, "update")
 
 
 def latest_window_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Final count per window: the value from the latest batch that updated it."""
-    df = spark.read.parquet(path)
-    return df.groupBy("window_start_ms", "window_end_ms").agg(F.max_by("count", "batch_id").alias("count"))
+    """Final count per window: a run's value from the latest batch that updated
+    it; runs (each counts its own input) add up."""
+    window = ["window_start_ms", "window_end_ms"]
+    latest = spark.read.parquet(path).groupBy(*window, "run_id").agg(F.max_by("count", "batch_id").alias("count"))
+    return latest.groupBy(*window).agg(F.sum("count").alias("count"))
 
 
 INTENSITY_OUT = ("run long, event_id long, ms long, count long, previous_level string, level string, "
@@ -152,9 +167,7 @@ def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, labe
         intensity_state_fn(window_ms), INTENSITY_OUT, INTENSITY_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, out_path, batch_id)
+    def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
+        _write_batch(batch, out_path, run_id, batch_id)
 
-    q = (out.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(out, sink, checkpoint)

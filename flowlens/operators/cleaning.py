@@ -31,13 +31,13 @@ def _float_columns(df: DataFrame, cols=None) -> list[str]:
 def inf_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """+/-Inf -> null in floating columns, one projection (no extra pass)."""
     targets = set(_float_columns(df, cols))
-    return df.select([inf_to_null_expr(F.col(c)).alias(c) if c in targets else F.col(c)
+    return df.select([inf_to_null_expr(F.col(ident(c))).alias(c) if c in targets else F.col(ident(c))
                       for c in df.columns])
 
 
 def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Drop rows holding null or NaN in any (or the given) column."""
-    return df.na.drop(how="any", subset=cols)
+    return df.na.drop(how="any", subset=[ident(c) for c in cols or df.columns])
 
 
 def clean_for_training(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def clean_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     floats = set(_float_columns(df, cols))
     bad = F.lit(False)
     for c in cols:
-        col = F.col(c)
+        col = F.col(ident(c))
         cond = (is_missing(col) | (F.abs(col) == F.lit(float("inf")))) if c in floats else col.isNull()
         bad = bad | cond
     return df.agg(F.count(F.lit(1)).alias("rows_before"),
@@ -72,14 +72,14 @@ def clean_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def fill_for_scoring(df: DataFrame, cols: list[str]) -> DataFrame:
     """Scoring-time clean-up: Inf/NaN/null -> 0 in the feature columns."""
     targets = set(cols)
-    return df.select([fill_zero(F.col(c)).alias(c) if c in targets else F.col(c)
+    return df.select([fill_zero(F.col(ident(c))).alias(c) if c in targets else F.col(ident(c))
                       for c in df.columns])
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Columns of any type -> double; unparsable/missing -> 0.0, Inf kept."""
     targets = set(cols)
-    return df.select([coerce_double(F.col(c)).alias(c) if c in targets else F.col(c)
+    return df.select([coerce_double(F.col(ident(c))).alias(c) if c in targets else F.col(ident(c))
                       for c in df.columns])
 
 
@@ -87,7 +87,7 @@ def numeric_only(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Keep numeric columns (plus any named in ``keep``), in table order."""
     keep = set(keep or [])
     nums = set(numeric_columns(df))
-    return df.select([c for c in df.columns if c in nums or c in keep])
+    return df.select([ident(c) for c in df.columns if c in nums or c in keep])
 
 
 def align_features(df: DataFrame, contract: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -97,9 +97,9 @@ def align_features(df: DataFrame, contract: list[str], keep: list[str] | None =
     dropped before re-indexing in the service), so they become 0.0 too.
     """
     nums = set(numeric_columns(df))
-    exprs: list[Column] = [F.col(k) for k in (keep or [])]
+    exprs: list[Column] = [F.col(ident(k)) for k in (keep or [])]
     for c in contract:
-        exprs.append((F.col(c).cast("double") if c in nums else F.lit(0.0)).alias(c))
+        exprs.append((F.col(ident(c)).cast("double") if c in nums else F.lit(0.0)).alias(c))
     return df.select(exprs)
 
 
@@ -128,16 +128,17 @@ def resolve_features(df: DataFrame, contract: list[str] | None = None,
     if contract and len(features) != len(contract):
         raise ValueError(f"Feature count mismatch: table has {len(features)} columns, "
                          f"contract expects {len(contract)}")
-    exprs = [F.col(c).cast("double").alias(c) for c in features]
+    exprs = [F.col(ident(c)).cast("double").alias(c) for c in features]
     if label is not None:
-        exprs.append(F.col(label).alias(label_alias))
+        exprs.append(F.col(ident(label)).alias(label_alias))
     return df.select(exprs), features, label
 
 
 def common_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Project two tables to their shared column names, sorted (stable order)."""
     shared = sorted(set(a.columns) & set(b.columns))
-    return a.select(shared), b.select(shared), shared
+    quoted = [ident(c) for c in shared]
+    return a.select(quoted), b.select(quoted), shared
 
 
 def split_xy(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -161,17 +162,25 @@ def validate_requests(df: DataFrame, body: str, expected: int) -> DataFrame:
     not_list    -> ``features`` is not an array
     bad_length  -> array of the wrong length
     ok          -> parsed to array<double>; non-numeric elements become null
-    Duplicate keys: the last one wins (``from_json``).
+    Duplicate keys: the last one wins (``from_json``).  ``NaN`` and
+    ``Infinity`` are numbers; single quotes and text behind the value are not
+    JSON; a string that holds a list is not a list; a null body is malformed.
     """
     text = F.col(body)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+    # the parser stops at the end of the first value: inside brackets, text
+    # behind it is an error or a second element
+    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    field = F.from_json(F.concat(F.lit('{"body":'), text, F.lit("}")), "map<string,string>", strict)
     # each parse once per row: the intermediate columns are referenced
     # several times below, so Catalyst keeps them as one projection
     parsed_cols = df.select(
         "*",
-        F.get_json_object(text, "$").isNotNull().alias("__valid"),
-        F.coalesce(F.array_contains(F.json_object_keys(text), F.lit("features")), F.lit(False)).alias("__has"),
-        F.from_json(text, "features string").getField("features").alias("__raw"))
-    parsed_cols = parsed_cols.withColumn("__n", F.json_array_length("__raw"))
+        F.coalesce((F.size(inside) == 1) & (F.size(field) == 1), F.lit(False)).alias("__valid"),
+        F.coalesce(F.array_contains(F.map_keys(F.from_json(text, "map<string,string>", strict)), "features"),
+                   F.lit(False)).alias("__has"),
+        F.from_json(text, "features array<string>", strict).getField("features").alias("__raw"))
+    parsed_cols = parsed_cols.withColumn("__n", F.when(F.col("__raw").isNotNull(), F.size("__raw")))
     valid, has_features, n = F.col("__valid"), F.col("__has"), F.col("__n")
     status = (F.when(~valid, F.lit("malformed"))
               .when(~has_features, F.lit("missing"))
@@ -185,7 +194,7 @@ def validate_requests(df: DataFrame, body: str, expected: int) -> DataFrame:
                      F.format_string(f"Feature mismatch. Expected {expected}, got %d.", n))
                .otherwise(F.lit(None).cast("string")))
     features = F.when(F.col("status") == F.lit("ok"),
-                      F.transform(F.from_json("__raw", "array<string>"), lambda x: x.try_cast("double")))
+                      F.transform("__raw", lambda x: x.try_cast("double")))
     return (parsed_cols.withColumn("status", status).withColumn("message", message)
             .withColumn("features", features).drop("__valid", "__has", "__raw", "__n"))
 
@@ -212,8 +221,8 @@ def filter_label(df: DataFrame, label: str, value: str) -> DataFrame:
 def feature_row_to_array(df: DataFrame, features: list[str], out: str = "features",
                          keep: list[str] | None = None) -> DataFrame:
     """Feature columns -> ordered array<double>; unparsable -> 0.0."""
-    arr = F.array(*[coerce_double(F.col(c)) for c in features]).alias(out)
-    return df.select(*[F.col(k) for k in (keep or [])], arr)
+    arr = F.array(*[coerce_double(F.col(ident(c))) for c in features]).alias(out)
+    return df.select(*[F.col(ident(k)) for k in (keep or [])], arr)
 
 
 def array_to_columns(df: DataFrame, features: str, names: list[str],

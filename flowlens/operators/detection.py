@@ -29,6 +29,8 @@ _LEVEL_RANK = {"Low": 0, "Medium": 1, "High": 2}
 
 # Ticks generated per task when a run's timeline is laid out.
 TICK_CHUNK = 1_000_000
+# Ticks of a run whose running counts are summed in one task.
+TICK_RANGE = 100_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -217,8 +219,9 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
 
     An event at t is counted at every tick in [t, t + W]; the ticks of a run
     span from its first event to the first tick after the last event's window.
-    Events are pre-aggregated by the tick span they cover, so the fan-out
-    is per span, not per event.
+    Events are pre-aggregated by the tick span they cover; a span adds its
+    events at its first tick and takes them off behind its last one, and the
+    counts are running sums over ranges of ticks.
     """
     ev = df.filter(~is_benign(label, benign)).select(F.col(run), epoch_ms(ts).alias("ms"))
     first_tick = F.ceil(F.col("ms") / F.lit(tick_ms)).cast("bigint")
@@ -229,8 +232,11 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
     # events are scanned once
     spans = materialize(ev.groupBy(F.col(run), first_tick.alias("__a"), last_tick.alias("__z"))
                           .agg(F.count(F.lit(1)).alias("__n")), "timeline_spans")
-    covered = spans.select(F.col(run), "__n", F.explode(F.sequence("__a", "__z")).alias("tick"))
-    counts = covered.groupBy(run, "tick").agg(F.sum("__n").alias("count"))
+    # +n at the first tick, -n behind the last: two rows per span
+    steps = spans.select(F.col(run), F.explode(F.array(
+        F.struct(F.col("__a").alias("tick"), F.col("__n").alias("__s")),
+        F.struct((F.col("__z") + 1).alias("tick"), (-F.col("__n")).alias("__s")))).alias("__p")) \
+        .groupBy(run, F.col("__p.tick").alias("tick")).agg(F.sum("__p.__s").alias("__s"))
     # a run's ticks: from its first event's first tick to one past its last
     # event's last tick; both are monotonic in ms, so the span table (not a
     # second scan of the events) gives them
@@ -244,7 +250,17 @@ def intensity_timeline(df: DataFrame, run: str, ts: str, label: str, benign: str
     domain = chunks.select(F.col(run), F.explode(F.sequence(
         F.greatest(F.col("__lo"), F.col("__c") * chunk),
         F.least(F.col("__hi"), (F.col("__c") + 1) * chunk - 1))).alias("tick"))
-    out = domain.join(counts, [run, "tick"], "left").na.fill(0, ["count"])
+    # running sums per (run, range of ticks); a range starts from the ranges before it
+    tick_range = F.floor(F.col("tick") / F.lit(TICK_RANGE)).cast("bigint")
+    steps = materialize(steps.withColumn("__r", tick_range), "timeline_steps")
+    totals = domain.select(F.col(run), tick_range.alias("__r")).distinct()
+    totals = join_null_safe(totals, steps.groupBy(run, "__r").agg(F.sum("__s").alias("__t")), [run, "__r"], "left")
+    before = Window.partitionBy(run).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(run), "__r", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
+    out = join_null_safe(domain, steps.drop("__r"), [run, "tick"], "left").withColumn("__r", tick_range)
+    out = join_null_safe(out, offsets, [run, "__r"])
+    within = Window.partitionBy(run, "__r").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("count", F.col("__off") + F.coalesce(F.sum("__s").over(within), F.lit(0)))
     return out.select(F.col(run), (F.col("tick") * F.lit(tick_ms)).alias("tick_ms"), "count",
                       intensity_level("count").alias("level"))
 

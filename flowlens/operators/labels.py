@@ -29,22 +29,32 @@ def label_dictionary(df: DataFrame, label: str, out_label: str = "label",
                      out_index: str = "label_idx") -> DataFrame:
     """Sorted distinct labels -> 0..k-1 (alphabetical, like a label encoder).
 
-    The distinct is a hash aggregate with map-side combine; the numbering runs
-    over the k-row result only, which is checked to be small.
+    The distinct is a hash aggregate with map-side combine.  Up to
+    ``MAX_BROADCAST_ROWS`` labels the numbering is one window and the result
+    carries a broadcast hint; more labels are numbered by sorted ranges (each
+    range's rows counted first) and meet the rows by a shuffle join.
     """
     distinct = df.select(F.col(label).cast("string").alias(out_label)).distinct()
     distinct, k = materialize_small(distinct)
-    if k > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{k} distinct labels: too many classes for a label dictionary")
-    w = Window.orderBy(F.col(out_label).asc_nulls_first())
-    return F.broadcast(distinct.withColumn(out_index, (F.row_number().over(w) - 1).cast("int")))
+    order = F.col(out_label).asc_nulls_first()
+    if k <= MAX_BROADCAST_ROWS:
+        w = Window.orderBy(order)
+        return F.broadcast(distinct.withColumn(out_index, (F.row_number().over(w) - 1).cast("int")))
+    ranged, _ = materialize_small(distinct.repartitionByRange(-(-k // MAX_BROADCAST_ROWS) + 1, order).select(
+        out_label, F.spark_partition_id().alias("__part")))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return ranged.join(F.broadcast(offsets), "__part").select(
+        out_label, (F.col("__off") + place - 1).cast("int").alias(out_index))
 
 
 def encode_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None,
                   out: str = "label_idx") -> DataFrame:
     """Attach the dictionary index of each row's label (broadcast equi-join)."""
     if dictionary is None:
-        d = label_dictionary(df, label)          # size-checked and broadcast-hinted
+        d = label_dictionary(df, label)          # broadcast-hinted only when small
     else:                                        # a caller's table: check its size first
         d = broadcast_checked(dictionary)
     d = d.select(F.col("label").alias("__lbl"), F.col("label_idx").alias(out))

@@ -35,7 +35,7 @@ def quality_report(df: DataFrame, cols: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     stats = ["nulls", "nans", "pos_inf", "neg_inf", "min", "max", "mean", "std"]
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(ident(c)).cast("double")
         finite = F.when(~(x.isNull() | F.isnan(x) | is_infinite(x)), x)
         aggs += [F.count_if(x.isNull()).alias(f"nulls__{i}"),
                  F.count_if(F.isnan(x)).alias(f"nans__{i}"),
@@ -51,16 +51,17 @@ def quality_report(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def feature_correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every feature pair (i < j), one aggregate."""
-    aggs, pairs = [], []
-    for i, a in enumerate(features):
-        for j in range(i + 1, len(features)):
-            b = features[j]
-            idx = len(pairs)
-            pairs.append((a, b))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r__{idx}"))
-    one = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                        F.col(f"r__{k}").alias("pearson"))
-               for k, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*structs)))
+    """Pearson correlation of every feature pair (i < j), over the rows that have both.
+
+    A row becomes its list of present features once; a join-free explode to
+    pairs feeds one ``corr`` keyed by the pair, combined map-side, so the plan
+    has one aggregate whatever the number of features.
+    """
+    values = F.array(*[F.expr(f"CAST({ident(c)} AS DOUBLE)") for c in features]).alias("__v")
+    names = F.array(*[F.lit(c) for c in features])
+    last = len(features) - 1
+    first = df.select(values).select("__v", F.posexplode(F.slice("__v", 1, max(last, 0))).alias("__i", "__x"))
+    pairs = first.select("__i", "__x", F.posexplode(F.expr("slice(__v, __i + 2, size(__v))")).alias("__k", "__y"))
+    found = pairs.groupBy("__i", (F.col("__i") + F.col("__k") + 1).alias("__j")).agg(F.corr("__x", "__y").alias("pearson"))
+    return found.select(F.element_at(names, F.col("__i") + 1).alias("feature_a"),
+                        F.element_at(names, F.col("__j") + 1).alias("feature_b"), "pearson")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.sqltext import ident
 from flowlens.operators import cleaning, evaluation, labels, model, sampling
 from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
 from flowlens.session import wide_table_mode
@@ -73,10 +74,10 @@ def _fit_and_evaluate(split: DataFrame, label: str, features: list[str], classes
 def train_pipeline(df: DataFrame, label: str, features: list[str], keys: list[str],
                    benign: str = "BENIGN", test_size: float = 0.2, seed: int = 42,
                    num_trees: int = model.NUM_TREES, max_depth: int = model.MAX_DEPTH) -> TrainResult:
-    wide_table_mode(df.sparkSession)
-    clean = cleaning.clean_for_training(df.select(*keys, *features, label))
-    split, classes = _split_once(clean, label, keys, test_size, seed)
-    return _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
+    with wide_table_mode(df.sparkSession):
+        clean = cleaning.clean_for_training(df.select(*(ident(c) for c in [*keys, *features, label])))
+        split, classes = _split_once(clean, label, keys, test_size, seed)
+        return _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
 
 
 def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, contract: list[str] | None,
@@ -88,7 +89,13 @@ def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, con
     Raises ValueError with the service's messages when the label column is
     missing or nothing is left after cleaning.
     """
-    wide_table_mode(new.sparkSession)
+    with wide_table_mode(new.sparkSession):
+        return _retrain(new, original, label, contract, old_classes, benign, test_size, seed, num_trees, max_depth)
+
+
+def _retrain(new: DataFrame, original: DataFrame | None, label: str, contract: list[str] | None,
+             old_classes: list[str], benign: str, test_size: float, seed: int, num_trees: int,
+             max_depth: int) -> TrainResult:
     new = strip_headers(new)
     if label not in new.columns:
         raise ValueError(f"Target column '{label}' not found in uploaded CSV. "

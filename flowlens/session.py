@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,14 +48,22 @@ def build_session(master: str | None = None, app: str = "flowlens",
     return spark
 
 
-def wide_table_mode(spark: SparkSession) -> None:
+@contextmanager
+def wide_table_mode(spark: SparkSession) -> Iterator[None]:
     """Turn off Catalyst constraint propagation for plans over wide tables.
 
     With dozens of aliased feature columns followed by a filter and a join,
     constraint inference grows exponentially and exhausts the driver heap;
-    this optimizer-only switch leaves results unchanged.
+    this optimizer-only switch leaves results unchanged.  The session's own
+    setting comes back at the end.
     """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

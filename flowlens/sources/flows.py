@@ -7,7 +7,7 @@ cast once with ``try_cast``: "Infinity"/"NaN" tokens parse, junk becomes null.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,19 @@ def _read_csv(spark: SparkSession, paths: list[str] | str, schema=None) -> DataF
     return reader.csv(paths)
 
 
+def _given_names(columns: list[str]) -> list[str]:
+    """Header names as the file has them: Spark appends the position to every
+    name that occurs more than once (without regard to case); such suffixes
+    are taken off again where two or more columns then share the name."""
+    bare = [c[:-len(str(i))] if c.endswith(str(i)) else None for i, c in enumerate(columns)]
+    shared = Counter(b.lower() for b in bare if b is not None)
+    return [b if b is not None and shared[b.lower()] > 1 else c for b, c in zip(bare, columns, strict=True)]
+
+
+def _with_header_names(df: DataFrame) -> DataFrame:
+    return df.toDF(*strip_header_names(_given_names(df.columns)))
+
+
 def read_flows(spark: SparkSession, path: str, schema=None, label: str | None = None) -> DataFrame:
     """One CSV (file or folder of parts) -> typed flow table with clean names.
 
@@ -54,7 +67,7 @@ def read_flows(spark: SparkSession, path: str, schema=None, label: str | None =
     """
     if schema is not None:
         return strip_headers(_read_csv(spark, path, schema))
-    return type_flows(strip_headers(_read_csv(spark, path)), label)
+    return type_flows(_with_header_names(_read_csv(spark, path)), label)
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -85,7 +98,7 @@ def read_flow_folder(spark: SparkSession, folder: str, label: str | None = None)
     parts = []
     for header, paths in groups.items():
         df = _read_csv(spark, paths)
-        names = strip_header_names(list(header))
+        names = strip_header_names(_given_names(list(header)))
         meta = F.col("_metadata.file_path")
         df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
                        F.col("_metadata.file_name").alias("source_file"),

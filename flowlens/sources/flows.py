@@ -47,17 +47,21 @@ def _read_csv(spark: SparkSession, paths: list[str] | str, schema=None) -> DataF
     return reader.csv(paths)
 
 
-def _given_names(columns: list[str]) -> list[str]:
+def _given_names(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
     """Header names as the file has them: Spark appends the position to every
-    name that occurs more than once (without regard to case); such suffixes
-    are taken off again where two or more columns then share the name."""
+    name that occurs more than once (without regard to case).  Only when names
+    look like that is the header read as a row (one line) to tell them from
+    names that end in a number of their own."""
     bare = [c[:-len(str(i))] if c.endswith(str(i)) else None for i, c in enumerate(columns)]
-    shared = Counter(b.lower() for b in bare if b is not None)
-    return [b if b is not None and shared[b.lower()] > 1 else c for b, c in zip(bare, columns, strict=True)]
+    if max(Counter(b.lower() for b in bare if b is not None).values(), default=0) < 2:
+        return columns
+    header = spark.read.option("header", False).csv(path).first()
+    given = Counter((h or "").lower() for h in header)
+    return [b if b is not None and given[b.lower()] > 1 else c for b, c in zip(bare, columns, strict=True)]
 
 
-def _with_header_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*strip_header_names(_given_names(df.columns)))
+def _with_header_names(df: DataFrame, path: str) -> DataFrame:
+    return df.toDF(*strip_header_names(_given_names(df.sparkSession, path, df.columns)))
 
 
 def read_flows(spark: SparkSession, path: str, schema=None, label: str | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def read_flows(spark: SparkSession, path: str, schema=None, label: str | None =
     """
     if schema is not None:
         return strip_headers(_read_csv(spark, path, schema))
-    return type_flows(_with_header_names(_read_csv(spark, path)), label)
+    return type_flows(_with_header_names(_read_csv(spark, path), path), label)
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -98,7 +102,7 @@ def read_flow_folder(spark: SparkSession, folder: str, label: str | None = None)
     parts = []
     for header, paths in groups.items():
         df = _read_csv(spark, paths)
-        names = strip_header_names(_given_names(list(header)))
+        names = strip_header_names(_given_names(spark, paths[0], list(header)))
         meta = F.col("_metadata.file_path")
         df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
                        F.col("_metadata.file_name").alias("source_file"),

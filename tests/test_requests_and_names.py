@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.functions.levels import intensity_level  # noqa: F401  (the timeline's level column)
 from flowlens.operators import cleaning, detection, labels, profile
 from flowlens.session import wide_table_mode
 from flowlens.sources import flows
@@ -49,6 +48,8 @@ def test_repeated_header_names(spark, tmp_path):
     df = flows.read_flows(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["Fwd Len", "a", "Fwd Len_1", "x10", "x1", "Label"]
     assert tuple(df.first()) == (1.0, 2.0, 3.0, 4.0, 5.0, "Z")
+    (tmp_path / "b.csv").write_text("f0,f1,f2,Label\n1,2,3,Z\n")  # numbers of their own stay
+    assert flows.read_flows(spark, str(tmp_path / "b.csv")).columns == ["f0", "f1", "f2", "Label"]
 
 
 def test_label_dictionary_above_the_broadcast_limit(spark, monkeypatch):

@@ -2,7 +2,8 @@
 
 Centres are fitted on a bounded sample.  Every distinct vector goes to the
 cells of its nearest centres, as many as a threshold pair needs to share one
-with the wanted probability; inside a cell, blocks of vectors are compared by
+with the wanted probability, measured on vectors that the centres were not
+fitted on; inside a cell, blocks of vectors are compared by
 matrix products in double precision.  Only link counts and a spanning forest
 of the links leave a work unit; a large cell is split into pairs of blocks.
 """
@@ -25,8 +26,8 @@ THRESHOLD = 0.9
 #: Share of the pairs at exactly the threshold that must share a cell.
 RECALL = 0.98
 #: Numbers in the sample that the centres are fitted on; vectors per cell;
-#: cells at most; cells of one vector at most.
-SAMPLE_VALUES, PER_CELL, MAX_CELLS, MAX_PROBES = 2_000_000, 512, 4096, 16
+#: cells at most; vectors that the cells of one vector are chosen by.
+SAMPLE_VALUES, PER_CELL, MAX_CELLS, PROBED = 2_000_000, 512, 4096, 4000
 ROUNDS = 10
 #: Rows of a block.
 BLOCK = 1024
@@ -65,20 +66,33 @@ def nearest(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 
 
 def choose_probes(x: np.ndarray, centres: np.ndarray, threshold: float, recall: float, seed: int = 5) -> int:
-    """Fewest cells a vector so that a partner at exactly the threshold, in a
-    random direction, shares one with the wanted probability."""
+    """Fewest cells a vector so that a partner at exactly the threshold shares
+    one with the wanted probability; all cells without a vector to try.
+
+    ``x`` are vectors that the centres were not fitted on.  The partner lies in
+    a random direction, or in that of another vector (of the space the vectors
+    fill); both kinds must reach the probability."""
+    if not len(x):
+        return len(centres)
     rng = np.random.default_rng(seed)
-    x = x[:4000]
-    aside = rng.standard_normal(x.shape)
-    aside -= (aside * x).sum(1, keepdims=True) * x
-    length = np.sqrt((aside * aside).sum(1, keepdims=True))
-    partner = threshold * x + np.sqrt(1 - threshold ** 2) * aside / np.where(length > 0, length, 1.0)
-    a, b = nearest(x, centres, MAX_PROBES), nearest(partner, centres, MAX_PROBES)
-    for probes in range(1, a.shape[1] + 1):
-        shared = (a[:, :probes, None] == b[:, None, :probes]).any((1, 2))
-        if shared.mean() >= recall:
-            return probes
-    return a.shape[1]
+    probes = 1
+    for aside in (rng.standard_normal(x.shape), x[rng.permutation(len(x))]):
+        aside = aside - (aside * x).sum(1, keepdims=True) * x
+        length = np.sqrt((aside * aside).sum(1, keepdims=True))
+        partner = threshold * x + np.sqrt(1 - threshold ** 2) * aside / np.where(length > 1e-9, length, np.inf)
+        needed = np.sort(np.concatenate([
+            np.maximum(*(_ranks(v[lo:lo + _TILE] @ centres.T) for v in (x, partner))).min(1)
+            for lo in range(0, len(x), _TILE)])) + 1
+        probes = max(probes, int(needed[max(0, int(np.ceil(recall * len(x))) - 1)]))
+    return probes
+
+
+def _ranks(near: np.ndarray) -> np.ndarray:
+    """Place of every cell in its row, the nearest 0."""
+    order = np.argsort(-near, axis=1, kind="stable").astype(np.int32)
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.arange(near.shape[1], dtype=np.int32)[None, :], 1)
+    return out
 
 
 def _rows(vectors: pa.ListArray, dim: int) -> np.ndarray:
@@ -152,8 +166,12 @@ def _verify(threshold: float):
                     i, j = np.nonzero(linked)
                     i, j = rows[i], columns[j]
                     # a pair that shares several cells counts in the first
-                    common = (cells[i][:, :, None] == cells[j][:, None, :]) & (cells[i] < cell)[:, :, None]
-                    fresh = ~common.any((1, 2))
+                    fresh = np.ones(len(i), bool)
+                    step = max(1, (1 << 24) // width ** 2)
+                    for at in range(0, len(i), step):
+                        p, q = cells[i[at:at + step]], cells[j[at:at + step]]
+                        common = (p[:, :, None] == q[:, None, :]) & (p < cell)[:, :, None]
+                        fresh[at:at + step] = ~common.any((1, 2))
                     np.add.at(links, i[fresh], copies[j[fresh]])
                     np.add.at(links, j[fresh], copies[i[fresh]])
                     forest.join(i[fresh], j[fresh])
@@ -189,13 +207,18 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     main, n = (dims[0]["dim"], dims[0]["n"]) if dims else (0, 0)
     centres, probes = np.zeros((0, main)), 1
     if n:
-        share = min(1.0, SAMPLE_VALUES / main / n)
-        sample = nodes.where(F.col("dim") == main).where(
-            F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * share)).select("node", "vector") \
-            .toArrow().sort_by("node")
-        x = unit_rows(_rows(sample["vector"].combine_chunks(), main)) if len(sample) else np.eye(1, main)
-        centres = spherical_kmeans(x, int(max(1, min(n // PER_CELL, MAX_CELLS, len(x) // 8))))
-        probes = choose_probes(x, centres, threshold, recall)
+        # two disjoint samples: one fits the centres, the other chooses the probes
+        fitted, tried = (int((1 << 30) * min(0.5, size / n)) for size in (SAMPLE_VALUES / main, PROBED))
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+        sample = nodes.where(F.col("dim") == main).select("node", "vector", place.alias("place")).where(
+            (F.col("place") < fitted) | (F.col("place") >= (1 << 30) - tried)).toArrow().sort_by("node")
+        x = unit_rows(_rows(sample["vector"].combine_chunks(), main)) if len(sample) else np.zeros((0, main))
+        fit = sample["place"].to_numpy() < fitted
+        centres = spherical_kmeans(x[fit], int(max(1, min(n // PER_CELL, MAX_CELLS, fit.sum() // 8)))) \
+            if fit.any() else np.eye(1, main)
+        probes = choose_probes(x[~fit], centres, threshold, recall)
+        if probes ** 2 >= len(centres):  # one cell of all vectors compares no more pairs
+            centres, probes = centres[:1], 1
     model = spark.sparkContext.broadcast((main, centres, probes))
 
     assigned = nodes.select("node", "dim", "vector", "copies")

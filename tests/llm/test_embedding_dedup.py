@@ -59,6 +59,35 @@ def test_planted_neighbours_over_several_cells(spark):
     assert again == {r.vec_id: tuple(r) for r in got}
 
 
+def test_recall_on_vectors_outside_the_sample(spark, monkeypatch):
+    """A table far larger than the sample: most vectors are unseen by the fit."""
+    import flowlens.llm.embedding_dedup as module
+    monkeypatch.setattr(module, "SAMPLE_VALUES", 128 * 800)
+    monkeypatch.setattr(module, "PER_CELL", 32)
+    rng = np.random.default_rng(8)
+    for rank in (128, 24):  # filling the space, and a part of it
+        span = rng.standard_normal((rank, 128))
+        base, aside = (module.unit_rows(rng.standard_normal((2500, rank)) @ span) for _ in "ab")
+        aside = module.unit_rows(aside - (aside * base).sum(1, keepdims=True) * base)
+        rows = list(enumerate(np.concatenate([base, .901 * base + np.sqrt(1 - .901 ** 2) * aside]).tolist()))
+        out, n = module.embedding_dedup(
+            spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6))
+        want = [b for b, _ in plain(rows)]
+        found = [r[n["n_links"]] for r in sorted(out.collect(), key=lambda r: r.vec_id)]
+        assert sum(want) >= 5000 and all(a <= b for a, b in zip(found, want, strict=True))
+        assert recall(found, want) >= 0.95, rank
+
+
+def test_as_many_probes_as_the_recall_needs():
+    import flowlens.llm.embedding_dedup as module
+    rng = np.random.default_rng(4)
+    x = module.unit_rows(rng.standard_normal((1200, 32)))
+    centres = module.spherical_kmeans(x[:900], 100)
+    many = module.choose_probes(x[900:], centres, 0.1, 0.98)
+    assert many > 16 and module.choose_probes(x[900:], centres, 0.95, 0.98) < many
+    assert module.choose_probes(x[:0], centres, 0.9, 0.98) == 100
+
+
 def test_blocks_of_a_large_cell_meet(spark, monkeypatch):
     import flowlens.llm.embedding_dedup as module
     monkeypatch.setattr(module, "BLOCK", 16)

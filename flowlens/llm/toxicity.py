@@ -277,19 +277,25 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, family): the least hash of a text's words, which copies and most
-    near copies share."""
+    """(id, y, family): a fingerprint of the whole set of a text's words, which
+    is all that the features see of it; copies share it."""
     for batch in batches:
         texts = text_column(batch, "t")
         for lo, hi in slices(texts):
             words = Words(texts.slice(lo, hi - lo), ALNUM)
-            code = mix64(word_hashes(words.words) + np.uint64(77))
+            coded = words.words.dictionary_encode()
+            code = mix64(word_hashes(coded.dictionary) + np.uint64(77))
+            n = max(1, len(code))
+            text = np.repeat(np.arange(hi - lo), words.per_text())
+            pair = np.unique(text * n + coded.indices.to_numpy(zero_copy_only=False))  # a word of a text once
+            first = np.searchsorted(pair // n, np.arange(hi - lo))
             full = np.flatnonzero(words.per_text())
-            least = np.zeros(hi - lo, np.uint64)
+            mark = np.zeros(hi - lo, np.uint64)
             if len(full):
-                least[full] = np.minimum.reduceat(code, words.first[full])
+                mark[full] = np.add.reduceat(code[pair % n], first[full])
+            rows = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.slice(lo, hi - lo).column(0), pa.array(least.view(np.int64))], names=["id", "family"])
+                [rows.column(0), rows.column(1), pa.array(mark.view(np.int64))], names=["id", "y", "family"])
 
 
 def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -382,7 +388,8 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
 def fit(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str,
         label_rows: int = LABEL_ROWS) -> Model:
     """Character model from all texts; features and curve from at most
-    ``label_rows`` labelled rows, one of each family of near copies.
+    ``label_rows`` labelled rows, one of each label of copies (texts of the
+    same set of words).
 
     The labelled ids are at most about ``label_rows`` (a hash of the id keeps
     that share of more) and travel to the documents by broadcast, so no text is
@@ -397,9 +404,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_co
         labels = labels.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * label_rows / n))
     labels = materialize(labels, "labelled")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    family_schema = rows.select("id").withColumn("family", F.lit(0).cast("bigint")).schema
-    families = rows.join(F.broadcast(labels), "id").select("id", "t").mapInArrow(_family, family_schema)
-    one = families.groupBy("family").agg(F.min("id").alias("id")).select("id").distinct()
+    family_schema = rows.select("id", F.lit(0).alias("y"), F.lit(0).cast("bigint").alias("family")).schema
+    families = rows.join(F.broadcast(labels), "id").select("id", "y", "t").mapInArrow(_family, family_schema)
+    one = families.groupBy("family", "y").agg(F.min("id").alias("id")).select("id").distinct()
     labels = materialize(labels.join(one, "id"), "labelled")
     labelled = rows.join(F.broadcast(labels), "id")
     curve_part = F.pmod(F.hash("id"), F.lit(CALIBRATE)) == 0

@@ -9,7 +9,7 @@ import pytest
 
 from flowlens.llm import queries
 from flowlens.llm.toxicity import (
-    Restorer, _TRIGGER, decode, fit, fit_characters, lattice, may_hide, score_toxicity,
+    Restorer, _family, _TRIGGER, decode, fit, fit_characters, lattice, may_hide, score_toxicity,
 )
 
 SF = "/root/testdata/sf0.01"
@@ -73,6 +73,26 @@ def test_held_out_accuracy(spark):
     assert hit / sum(y for y, _ in held) > 0.85 and hit / max(1, sum(p for _, p in held)) > 0.85
 
 
+def test_only_copies_are_one_family():
+    texts = ["the cat sat on the mat", "The mat: on the cat, sat!", "the dog ran", "the cat sat on a mat", "", None, "..."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([0] * 7), pa.array(texts)], names=["id", "y", "t"])
+    family = [f for part in _family([batch]) for f in part["family"].to_pylist()]
+    assert family[0] == family[1] and family[4:] == [0, 0, 0] and len(set(family)) == 4
+
+
+def test_unrelated_documents_with_a_common_word_all_count(spark):
+    """Every text holds the same common words; toxic ones, and no others, one of six rare words."""
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, " ".join([*common, f"w{i}", f"v{i}", *([f"rude{i % 6}"] if i % 2 else [])]), i % 2)
+            for i in range(300)]
+    rows += [(1000 + i, " ".join([*common, "copied"]), i % 2) for i in range(40)]  # one of each label
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(docs, docs.select("doc_id", "toxic"), "text", "doc_id", "toxic")
+    scored, name = score_toxicity(docs.where("doc_id < 1000"), model)
+    assert len(model.bins) >= 3
+    assert all((r[name] >= 0.5) == bool(r.toxic) for r in scored.collect())
+
+
 def test_nulls_empty_tables_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a bad one", 1), (1, "a bad one", 1), (2, None, 1), (None, "", 2), (3, "good", 2)],
                                  "doc_id long, text string, toxicity int")

@@ -32,7 +32,10 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e",
 }
-SEPARATORS = " .-_*"
+#: What may stand between letters: every other ASCII character; inside broken
+#: words ("st.up.id") a single mark.
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in LOOK_ALIKES)
+MARKS = ".-_*/"
 #: Channel costs (natural logarithms): a look-alike, a doubled letter meant
 #: single, a separator dropped, a separator kept, a symbol dropped.
 SUBSTITUTE, SINGLE, JOIN, SPLIT, DROP = -1.0, -6.0, -0.2, -1.2, -9.0
@@ -53,8 +56,11 @@ MEMO = 200_000
 
 _LEET = re.escape("".join(LOOK_ALIKES))
 _SEP = re.escape(SEPARATORS)
-_SPACED = rf"(?<![^\W_])[^\W_](?:[{_SEP}][^\W_](?![^\W_])){{2,}}"
-_TRIGGER = re.compile(rf"(?P<spaced>{_SPACED})|[{_LEET}](?=[^\W\d_])|(?<=[^\W\d_])\d(?!\w)|([^\W\d_])\2\2")
+_SPACED = rf"(?<![^{_SEP}])[^{_SEP}](?:[{_SEP}]+[^{_SEP}](?![^{_SEP}])){{2,}}"
+_BROKEN = rf"(?<![^{_SEP}])[^\W\d_]{{1,3}}(?:[{re.escape(MARKS)}][^\W\d_]{{1,3}}(?![^{_SEP}])){{2,}}"
+_TRIGGER = re.compile(
+    rf"(?P<spaced>{_SPACED}|{_BROKEN})|[{_LEET}](?=[^\W\d_])|(?<=[^\W\d_])(?:\d{{1,2}}|[@$][@$\d]*)(?!\w)"
+    r"|(?P<run>[^\W\d_])(?P=run){2}|(?:(?P<pair>[a-z])(?P=pair)){3}")
 _TAIL = re.compile(rf"[\w{_LEET}]*")
 _HEAD = re.compile(rf"[\w{_LEET}]")
 
@@ -62,6 +68,8 @@ _LETTER = byte_set((0x61, 0x7A), (0x41, 0x5A), (0x80, 0xFF))
 _DIGIT = byte_set((0x30, 0x39))
 _SYMBOL = byte_set(*((b, b) for c in LOOK_ALIKES for b in c.encode()))
 _GAP = byte_set(*((ord(c), ord(c)) for c in SEPARATORS))
+_MARK = byte_set(*((ord(c), ord(c)) for c in MARKS))
+_CLOSING = byte_set(*((ord(c), ord(c)) for c in "@$"))
 
 
 def _char_bins(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,8 +236,9 @@ class Restorer:
 
 
 def may_hide(texts: pa.StringArray) -> np.ndarray:
-    """Texts with a symbol in front of a letter, a digit behind one, three equal
-    letters, or three single characters in a row (a superset, from the bytes)."""
+    """Texts with a symbol in front of a letter, a digit, @ or $ behind one, three
+    equal letters, three pairs of letters, three single characters in a row or
+    three short pieces between marks (a superset, from the bytes)."""
     body, at = raw_bytes(texts)
     n = len(body)
     if n < 2:
@@ -237,7 +246,7 @@ def may_hide(texts: pa.StringArray) -> np.ndarray:
     letter, digit, symbol = _LETTER[body], _DIGIT[body], _SYMBOL[body]
     flag = np.zeros(n, bool)
     flag[:-1] |= symbol[:-1] & letter[1:]
-    flag[:-1] |= letter[:-1] & digit[1:]
+    flag[:-1] |= letter[:-1] & (digit | _CLOSING[body])[1:]
     low = np.where((body >= 65) & (body <= 90), body + 32, body)
     for width in (1, 2, 3, 4):  # bytes of a character
         if n >= 3 * width:
@@ -246,18 +255,27 @@ def may_hide(texts: pa.StringArray) -> np.ndarray:
             full = np.zeros(n, bool)
             full[:n - 3 * width + 1] = run[2 * width:] - run[:-2 * width] == 2 * width
             flag |= full & letter
+    if n >= 6:
+        pair = (low[1:] == low[:-1]) & letter[1:]
+        flag[:n - 5] |= pair[:n - 5] & pair[2:n - 3] & pair[4:]
     lead = (body & 0xC0) != 0x80
-    chars = np.cumsum(lead)  # single characters: one lead byte between gaps
-    word = letter | digit
+    chars = np.cumsum(lead)  # characters: one lead byte each
+    word = ~_GAP[body]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     closes = word.copy()
     closes[:-1] &= ~word[1:]
+    edges = at[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]  # a word ends with its text
+    opens[edges] = word[edges]
+    closes[edges - 1] = word[edges - 1]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
     if len(first) > 2:
-        single = chars[last] - chars[first] == 0
-        tight = (first[1:] - last[:-1] == 2) & _GAP[body[np.minimum(last[:-1] + 1, n - 1)]]
-        spaced = single[:-2] & single[1:-1] & single[2:] & tight[:-1] & tight[1:]
+        size = chars[last] - chars[first]
+        tight = (first[1:] - last[:-1] == 2) & _MARK[body[np.minimum(last[:-1] + 1, n - 1)]]
+        single, short = size == 0, size <= 2
+        spaced = single[:-2] & single[1:-1] & single[2:]
+        spaced |= short[:-2] & short[1:-1] & short[2:] & tight[:-1] & tight[1:]
         flag[first[:-2][spaced]] = True
     return sum_ranges(flag.astype(np.int64), at) > 0
 

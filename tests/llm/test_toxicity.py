@@ -48,6 +48,29 @@ def test_hidden_words_are_restored(characters):
     assert restorer.text("plain words, kept.") == "plain words, kept."
 
 
+SPELLINGS = (("a$$", "ass"), ("a55", "ass"), ("an i d ! 0 t", "idiot"), ("$ t u p i d", "stupid"),
+             ("s  t  u  p  i  d", "stupid"), ("s, t, u, p, i, d", "stupid"), ("s/t/u/p/i/d", "stupid"),
+             ("s\tt\tu\tp\ti\td", "stupid"), ("s\nt\nu\np\ni\nd", "stupid"), ("st.up.id", "stupid"),
+             ("iiddiioott", "idiot"))
+
+
+def test_more_spellings_are_restored(characters):
+    restorer = Restorer(characters)
+    for hidden, word in SPELLINGS:
+        assert may_hide(pa.array([hidden]))[0], hidden
+        assert word in restorer.text(hidden), (hidden, restorer.text(hidden))
+    for plain in ("You there! Go, he said (twice).", "well-known facts", "costs 5 dollars or 1,000"):
+        assert restorer.text(plain) == plain.lower()
+
+
+def test_prefilter_of_mixed_marks_misses_no_stretch():
+    rng = np.random.default_rng(9)
+    letters = list("aabbéé1$!@/,_. \t")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(4000)]
+    for text, flag in zip(texts, may_hide(pa.array(texts)), strict=True):
+        assert flag or not _TRIGGER.search(text.lower()), repr(text)
+
+
 def test_prefilter_misses_no_stretch():
     rng = np.random.default_rng(3)
     letters = list("ab éß10$ .-_x")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from flowlens.llm.chat import format_chats
 from flowlens.llm.common import fold, table  # noqa: F401
 from flowlens.llm.context_mixing import score_texts
+from flowlens.llm.conversation_repair import repair
 from flowlens.llm.decontaminate import mark_contamination
 from flowlens.llm.embedding_dedup import embedding_dedup
 from flowlens.llm.language_id import fit as fit_languages
 from flowlens.llm.language_id import identify
+from flowlens.llm.lexical_search import search
+from flowlens.llm.license_scan import scan_licenses
 from flowlens.llm.mixing import mix
 from flowlens.llm.ngram_join import ngram_join
 from flowlens.llm.oracles import ORACLES
@@ -102,6 +105,49 @@ def op10_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("vec_id", *(F.col(n[k]).alias(k) for k in ("n_links", "component_id", "kept")))
 
 
+def damaged(chats: DataFrame) -> DataFrame:
+    """Turns with seeded faults: by the crc32 of ``conv_id:turn`` modulo 20 a row
+    is dropped (0), emptied (1), loses its ends of sentences (2), is repeated
+    (3) or becomes a user's (4).  A null reads as one space."""
+    def known(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")) % 20
+    marked = chats.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), kind.alias("kind"))
+    copies = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    return marked.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+         .otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies))).drop("col")
+
+
+def op11_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    mended = repair(damaged(chats))
+    every = chats.select("conv_id").distinct()
+    nothing = F.sha2(F.lit(""), 256)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(mended, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op12_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned, n = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.transform(F.filter(F.col(n["places"]), lambda p: p["base"]), lambda p: p["start"])
+    return scanned.select(
+        "doc_id", F.col(n["n_words"]).alias("n_words"), F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"),
+        F.array_join(n["base_labels"], ",").alias("base_labels"), F.array_join(n["labels"], ",").alias("labels"),
+        F.col(n["share"]).alias("score"))
+
+
+def op13_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_codes": op2_language_codes,
@@ -113,6 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_spherical_cells": op10_spherical_cells,
+    "op11_run_length_repair": op11_run_length_repair,
+    "op12_rare_token_licenses": op12_rare_token_licenses,
+    "op13_accumulator_search": op13_accumulator_search,
 }
 
 

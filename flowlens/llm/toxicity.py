@@ -36,9 +36,19 @@ LOOK_ALIKES = {
 #: words ("st.up.id") a single mark.
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in LOOK_ALIKES)
 MARKS = ".-_*/"
-#: Channel costs (natural logarithms): a look-alike, a doubled letter meant
-#: single, a separator dropped, a separator kept, a symbol dropped.
-SUBSTITUTE, SINGLE, JOIN, SPLIT, DROP = -1.0, -6.0, -0.2, -1.2, -9.0
+#: Channel costs (natural logarithms): a doubled letter meant single, a
+#: separator dropped, a run of three and more letters meant as it stands.
+SINGLE, JOIN, STRETCH = -6.0, -0.2, -4.0
+#: A digit, @ or $ that stands for a letter, or for itself (at the head of a
+#: number and inside it).
+SUBSTITUTE, KEEP, KEEP_MORE = -1.0, -9.0, -1.0
+#: The same for other marks, which stand for themselves more often, and one dropped.
+MARK_SUBSTITUTE, MARK_KEEP, MARK_DROP = -4.0, -3.0, -14.0
+#: A reading must be likelier than the stretch as written by this much.
+MARGIN = 3.0
+#: Characters of a stretch (one fewer is enough with two digits, an @ or a $), and
+#: letters of the longest word in a spaced-out one, below which it stays.
+LEAST, LEAST_SPACED = 4, 4
 #: Hash bins of the character model: trigrams, bigrams, single characters.
 TRIGRAMS, BIGRAMS, CHARACTERS = 1 << 18, 1 << 16, 1 << 12
 #: Hash bins of word features.
@@ -147,43 +157,72 @@ def fit_characters(docs: DataFrame, text_col: str) -> CharModel:
     return CharModel(counts)
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """What every run of equal symbols may stand for, with its cost."""
+def lattice(stretch: str) -> list[list[tuple[str, str, float]]]:
+    """What every run of equal symbols may stand for: (reading, what the
+    character model sees of it, channel cost).  The first reading is the run as
+    written, where a mark or digit that is kept ends a word."""
     out = []
     for m in re.finditer(r"(.)\1*", stretch, re.S):
-        c, n = m.group(1), len(m.group())
-        if c.isalpha():
-            if n == 1:
-                out.append([(c, 0.0)])
-            else:
-                out.append([(c + c, 0.0 if n == 2 else SUBSTITUTE), (c, SINGLE if n == 2 else 0.0)])
+        run, c, n = m.group(), m.group(1), len(m.group())
+        if c.isalpha() and n == 1:
+            out.append([(c, c, 0.0)])
+        elif c.isalpha() and n == 2:
+            out.append([(run, run, 0.0), (c, c, SINGLE)])
+        elif c.isalpha():
+            out.append([(run, c * 3, STRETCH), (c + c, c + c, SUBSTITUTE), (c, c, 0.0)])
+        elif c.isdigit() and c in LOOK_ALIKES:
+            kept = KEEP_MORE if m.start() and stretch[m.start() - 1].isdigit() else KEEP
+            out.append([(run, " ", kept * n), *_alike(c, n, SUBSTITUTE)])
         elif c in LOOK_ALIKES:
-            out.append([(l * min(n, 2), SUBSTITUTE) for l in LOOK_ALIKES[c]] + [("", DROP)])
+            often = c in "@$"
+            out.append([(run, " ", (KEEP if often else MARK_KEEP) * n),
+                        *_alike(c, n, SUBSTITUTE if often else MARK_SUBSTITUTE), ("", "", MARK_DROP * n)])
         elif c in SEPARATORS:
-            out.append([("", JOIN), (" ", SPLIT)])
+            out.append([(run, " ", 0.0), ("", "", JOIN)])
         else:
-            out.append([(c, 0.0)])
+            out.append([(run, " ", 0.0)])
     return out
 
 
+def _alike(c: str, n: int, cost: float) -> list[tuple[str, str, float]]:
+    return [(x * min(n, 2), x * min(n, 2), cost) for x in LOOK_ALIKES[c]]
+
+
+def _read(total: float, context: str, seen: str, model: CharModel) -> tuple[float, str]:
+    """Total and context after the model has seen some more characters."""
+    for char in seen:
+        if not (char == " " and context[1] == " "):
+            total += model.logp(context, char)
+            context = context[1] + char
+    return total, context
+
+
+def as_written(nodes: list[list[tuple[str, str, float]]], model: CharModel) -> float:
+    """Score of the reading that changes nothing."""
+    total, context = 0.0, "  "
+    for (_, seen, cost), *_ in nodes:
+        total, context = _read(total + cost, context, seen, model)
+    return total
+
+
 def decode(stretch: str, model: CharModel) -> str:
-    """The likeliest reading of a lattice (Viterbi over the last two characters).
+    """The likeliest reading of a lattice (Viterbi over the last two
+    characters), or the stretch itself if no reading is likelier by MARGIN.
 
     Readings are kept as linked steps, so a long stretch costs its length."""
+    nodes = [*lattice(stretch), [("", " ", 0.0)]]
     states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    for options in [*lattice(stretch), [(" ", 0.0)]]:
+    for options in nodes:
         after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, back) in states.items():
-            for emitted, cost in options:
-                total, context = score + cost, state
-                for char in emitted:
-                    if not (char == " " and context[1] == " "):
-                        total += model.logp(context, char)
-                        context = context[1] + char
+            for emitted, seen, cost in options:
+                total, context = _read(score + cost, state, seen, model)
                 if context not in after or total > after[context][0]:
                     after[context] = (total, (back, emitted))
         states = after
-    _, back = max(states.values(), key=lambda s: s[0])
+    best, back = max(states.values(), key=lambda s: s[0])
+    if best < as_written(nodes, model) + MARGIN:
+        return stretch
     parts = []
     while back is not None:
         back, emitted = back
@@ -198,7 +237,14 @@ class Restorer:
         self.model = model
         self.memo: dict[str, str] = {}
 
-    def stretch(self, s: str) -> str:
+    def stretch(self, s: str, spaced: bool = False) -> str:
+        """A stretch's reading, or the stretch where too little speaks for one."""
+        if not spaced and len(s) < LEAST - (sum(c.isdigit() for c in s) > 1 or "@" in s or "$" in s):
+            return s
+        found = self._decoded(s)
+        return s if spaced and max(map(len, found.split()), default=0) < LEAST_SPACED else found
+
+    def _decoded(self, s: str) -> str:
         found = self.memo.get(s)
         if found is None:
             if len(self.memo) > MEMO:
@@ -209,9 +255,16 @@ class Restorer:
         return found
 
     def text(self, text: str) -> str:
-        text = text.lower()
-        out, last = [], 0
-        for m in _TRIGGER.finditer(text):
+        return self.slice(pa.array([text], pa.string()))[0].as_py()
+
+    def _restored(self, text: str, starts: list[int]) -> str:
+        """The text with the stretches that begin at some of the starts restored."""
+        out, last, done = [], 0, 0
+        for at in starts:
+            m = _TRIGGER.match(text, at) if at >= done else None
+            if m is None:
+                continue
+            done = m.end()
             start, end = m.span()
             if start < last:
                 continue
@@ -219,47 +272,58 @@ class Restorer:
                 while start > last and _HEAD.match(text[start - 1]):
                     start -= 1
                 end = _TAIL.match(text, m.start()).end()
-            out += [text[last:start], self.stretch(text[start:end])]
+            out += [text[last:start], self.stretch(text[start:end], m.lastgroup == "spaced")]
             last = end
         return "".join([*out, text[last:]])
 
     def slice(self, texts: pa.StringArray) -> pa.StringArray:
-        """Texts with suspicious stretches restored; only texts that may hold
-        one leave the array."""
-        suspects = np.flatnonzero(may_hide(texts))
-        if not len(suspects):
+        """Lower-case texts with suspicious stretches restored; only texts that
+        may hold one leave the array."""
+        texts = pc.utf8_lower(texts)
+        row, at = suspicious(texts)
+        if not len(row):
             return texts
-        restored = pa.array([self.text(t) for t in texts.take(pa.array(suspects)).to_pylist()], pa.string())
+        suspects, first = np.unique(row, return_index=True)
+        starts = np.split(at, first[1:])
+        held = texts.take(pa.array(suspects)).to_pylist()
+        restored = pa.array([self._restored(t, s.tolist()) for t, s in zip(held, starts, strict=True)], pa.string())
         mask = np.zeros(len(texts), bool)
         mask[suspects] = True
         return pc.replace_with_mask(texts, pa.array(mask), restored)
 
 
 def may_hide(texts: pa.StringArray) -> np.ndarray:
-    """Texts with a symbol in front of a letter, a digit, @ or $ behind one, three
-    equal letters, three pairs of letters, three single characters in a row or
-    three short pieces between marks (a superset, from the bytes)."""
+    """Texts with a place where a stretch may begin."""
+    out = np.zeros(len(texts), bool)
+    out[suspicious(pc.utf8_lower(texts))[0]] = True
+    return out
+
+
+def suspicious(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, character) of every place in lower-case texts where a stretch may
+    begin, in order: a symbol in front of a letter, a digit, @ or $ behind one,
+    three equal letters, three pairs of letters, three single characters in a
+    row or three short pieces between marks (a superset, from the bytes)."""
     body, at = raw_bytes(texts)
     n = len(body)
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return np.zeros(len(texts), bool)
-    letter, digit, symbol = _LETTER[body], _DIGIT[body], _SYMBOL[body]
+        return none, none
+    letter = _LETTER[body]
     flag = np.zeros(n, bool)
-    flag[:-1] |= symbol[:-1] & letter[1:]
-    flag[:-1] |= letter[:-1] & (digit | _CLOSING[body])[1:]
-    low = np.where((body >= 65) & (body <= 90), body + 32, body)
-    for width in (1, 2, 3, 4):  # bytes of a character
-        if n >= 3 * width:
-            same = low[width:] == low[:-width]
-            run = np.cumsum(np.concatenate([[0], same]))
-            full = np.zeros(n, bool)
-            full[:n - 3 * width + 1] = run[2 * width:] - run[:-2 * width] == 2 * width
-            flag |= full & letter
+    flag[:-1] |= _SYMBOL[body[:-1]] & letter[1:]
+    flag[1:] |= letter[:-1] & (_DIGIT | _CLOSING)[body[1:]]
+    same = body[1:] == body[:-1]
+    flag[:n - 2] |= same[:-1] & same[1:] & letter[:n - 2]
     if n >= 6:
-        pair = (low[1:] == low[:-1]) & letter[1:]
+        pair = same & letter[1:]
         flag[:n - 5] |= pair[:n - 5] & pair[2:n - 3] & pair[4:]
-    lead = (body & 0xC0) != 0x80
-    chars = np.cumsum(lead)  # characters: one lead byte each
+    for width, lead in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):  # three equal characters of several bytes
+        many = np.flatnonzero((body >= lead) & (body < lead + (0x100 - lead) // 2))
+        many = many[many + 3 * width <= n]
+        for k in range(2 * width):
+            many = many[body[many + k] == body[many + width + k]]
+        flag[many] = True
     word = ~_GAP[body]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
@@ -269,6 +333,7 @@ def may_hide(texts: pa.StringArray) -> np.ndarray:
     edges = edges[(edges > 0) & (edges < n)]  # a word ends with its text
     opens[edges] = word[edges]
     closes[edges - 1] = word[edges - 1]
+    chars = np.cumsum((body & 0xC0) != 0x80, dtype=np.int32)  # characters: one lead byte each
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
     if len(first) > 2:
         size = chars[last] - chars[first]
@@ -277,7 +342,9 @@ def may_hide(texts: pa.StringArray) -> np.ndarray:
         spaced = single[:-2] & single[1:-1] & single[2:]
         spaced |= short[:-2] & short[1:-1] & short[2:] & tight[:-1] & tight[1:]
         flag[first[:-2][spaced]] = True
-    return sum_ranges(flag.astype(np.int64), at) > 0
+    places = np.flatnonzero(flag)
+    row = np.searchsorted(at, places, side="right") - 1
+    return row, chars[places] - (chars[at[row]] if len(places) else 0)
 
 
 def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:

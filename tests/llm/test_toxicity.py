@@ -15,16 +15,16 @@ from flowlens.llm.toxicity import (
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def characters(spark):
-    return fit_characters(spark.read.parquet(f"{SF}/documents.parquet"), "text")
+@pytest.fixture(scope="module", params=[SF, "/root/testdata/sf0.1"])
+def characters(spark, request):
+    return fit_characters(spark.read.parquet(f"{request.param}/documents.parquet"), "text")
 
 
 def all_readings(stretch, model):
     best, found = -np.inf, None
     for path in itertools.product(*lattice(stretch)):
-        text, total, context = "".join(p[0] for p in path), sum(p[1] for p in path), "  "
-        for char in text + " ":
+        text, total, context = "".join(p[0] for p in path), sum(p[2] for p in path), "  "
+        for char in "".join(p[1] for p in path) + " ":
             if not (char == " " and context[1] == " "):
                 total += model.logp(context, char)
                 context = context[1] + char
@@ -54,13 +54,18 @@ SPELLINGS = (("a$$", "ass"), ("a55", "ass"), ("an i d ! 0 t", "idiot"), ("$ t u
              ("iiddiioott", "idiot"))
 
 
+PLAIN = ("You there! Go, he said (twice).", "well-known facts", "costs 5 dollars or 1,000", "h2o", "covid19", "mp3", "v2",
+         "x = y + z", "a, b, c and d", "e.g. this", "i.e. that", "www.example.com", "utf8", "b2b", "3d", "x1 x2 x3",
+         "f(x)", "page 12a", "room b4", "iso9001", "p2p", "u.s.a.", "c++", "$5", "3rd", "21st", "1. a 2. b", "i + j")
+
+
 def test_more_spellings_are_restored(characters):
     restorer = Restorer(characters)
     for hidden, word in SPELLINGS:
         assert may_hide(pa.array([hidden]))[0], hidden
         assert word in restorer.text(hidden), (hidden, restorer.text(hidden))
-    for plain in ("You there! Go, he said (twice).", "well-known facts", "costs 5 dollars or 1,000"):
-        assert restorer.text(plain) == plain.lower()
+    for plain in PLAIN:
+        assert restorer.text(plain) == plain.lower(), (plain, restorer.text(plain))
 
 
 def test_prefilter_of_mixed_marks_misses_no_stretch():

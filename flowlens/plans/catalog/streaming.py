@@ -11,7 +11,7 @@ from flowlens.functions.timefn import epoch_ms, ms_to_text
 from flowlens.operators import model
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import register
-from flowlens.plans.catalog.detection import NON_BENIGN, _level_sql
+from flowlens.plans.catalog.detection import NON_BENIGN, W, _level_sql
 from flowlens.session import scratch_path
 from flowlens.streaming import detect
 
@@ -100,12 +100,42 @@ def q_window_frequency_stream(spark, sf):
     return w.select("window_start_ms", "window_end_ms", "count", intensity_level("count").alias("level"))
 
 
-@register("stream_intensity")
+def close_event_stream(spark, sf, root: str, behind_ms: int, slices: int = SLICES) -> None:
+    """Two more drops of a benign row, so late that everything before it is
+    settled: the first moves the watermark, which takes effect with the second."""
+    ev = fx.table(spark, sf, "events")
+    newest = ev.orderBy(F.desc("ts")).limit(1)
+    for k in range(2):
+        late = F.col("ts") + F.make_dt_interval(secs=F.lit((behind_ms + k) / 1000))
+        newest.withColumn("ts", late.cast(ev.schema["ts"].dataType)).withColumn("event_type", F.lit(fx.EVENT_BENIGN)) \
+            .select(*ev.columns).coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"drop={slices + k:04d}"))
+
+
+_RANK_SQL = "CASE level WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END"
+
+
+@register("stream_intensity", sql=f"""
+WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms, min(event_id) AS event_id, count(*) AS n
+           FROM events WHERE {NON_BENIGN} GROUP BY 1, 2),
+p AS (SELECT user_id, ms, event_id, n FROM e UNION ALL SELECT user_id, ms + {W} + 1, NULL, 0 FROM e),
+c AS (SELECT user_id, ms, event_id, n,
+             CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {W} PRECEDING AND CURRENT ROW) AS BIGINT) AS count,
+             CAST(coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {W} + 1 PRECEDING AND 1 PRECEDING), 0)
+                  AS BIGINT) AS earlier FROM p),
+l AS (SELECT *, {_level_sql('count')} AS level, {_level_sql('earlier')} AS old FROM c),
+v AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY ms), 'Low') AS last FROM l WHERE event_id IS NOT NULL)
+SELECT user_id, event_id, ms, count, last AS previous_level, level, 'change' AS kind FROM v WHERE last <> level
+UNION ALL
+SELECT user_id, NULL, ms, count, old, level, CASE count WHEN 0 THEN 'cleared' ELSE 'decay' END
+FROM l WHERE event_id IS NULL AND (count = 0 OR {_RANK_SQL} < {_RANK_SQL.replace('level', 'old')})
+""")
 def q_stream_intensity(spark, sf):
-    root, schema = stage_event_stream(spark, sf)
+    root, schema = stage_event_stream(spark, sf, files=3)
+    _, delay = event_slices(spark, sf)  # a file may be a whole drop behind the newest one
+    close_event_stream(spark, sf, root, W + delay + 1000)
     out, ckpt = scratch_path(spark, "s_intensity"), scratch_path(spark, "s_ickpt")
     detect.run_intensity_stream(_read_stream(spark, root, schema), "user_id", "ts", "event_id", "event_type",
-                                fx.EVENT_BENIGN, fx.INTENSITY_WINDOW_MS, out, ckpt)
+                                fx.EVENT_BENIGN, W, out, ckpt, delay)
     return spark.read.parquet(out).drop("run_id", "batch_id")
 
 

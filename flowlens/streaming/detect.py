@@ -8,14 +8,17 @@ output instead of duplicating it (exactly-once with the checkpoint).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import LOW_MAX, MEDIUM_MAX
@@ -92,82 +95,170 @@ def latest_window_counts(spark: SparkSession, path: str) -> DataFrame:
     return latest.groupBy(*window).agg(F.sum("count").alias("count"))
 
 
-INTENSITY_OUT = ("run long, event_id long, ms long, count long, previous_level string, level string, "
-                 "kind string")
-INTENSITY_STATE = "times array<long>, counts array<long>, last_level string"
-
+#: Rows of the intensity stream, next to the run.
+INTENSITY_OUT = (("event_id", T.LongType()), ("ms", T.LongType()), ("count", T.LongType()),
+                 ("previous_level", T.StringType()), ("level", T.StringType()), ("kind", T.StringType()))
+_LEVELS = np.array(["Low", "Medium", "High"], dtype=object)
+_STATE = T.StructType([
+    T.StructField("times", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())),
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("last_rank", T.IntegerType()),
+    T.StructField("done", T.LongType()), T.StructField("timer", T.LongType())])
+_BEFORE = -(1 << 62)
+
+
+@dataclass
+class Gauge:
+    """The live gauge of one run: distinct event times that still count or are
+    still to come, events and first id at each, the level at the last event,
+    and the time up to which rows have been emitted."""
+
+    window_ms: int
+    low_max: int = LOW_MAX
+    medium_max: int = MEDIUM_MAX
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    last_rank: int = 0
+    done: int = _BEFORE
+
+    def add(self, rows: Iterator[pd.DataFrame]) -> None:
+        """Take in events of any order: batches are folded to distinct times first."""
+        held = pd.DataFrame({"ms": self.times, "n": self.counts, "id": self.ids})
+        parts = [b.groupby("ms")["event_id"].agg(n="size", id="min").reset_index() for b in rows if len(b)]
+        folded = pd.concat([held, *parts]).groupby("ms").agg(n=("n", "sum"), id=("id", "min")).sort_index()
+        self.times, self.counts, self.ids = (
+            folded.index.to_numpy(np.int64), folded["n"].to_numpy(np.int64), folded["id"].to_numpy(np.int64))
+
+    def _count(self, at: np.ndarray) -> np.ndarray:
+        """Events in [t - W, t] for every t."""
+        total = np.concatenate([[0], np.cumsum(self.counts)])
+        return (total[np.searchsorted(self.times, at, side="right")]
+                - total[np.searchsorted(self.times, at - self.window_ms, side="left")])
+
+    def _rank(self, count: np.ndarray) -> np.ndarray:
+        return (count > self.low_max).astype(int) + (count > self.medium_max)
+
+    def advance(self, upto: int) -> pd.DataFrame:
+        """The rows of all times in (done, upto], in time order; what no later
+        time can see is forgotten."""
+        new = (self.times > self.done) & (self.times <= upto)
+        count = self._count(self.times[new])
+        rank = self._rank(count)
+        before = np.concatenate([[self.last_rank], rank[:-1]]).astype(int) if len(rank) else rank
+        moved = rank != before
+        rows = [pd.DataFrame({"event_id": self.ids[new][moved], "ms": self.times[new][moved], "count": count[moved],
+                              "previous_level": _LEVELS[before[moved]], "level": _LEVELS[rank[moved]],
+                              "kind": "change"})]
+        ends = self.times + self.window_ms + 1
+        ends = ends[(ends > self.done) & (ends <= upto)]
+        count, earlier = self._count(ends), self._count(ends - 1)
+        after, before = self._rank(count), self._rank(earlier)
+        for kind, shown in (("decay", (count > 0) & (after < before)), ("cleared", count == 0)):
+            rows.append(pd.DataFrame({"event_id": None, "ms": ends[shown], "count": count[shown],
+                                      "previous_level": _LEVELS[before[shown]], "level": _LEVELS[after[shown]],
+                                      "kind": kind}))
+        if len(rank):
+            self.last_rank = int(rank[-1])
+        kept = self.times + self.window_ms + 1 > upto
+        self.times, self.counts, self.ids, self.done = self.times[kept], self.counts[kept], self.ids[kept], upto
+        return pd.concat([r for r in rows if len(r)] or rows[:1]).sort_values("ms", kind="stable")
+
+    def next_due(self) -> int | None:
+        """The first time behind ``done`` at which a row may be due."""
+        ends = self.times + self.window_ms + 1
+        due = np.concatenate([self.times[self.times > self.done], ends[ends > self.done]])
+        return int(due.min()) if len(due) else None
+
+
+class IntensityProcessor(StatefulProcessor):
+    """Keeps a ``Gauge`` per run with an event-time timer at its next due time.
+
+    Events wait in the state until the watermark has passed them, so input in
+    any order within the delay gives the rows of ordered input.  The state is
+    bounded by the distinct milliseconds of window and delay, not by the events.
+    """
 
-def _level(c: int, low_max: int, medium_max: int) -> str:
-    return "Low" if c <= low_max else ("Medium" if c <= medium_max else "High")
+    def __init__(self, run: str, schema: T.StructType, window_ms: int, low_max: int, medium_max: int) -> None:
+        self.run, self.schema = run, schema
+        self.limits = (window_ms, low_max, medium_max)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gauge", _STATE)
+
+    def _load(self) -> tuple[Gauge, int | None]:
+        if not self.state.exists():
+            return Gauge(*self.limits), None
+        times, counts, ids, last, done, timer = self.state.get()
+        return Gauge(*self.limits, *(np.asarray(x, np.int64) for x in (times, counts, ids)), last, done), timer
+
+    def _save(self, gauge: Gauge, timer: int | None) -> None:
+        due = gauge.next_due()
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        # last level and clock stay: a run that comes back goes on from there
+        self.state.update((gauge.times.tolist(), gauge.counts.tolist(), gauge.ids.tolist(), gauge.last_rank,
+                           gauge.done, due))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        gauge, timer = self._load()
+        gauge.add(rows)
+        self._save(gauge, timer)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gauge, _ = self._load()
+        out = gauge.advance(timerValues.getCurrentWatermarkInMs())
+        self._save(gauge, None)  # the timer that fired is gone
+        if len(out):
+            out.insert(0, self.run, [key[0]] * len(out))
+            out["event_id"] = out["event_id"].astype("Int64")
+            yield out[self.schema.fieldNames()]
 
+    def close(self) -> None:
+        pass
 
-def intensity_state_fn(window_ms: int, low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX):
-    """Per-run state: (distinct event time, events at that time) inside the
-    window, and the last level.
 
-    Emits a ``change`` row when an event moves the level, and a ``cleared``
-    row when the window has drained (event-time timeout after the last
-    event + W).  Events with equal times are counted together, like the
-    inclusive range frame of the batch form.  Each Arrow batch is folded to
-    distinct times first, and the state keeps one (time, count) pair per
-    distinct millisecond that later in-order events can still see, so both
-    are bounded by the window's width in milliseconds, not by the number of
-    events of a hot run.  Counting is vectorised (prefix sums over sorted
-    distinct times + ``searchsorted``).
-    """
-    def fn(key, batches, state):
-        run = int(key[0])
-        if state.hasTimedOut:
-            last = state.get[2]
-            state.remove()
-            yield pd.DataFrame({"run": [run], "event_id": [None], "ms": [None], "count": [0],
-                                "previous_level": [last], "level": ["Low"], "kind": ["cleared"]})
-            return
-        if state.exists:
-            old_t, old_c, last = state.get
-            old_t, old_c = np.asarray(old_t, dtype=np.int64), np.asarray(old_c, dtype=np.int64)
-        else:
-            old_t, old_c, last = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), "Low"
-        # distinct times of this batch: events and first (smallest) id at each
-        parts = [b.groupby("ms")["event_id"].agg(["size", "min"]) for b in batches if len(b)]
-        if not parts:
-            return
-        agg = pd.concat(parts).groupby(level=0).agg({"size": "sum", "min": "min"}).sort_index()
-        t = agg.index.to_numpy(dtype=np.int64)
-        times, inverse = np.unique(np.concatenate([old_t, t]), return_inverse=True)
-        per_time = np.bincount(inverse, weights=np.concatenate([old_c, agg["size"].to_numpy(dtype=np.int64)]),
-                               minlength=len(times)).astype(np.int64)
-        cum = np.concatenate([[0], np.cumsum(per_time)])
-        counts = (cum[np.searchsorted(times, t, side="right")]
-                  - cum[np.searchsorted(times, t - window_ms, side="left")])
-        levels = np.where(counts <= low_max, "Low", np.where(counts <= medium_max, "Medium", "High"))
-        previous = np.concatenate([[last], levels[:-1]])
-        changed = levels != previous
-        out = pd.DataFrame({"run": run, "event_id": agg["min"].to_numpy(dtype=np.int64)[changed],
-                            "ms": t[changed], "count": counts[changed],
-                            "previous_level": previous[changed], "level": levels[changed],
-                            "kind": "change"})
-        keep = times >= t.max() - window_ms
-        state.update((times[keep].tolist(), per_time[keep].tolist(), str(levels[-1])))
-        state.setTimeoutTimestamp(int(times.max()) + window_ms + 1)
-        if len(out):
-            yield out
-    return fn
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Timers need the RocksDB state store; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, label: str, benign: str,
-                         window_ms: int, out_path: str, checkpoint: str) -> None:
-    """Stateful level tracking per run over event time (watermark = W)."""
+                         window_ms: int, out_path: str, checkpoint: str, delay_ms: int = 0,
+                         low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX) -> None:
+    """Level rows per run over event time: ``change`` where an event's level
+    differs from the level at the run's previous event, ``decay`` where the
+    window's end lowers the level, ``cleared`` where it empties the window.
+
+    Rows come once the watermark (``delay_ms`` behind the newest row) has passed
+    their time; rows that come later than that are dropped.  Benign rows don't
+    count but move the clock: a closing benign row moves the watermark, and the
+    batch after it settles what lies behind.  The run may be of any type; rows without a run form a run of their
+    own, rows without a time count nowhere.
+    """
     from flowlens.functions.timefn import epoch_ms
-    ev = (stream.filter(~is_benign(label, benign))
-          .select(F.col(run).alias("run"), F.col(id_col).alias("event_id"), epoch_ms(ts).alias("ms"),
-                  F.timestamp_millis(epoch_ms(ts)).alias("__et"))
-          .withWatermark("__et", f"{window_ms // 1000} seconds"))
-    out = ev.groupBy("run").applyInPandasWithState(
-        intensity_state_fn(window_ms), INTENSITY_OUT, INTENSITY_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    # one condition that names the event time: the optimizer would move a plain
+    # filter on the label below the watermark, and benign rows would not move it
+    counts = F.when(F.col("__et").isNotNull(), ~is_benign(label, benign)).otherwise(False)
+    ev = (stream.withColumn("__et", F.timestamp_millis(epoch_ms(ts))).withWatermark("__et", f"{delay_ms} milliseconds")
+          .filter(counts)
+          .select(F.col(run), F.col(id_col).cast("bigint").alias("event_id"), epoch_ms(ts).alias("ms"), "__et"))
+    schema = T.StructType([ev.schema[run], *(T.StructField(n, t) for n, t in INTENSITY_OUT)])
+    out = ev.groupBy(run).transformWithStateInPandas(
+        IntensityProcessor(run, schema, window_ms, low_max, medium_max), schema, "append", "EventTime")
 
     def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
         _write_batch(batch, out_path, run_id, batch_id)
 
-    _drain(out, sink, checkpoint)
+    with _state_store(stream.sparkSession):
+        _drain(out, sink, checkpoint)

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import os
+import random
+
+import pandas as pd
 
 from flowlens.session import scratch_path
 from flowlens.streaming import detect
@@ -10,26 +13,71 @@ W = 10_000
 
 
 def _drop(spark, root, k, rows):
-    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp_ntz, event_type string")
     # one file per drop: a drop is one arrival (one micro-batch with maxFilesPerTrigger=1)
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
     return df.schema
 
 
-def test_intensity_stream_changes_and_clears(spark):
+def _plain_gauge(events, w):
+    """(run, ms, count, previous level, level, kind) from all events at once."""
+    level = lambda n: "Low" if n <= 5 else "Medium" if n <= 10 else "High"
+    out = []
+    for run in {r for r, _ in events}:
+        times = [t for r, t in events if r == run]
+        count = lambda t: sum(t - w <= x <= t for x in times)
+        last = "Low"
+        for t in sorted(set(times)):
+            now = level(count(t))
+            if now != last:
+                out.append((run, t, count(t), last, now, "change"))
+            last = now
+        for t in sorted({x + w + 1 for x in times}):
+            was, now = level(count(t - 1)), level(count(t))
+            if count(t) == 0:
+                out.append((run, t, 0, was, now, "cleared"))
+            elif ["Low", "Medium", "High"].index(now) < ["Low", "Medium", "High"].index(was):
+                out.append((run, t, count(t), was, now, "decay"))
+    return sorted(out, key=repr)
+
+
+def test_intensity_stream_of_disordered_input_with_decay(spark):
+    rng = random.Random(4)
     base = dt.datetime(2024, 1, 1)
-    at = lambda s: base + dt.timedelta(seconds=s)
+    start = int(base.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    events = [(run, rng.randrange(k * 20_000, (k + 1) * 20_000)) for k in range(4)
+              for run, n in (("a", 25), ("b", 8), (None, 12)) for _ in range(n)]
+    events += [("burst", 30_000)] * 12 + [("a", 500)] * 3
+    rows = [(i, run, base + dt.timedelta(milliseconds=t), "DDoS") for i, (run, t) in enumerate(events)]
     root = scratch_path(spark, "t_stream")
-    # run 1: 7 attacks within 6 s -> Low..Medium; run 2 keeps the clock moving
-    schema = _drop(spark, root, 0, [(i, 1, at(i), "DDoS") for i in range(7)] + [(100, 2, at(0), "BENIGN")])
-    _drop(spark, root, 1, [(200, 2, at(60), "DDoS")])
-    _drop(spark, root, 2, [(300, 2, at(120), "DDoS")])
+    for k in range(4):  # files of a drop overlap in time
+        drop = [r for r, (_, t) in zip(rows, events) if t // 20_000 == k]
+        rng.shuffle(drop)
+        for half in (0, 1):
+            schema = _drop(spark, root, 2 * k + half, drop[half::2] + [(900 + k, "a", base, "BENIGN")])
+    for k in range(2):  # moves the watermark; the next batch acts on it
+        _drop(spark, root, 8 + k, [(999, "z", base + dt.timedelta(seconds=200), "BENIGN"), (998, "a", None, "DDoS")])
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(root))
     out, ckpt = scratch_path(spark, "t_out"), scratch_path(spark, "t_ckpt")
-    detect.run_intensity_stream(stream, "user_id", "ts", "event_id", "event_type", "BENIGN", W, out, ckpt)
-    rows = spark.read.parquet(out).orderBy("batch_id", "run").collect()
-    changes = [(r.run, r.event_id, r.previous_level, r.level) for r in rows if r.kind == "change"]
-    assert changes == [(1, 5, "Low", "Medium")]
-    cleared = [(r.run, r.previous_level) for r in rows if r.kind == "cleared"]
-    assert (1, "Medium") in cleared
+    detect.run_intensity_stream(stream, "user_id", "ts", "event_id", "event_type", "BENIGN", W, out, ckpt, 20_000)
+    got = [(r.user_id, r.ms - start, r["count"], r.previous_level, r.level, r.kind) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == _plain_gauge(events, W)
+    assert {k for *_, k in got} == {"change", "decay", "cleared"}
+
+
+def test_gauge_in_steps_equals_gauge_at_once():
+    rng = random.Random(6)
+    for _ in range(20):
+        times = sorted(rng.randrange(60) for _ in range(rng.randint(1, 60)))
+        frame = pd.DataFrame({"ms": times, "event_id": range(len(times))})
+        whole, steps = detect.Gauge(9), detect.Gauge(9)
+        whole.add(iter([frame]))
+        want, got = whole.advance(100), []
+        for upto in [*range(0, 100, rng.randint(1, 20)), 100]:
+            steps.add(iter([frame[(frame.ms > steps.done) & (frame.ms <= upto)].sample(frac=1, random_state=1)]))
+            got.append(steps.advance(upto))
+        got = pd.concat(got)
+        assert got.values.tolist() == want.values.tolist() or (
+            sorted(map(repr, got.fillna(-1).values.tolist())) == sorted(map(repr, want.fillna(-1).values.tolist())))
+        assert len(steps.times) == 0 and steps.next_due() is None

@@ -9,6 +9,12 @@ third of all rows is never sorted in one task: rows are bucketed by the
 digest's leading hex digits, bucket sizes are counted (a small table), their
 prefix sums give each bucket's offset, and ``row_number`` runs inside each
 (group, bucket) only.
+
+The bucket table is also a directory from ranks to buckets.  Draws look up
+their buckets in it, and only rows of those buckets are shuffled and ranked
+(``rows_at``).  A split needs one order statistic a label: ``kth_digests``
+selects it from bucket counts, and the rows are then compared with it where
+they stand, without a shuffle.
 """
 
 from __future__ import annotations
@@ -28,6 +34,11 @@ _ALL = "__all__"
 # and the deepest bucket key (16^8 buckets per group).
 TARGET_BUCKET_ROWS = 2_000_000
 MAX_BUCKET_HEX = 8
+# Draws per bucket of a rank directory, and its deepest bucket key.
+DRAWS_PER_BUCKET = 1 / 16
+MAX_DIRECTORY_HEX = 6
+# Hex digits of a whole digest.
+DIGEST_HEX = 32
 # With-replacement draws generated per task (a quota is split into chunks).
 DRAW_CHUNK = 1_000_000
 
@@ -66,12 +77,14 @@ def bucket_sizes(df: DataFrame, group: str | None, keys: list[str], seed=42,
 
 def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
                max_rank: int | None = None, bucket_hex: int = 3,
-               rank_col: str = "rank", counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+               rank_col: str = "rank", counts: DataFrame | None = None,
+               wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """1-based rank of each row inside its group by the seeded digest order.
 
     Returns (ranked rows, sizes) where sizes holds ``group`` -> ``group_size``
     (broadcast-hinted when its row count is within the limit).
-    With ``max_rank`` only buckets that can hold ranks <= max_rank are sorted.
+    With ``max_rank`` only buckets that can hold ranks <= max_rank are sorted;
+    with ``wanted`` (group, rank) only buckets that hold one of its ranks.
 
     The bucket depth adapts to the data: when the largest bucket that would
     be sorted holds more than ``TARGET_BUCKET_ROWS`` rows (a group with a
@@ -83,6 +96,8 @@ def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
         sizes = bucket_sizes(df, group, keys, seed, bucket_hex, counts)
         if max_rank is not None:
             sizes = sizes.filter(F.col("__off") < F.lit(max_rank))
+        if wanted is not None:
+            sizes = _holding(sizes, wanted, group)
         sizes = materialize(sizes, "bucket_sizes")
         n, largest = sizes.agg(F.count(F.lit(1)), F.max("__n")).first()
         if not largest or largest <= TARGET_BUCKET_ROWS or bucket_hex >= MAX_BUCKET_HEX:
@@ -106,26 +121,91 @@ def group_rank(df: DataFrame, group: str | None, keys: list[str], seed=42,
     return ranked, (F.broadcast(group_sizes) if n <= MAX_BROADCAST_ROWS else group_sizes)
 
 
-def top_per_group(df: DataFrame, group: str | None, keys: list[str], n: int,
-                  seed=42) -> DataFrame:
-    """Up to n rows per group without replacement (seeded)."""
-    ranked, _ = group_rank(df, group, keys, seed, max_rank=n)
-    return ranked
+def _holding(sizes: DataFrame, wanted: DataFrame, group: str | None) -> DataFrame:
+    """The buckets that hold a wanted rank: in the order of places in the group,
+    the last bucket that begins at or before it."""
+    begins = sizes.select("__g", F.col("__off").alias("__at"), F.lit(0).alias("__kind"), "__b")
+    asked = wanted.select(_group_col(group).alias("__g"), (F.col("rank") - 1).alias("__at"),
+                          F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__b")).distinct()
+    order = Window.partitionBy("__g").orderBy("__at", "__kind")
+    found = begins.unionByName(asked).withColumn("__b", F.last("__b", ignorenulls=True).over(order))
+    hit = found.filter(F.col("__kind") == 1).select("__g", "__b").distinct()
+    return join_null_safe(sizes, hit, ["__g", "__b"], "left_semi")
 
 
-def attach_draw(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFrame:
-    """The row picked by each draw: equi-join on (group, rank).
+def directory_depth(n_draws: int) -> int:
+    """Hex digits of a directory in which ``n_draws`` touch a small share of the buckets."""
+    return min(MAX_DIRECTORY_HEX, max(3, math.ceil(math.log(max(1, n_draws) / DRAWS_PER_BUCKET, 16))))
 
-    ``ranked`` comes from ``group_rank``; ``draws`` holds (group, draw_no, rank).
-    """
-    return _draw_rows(ranked, draws, group)
+
+def group_sizes(counts: DataFrame) -> DataFrame:
+    """(``__g``, group_size) of a ``bucket_counts`` table."""
+    return counts.groupBy("__g").agg(F.sum("__n").alias("group_size"))
 
 
-def _draw_rows(ranked: DataFrame, draws: DataFrame, group: str | None) -> DataFrame:
-    """Join draws (group, draw_no, rank) to ranked rows; draws are the small side."""
+def rows_at(df: DataFrame, group: str | None, keys: list[str], draws: DataFrame, seed=42,
+            counts: DataFrame | None = None, bucket_hex: int = 3) -> DataFrame:
+    """The row at each wanted rank: the rows' columns and those of ``draws``,
+    which holds (group, rank, ...).
+
+    Up to MAX_BROADCAST_ROWS draws look up their buckets in the directory, and
+    only rows of these buckets reach the shuffle; more draws touch most buckets
+    anyway, and all are ranked.  Draws without a group meet rows without one.
+    """
     draws, n = materialize_small(draws)
+    ranked, _ = group_rank(df, group, keys, seed, bucket_hex=bucket_hex, counts=counts,
+                           wanted=draws if n <= MAX_BROADCAST_ROWS else None)
+    return attach_draw(ranked.drop("group_size"), draws, group, n)
+
+
+def attach_draw(ranked: DataFrame, draws: DataFrame, group: str | None, n: int | None = None) -> DataFrame:
+    """The row picked by each draw: null-safe equi-join on (group, rank).
+
+    ``ranked`` comes from ``group_rank``; ``draws`` holds (group, rank, ...),
+    ``n`` is its row count if it is written already.
+    """
+    if n is None:
+        draws, n = materialize_small(draws)
     draws = F.broadcast(draws) if n <= MAX_BROADCAST_ROWS else draws
-    return ranked.join(draws, [group, "rank"] if group else ["rank"], "inner")
+    return join_null_safe(ranked, draws, [group, "rank"] if group else ["rank"])
+
+
+def kth_digests(df: DataFrame, group: str, keys: list[str], ranks: DataFrame, counts: DataFrame,
+                seed=42, bucket_hex: int = 3) -> DataFrame:
+    """Per group the digest at its rank: (``__g``, ``__d``, ``__need``, ``__tied``),
+    where ``__need`` of the ``__tied`` rows with that digest are within the rank.
+
+    ``ranks`` holds (``__g``, ``__k``), a small table, ``counts`` is the
+    ``bucket_counts`` table.  Each step keeps the one bucket a group whose
+    offsets enclose the rank and counts only its rows by more digest digits,
+    until a bucket is one digest; no row is sorted.
+    """
+    sizes = bucket_sizes(df, group, keys, seed, bucket_hex, counts)
+    prefix = F.lower(F.lpad(F.hex("__b"), bucket_hex, "0"))
+    at = join_null_safe(sizes.select("__g", prefix.alias("__p"), "__n", "__off"), ranks, ["__g"])
+    rows = df.select(_group_col(group).alias("__g"), order_digest(seed, *keys).alias("__d"))
+    depth = bucket_hex
+    while True:
+        at = at.filter((F.col("__off") < F.col("__k")) & (F.col("__k") <= F.col("__off") + F.col("__n"))) \
+               .select("__g", "__p", "__n", (F.col("__k") - F.col("__off")).alias("__k"))
+        at, _ = materialize_small(at)
+        if depth == DIGEST_HEX:
+            return at.select("__g", F.col("__p").alias("__d"), F.col("__k").alias("__need"), F.col("__n").alias("__tied"))
+        largest = at.agg(F.max("__n")).first()[0] or 0
+        deeper = DIGEST_HEX if largest <= TARGET_BUCKET_ROWS else min(DIGEST_HEX, depth + 4)
+        inside = join_null_safe(rows.withColumn("__p", F.substring("__d", 1, depth)),
+                                F.broadcast(at.drop("__n")), ["__g", "__p"])
+        counted = inside.groupBy("__g", "__k", F.substring("__d", 1, deeper).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        at = counted.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        depth = deeper
+
+
+def top_per_group(df: DataFrame, group: str | None, keys: list[str], n: int,
+                  seed=42) -> DataFrame:
+    """Up to n rows per group without replacement (seeded)."""
+    ranked, _ = group_rank(df, group, keys, seed, max_rank=n)
+    return ranked
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed=42) -> DataFrame:
@@ -144,7 +224,7 @@ def sample_rows(df: DataFrame, keys: list[str], n: int, seed=42) -> DataFrame:
     spark = df.sparkSession
     draws = (spark.range(1, n + 1).select(F.col("id").alias("draw_no"))
              .withColumn("rank", draw_rank(seed, F.lit(_ALL), F.col("draw_no"), F.lit(total))))
-    return _draw_rows(ranked, draws, None)
+    return attach_draw(ranked, draws, None)
 
 
 def quota_proportional(df: DataFrame, label: str, total_n: int) -> DataFrame:
@@ -179,15 +259,15 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], quotas: DataFr
     """Draw ``quota`` rows per label with replacement.
 
     Returns (sample, missing): labels with a quota but no rows come back in
-    ``missing`` instead of failing the job.
+    ``missing`` instead of failing the job.  A null label is a label.
     """
-    ranked, sizes = group_rank(df, label, keys, seed)
-    q = quotas.select(F.col("label").alias("__g"), F.col(quota_col).cast("bigint").alias("__q")) \
-              .filter(F.col("__q") > 0)
-    q = q.join(sizes, "__g", "left")   # sizes carries a checked broadcast hint
-    # quotas usually come from a scan (label counts): written once, the
-    # chunk count, the draws and the missing labels all read this table
-    q, _ = materialize_small(q)
+    # quotas usually come from a scan (label counts): written once, the depth of
+    # the directory, the draws and the missing labels all read this table
+    asked, _ = materialize_small(quotas.select(
+        F.col("label").alias("__g"), F.col(quota_col).cast("bigint").alias("__q")).filter(F.col("__q") > 0))
+    bucket_hex = directory_depth(asked.agg(F.sum("__q")).first()[0] or 0)
+    counts = materialize(bucket_counts(df, label, keys, seed, bucket_hex), "directory")
+    q, _ = materialize_small(join_null_safe(asked, group_sizes(counts), ["__g"], "left"))
     missing = q.filter(F.col("group_size").isNull()).select(
         F.col("__g").alias("label"), F.col("__q").alias("quota"))
     # draws are generated in chunks of DRAW_CHUNK: the chunk list is spread
@@ -206,7 +286,7 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], quotas: DataFr
     draws = (chunks.select("__g", "group_size", F.explode(F.sequence(first, last)).alias("draw_no"))
               .withColumn("rank", draw_rank(seed, F.col("__g"), F.col("draw_no"), F.col("group_size")))
               .select(F.col("__g").alias(label), "draw_no", "rank"))
-    return _draw_rows(ranked.drop("group_size"), draws, label), missing
+    return rows_at(df, label, keys, draws, seed, counts, bucket_hex), missing
 
 
 def boost_label(df: DataFrame, label: str, keys: list[str], value: str, n: int,
@@ -282,12 +362,19 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     the test rows, so the split is exact (rare labels keep their share) and
     reproducible.  ``counts`` (a ``bucket_counts`` table of ``df`` grouped by
     ``label``) lets quotas and ranks share one counting pass.
+
+    The digest at rank ``test_quota`` is selected per label and the rows are
+    compared with it in place.  Rows of equal keys share a digest; where a
+    boundary falls among them, these rows alone are numbered.  Only above
+    MAX_BROADCAST_ROWS labels are the rows ranked.
     """
     if counts is None:   # one counting pass serves the quotas and the rank offsets
         counts, _ = materialize_small(bucket_counts(df, label, keys, seed))
     quotas, k = _split_quotas(df, label, test_size, counts)
+    if k <= MAX_BROADCAST_ROWS:
+        ranks = quotas.select(F.col("label").alias("__g"), F.col("test_quota").alias("__k"))
+        return _split_at(df, label, keys, kth_digests(df, label, keys, ranks, counts, seed), seed, split_col)
     q = quotas.select(F.col("label").alias("__lbl"), "test_quota")
-    q = F.broadcast(q) if k <= MAX_BROADCAST_ROWS else q
     ranked, _ = group_rank(df, label, keys, seed, rank_col="__rank", counts=counts)
     out = ranked.join(q, F.col(label).eqNullSafe(F.col("__lbl")), "inner")
     out = out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), F.lit("test"))
@@ -295,6 +382,21 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     return out.drop("__lbl", "test_quota", "__rank", "group_size")
 
 
+def _split_at(df: DataFrame, label: str, keys: list[str], limits: DataFrame, seed, split_col: str) -> DataFrame:
+    rows = df.withColumn("__g", F.col(label)).withColumn("__own", order_digest(seed, *keys))
+    rows = join_null_safe(rows, F.broadcast(limits), ["__g"], "left")  # a row a label, checked by the caller
+    cut = F.coalesce((F.col("__own") == F.col("__d")) & (F.col("__need") < F.col("__tied")), F.lit(False))
+    is_test = F.coalesce(F.col("__own") <= F.col("__d"), F.lit(False))
+    parts = [(rows, is_test)]
+    if limits.filter(F.col("__need") < F.col("__tied")).limit(1).count():
+        numbered = Window.partitionBy("__g").orderBy("__own")
+        parts = [(rows.filter(~cut), is_test), (rows.filter(cut).withColumn("__n", F.row_number().over(numbered)),
+                                                F.col("__n") <= F.col("__need"))]
+    done = [part.withColumn(split_col, F.when(test, F.lit("test")).otherwise(F.lit("train")))
+                .drop("__g", "__own", "__d", "__need", "__tied", "__n") for part, test in parts]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+
+
 def replay_schedule(df: DataFrame, keys: list[str], features: list[str],
                     label: str | None = None, window_s: int = 10, mode: str = "High",
                     start_ms: int = 0, seed=42) -> tuple[DataFrame, DataFrame]:
@@ -309,13 +411,14 @@ def replay_schedule(df: DataFrame, keys: list[str], features: list[str],
     interval = MODE_INTERVAL_MS[mode]
     n_offsets = len(range(0, window_ms, interval))
     spark = df.sparkSession
-    ranked, sizes = group_rank(df, None, keys, seed)
-    total = sizes.agg(F.max("group_size")).first()[0]
+    bucket_hex = directory_depth(n_offsets)
+    counts = materialize(bucket_counts(df, None, keys, seed, bucket_hex), "directory")
+    total = counts.agg(F.sum("__n")).first()[0]
     if not total:
         raise ValueError("No samples found for the replay")
     draws = (spark.range(0, window_ms, interval).select(F.col("id").alias("at_ms"))
              .withColumn("rank", draw_rank(seed, F.lit("replay"), F.col("at_ms"), F.lit(total))))
-    picked = _draw_rows(ranked, draws, None)
+    picked = rows_at(df, None, keys, draws, seed, counts, bucket_hex)
     lbl = F.coalesce(F.col(label).cast("string"), F.lit("ANOMALY")) if label else F.lit("ANOMALY")
     events = picked.select(
         "at_ms", (F.lit(start_ms) + F.col("at_ms")).alias("ts"), lbl.alias("label"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.digest import draw_rank
 from flowlens.functions.numeric import round6
 from flowlens.operators import labels, sampling
+from flowlens.operators._small import materialize
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import register
 
@@ -206,13 +208,31 @@ SELECT r.o_orderkey, r.o_orderstatus, d.draw_no, d.rank
 FROM d JOIN r ON r.o_orderstatus = d.label AND r.rank = d.rank
 """)
 def q_attach_draw(spark, sf):
-    from flowlens.functions.digest import draw_rank
-    orders = _orders(spark, sf)
-    ranked, sizes = sampling.group_rank(orders, "o_orderstatus", ["o_orderkey"], fx.SEED)
-    draws = (sizes.select(F.col("__g").alias("o_orderstatus"), "group_size",
-                          F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(ATTACH_DRAWS).cast("bigint")))
-                          .alias("draw_no"))
+    orders, keys = _orders(spark, sf), ["o_orderkey"]
+    counts = materialize(sampling.bucket_counts(orders, "o_orderstatus", keys, fx.SEED), "directory")
+    draws = (sampling.group_sizes(counts)
+             .select(F.col("__g").alias("o_orderstatus"), "group_size",
+                     F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(ATTACH_DRAWS).cast("bigint"))).alias("draw_no"))
              .withColumn("rank", draw_rank(fx.SEED, F.col("o_orderstatus"), F.col("draw_no"), F.col("group_size")))
              .drop("group_size"))
-    out = sampling.attach_draw(ranked.drop("group_size"), draws, "o_orderstatus")
+    out = sampling.rows_at(orders, "o_orderstatus", keys, draws, fx.SEED, counts)
     return out.select("o_orderkey", "o_orderstatus", "draw_no", "rank")
+
+
+_NULL_LABEL = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"
+NULL_QUOTA = 40
+
+
+@register("stratified_sample_null_label", sql=f"""
+WITH o AS (SELECT o_orderkey, {_NULL_LABEL} AS label FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || o_orderkey)) AS rank,
+             count(*) OVER (PARTITION BY label) AS n FROM o),
+d0 AS (SELECT label, n, unnest(generate_series(1, {NULL_QUOTA})) AS draw_no FROM (SELECT DISTINCT label, n FROM r)),
+d AS (SELECT *, {_draw_sql("coalesce(label, chr(0))", "draw_no", "n")} AS at FROM d0)
+SELECT r.o_orderkey, r.label, d.draw_no FROM d JOIN r ON r.label IS NOT DISTINCT FROM d.label AND r.rank = d.at
+""")
+def q_stratified_sample_null_label(spark, sf):
+    orders = _orders(spark, sf).select("o_orderkey", F.expr(_NULL_LABEL).alias("label"))
+    quotas = orders.select("label").distinct().withColumn("quota", F.lit(NULL_QUOTA))
+    sample, _ = sampling.stratified_sample(orders, "label", ["o_orderkey"], quotas, fx.SEED)
+    return sample.select("o_orderkey", "label", "draw_no")

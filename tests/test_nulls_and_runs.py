@@ -1,6 +1,7 @@
 """Null groups, runs and times; history and streams that start anew."""
 
 import datetime as dt
+import hashlib
 import os
 
 import pytest
@@ -68,3 +69,37 @@ def test_only_an_absent_metric_record_has_defaults(spark):
         broken.write("not a gzip file")
     with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises must not become a zero record
         records.read_metrics(spark, path).collect()
+
+
+def test_draws_of_a_null_label(spark):
+    df = spark.createDataFrame([(i, None if i < 10 else "b") for i in range(15)], "id long, label string")
+    quotas = spark.createDataFrame([(None, 4), ("b", 3), ("none", 2)], "label string, quota int")
+    sample, missing = sampling.stratified_sample(df, "label", ["id"], quotas)
+    rows = sample.collect()
+    assert sum(r.label is None for r in rows) == 4 and sum(r.label == "b" for r in rows) == 3
+    assert [tuple(r) for r in missing.collect()] == [("none", 2)]
+
+
+@pytest.mark.parametrize("target, copies", [(2_000_000, 1), (3, 1), (3, 7)])
+def test_split_by_selection_equals_ranking(spark, monkeypatch, target, copies):
+    monkeypatch.setattr(sampling, "TARGET_BUCKET_ROWS", target)
+    df = spark.createDataFrame([(i // copies, "abc"[i % 3] if i % 10 else None) for i in range(700)], "id long, label string")
+    got = sampling.stratified_split(df, "label", ["id"]).collect()
+    quotas = {r.label: r.test_quota for r in sampling.split_quotas(df, "label").collect()}
+    for label, quota in quotas.items():
+        own = [r for r in got if r.label == label]
+        order = sorted(hashlib.md5(f"42|{r.id}".encode()).hexdigest() for r in own)
+        test = [hashlib.md5(f"42|{r.id}".encode()).hexdigest() for r in own if r.split == "test"]
+        assert sorted(test) == order[:quota]
+    assert len(got) == 700 and set(quotas) == {"a", "b", "c", None}
+
+
+def test_rank_directory_finds_every_rank(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "id long, label string")
+    draws = spark.createDataFrame([(g, r) for g in "ab" for r in (1, 2, 75, 150, 75)], "label string, rank long")
+    got = sorted((r.label, r["rank"], r.id) for r in sampling.rows_at(df, "label", ["id"], draws, bucket_hex=4).collect())
+    want = []
+    for g in "ab":
+        ids = sorted((i for i in range(300) if "ab"[i % 2] == g), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+        want += [(g, r, ids[r - 1]) for r in (1, 2, 75, 150, 75)]
+    assert got == sorted(want)

@@ -57,3 +57,18 @@ def test_events_scanned_once(spark, name):
     final = _plan(df).split("== Initial Plan ==")[0]
     locs = re.findall(r"Location: InMemoryFileIndex\(\d+ paths\)\[file:([^\],]+)", final)
     assert sum(1 for p in locs if p.endswith("events.parquet")) <= 1
+
+
+def test_split_compares_rows_in_place(spark):
+    """The flow table itself is not shuffled: only the counting passes are."""
+    plan = _plan(E.queries()["stratified_split"](spark, SF_SMALL))
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["replay_schedule", "attach_draw", "stratified_sample", "boost_label"])
+def test_only_drawn_buckets_reach_the_exchange(spark, name):
+    """The scan meets the drawn buckets by broadcast join before any shuffle."""
+    plan = _plan(E.queries()[name](spark, SF_SMALL)).split("== Initial Plan ==")[-1]
+    ranked = plan.split("Window")[1]
+    exchange, join, scan = (ranked.index(k) for k in ("Exchange hashpartitioning", "BroadcastHashJoin", "FileScan"))
+    assert exchange < join < scan

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.levels import threat_level
 from flowlens.functions.numeric import fill_zero  # noqa: F401  (re-exported for callers)
 from flowlens.functions.sqltext import double_lit, fill_zero_sql, ident
+from flowlens.operators.cleaning import validate_requests
 from flowlens.operators.profile import scaler_fit
 from flowlens.session import ensure_checkpoint_dir
 
@@ -140,3 +141,25 @@ def score_flows(model: PipelineModel, df: DataFrame, features: list[str],
         threat_level(label, conf, benign=benign).alias("threat_level"),
         top.alias("probabilities"), "probs",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
+
+
+def score_requests(model: PipelineModel, df: DataFrame, body: str, contract: list[str],
+                   params: dict[str, tuple[float, float]], class_names: list[str], benign: str = "BENIGN",
+                   keep: list[str] | None = None) -> DataFrame:
+    """Raw JSON request bodies to prediction records, in one pass.
+
+    Every body gives a row: ``success`` with its prediction, or ``error`` with
+    the reason (``error``) and the service's message and no prediction.  Bodies
+    are checked by ``validate_requests``; a bad one goes through the model as a
+    row of zeros whose outcome is blanked, so no second pass or union is needed.
+    """
+    keep = keep or []
+    checked = validate_requests(df, body, len(contract))
+    columns = [F.coalesce(F.try_element_at("features", F.lit(i + 1)), F.lit(0.0)).alias(c) for i, c in enumerate(contract)]
+    rows = checked.select(*keep, F.col("status").alias("__status"), F.col("message").alias("__message"), *columns)
+    scored = score_flows(model, rows, contract, params, class_names, benign, keep=[*keep, "__status", "__message"])
+    ok = F.col("__status") == "ok"
+    outcome = ("predicted_label", "confidence", "encoded_value", "threat_level", "probabilities", "timestamp")
+    return scored.select(
+        *keep, F.when(ok, "success").otherwise("error").alias("status"), F.when(~ok, F.col("__status")).alias("error"),
+        F.col("__message").alias("message"), *(F.when(ok, F.col(c)).alias(c) for c in outcome))

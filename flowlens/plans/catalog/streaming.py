@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.levels import threat_level
 from flowlens.functions.timefn import epoch_ms, ms_to_text
-from flowlens.operators import model
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import register
 from flowlens.plans.catalog.detection import NON_BENIGN, W, _level_sql
+from flowlens.plans.catalog.model import REQUESTS_SQL, _train, requests
 from flowlens.session import scratch_path
+from flowlens.sources.bundle import save_bundle
 from flowlens.streaming import detect
 
 SLICES = 4
@@ -139,23 +140,27 @@ def q_stream_intensity(spark, sf):
     return spark.read.parquet(out).drop("run_id", "batch_id")
 
 
-@register("stream_score")
+@register("stream_score", sql=f"""
+WITH r AS (SELECT *, CASE WHEN vec_id < (SELECT median(vec_id) FROM embeddings) THEN 1 ELSE 2 END AS version FROM ({REQUESTS_SQL}))
+SELECT 'history' AS output, id, ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S') AS timestamp,
+       64 AS features_count, version AS model_version, NULL AS error FROM r WHERE state = 'ok'
+UNION ALL
+SELECT 'rejects', id, ms, NULL, NULL, NULL, state FROM r WHERE state <> 'ok'
+""")
 def q_stream_score(spark, sf):
-    from flowlens.plans.catalog.model import EMB_FEATURES, _train, embedding_flows
-    r = _train(spark, sf)
-    b = r.bundle
-    src = scratch_path(spark, "emb_stream")
-    embedding_flows(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    hist, alerts, ckpt = (scratch_path(spark, n) for n in ("e_history", "e_alerts", "e_ckpt"))
-
-    def score(stream):
-        s = model.score_flows(b.model, stream, EMB_FEATURES, b.scaler, b.classes, benign=b.benign,
-                              keep=["vec_id"])
-        return s.select(F.col("vec_id").alias("id"), F.lit(0).cast("bigint").alias("ms"), "timestamp",
-                        "predicted_label", "confidence", "threat_level",
-                        F.lit(len(EMB_FEATURES)).alias("features_count"))
-
-    detect.run_detection_stream(_read_stream(spark, src, schema, 2), score, hist, alerts, ckpt, benign=b.benign)
-    return spark.read.parquet(hist).select("id", "predicted_label", F.round("confidence", 6).alias("confidence"),
-                                           "threat_level")
+    """Raw bodies in two drops; a new model version is published between them."""
+    bundle = _train(spark, sf).bundle
+    rows = requests(spark, sf)
+    middle = rows.agg(F.median("vec_id")).first()[0]
+    src, bundles, hist, alerts, rejects, ckpt = (scratch_path(spark, n) for n in (
+        "req_stream", "req_bundles", "e_history", "e_alerts", "e_rejects", "e_ckpt"))
+    for k, part in enumerate((F.col("vec_id") < middle, F.col("vec_id") >= middle)):
+        rows.filter(part).repartition(2).write.parquet(os.path.join(src, f"drop={k:04d}"))
+        save_bundle(spark, bundles, bundle)
+        detect.run_request_stream(_read_stream(spark, src, rows.schema), "body", "id", "ts", bundles, hist, alerts,
+                                  rejects, ckpt)
+    good = spark.read.parquet(hist).select(
+        F.lit("history").alias("output"), "id", "ms", "timestamp", "features_count", "model_version",
+        F.lit(None).cast("string").alias("error"))
+    bad = spark.read.parquet(rejects).select(F.lit("rejects").alias("output"), "id", "ms", "error")
+    return good.unionByName(bad, allowMissingColumns=True)

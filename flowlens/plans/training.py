@@ -3,20 +3,22 @@
 train:   clean -> encode -> stratified split -> scale -> fit -> evaluate -> bundle
 retrain: strip -> label check -> clean new and original -> common columns ->
          union -> encode -> stats -> dedup -> numeric -> align -> split ->
-         scale -> fit -> evaluate -> regression gate -> new bundle version
+         scale -> fit -> evaluate (``retrain_pipeline``)
+publish: regression gate -> new bundle version -> result row (``retrain_and_publish``)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.sqltext import ident
 from flowlens.operators import cleaning, evaluation, labels, model, sampling
 from flowlens.operators._small import MAX_BROADCAST_ROWS, materialize, materialize_small
 from flowlens.session import wide_table_mode
+from flowlens.sources import bundle as versions
 from flowlens.sources.bundle import Bundle
 from flowlens.sources.flows import strip_headers
 
@@ -27,6 +29,11 @@ class TrainResult:
     metrics: DataFrame      # one-row record
     test_predictions: DataFrame
     stats: DataFrame | None = None
+    split_sizes: tuple[int, int] = (0, 0)   # train, test
+
+
+RESULT = ("status string, message string, version int, total_samples bigint, new_labels array<string>, "
+          "new_labels_count int, train_rows bigint, test_rows bigint, accuracy double, fpr double")
 
 
 def _split_once(clean: DataFrame, label: str, keys: list[str], test_size: float,
@@ -68,7 +75,9 @@ def _fit_and_evaluate(split: DataFrame, label: str, features: list[str], classes
     m = metrics.first().asDict()
     bundle = Bundle(model=forest, contract=list(features), classes=classes, scaler=params, label=label,
                     benign=benign, metrics={k: float(v) if v is not None else None for k, v in m.items()})
-    return TrainResult(bundle=bundle, metrics=metrics, test_predictions=scored)
+    sizes = dict(map(tuple, split.groupBy("split").count().collect()))   # two rows
+    return TrainResult(bundle=bundle, metrics=metrics, test_predictions=scored,
+                       split_sizes=(sizes.get("train", 0), sizes.get("test", 0)))
 
 
 def train_pipeline(df: DataFrame, label: str, features: list[str], keys: list[str],
@@ -125,3 +134,44 @@ def _retrain(new: DataFrame, original: DataFrame | None, label: str, contract: l
     result = _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
     result.stats = stats
     return result
+
+
+def accepted(old: dict | None, new: dict, max_fpr: float = evaluation.REGRESSION_MAX_FPR) -> bool:
+    """The regression gate on stored metric records; a first model has no rival."""
+    return old is None or (new["accuracy"] >= old["accuracy"] and new["fpr"] < max_fpr)
+
+
+def publish(spark: SparkSession, root: str, result: TrainResult, gate: bool = True) -> tuple[str, str, int | None]:
+    """(status, message, current version): ``success`` with a new version, or
+    ``rejected`` with the version before it still current."""
+    metrics = result.bundle.metrics
+    # fixed text, equal to the service's
+    done = f"Retraining complete. Accuracy: {metrics['accuracy']:.4f}"
+    old = versions.stored_metrics(spark, root)
+    if gate and not accepted(old, metrics):
+        return "rejected", (f"Kept the current model: accuracy {metrics['accuracy']:.4f} against {old['accuracy']:.4f}, "
+                            f"false positive rate {metrics['fpr']:.4f}"), versions.current_version(spark, root)
+    return "success", done, versions.save_bundle(spark, root, result.bundle)
+
+
+def retrain_and_publish(root: str, new: DataFrame, original: DataFrame | None, label: str,
+                        contract: list[str] | None, old_classes: list[str], benign: str = "BENIGN",
+                        gate: bool = True, **fit) -> DataFrame:
+    """Retrain, pass the regression gate against the current version, publish,
+    and return one result row (``RESULT``).
+
+    An upload that cannot be trained on (no label column, nothing left after
+    cleaning, a label with one row) gives an ``error`` row with the reason and
+    leaves the current version; other failures raise.
+    """
+    spark = new.sparkSession
+    try:
+        result = retrain_pipeline(new, original, label, contract, old_classes, benign, **fit)
+    except ValueError as error:
+        row = ("error", str(error), versions.current_version(spark, root), None, None, None, None, None, None, None)
+        return spark.createDataFrame([row], RESULT)
+    status, message, version = publish(spark, root, result, gate)
+    stats, metrics = result.stats.first(), result.bundle.metrics
+    row = (status, message, version, stats["total_samples"], stats["new_labels"], stats["new_labels_count"],
+           *result.split_sizes, metrics["accuracy"], metrics["fpr"])
+    return spark.createDataFrame([row], RESULT)

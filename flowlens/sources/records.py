@@ -13,15 +13,17 @@ HISTORY_SCHEMA = ("id bigint, ms bigint, timestamp string, predicted_label strin
 METRICS_SCHEMA = "accuracy double, precision double, recall double, f1 double, fpr double, auc double"
 
 
-def append_history(detections: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+def append_history(detections: DataFrame, path: str, run_id: str, batch_id: int,
+                   extra: tuple[str, ...] = ()) -> None:
     """Append detection records, partitioned by day, run and batch.
 
     Writing a batch of a run again overwrites only its own partitions (dynamic
     partition overwrite), so a retried micro-batch never duplicates rows.
-    Batches of different runs never replace each other.
+    Batches of different runs never replace each other.  ``extra`` names
+    further columns to keep.
     """
     out = (detections.select("id", "ms", "timestamp", "predicted_label", "confidence", "threat_level",
-                             "features_count")
+                             "features_count", *extra)
            .withColumn("date", F.substring(ms_to_text("ms"), 1, 10))
            .withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(int(batch_id))))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -22,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.functions.labels import is_benign
 from flowlens.functions.levels import LOW_MAX, MEDIUM_MAX
+from flowlens.functions.timefn import epoch_ms, ms_to_text
+from flowlens.operators.model import score_requests
+from flowlens.sources import bundle as versions
 from flowlens.sources.records import append_history
 
 
@@ -66,6 +69,41 @@ def run_detection_stream(stream: DataFrame, score: Callable[[DataFrame], DataFra
     _drain(scored, sink, checkpoint)
 
 
+def run_request_stream(stream: DataFrame, body: str, id_col: str, ts: str, bundles: str, history_path: str,
+                       alerts_path: str, rejects_path: str, checkpoint: str) -> None:
+    """Raw JSON requests to detection history: validate, score, append.
+
+    Each micro-batch is scored with the model version that is current when it
+    begins (its number is kept in ``model_version``), so a version published
+    while the stream runs takes over with the next batch.  Bodies that cannot
+    be scored go to ``rejects_path`` with status and message.  History holds
+    the requests' event times; a replayed batch replaces its own output.
+    """
+    loaded: dict[int, versions.Bundle] = {}
+
+    def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = versions.current_version(spark, bundles)
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = versions.load_bundle(spark, bundles, version)
+        b = loaded[version]
+        rows = batch.select(F.col(id_col).alias("id"), epoch_ms(ts).alias("ms"), F.col(body).alias("__body"))
+        scored = score_requests(b.model, rows, "__body", b.contract, b.scaler, b.classes, b.benign, ["id", "ms"])
+        scored = scored.withColumn("timestamp", ms_to_text("ms")).withColumn("model_version", F.lit(version)) \
+            .withColumn("features_count", F.lit(len(b.contract))).persist()
+        good = scored.filter(F.col("status") == "success")
+        append_history(good, history_path, run_id, batch_id, extra=("model_version",))
+        _write_batch(good.filter(~is_benign("predicted_label", b.benign)).select(
+            "id", "ms", "timestamp", "predicted_label", "confidence", "threat_level", "model_version"),
+            alerts_path, run_id, batch_id)
+        _write_batch(scored.filter(F.col("status") == "error").select("id", "ms", "error", "message"),
+                     rejects_path, run_id, batch_id)
+        scored.unpersist()
+
+    _drain(stream, sink, checkpoint)
+
+
 def run_window_counts(stream: DataFrame, ts: str, label: str, benign: str, duration: str,
                       delay: str, out_path: str, checkpoint: str) -> None:
     """Non-benign events per tumbling window with a watermark (update mode).
@@ -73,7 +111,6 @@ def run_window_counts(stream: DataFrame, ts: str, label: str, benign: str, durat
     Each batch writes the windows it updated; state for a window is dropped
     once the watermark passes its end.
     """
-    from flowlens.functions.timefn import epoch_ms
     # event time as an instant (UTC), whatever the source type or session zone
     et = F.timestamp_millis(epoch_ms(ts))
     counts = (stream.filter(~is_benign(label, benign)).withColumn("__et", et).withWatermark("__et", delay)
@@ -246,7 +283,6 @@ def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, labe
     batch after it settles what lies behind.  The run may be of any type; rows without a run form a run of their
     own, rows without a time count nowhere.
     """
-    from flowlens.functions.timefn import epoch_ms
     # one condition that names the event time: the optimizer would move a plain
     # filter on the label below the watermark, and benign rows would not move it
     counts = F.when(F.col("__et").isNotNull(), ~is_benign(label, benign)).otherwise(False)

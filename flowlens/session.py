@@ -91,3 +91,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a staged table."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base, "flowlens", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system of a path, path object): local, HDFS and object
+    stores alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False, and nothing written, if the name is taken."""
+    fs, p = file_system(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception:  # the JVM's FileAlreadyExistsException, or a real failure
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True

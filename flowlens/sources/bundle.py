@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.session import create_if_absent, file_system
+
 
 @dataclass
 class Bundle:
@@ -30,30 +32,9 @@ class Bundle:
     metrics: dict[str, float] = field(default_factory=dict)
 
 
-def _file_system(spark: SparkSession, path: str):
-    """(Hadoop file system of the path, path object): local, HDFS and object
-    stores alike."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file; False if the name is taken."""
-    fs, p = _file_system(spark, path)
-    try:
-        out = fs.create(p, False)
-    except Exception as error:  # the JVM's FileAlreadyExistsException
-        if fs.exists(p):
-            return False
-        raise error
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
-
-
 def _manifests(spark: SparkSession, root: str) -> list[int]:
     """Numbers of all manifests, whole or not, newest first."""
-    fs, p = _file_system(spark, os.path.join(root, "manifests"))
+    fs, p = file_system(spark, os.path.join(root, "manifests"))
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -71,7 +52,7 @@ def _manifest(spark: SparkSession, root: str, version: int) -> dict | None:
         found = json.loads(text)
     except json.JSONDecodeError:
         return None
-    fs, p = _file_system(spark, os.path.join(root, found["folder"], "model", "metadata"))
+    fs, p = file_system(spark, os.path.join(root, found["folder"], "model", "metadata"))
     return found if fs.exists(p) else None
 
 
@@ -93,7 +74,7 @@ def commit_bundle(spark: SparkSession, root: str, folder: str, bundle: Bundle) -
                        "scaler": {k: list(v) for k, v in bundle.scaler.items()},
                        "label": bundle.label, "benign": bundle.benign, "metrics": bundle.metrics})
     version = max(_manifests(spark, root), default=0) + 1
-    while not _create_if_absent(spark, _manifest_path(root, version), text):
+    while not create_if_absent(spark, _manifest_path(root, version), text):
         version += 1
     return version
 

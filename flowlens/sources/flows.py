@@ -7,24 +7,44 @@ cast once with ``try_cast``: "Infinity"/"NaN" tokens parse, junk becomes null.
 
 from __future__ import annotations
 
-from collections import Counter, OrderedDict
+import csv
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowlens.operators._small import materialize
 from flowlens.operators.cleaning import find_label_column
+from flowlens.session import file_system, scratch_path
+
+
+# What the original reader takes for a missing value.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def strip_header_names(names: list[str]) -> list[str]:
-    """Trim blanks; a name seen before gets ``_1``, ``_2``... by position."""
+    """Trim blanks; a name seen before (without regard to case, as Spark
+    resolves names) gets ``_1``, ``_2``..., the first that no column has."""
+    given = {str(n).strip().lower() for n in names}
     seen: dict[str, int] = {}
     out = []
     for n in names:
         base = str(n).strip()
-        k = seen.get(base, 0)
-        out.append(base if k == 0 else f"{base}_{k}")
-        seen[base] = k + 1
+        name, k = base, seen.get(base.lower())
+        if k is None:
+            k = 0
+        else:
+            k += 1
+            while f"{base}_{k}".lower() in given:
+                k += 1
+            name = f"{base}_{k}"
+        seen[base.lower()] = k
+        out.append(name)
     return out
 
 
@@ -33,78 +53,142 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 
 def type_flows(df: DataFrame, label: str | None = None, keep_text: list[str] | None = None) -> DataFrame:
-    """Text columns -> double except the label (found by name when not given)."""
+    """Text columns -> double except the label (found by name when not given),
+    in which a missing-value token is null."""
     label = label or find_label_column(df.columns)
-    text = set(keep_text or []) | ({label} if label else set())
-    return df.select([F.trim(F.col(f"`{c}`")).alias(c) if c in text
-                      else F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns])
+    text = set(keep_text or [])
 
+    def typed(c: str) -> Column:
+        if c in text:
+            return F.trim(F.col(f"`{c}`"))
+        if c == label:
+            value = F.trim(F.col(f"`{c}`"))
+            return F.when(~value.isin(*MISSING_TOKENS), value)
+        return F.col(f"`{c}`").try_cast("double")
+
+    return df.select([typed(c).alias(c) for c in df.columns])
 
-def _read_csv(spark: SparkSession, paths: list[str] | str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(paths)
-
-
-def _given_names(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
-    """Header names as the file has them: Spark appends the position to every
-    name that occurs more than once (without regard to case).  Only when names
-    look like that is the header read as a row (one line) to tell them from
-    names that end in a number of their own."""
-    bare = [c[:-len(str(i))] if c.endswith(str(i)) else None for i, c in enumerate(columns)]
-    if max(Counter(b.lower() for b in bare if b is not None).values(), default=0) < 2:
-        return columns
-    header = spark.read.option("header", False).csv(path).first()
-    given = Counter((h or "").lower() for h in header)
-    return [b if b is not None and given[b.lower()] > 1 else c for b, c in zip(bare, columns, strict=True)]
 
+def _read_csv(spark: SparkSession, paths: list[str] | str, schema) -> DataFrame:
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(paths)
 
-def _with_header_names(df: DataFrame, path: str) -> DataFrame:
-    return df.toDF(*strip_header_names(_given_names(df.sparkSession, path, df.columns)))
+
+def _read_by_place(spark: SparkSession, paths: list[str] | str, names: list[str]) -> DataFrame:
+    """Text columns by their place in the line, so no name in a header can
+    clash; ``names`` are given after the read."""
+    places = T.StructType([T.StructField(f"__c{i}", T.StringType()) for i in range(len(names))])
+    return _read_csv(spark, paths, places)
 
 
 def read_flows(spark: SparkSession, path: str, schema=None, label: str | None = None) -> DataFrame:
     """One CSV (file or folder of parts) -> typed flow table with clean names.
 
-    With an explicit schema the file is read with it (no typing pass).
+    The header line is read as a row (one line), the rest by place.  With an
+    explicit schema the file is read with it (no typing pass).
     """
     if schema is not None:
         return strip_headers(_read_csv(spark, path, schema))
-    return type_flows(_with_header_names(_read_csv(spark, path), path), label)
+    header = spark.read.option("header", False).csv(path).first()
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    names = strip_header_names([h or "" for h in header])
+    return type_flows(_read_by_place(spark, path, names).toDF(*names), label)
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of ``*.csv`` files under a folder (a distributed listing; contents unread)."""
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-               .option("recursiveFileLookup", "true").load(folder).select("path"))
-    return sorted(r["path"] for r in listing.collect())
-
-
-def read_flow_folder(spark: SparkSession, folder: str, label: str | None = None) -> DataFrame:
+    """Paths of ``*.csv`` files under a folder, empty ones too: the file index
+    that Spark makes for any scan of it; contents unread."""
+    return sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+                  .option("recursiveFileLookup", "true").load(folder).inputFiles())
+
+
+@contextmanager
+def _one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """A scan task per whole file, handed over in small batches, so that a
+    reader that wants the first line stops after it.  Settings come back."""
+    wanted = {"spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40),
+              "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            line, path = batch.column(0)[0].as_py().decode(errors="replace"), batch.column(1)[0].as_py()
+            names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+            broken = "\x00" in line or "\ufffd" in line
+            problem = "not text" if broken else None if any(n.strip() for n in names) else "no header"
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([names], pa.list_(pa.string())), pa.array([problem], pa.string())],
+                names=["path", "header", "problem"])
+            return
+
+
+def _plain_path(c: str) -> Column:
+    """A path without the percent codes of a file index (a plus is no blank there)."""
+    return F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+
+
+def header_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, source_file, header, problem) of every ``*.csv`` under a folder.
+
+    One distributed job reads the first lines, a task a file that stops after
+    its line.  ``problem`` is null for a readable header; else ``empty or
+    unreadable`` (no first line could be read), ``not text`` or ``no header``.
+    The result is written once.
+    """
+    found = spark.createDataFrame([(p,) for p in list_csv_files(spark, folder)], "path string") \
+        .select(_plain_path("path").alias("path"))
+    lines = (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+             .option("ignoreCorruptFiles", "true").text(folder)
+             .select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("path")))
+    heads = lines.mapInArrow(_first_lines, "path string, header array<string>, problem string")
+    name = F.element_at(F.split("path", "/"), -1).alias("source_file")
+    with _one_file_a_task(spark):
+        heads = materialize(heads, "headers").withColumnRenamed("path", "__path")
+    # the index writes file:///x where the scan writes file:/x
+    listed = found.withColumn("__key", F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"))
+    heads = heads.withColumn("__key", F.regexp_replace(_plain_path("__path"), "^([a-z0-9]+):/+", "$1:/"))
+    out = listed.join(heads, "__key", "left").select(
+        "path", name, "header", F.when(F.col("header").isNull(), F.lit("empty or unreadable"))
+        .otherwise(F.col("problem")).alias("problem"))
+    return materialize(out, "catalogue")
+
+
+def quarantined(catalogue: DataFrame) -> DataFrame:
+    """The files that cannot be read, with the reason."""
+    return catalogue.filter(F.col("problem").isNotNull()).select("path", "source_file", "problem")
+
+
+def read_flow_folder(spark: SparkSession, folder: str, label: str | None = None,
+                     catalogue: DataFrame | None = None) -> DataFrame:
     """All ``*.csv`` under a folder, unioned by (stripped) column name.
 
-    Files are grouped by header so each group is one scan; unreadable files
-    are skipped; an empty folder gives an empty table.  Adds ``source_file``
-    and ``source_dir`` (from the file metadata) and, per header group, the
-    number and names of its columns.
+    Files are grouped by header so each group is one scan; files without a
+    readable header stay out and are listed by ``quarantined``; an empty folder
+    gives an empty table.  Adds ``source_file`` and ``source_dir`` (from the
+    file metadata) and, per header group, the number and names of its columns.
     """
-    files = list_csv_files(spark, folder)
-    groups: "OrderedDict[tuple, list[str]]" = OrderedDict()
-    for p in files:
-        try:
-            header = tuple(spark.read.option("header", True).csv(p).columns)
-        except Exception:  # noqa: BLE001 - an unreadable file is skipped, as documented
-            continue
-        groups.setdefault(header, []).append(p)
+    catalogue = header_catalogue(spark, folder) if catalogue is None else catalogue
+    groups: dict[tuple, list[str]] = {}
+    # the driver holds the file list of every scan anyway
+    for row in catalogue.filter(F.col("problem").isNull()).orderBy("path").toLocalIterator():
+        groups.setdefault(tuple(row["header"]), []).append(row["path"])
     if not groups:
         return spark.createDataFrame([], "source_file string, source_dir string")
     parts = []
     for header, paths in groups.items():
-        df = _read_csv(spark, paths)
-        names = strip_header_names(_given_names(spark, paths[0], list(header)))
+        names = strip_header_names(list(header))
+        df = _read_by_place(spark, paths, names)
         meta = F.col("_metadata.file_path")
-        df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
+        df = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)],
                        F.col("_metadata.file_name").alias("source_file"),
                        F.element_at(F.split(meta, "/"), -2).alias("source_dir"))
         df = type_flows(df, label, keep_text=["source_file", "source_dir"])
@@ -127,9 +211,24 @@ def union_uploads(spark: SparkSession, uploads: list[str], label: str | None = N
 
 def source_profile(flows: DataFrame, source: str = "source_dir") -> DataFrame:
     """Rows, number of columns and column names per source."""
+    # a source is a file (``source_file``) or a folder of parts with one header;
+    # of several headers in a folder the widest is shown
     return flows.groupBy(source).agg(F.count(F.lit(1)).alias("rows"),
-                                     F.first("n_columns").alias("n_columns"),
-                                     F.first("column_names").alias("column_names"))
+                                     F.max("n_columns").alias("n_columns"),
+                                     F.max_by("column_names", F.struct("n_columns", "column_names")).alias("column_names"))
+
+
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """Write a small table (a sample, a report) as one CSV file of that name."""
+    spark = df.sparkSession
+    staged = scratch_path(spark, "csv")
+    write_csv(df.coalesce(1), staged)
+    fs, target = file_system(spark, path)
+    _, source = file_system(spark, staged)
+    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(target.getParent())
+    if not fs.rename(part, target):
+        raise OSError(f"cannot write {path}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import model
 from flowlens.plans import training
-from flowlens.session import scratch_path
+from flowlens.session import create_if_absent, scratch_path
 from flowlens.sources import bundle as bd
 
 
@@ -40,7 +40,7 @@ def test_a_save_that_dies_leaves_the_version_before(spark, result):
 def test_a_taken_number_is_never_written_over(spark, result):
     root = scratch_path(spark, "t_versions")
     path = os.path.join(root, "manifests", "00000001.json")
-    assert bd._create_if_absent(spark, path, "first") and not bd._create_if_absent(spark, path, "second")
+    assert create_if_absent(spark, path, "first") and not create_if_absent(spark, path, "second")
     assert open(path).read() == "first"
 
 

@@ -275,6 +275,27 @@ def live_log(df: DataFrame, label: str, confidence: str, threat: str) -> DataFra
                          .otherwise(F.lit("danger")))
 
 
+def event_log(detections: DataFrame, changes: DataFrame, run: str, ms: str, id_col: str, label: str,
+              confidence: str, threat: str, window_s: int) -> DataFrame:
+    """The dashboard's log: detection rows merged with level-change rows.
+
+    Both streams of rows share one order, (``ms``, ``id``, ``entry``): at a
+    time, an event's detection comes before the level change it brings about.
+    A plain union; nothing is joined or sorted here.  ``changes`` comes from
+    ``level_changes``.
+    """
+    seen = live_log(detections, label, confidence, threat).select(
+        run, ms, F.col(id_col).alias("id"), F.lit(0).alias("entry"), "message", "confidence_text", "type")
+    # fixed text, equal to the dashboard's
+    alert = F.format_string(f"[ALERT] Traffic intensity escalated to <b>%s</b> ({window_s}s non-BENIGN count=%d)",
+                            F.col("level"), F.col("count"))
+    moved = changes.select(
+        run, ms, F.col(id_col).alias("id"), F.lit(1).alias("entry"), alert.alias("message"),
+        F.lit(None).cast("string").alias("confidence_text"),
+        F.when(F.col("level") == "High", "danger").otherwise("info").alias("type"))
+    return seen.unionByName(moved)
+
+
 def display_threat(df: DataFrame, run: str, ts: str, label: str, benign: str, threat: str,
                    window_ms: int) -> DataFrame:
     """Intensity level while a run is active (a non-benign event in the trailing

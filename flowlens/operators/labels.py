@@ -52,13 +52,14 @@ def label_dictionary(df: DataFrame, label: str, out_label: str = "label",
 
 def encode_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None,
                   out: str = "label_idx") -> DataFrame:
-    """Attach the dictionary index of each row's label (broadcast equi-join)."""
+    """Attach the dictionary index of each row's label (broadcast equi-join); a
+    null label has the index that the dictionary gives it, if any."""
     if dictionary is None:
         d = label_dictionary(df, label)          # broadcast-hinted only when small
     else:                                        # a caller's table: check its size first
         d = broadcast_checked(dictionary)
     d = d.select(F.col("label").alias("__lbl"), F.col("label_idx").alias(out))
-    return df.join(d, F.col(label).cast("string") == F.col("__lbl"), "left").drop("__lbl")
+    return df.join(d, F.col(label).cast("string").eqNullSafe(F.col("__lbl")), "left").drop("__lbl")
 
 
 def encode_with_classes(df: DataFrame, label: str, classes: list[str], out: str = "label_idx") -> DataFrame:

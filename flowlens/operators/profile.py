@@ -6,6 +6,10 @@ shuffle of one row per partition), reshaped to long form afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +54,60 @@ def quality_report(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*structs)))
 
 
+#: Rows whose cross products are formed by one matrix multiplication.
+BLOCK_ROWS = 4096
+
+
 def feature_correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every feature pair (i < j), over the rows that have both.
 
-    A row becomes its list of present features once; a join-free explode to
-    pairs feeds one ``corr`` keyed by the pair, combined map-side, so the plan
-    has one aggregate whatever the number of features.
+    A blocked cross-product matrix: every task multiplies its rows' feature
+    matrix with itself, block by block, next to a matrix of pairwise presence,
+    and emits one row of sums a pair; the sums of all tasks are merged.  Values
+    are taken off their means first (one aggregate), so no digits cancel.  A
+    pair with a NaN or infinite value in a common row gives NaN; fewer than two
+    common rows or a constant column gives null.  An empty table gives no rows.
     """
-    values = F.array(*[F.expr(f"CAST({ident(c)} AS DOUBLE)") for c in features]).alias("__v")
+    k = len(features)
+    centre = _finite_means(df, features)
+    wide = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(features)])
+    sums = ("n", "bad", "sx", "sy", "sxx", "syy", "sxy")
+    i, j = np.triu_indices(k, 1)
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((len(sums), k, k)), 0
+        for batch in batches:
+            seen += batch.num_rows
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                rows = batch.slice(lo, BLOCK_ROWS)
+                there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in rows.columns], 1)
+                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in rows.columns], 1)
+                finite = np.isfinite(x)
+                x = np.where(there & finite, x - centre, 0.0)
+                here, odd = there.astype(float), (there & ~finite).astype(float)
+                square, once = (x * x).T @ here, x.T @ here
+                either = odd.T @ here
+                total += np.stack([here.T @ here, either + either.T, once, once.T, square, square.T, x.T @ x])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                                              *(pa.array(t[i, j]) for t in total)], names=["i", "j", *sums])
+
+    if k < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, pearson double")
+    parts = wide.mapInArrow(cross, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    found = parts.groupBy("i", "j").agg(*(F.sum(s).alias(s) for s in sums))
+    spread = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
+    r = F.when(F.col("bad") > 0, float("nan")).when((F.col("n") > 1) & (spread > 0), (
+        F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread))
     names = F.array(*[F.lit(c) for c in features])
-    last = len(features) - 1
-    first = df.select(values).select("__v", F.posexplode(F.slice("__v", 1, max(last, 0))).alias("__i", "__x"))
-    pairs = first.select("__i", "__x", F.posexplode(F.expr("slice(__v, __i + 2, size(__v))")).alias("__k", "__y"))
-    found = pairs.groupBy("__i", (F.col("__i") + F.col("__k") + 1).alias("__j")).agg(F.corr("__x", "__y").alias("pearson"))
-    return found.select(F.element_at(names, F.col("__i") + 1).alias("feature_a"),
-                        F.element_at(names, F.col("__j") + 1).alias("feature_b"), "pearson")
+    return found.select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
+                        F.element_at(names, F.col("j") + 1).alias("feature_b"), r.alias("pearson"))
+
+
+def _finite_means(df: DataFrame, features: list[str]) -> np.ndarray:
+    """Means of the finite values, 0 where there are none (one row to the driver)."""
+    means = []
+    for i, c in enumerate(features):
+        x = f"CAST({ident(c)} AS DOUBLE)"
+        means.append(f"avg(CASE WHEN abs({x}) < double('Infinity') THEN {x} END) AS m{i}")
+    return np.array([0.0 if m is None else m for m in df.selectExpr(*means).first()])

@@ -157,6 +157,31 @@ def q_live_log(spark, sf):
     return out.select("id", "message", "confidence_text", "type")
 
 
+_CHANGES_SQL = f"""
+SELECT event_id, user_id, ms, count, level FROM (
+  SELECT *, coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY ms, event_id), 'Low') AS previous_level
+  FROM (SELECT *, {_level_sql('count')} AS level FROM ({_SLIDING_SQL})))
+WHERE previous_level <> level"""
+
+
+@register("live_log_events", sql=f"""
+SELECT user_id, ms, id, 0 AS entry, 'DETECTED: ' || predicted_label AS message,
+       '(Conf: ' || printf('%.4f', confidence * 100) || '%)' AS confidence_text,
+       CASE WHEN threat_level = 'None' THEN 'success' ELSE 'danger' END AS type
+FROM {_HIST_SQL}
+UNION ALL
+SELECT user_id, ms, event_id, 1, '[ALERT] Traffic intensity escalated to <b>' || level || '</b> ({W // 1000}s non-BENIGN count='
+       || count || ')', NULL, CASE level WHEN 'High' THEN 'danger' ELSE 'info' END
+FROM ({_CHANGES_SQL})
+""")
+def q_live_log_events(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    times = detection.sliding_attack_times(ev, "user_id", "ts", "event_type", fx.EVENT_BENIGN, W, "event_id")
+    changes = detection.level_changes(times, "user_id", "ms", "event_id").withColumnRenamed("event_id", "id")
+    return detection.event_log(fx.detections(spark, sf), changes, "user_id", "ms", "id", "predicted_label", "confidence",
+                               "threat_level", W // 1000)
+
+
 @register("display_threat", sql=f"""
 WITH c AS (SELECT event_id, user_id, {_THREAT_SQL} AS threat,
                   sum(CASE WHEN {NON_BENIGN} THEN 1 ELSE 0 END) OVER (

@@ -1,5 +1,8 @@
 """JSON bodies, header names and label dictionaries that one clean file never shows."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,29 @@ def test_timeline_over_several_ranges(spark, monkeypatch):
     want = {("r", k): sum(t <= k <= t + 100 for t in times) for k in range(0, 2111, 10)}
     want |= {(None, k): int(7 <= k <= 107) for k in range(10, 111, 10)}
     assert got == want
+
+
+def test_correlations_over_common_rows(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK_ROWS", 3)
+    big = 1e9
+    rows = [(big + i, (i * 7 % 5) * 1.0, None if i % 3 else i * 1.0, 4.0, float("inf") if i == 2 else 1.0 * i, None)
+            for i in range(20)]
+    names = list("abcdef")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
+    got = {(r.feature_a, r.feature_b): r.pearson for r in profile.feature_correlations(df, names).collect()}
+    for i, x in enumerate(names):
+        for j in range(i + 1, 6):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            if any(math.isinf(v) for p in both for v in p):
+                assert math.isnan(got[x, names[j]])
+            elif len(both) < 2 or 3 in (i, j):
+                assert got[x, names[j]] is None
+            else:
+                assert got[x, names[j]] == pytest.approx(float(np.corrcoef(np.array(both).T)[0, 1]), abs=1e-9)
+    assert profile.feature_correlations(df.limit(0), names[:2]).collect() == []
+    assert profile.feature_correlations(df, names[:1]).count() == 0
+
+
+def test_a_null_label_has_the_dictionarys_index(spark):
+    df = spark.createDataFrame([(1, None), (2, "b"), (3, "a"), (4, "")], "id int, label string")
+    assert {r.id: r.label_idx for r in labels.encode_labels(df, "label").collect()} == {1: 0, 4: 1, 3: 2, 2: 3}

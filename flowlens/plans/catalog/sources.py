@@ -190,6 +190,31 @@ def q_append_history(spark, sf):
                     "threat_level", "features_count", "date")
 
 
+COMPACT_BATCHES = 6
+
+
+@register("history_compaction", sql=f"""
+SELECT event_id AS id, (epoch_us(ts) // 1000) AS ms, event_type AS predicted_label, strftime(ts, '%Y-%m-%d') AS date,
+       event_id % {COMPACT_BATCHES} AS batch_id, event_id % {COMPACT_BATCHES} < {COMPACT_BATCHES - 1} AS compacted
+FROM events
+""")
+def q_history_compaction(spark, sf):
+    """Batches appended one by one, compacted twice in between, the last one replayed."""
+    d = fx.detections(spark, sf)
+    path = scratch_path(spark, "history")
+    for k in range(COMPACT_BATCHES):
+        records.append_history(d.filter(F.col("id") % COMPACT_BATCHES == k), path, "run", k)
+        if k in (2, COMPACT_BATCHES - 1):
+            records.compact_history(spark, path)
+            records.vacuum_history(spark, path)
+    records.append_history(d.filter(F.col("id") % COMPACT_BATCHES == k), path, "run", k)  # replayed
+    open_batches = spark.read.parquet(path).select(F.col("batch_id").alias("open")).distinct()
+    h = records.read_history(spark, path)
+    return h.join(F.broadcast(open_batches), F.col("batch_id") == F.col("open"), "left").select(
+        "id", "ms", "predicted_label", "date", F.col("batch_id").cast("bigint").alias("batch_id"),
+        F.col("open").isNull().alias("compacted"))
+
+
 @register("metrics_io", sql=f"""
 SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1, round(fpr, 6) AS fpr, round(auc, 6) AS auc, 'stored' AS source FROM ({METRICS_SQL})

@@ -35,7 +35,7 @@ _ALL = "__all__"
 TARGET_BUCKET_ROWS = 2_000_000
 MAX_BUCKET_HEX = 8
 # Draws per bucket of a rank directory, and its deepest bucket key.
-DRAWS_PER_BUCKET = 1 / 16
+DRAWS_PER_BUCKET = 1 / 4
 MAX_DIRECTORY_HEX = 6
 # Hex digits of a whole digest.
 DIGEST_HEX = 32
@@ -171,12 +171,13 @@ def attach_draw(ranked: DataFrame, draws: DataFrame, group: str | None, n: int |
 
 
 def kth_digests(df: DataFrame, group: str, keys: list[str], ranks: DataFrame, counts: DataFrame,
-                seed=42, bucket_hex: int = 3) -> DataFrame:
+                seed=42, bucket_hex: int = 3) -> tuple[DataFrame, bool]:
     """Per group the digest at its rank: (``__g``, ``__d``, ``__need``, ``__tied``),
-    where ``__need`` of the ``__tied`` rows with that digest are within the rank.
+    where ``__need`` of the ``__tied`` rows with that digest are within the rank;
+    and whether a rank falls among tied rows.
 
-    ``ranks`` holds (``__g``, ``__k``), a small table, ``counts`` is the
-    ``bucket_counts`` table.  Each step keeps the one bucket a group whose
+    ``ranks`` holds (``__g``, ``__k``), at most MAX_BROADCAST_ROWS groups,
+    ``counts`` is the ``bucket_counts`` table.  Each step keeps the one bucket a group whose
     offsets enclose the rank and counts only its rows by more digest digits,
     until a bucket is one digest; no row is sorted.
     """
@@ -188,10 +189,12 @@ def kth_digests(df: DataFrame, group: str, keys: list[str], ranks: DataFrame, co
     while True:
         at = at.filter((F.col("__off") < F.col("__k")) & (F.col("__k") <= F.col("__off") + F.col("__n"))) \
                .select("__g", "__p", "__n", (F.col("__k") - F.col("__off")).alias("__k"))
-        at, _ = materialize_small(at)
+        kept = at.collect()  # a row a group, which the caller has checked for a broadcast
+        at = df.sparkSession.createDataFrame(kept, at.schema)
         if depth == DIGEST_HEX:
-            return at.select("__g", F.col("__p").alias("__d"), F.col("__k").alias("__need"), F.col("__n").alias("__tied"))
-        largest = at.agg(F.max("__n")).first()[0] or 0
+            return (at.select("__g", F.col("__p").alias("__d"), F.col("__k").alias("__need"), F.col("__n").alias("__tied")),
+                    any(r["__k"] < r["__n"] for r in kept))
+        largest = max((r["__n"] for r in kept), default=0)
         deeper = DIGEST_HEX if largest <= TARGET_BUCKET_ROWS else min(DIGEST_HEX, depth + 4)
         inside = join_null_safe(rows.withColumn("__p", F.substring("__d", 1, depth)),
                                 F.broadcast(at.drop("__n")), ["__g", "__p"])
@@ -373,7 +376,7 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     quotas, k = _split_quotas(df, label, test_size, counts)
     if k <= MAX_BROADCAST_ROWS:
         ranks = quotas.select(F.col("label").alias("__g"), F.col("test_quota").alias("__k"))
-        return _split_at(df, label, keys, kth_digests(df, label, keys, ranks, counts, seed), seed, split_col)
+        return _split_at(df, label, keys, *kth_digests(df, label, keys, ranks, counts, seed), seed, split_col)
     q = quotas.select(F.col("label").alias("__lbl"), "test_quota")
     ranked, _ = group_rank(df, label, keys, seed, rank_col="__rank", counts=counts)
     out = ranked.join(q, F.col(label).eqNullSafe(F.col("__lbl")), "inner")
@@ -382,13 +385,14 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
     return out.drop("__lbl", "test_quota", "__rank", "group_size")
 
 
-def _split_at(df: DataFrame, label: str, keys: list[str], limits: DataFrame, seed, split_col: str) -> DataFrame:
+def _split_at(df: DataFrame, label: str, keys: list[str], limits: DataFrame, tied: bool, seed,
+              split_col: str) -> DataFrame:
     rows = df.withColumn("__g", F.col(label)).withColumn("__own", order_digest(seed, *keys))
     rows = join_null_safe(rows, F.broadcast(limits), ["__g"], "left")  # a row a label, checked by the caller
     cut = F.coalesce((F.col("__own") == F.col("__d")) & (F.col("__need") < F.col("__tied")), F.lit(False))
     is_test = F.coalesce(F.col("__own") <= F.col("__d"), F.lit(False))
     parts = [(rows, is_test)]
-    if limits.filter(F.col("__need") < F.col("__tied")).limit(1).count():
+    if tied:
         numbered = Window.partitionBy("__g").orderBy("__own")
         parts = [(rows.filter(~cut), is_test), (rows.filter(cut).withColumn("__n", F.row_number().over(numbered)),
                                                 F.col("__n") <= F.col("__need"))]

@@ -17,6 +17,8 @@ from flowlens.sources.bundle import save_bundle
 from flowlens.streaming import detect
 
 SLICES = 4
+# Events per state partition of the intensity stream.
+STATE_ROWS = 1_000_000
 
 
 def event_slices(spark, sf, slices: int = SLICES) -> tuple[int, int]:
@@ -131,12 +133,13 @@ SELECT user_id, NULL, ms, count, old, level, CASE count WHEN 0 THEN 'cleared' EL
 FROM l WHERE event_id IS NULL AND (count = 0 OR {_RANK_SQL} < {_RANK_SQL.replace('level', 'old')})
 """)
 def q_stream_intensity(spark, sf):
-    root, schema = stage_event_stream(spark, sf, files=3)
+    root, schema = stage_event_stream(spark, sf, files=2)
     _, delay = event_slices(spark, sf)  # a file may be a whole drop behind the newest one
     close_event_stream(spark, sf, root, W + delay + 1000)
+    partitions = 8 + fx.table(spark, sf, "events").count() // STATE_ROWS
     out, ckpt = scratch_path(spark, "s_intensity"), scratch_path(spark, "s_ickpt")
     detect.run_intensity_stream(_read_stream(spark, root, schema), "user_id", "ts", "event_id", "event_type",
-                                fx.EVENT_BENIGN, W, out, ckpt, delay)
+                                fx.EVENT_BENIGN, W, out, ckpt, delay, state_partitions=partitions)
     return spark.read.parquet(out).drop("run_id", "batch_id")
 
 

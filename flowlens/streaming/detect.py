@@ -259,20 +259,27 @@ class IntensityProcessor(StatefulProcessor):
 
 
 @contextmanager
-def _state_store(spark: SparkSession) -> Iterator[None]:
-    """Timers need the RocksDB state store; the session's own setting comes back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _state_store(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Timers need the RocksDB state store; a new checkpoint fixes its number of
+    state partitions.  The session's own settings come back."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass":
+              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, label: str, benign: str,
                          window_ms: int, out_path: str, checkpoint: str, delay_ms: int = 0,
-                         low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX) -> None:
+                         low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX,
+                         state_partitions: int | None = None) -> None:
     """Level rows per run over event time: ``change`` where an event's level
     differs from the level at the run's previous event, ``decay`` where the
     window's end lowers the level, ``cleared`` where it empties the window.
@@ -281,7 +288,8 @@ def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, labe
     their time; rows that come later than that are dropped.  Benign rows don't
     count but move the clock: a closing benign row moves the watermark, and the
     batch after it settles what lies behind.  The run may be of any type; rows without a run form a run of their
-    own, rows without a time count nowhere.
+    own, rows without a time count nowhere.  ``state_partitions`` sizes the state of
+    a new checkpoint (by default the session's shuffle partitions).
     """
     # one condition that names the event time: the optimizer would move a plain
     # filter on the label below the watermark, and benign rows would not move it
@@ -296,5 +304,5 @@ def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, labe
     def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
         _write_batch(batch, out_path, run_id, batch_id)
 
-    with _state_store(stream.sparkSession):
+    with _state_store(stream.sparkSession, state_partitions):
         _drain(out, sink, checkpoint)

@@ -25,14 +25,24 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN ids USING (rid)
 """
 
 
+# The contract's base patterns, written out: a fault in the operator's own rules must not pass both.
+_BASE_SECRETS = {
+    "assign": ("""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"""
+               """|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    "access": ("(AKIA[A-Z0-9]+)", 20),
+    "hex": ("([0-9a-f]+)", 24),
+}
+
+
 def _secrets_sql() -> str:
     from flowlens.llm.secrets import BASE_KINDS, RULES
 
     parts = []
-    for k, r in enumerate(RULES):
-        pattern = f"(?s)(.*?)({r.pattern})".replace("'", "''")
+    rules = _BASE_SECRETS | {r.kind: (r.pattern, r.least) for r in RULES if r.kind not in _BASE_SECRETS}
+    for k, (kind, (secret, least)) in enumerate(rules.items()):
+        pattern = f"(?s)(.*?)({secret})".replace("'", "''")
         got = ", ".join(f"regexp_extract_all(t, '{pattern}', {i}) AS x{i}" for i in (1, 2, 3))
-        parts.append(f"SELECT rid, '{r.kind}' AS kind, {k} AS k, {r.least} AS least, {got} FROM d")
+        parts.append(f"SELECT rid, '{kind}' AS kind, {k} AS k, {least} AS least, {got} FROM d")
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

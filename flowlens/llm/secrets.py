@@ -12,6 +12,7 @@ the gaps and matches that one anchored pattern splits a text into.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,14 +31,17 @@ def either_case(word: str) -> str:
 class Rule:
     """One kind of secret.  ``pattern`` matches leftmost and non-overlapping;
     its only capturing group must hold ``least`` characters or the match is
-    dropped.  ``hint`` matches every text with a kept match.  A changed rule
-    gets a new version and is run anew over all blobs."""
+    dropped.  ``hint`` matches every text with a kept match.  ``lead``, which
+    may be empty, is read before a match and must not change which matches
+    there are; it keeps hopeless starts from being tried.  A changed rule gets
+    a new version and is run anew over all blobs."""
 
     kind: str
     version: int
     pattern: str
     least: int
     hint: str
+    lead: str = ""
 
     @property
     def key(self) -> str:
@@ -46,13 +50,14 @@ class Rule:
     @property
     def split(self) -> str:
         """Gap, match and measured group, each match anchored at the last end."""
-        return rf"\G([\s\S]*?)({self.pattern})"
+        return rf"\G([\s\S]*?{self.lead})({self.pattern})"
 
 
 _KEYWORD = "|".join(map(either_case, ("password", "passwd", "secret", "token"))) \
     + f"|{either_case('api')}_?{either_case('key')}"
 _ASSIGN = rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?"""
 _VALUE = "[A-Za-z0-9+/_.=-]"
+_RUN = "[A-Za-z0-9_-]+"
 
 #: Kinds in output order: first the base kinds, then those the ledger adds.
 RULES: tuple[Rule, ...] = (
@@ -61,28 +66,60 @@ RULES: tuple[Rule, ...] = (
     Rule("hex", 1, "([0-9a-f]+)", 24, "[0-9a-f]{24}"),
     Rule("pem", 1, "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 0, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge", 1, "(gh[pousr]_[A-Za-z0-9]+)", 40, "gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("jwt", 1, r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 30,
-         r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]"),
+    # a run of word characters is looked at once, from its start: its first eyJ matches or none of its eyJ does
+    Rule("jwt", 1, rf"(eyJ{_RUN}\.eyJ{_RUN}\.{_RUN})", 30, rf"{_RUN[:-1]}\.eyJ{_RUN}\.{_RUN[:-1]}",
+         rf"(?<!{_RUN[:-1]})(?={_RUN}+\.eyJ{_RUN}+\.{_RUN[:-1]}){_RUN[:-1]}*?"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of integers.  Sums grow inside blocks of about
+    sqrt(n) values and the blocks' offsets are added, since an array is copied
+    whenever a value is appended: n * sqrt(n) copies, where one block needs n * n."""
+    def grow(items: Column, size: Callable[[Column], Column]) -> Column:
+        """Sums before each item, then the sum of all."""
+        return F.aggregate(
+            items, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
+
+    def blocks(values: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), width)
+        return F.transform(starts, lambda at: grow(F.slice(values, at, width), lambda x: x))
+
+    def shifted(inner: Column) -> Column:
+        offsets = F.slice(grow(inner, lambda b: F.element_at(b, -1)), F.lit(1), F.size(inner))
+        zipped = F.arrays_zip(inner.alias("inner"), offsets.alias("offset"))
+        return F.flatten(F.transform(zipped, lambda z: F.transform(
+            F.slice(z["inner"], F.lit(2), F.size(z["inner"]) - 1), lambda x: x + z["offset"])))
+
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    sums = bound(F.struct(values.alias("v"), width.alias("w")), lambda p: bound(blocks(p["v"], p["w"]), shifted))
+    return F.when(F.size(values) > 0, sums).otherwise(F.array().cast("array<int>"))
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in a text, in code points, end exclusive."""
     gap, match, measured = (F.regexp_extract_all(text, F.lit(rule.split), F.lit(i)) for i in (1, 2, 3))
-    parts = F.arrays_zip(gap.alias("gap"), match.alias("match"), measured.alias("held"))
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-            F.when(F.length(p["held"]) >= rule.least, F.concat(acc["found"], F.array(F.struct(
-                (acc["at"] + F.length(p["gap"])).alias("start"), F.lit(rank).alias("rank"),
-                (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("end"),
-                F.lit(rule.kind).alias("kind"))))).otherwise(acc["found"]).alias("found")),
-        lambda acc: acc["found"])
-    return F.when(text.rlike(rule.hint), walk).otherwise(F.array().cast(_SPANS))
+    sizes = F.transform(
+        F.arrays_zip(gap.alias("gap"), match.alias("match"), measured.alias("held")),
+        lambda p: F.struct((F.length(p["gap"]) + F.length(p["match"])).alias("step"),
+                           F.length(p["match"]).alias("size"), F.length(p["held"]).alias("held")))
+
+    def placed(sizes: Column) -> Column:
+        ends = running_sums(F.transform(sizes, lambda p: p["step"]))
+        kept = F.filter(F.arrays_zip(sizes.alias("part"), ends.alias("end")),
+                        lambda z: z["part"]["held"] >= rule.least)
+        return F.transform(kept, lambda z: F.struct(
+            (z["end"] - z["part"]["size"]).alias("start"), F.lit(rank).alias("rank"),
+            z["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+    return F.when(text.rlike(rule.hint), bound(sizes, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def content_address(text: Column) -> Column:
@@ -130,7 +167,8 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, text_col: str = "te
 
     Null texts read as empty and hold nothing; repeated rows each get a row;
     identical texts are scanned once and all get the findings; an empty table
-    gives an empty table.
+    gives an empty table.  A very long text is scanned whole, in time in
+    proportion to it but for the sums over n matches (n * sqrt(n) steps).
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "blob-ledger")

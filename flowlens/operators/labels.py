@@ -62,16 +62,6 @@ def encode_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None
     return df.join(d, F.col(label).cast("string").eqNullSafe(F.col("__lbl")), "left").drop("__lbl")
 
 
-def encode_with_classes(df: DataFrame, label: str, classes: list[str], out: str = "label_idx") -> DataFrame:
-    """Encode against a known class list as an expression (no join).
-
-    The list comes from ``label_dictionary`` (k entries, already size-checked).
-    """
-    arr = F.array(*[F.lit(c) for c in classes])
-    idx = F.array_position(arr, F.col(label).cast("string")).cast("int") - 1
-    return df.withColumn(out, F.when(idx >= 0, idx))
-
-
 def decode_labels(df: DataFrame, index: str, dictionary: DataFrame,
                   out: str = "label") -> DataFrame:
     d = broadcast_checked(dictionary.select(F.col("label_idx").alias("__idx"), F.col("label").alias(out)))
@@ -110,15 +100,35 @@ def label_proportions(df: DataFrame, label: str) -> DataFrame:
                   .orderBy(F.desc("count"), F.asc("label")))
 
 
+def source_label_counts(df: DataFrame, source: str, label: str) -> DataFrame:
+    """Rows per (source, label), a row each; rows without a label do not count."""
+    return (df.select(F.col(source).alias("source"), F.col(label).cast("string").alias("label"))
+              .where(F.col("label").isNotNull()).groupBy("source", "label").agg(F.count(F.lit(1)).alias("count")))
+
+
+def _listable(table: DataFrame, per: str | None, long_form: str) -> DataFrame:
+    """A label table that is about to be gathered into one row (or one row a
+    ``per`` value), written and counted first: more than MAX_BROADCAST_ROWS
+    entries for one row are refused, and the caller is sent to the long form."""
+    table, n = materialize_small(table)
+    if per is not None and n > MAX_BROADCAST_ROWS:
+        n = table.groupBy(per).count().agg(F.max("count")).first()[0]
+    if n > MAX_BROADCAST_ROWS:
+        raise ValueError(f"{n} labels do not fit one row; {long_form} gives them a row each")
+    return table
+
+
 def label_counts_by_source(df: DataFrame, source: str, label: str) -> DataFrame:
-    """Rows per (source, label) plus the per-source map, rendered in label order."""
-    counts = df.groupBy(F.col(source).alias("source"), F.col(label).cast("string").alias("label")) \
-               .agg(F.count(F.lit(1)).alias("count"))
+    """Per source the map label -> rows, in label order, and the labelled rows.
+
+    ``source_label_counts`` is the long form; a source with more labels than a
+    row may hold raises ValueError.  Sources without a labelled row are left out.
+    """
+    counts = _listable(source_label_counts(df, source, label), "source", "source_label_counts")
     entries = F.array_sort(F.collect_list(F.struct(F.col("label"), F.col("count"))))
-    per_source = counts.groupBy("source").agg(
+    return counts.groupBy("source").agg(
         F.map_from_entries(entries).alias("total_counts"),
         F.sum("count").alias("source_total"))
-    return per_source
 
 
 def label_totals(df: DataFrame, label: str) -> DataFrame:
@@ -129,11 +139,14 @@ def label_totals(df: DataFrame, label: str) -> DataFrame:
 
 
 def distinct_labels(df: DataFrame, label: str, benign: str = "BENIGN") -> DataFrame:
-    """One row: number of labels, number of attack types, labels in order."""
-    d = df.select(F.col(label).cast("string").alias("label")).distinct()
-    return d.agg(F.count("label").alias("n_labels"),
-                 F.count_if(~is_benign("label", benign)).alias("n_attack_types"),
-                 F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+    """One row: number of labels, number of attack types, labels in order
+    (a missing label is none).  Raises ValueError where the labels do not fit
+    one row; ``label_counts`` is the long form."""
+    d = df.select(F.col(label).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
+    return _listable(d, None, "label_counts").agg(
+        F.count("label").alias("n_labels"),
+        F.count_if(~is_benign("label", benign)).alias("n_attack_types"),
+        F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
 
 
 def new_labels(new: DataFrame, old_dictionary: DataFrame, label: str,
@@ -144,22 +157,33 @@ def new_labels(new: DataFrame, old_dictionary: DataFrame, label: str,
     return n.join(o, "label", "left_anti")
 
 
-def retrain_stats(new: DataFrame, old_dictionary: DataFrame, label: str,
-                  old_label: str = "label") -> DataFrame:
-    """The retraining statistics record, one row, from k-row aggregates."""
+def label_status(new: DataFrame, old_dictionary: DataFrame, label: str,
+                 old_label: str = "label") -> DataFrame:
+    """Every label of the new data: its rows and whether the current model
+    lacks it (``is_new``).  Rows without a label form a row that is not new."""
     counts = new.groupBy(F.col(label).cast("string").alias("label")) \
                 .agg(F.count(F.lit(1)).alias("count"))
     old = broadcast_checked(old_dictionary.select(F.col(old_label).cast("string").alias("label"))
-                            .distinct().withColumn("known", F.lit(True)))
-    tagged = counts.join(old, "label", "left")
+                            .distinct().withColumn("__known", F.lit(True)))
+    return counts.join(old, "label", "left").select(
+        "label", "count", (F.col("__known").isNull() & F.col("label").isNotNull()).alias("is_new"))
+
+
+def retrain_stats(new: DataFrame, old_dictionary: DataFrame, label: str,
+                  old_label: str = "label") -> DataFrame:
+    """The retraining statistics record, one row, from ``label_status`` (its
+    long form); raises ValueError where the labels do not fit one row.  Rows
+    without a label count among the samples only."""
+    tagged = _listable(label_status(new, old_dictionary, label, old_label), None, "label_status")
+    named = F.col("label").isNotNull()
     return tagged.agg(
         F.sum("count").alias("total_samples"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "count"))))
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(named, F.struct("label", "count")))))
          .alias("label_distribution"),
         F.array_sort(F.collect_list("label")).alias("unique_labels"),
-        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("label"))))
+        F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("label"))))
          .alias("new_labels"),
-        F.count_if(F.col("known").isNull()).alias("new_labels_count"))
+        F.count_if("is_new").alias("new_labels_count"))
 
 
 def label_balance(df: DataFrame, label: str) -> DataFrame:

@@ -89,7 +89,10 @@ def standardize(df: DataFrame, features: list[str], params: dict[str, tuple[floa
 
 
 def train_forest(train: DataFrame, features: list[str], label_idx: str, num_trees: int = NUM_TREES,
-                 seed: int = SEED, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS) -> PipelineModel:
+                 seed: int = SEED, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
+                 n_classes: int | None = None) -> PipelineModel:
+    """Fit the forest.  ``n_classes`` names the number of label indices; without
+    it the library infers it from the rows and refuses more than 100."""
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)  # node-id cache checkpoints every 10 passes
     budget, _ = forest_budget(spark)
@@ -98,6 +101,9 @@ def train_forest(train: DataFrame, features: list[str], label_idx: str, num_tree
     parts = max(MIN_PARTITIONS, -(-train.count() // PARTITION_ROWS))
     key = F.xxhash64(*(F.col(ident(c)) for c in [*features, label_idx]))
     train = train.repartition(parts, key).sortWithinPartitions(key)
+    if n_classes:
+        nominal = {"ml_attr": {"type": "nominal", "name": label_idx, "num_vals": n_classes}}
+        train = train.withColumn(label_idx, F.col(label_idx).alias(label_idx, metadata=nominal))
     assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="__features", labelCol=label_idx, predictionCol="__pred",
                                 probabilityCol="__prob", rawPredictionCol="__raw",

@@ -106,6 +106,15 @@ def q_label_counts_by_source(spark, sf):
     return out.select("source", text.alias("total_counts"), "source_total")
 
 
+@register("source_label_counts", sql=f"""
+SELECT source, label, CAST(count(*) AS BIGINT) AS count FROM {_DOC_LABELS} WHERE label IS NOT NULL GROUP BY ALL
+""")
+def q_source_label_counts(spark, sf):
+    d = fx.table(spark, sf, "documents").select("doc_id", "source")
+    lab = fx.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return labels.source_label_counts(d.join(lab, "doc_id"), "source", "label")
+
+
 @register("label_totals", sql="""
 SELECT o_orderpriority AS label, CAST(count(*) AS BIGINT) AS count, false AS is_total
 FROM orders GROUP BY 1
@@ -157,6 +166,16 @@ def q_retrain_stats(spark, sf):
                      F.array_join("new_labels", ",").alias("new_labels"), "new_labels_count")
 
 
+@register("label_status", sql="""
+WITH o AS (SELECT DISTINCT role FROM conversations WHERE turn = 0)
+SELECT role AS label, CAST(count(*) AS BIGINT) AS count, role IS NOT NULL AND role NOT IN (SELECT role FROM o) AS is_new
+FROM conversations GROUP BY role
+""")
+def q_label_status(spark, sf):
+    conv = fx.table(spark, sf, "conversations")
+    return labels.label_status(conv, labels.label_dictionary(conv.filter(F.col("turn") == 0), "role"), "role")
+
+
 @register("label_balance", sql="""
 SELECT CAST(count(*) AS BIGINT) AS n_labels, CAST(max(n) AS BIGINT) AS max_count,
        CAST(min(n) AS BIGINT) AS min_count,

@@ -135,6 +135,23 @@ def q_model_bundle_io(spark, sf):
     return back.withColumn("mean", F.round("mean", 6)).withColumn("scale", F.round("scale", 6))
 
 
+@register("train_supports", sql=f"""
+WITH {_TRAIN_SQL}
+SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS label_idx, CAST(n - test_quota AS BIGINT) AS train_rows,
+       CAST(test_quota AS BIGINT) AS test_rows, round(train.mean_f0, 6) AS train_mean_f0
+FROM c JOIN q USING (label)
+JOIN (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS mean_f0 FROM train GROUP BY 1) train USING (label)
+""")
+def q_train_supports(spark, sf):
+    """What a training run fits and is measured on, before the forest: rows of each class by side."""
+    clean = cleaning.clean_for_training(embedding_flows(spark, sf))
+    split, _ = training.split_and_encode(clean, "label", ["vec_id"], seed=fx.SEED)
+    train = F.col("split") == "train"
+    return split.groupBy("label", "label_idx").agg(
+        F.count_if(train).alias("train_rows"), F.count_if(~train).alias("test_rows"),
+        F.round(F.avg(F.when(train, F.col("f0"))), 6).alias("train_mean_f0"))
+
+
 @register("retrain_pipeline", sql="""
 WITH u AS (SELECT label, embedding FROM embeddings), o AS (SELECT * FROM u WHERE label < 8),
 d AS (SELECT count(*) AS n FROM (SELECT DISTINCT label, embedding FROM u))

@@ -36,26 +36,32 @@ RESULT = ("status string, message string, version int, total_samples bigint, new
           "new_labels_count int, train_rows bigint, test_rows bigint, accuracy double, fpr double")
 
 
-def _split_once(clean: DataFrame, label: str, keys: list[str], test_size: float,
-                seed: int) -> tuple[DataFrame, list[str]]:
-    """Encode and split in two passes over ``clean``.
+def split_and_encode(clean: DataFrame, label: str, keys: list[str], test_size: float = 0.2,
+                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Split and encode in two passes over ``clean``: (rows with ``split`` and
+    ``label_idx``, dictionary of label and label_idx).
 
     Pass 1 counts rows per (label, digest bucket); that small table gives the
     label dictionary (its distinct labels), the split quotas (its sums) and
-    the rank offsets.  Pass 2 ranks, splits and encodes the rows, and the
-    result is written once to the shared checkpoint folder: fit, scaler and
-    evaluation reuse it, and a lost executor does not replay the scan.
+    the rank offsets.  Pass 2 splits the rows, which meet the dictionary by a
+    join (broadcast where it is small), and the result is written once to the
+    shared checkpoint folder: fit, scaler and evaluation reuse it, and a lost
+    executor does not replay the scan.  A missing label is a label.
     """
     clean = clean.withColumn(label, F.col(label).cast("string"))
     counts, _ = materialize_small(sampling.bucket_counts(clean, label, keys, seed))
-    labels_k = counts.select("__g").distinct()
-    k = labels_k.count()
-    if k > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{k} distinct labels: too many classes for a label dictionary")
-    classes = [r["__g"] for r in labels_k.orderBy(F.col("__g").asc_nulls_first()).collect()]  # k labels
+    dictionary = materialize(labels.label_dictionary(counts.select("__g"), "__g"), "dictionary")
     split = sampling.stratified_split(clean, label, keys, test_size, seed, counts=counts)
-    encoded = labels.encode_with_classes(split, label, classes)
-    return materialize(encoded, "train_split"), classes
+    return materialize(labels.encode_labels(split, label, dictionary), "train_split"), dictionary
+
+
+def class_list(dictionary: DataFrame) -> list[str]:
+    """The dictionary's labels in index order.  A forest keeps a statistic and
+    gives a probability for every class, so they must fit a driver list."""
+    k = dictionary.count()
+    if k > MAX_BROADCAST_ROWS:
+        raise ValueError(f"{k} distinct labels: too many classes for one forest")
+    return [r["label"] for r in dictionary.orderBy("label_idx").collect()]
 
 
 def _fit_and_evaluate(split: DataFrame, label: str, features: list[str], classes: list[str],
@@ -64,7 +70,7 @@ def _fit_and_evaluate(split: DataFrame, label: str, features: list[str], classes
     test = split.filter(F.col("split") == "test")
     params = model.scaler_params(train, features)
     forest = model.train_forest(model.standardize(train, features, params), features, "label_idx",
-                                num_trees=num_trees, seed=seed, max_depth=max_depth)
+                                num_trees=num_trees, seed=seed, max_depth=max_depth, n_classes=len(classes))
     # forest inference runs once: every metric pass reads the narrow scored table
     scored = model.predict_probabilities(forest, model.standardize(test, features, params), len(classes))
     scored = materialize(scored.drop(*features), "test_scored")
@@ -85,8 +91,8 @@ def train_pipeline(df: DataFrame, label: str, features: list[str], keys: list[st
                    num_trees: int = model.NUM_TREES, max_depth: int = model.MAX_DEPTH) -> TrainResult:
     with wide_table_mode(df.sparkSession):
         clean = cleaning.clean_for_training(df.select(*(ident(c) for c in [*keys, *features, label])))
-        split, classes = _split_once(clean, label, keys, test_size, seed)
-        return _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
+        split, dictionary = split_and_encode(clean, label, keys, test_size, seed)
+        return _fit_and_evaluate(split, label, features, class_list(dictionary), benign, seed, num_trees, max_depth)
 
 
 def retrain_pipeline(new: DataFrame, original: DataFrame | None, label: str, contract: list[str] | None,
@@ -130,8 +136,8 @@ def _retrain(new: DataFrame, original: DataFrame | None, label: str, contract: l
     # the de-duplication is a shuffle: write its result once instead of
     # repeating it in the counting and the splitting pass
     keyed = materialize(keyed, "retrain_rows")
-    split, classes = _split_once(keyed, label, ["__row_key"], test_size, seed)
-    result = _fit_and_evaluate(split, label, features, classes, benign, seed, num_trees, max_depth)
+    split, dictionary = split_and_encode(keyed, label, ["__row_key"], test_size, seed)
+    result = _fit_and_evaluate(split, label, features, class_list(dictionary), benign, seed, num_trees, max_depth)
     result.stats = stats
     return result
 

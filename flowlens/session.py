@@ -87,10 +87,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scratch_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a staged table."""
+    """A fresh path under the shared checkpoint folder for a staged table.
+
+    An application stages into a folder of its own, which its driver removes
+    when it ends (a killed driver leaves it behind)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return os.path.join(base, "flowlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    root = os.path.join(base, "flowlens", spark.sparkContext.applicationId)
+    if root not in _scratch_roots:
+        fs, place = file_system(spark, root)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _scratch_roots.add(root)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def file_system(spark: SparkSession, path: str):

@@ -101,8 +101,10 @@ def format_chats(log: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
     first).  Repeated rows of the log count once.  A turn number with more than
     TIES different rows is spread over further ``part`` rows by a hash, so no
     row gathers an unbounded group.  A row without an id is a conversation of
-    its own; a turn without a number comes first.  An empty log gives an empty
-    table.
+    its own; a turn without a number comes first.  Prefixes end with a turn
+    number: a snapshot that ends among several rows of one number (or among
+    rows without one) is kept.  A very long conversation comes in several
+    rows, a very long text in one.  An empty log gives an empty table.
     """
     turns = materialize(distinct_turns(log, id_col, turn_col, role_col, text_col), "chat")
     kept = maximal(turns)

@@ -84,7 +84,7 @@ c AS (SELECT conv_id, count(*) AS n, list(turn || chr(1) || role || chr(2) || te
                         ORDER BY turn, role, text) AS rendered FROM t GROUP BY conv_id),
 p AS (SELECT DISTINCT array_to_string(l[1:k], chr(3)) AS s FROM c, unnest(range(1, n)) AS u(k)),
 w AS (SELECT min(conv_id) AS conv_id, array_to_string(l, chr(3)) AS s FROM c GROUP BY 2)
-SELECT conv_id, CAST(0 AS BIGINT) AS chunk, 0 AS part, n AS turns, n AS conversation_turns, rendered
+SELECT conv_id, CAST(0 AS BIGINT) AS chunk, n AS turns, n AS conversation_turns, rendered
 FROM c JOIN w USING (conv_id) WHERE s NOT IN (SELECT s FROM p)
 """
 

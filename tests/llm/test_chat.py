@@ -45,19 +45,37 @@ def test_nulls_empty_texts_and_lone_rows(spark):
     assert run(spark, log) == plain(log)
 
 
-def test_long_conversations_come_in_chunks(spark):
-    log = [(1, k, "user", f"t{k}") for k in range(2500)] + [(2, k, "user", f"t{k}") for k in range(1500)]
+def test_long_conversations_are_one_row(spark):
+    log = [(1, k, "user", f"t{k}") for k in range(64, 2564)] + [(2, k, "user", f"t{k}") for k in range(64, 1564)]
+    assert run(spark, log) == plain(log)
     df = spark.createDataFrame(log, "conv_id long, turn int, role string, text string")
-    rows = sorted(format_chats(df).collect(), key=lambda r: r.chunk)
-    assert {r.conv_id for r in rows} == {1} and {r.conversation_turns for r in rows} == {2500}
-    assert "".join(r.rendered for r in rows) == "".join(f"<|im_start|>user\n{t[3]}<|im_end|>\n" for t in log[:2500])
+    rows = sorted(format_chats(df, chunk_turns=1000).collect(), key=lambda r: r.chunk)
+    assert [(r.conv_id, r.chunk, r.turns, r.conversation_turns) for r in rows] \
+        == [(1, 0, 1000, 2500), (1, 1, 1000, 2500), (1, 2, 500, 2500)]
+    assert "".join(r.rendered for r in rows) == plain(log)[0][2]
 
 
 def test_many_rows_of_one_turn_number(spark):
-    log = [(1, 0, "user", f"t{k}") for k in range(1000)]
-    df = spark.createDataFrame(log, "conv_id long, turn int, role string, text string")
-    rows = format_chats(df).collect()
-    assert sum(r.turns for r in rows) == 1000 and max(r.turns for r in rows) < 200
+    log = [(1, 0, "user", f"t{k}") for k in range(1000)] + [(2, 0, "user", f"t{k}") for k in range(500)]
+    assert run(spark, log) == plain(log)
+
+
+def test_prefixes_end_inside_a_turn_number(spark):
+    full = [(0, "assistant", "b"), (0, "user", "a"), (0, "user", "b"), (1, "user", "c"), (1, "user", None), (None, "x", "y")]
+    order = [full[5], *full[:3], full[4], full[3]]
+    log = [(1, *t) for t in order]
+    for n in range(1, 6):  # every prefix but the whole, and for each a conversation that leaves the order
+        log += [(10 + n, *t) for t in order[:n]] + [(20 + n, *t) for t in (*order[:n], (5, "user", f"z{n}"))]
+    assert run(spark, log) == plain(log)
+    assert {r[0] for r in run(spark, log)} == {1, 21, 22, 23, 24, 25}
+
+
+def test_long_heads_in_common(spark):
+    head = "h" * 100
+    log = [(1, 0, head + str(k % 3), head + str(k)) for k in range(40)] + [(1, 0, head, None), (1, 0, None, head)]
+    log += [(2, 0, head + "0", head + "0"), (2, 0, None, head), (2, 0, head, None)]
+    for parts in (1, 5):
+        assert run(spark, log, parts) == plain(log)
 
 
 def test_empty_log_and_other_columns(spark):

@@ -20,10 +20,11 @@ from flowlens.llm.license_scan import scan_licenses
 from flowlens.llm.mixing import mix
 from flowlens.llm.ngram_join import ngram_join
 from flowlens.llm.oracles import ORACLES
-from flowlens.llm.secrets import BASE_KINDS, find_secrets, span_list
+from flowlens.llm.secrets import BASE_KINDS, RULES, find_secrets, scan_unseen, span_list
 from flowlens.llm.token_counts import count_tokens
 from flowlens.llm.toxicity import fit as fit_toxicity
 from flowlens.llm.toxicity import score_toxicity
+from flowlens.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -59,7 +60,10 @@ def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, spans = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs, ledger = table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger")
+    # a ledger that knows the base rules; the scan proper runs what it lacks, the other rules
+    scan_unseen(docs, ledger, rules=tuple(r for r in RULES if r.kind in BASE_KINDS))
+    found, spans = find_secrets(docs, ledger, keep=["doc_id"])
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
 
     def count(kind: str) -> Column:

@@ -1,10 +1,11 @@
 """Mixing: targets, the flow's cost, nearness to targets, edge cases."""
 
-import itertools
 import random
 
+import numpy as np
+
 from flowlens.llm import queries
-from flowlens.llm.mixing import Network, mix, targets, tiers
+from flowlens.llm.mixing import CELL_COST, clearing_prices, mix, respond, targets
 
 SF = "/root/testdata/sf0.1"
 
@@ -16,34 +17,73 @@ def test_targets_stop_at_twice_the_size():
     assert targets([]) == [] and targets([0, 0]) == [0.0, 0.0]
 
 
-def cost(unit, use):
-    """Convex cost of using each pattern: every tier's further words are dearer."""
-    total = 0
-    for u, n in zip(unit, use, strict=True):
-        before = 0
-        for level, upto in enumerate(tiers(64)):
-            part = min(max(n - before * u, 0), u * (upto - before))
-            total += level * part
-            before = upto
-    return total
+def network(rng, n_sources, n_patterns):
+    """Patterns (unit, sources, words) with a pattern of its own for each source, and targets inside the room."""
+    rows = [(str(k), 400, [k], [400]) for k in range(n_sources)]
+    for p in range(n_patterns):
+        held = sorted(rng.sample(range(n_sources), rng.randint(2, min(4, n_sources))))
+        unit = rng.randint(1, 60)
+        rows.append((f"p{p}", unit, held, [unit * rng.randint(1, 5) for _ in held]))
+    sizes = [sum(w for r in rows for s, w in zip(r[2], r[3], strict=True) if s == k) for k in range(n_sources)]
+    return rows, sizes, [n * rng.choice([0.3, 0.8, 1.4, 1.9, 2.0]) for n in sizes]
+
+
+def flows(rows, prices):
+    first = np.cumsum([0] + [len(r[2]) for r in rows])
+    source, words = (np.array([x for r in rows for x in r[k]]) for k in (2, 3))
+    unit = np.array([r[1] for r in rows], float)
+    flow, _ = respond(prices, unit, first, source, words.astype(float))
+    return flow, unit, first, source, words.astype(float)
+
 
+def cost(flow, unit, first, words):
+    whole = np.add.reduceat(flow, first[:-1])
+    return (whole ** 2 / (2 * unit)).sum() + CELL_COST * (flow ** 2 / (2 * words)).sum()
 
-def test_flow_is_of_least_cost():
+
+def test_flow_is_of_least_cost(spark):
     rng = random.Random(8)
-    for _ in range(40):
-        unit = [rng.randint(1, 2) for _ in range(2)]
-        cells = {(p, s): 2 * rng.randint(1, 2) for p in range(2) for s in range(2) if rng.random() < .8}
-        need = [rng.randint(0, 4) for _ in range(2)]
-        net = Network(unit, cells, need)
-        flow = net.solve()
-        assert all(0 <= flow[c] <= cells[c] for c in cells)
-        got = [sum(f for (_, s), f in flow.items() if s == k) for k in range(2)]
-        room = [sum(n for (_, s), n in cells.items() if s == k) for k in range(2)]
-        assert got == [min(a, b) for a, b in zip(need, room, strict=True)]
-        best = min((cost(unit, [sum(f for (q, _), f in zip(cells, way, strict=True) if q == p) for p in range(2)])
-                    for way in itertools.product(*(range(n + 1) for n in cells.values()))
-                    if [sum(f for (_, s), f in zip(cells, way, strict=True) if s == k) for k in range(2)] == got))
-        assert cost(unit, [sum(f for (q, _), f in flow.items() if q == p) for p in range(2)]) == best
+    for n_sources, n_patterns in ((1, 0), (2, 1), (3, 9), (6, 400)):
+        rows, sizes, wanted = network(rng, n_sources, n_patterns)
+        df = spark.createDataFrame(rows, "pattern string, unit long, sources array<int>, words array<long>").repartition(3)
+        prices = clearing_prices(df, sizes, wanted)
+        flow, unit, first, source, words = flows(rows, prices)
+        assert np.abs(np.bincount(source, flow, n_sources) - wanted).max() <= 1 + len(flow) ** 0.5
+        # a word's cost is its price inside a cell, no less where nothing flows and no more where all does
+        owner = np.repeat(np.arange(len(unit)), np.diff(first))
+        passes = np.add.reduceat(flow, first[:-1]) / unit
+        dear = passes[owner] + CELL_COST * flow / words - prices[source]
+        assert (dear[flow > 1e-6] < 1e-5).all() and (dear[flow < 2 * words - 1e-6] > -1e-5).all()
+
+
+def test_no_cheaper_flow_on_a_grid(spark):
+    rows = [("0", 4000, [0], [4000]), ("1", 2000, [1], [2000]), ("0,1", 2000, [0, 1], [4000, 2000])]
+    sizes, wanted = [8000, 4000], [9000.0, 6000.0]
+    df = spark.createDataFrame(rows, "pattern string, unit long, sources array<int>, words array<long>")
+    flow, unit, first, source, words = flows(rows, clearing_prices(df, sizes, wanted))
+    assert np.abs(np.bincount(source, flow) - wanted).max() <= 2
+    steps = np.arange(0, 8001, 100.0)
+    grid = [cost(np.array([9000 - a, 6000 - b, a, b]), unit, first, words) for a in steps for b in steps
+            if a >= 1000 and 2000 <= b <= 4000]
+    assert min(grid) * 0.999 <= cost(flow, unit, first, words) <= min(grid) * 1.001
+
+
+def test_patterns_stay_a_table(spark):
+    """Many patterns, each with few texts: every cell follows the flow, targets are met."""
+    rng = random.Random(4)
+    log, at = [], 0
+    for k in range(3000):
+        for s in rng.sample(range(12), rng.randint(1, 6)):
+            log.append((at, f"w{k} " * rng.randint(1, 1 + k % 9), f"s{s:02}"))
+            at += 1
+    df = spark.createDataFrame(log, "doc_id long, text string, source string")
+    out, n = mix(df)
+    sums = {}
+    for r in out.collect():
+        got = sums.setdefault(r.source, [0, r[n["target"]], 0])
+        got[0] += r[n["taken"]]
+        got[2] = max(got[2], r[n["size"]])
+    assert len(sums) == 12 and all(abs(a - b) <= most for a, b, most in sums.values())
 
 
 def test_taken_is_near_the_targets_and_reruns_agree(spark):
@@ -76,3 +116,11 @@ def test_nulls_ties_empty_tables_and_clashing_names(spark):
     assert same[0] == same[1]
     assert {r[n["size"]] for r in got if r.text in (None, "")} == {0}
     assert mix(df.limit(0))[0].count() == 0
+
+
+def test_names_used_inside_are_free_for_the_table(spark):
+    df = spark.createDataFrame([(k, f"a b {k % 3}", "xy"[k % 2], 1, 2, 3, 4, 5) for k in range(20)],
+                               "doc_id long, text string, source string, s int, pattern int, taken int, target int, u int")
+    out, n = mix(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target_", "taken_"]
+    assert {(r.s, r.pattern, r.taken, r.target, r.u) for r in out.collect()} == {(1, 2, 3, 4, 5)}

@@ -12,6 +12,7 @@ the gaps and matches that one anchored pattern splits a text into.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -70,6 +71,8 @@ RULES: tuple[Rule, ...] = (
     Rule("jwt", 1, rf"(eyJ{_RUN}\.eyJ{_RUN}\.{_RUN})", 30, rf"{_RUN[:-1]}\.eyJ{_RUN}\.{_RUN[:-1]}",
          rf"(?<!{_RUN[:-1]})(?={_RUN}+\.eyJ{_RUN}+\.{_RUN[:-1]}){_RUN[:-1]}*?"),
 )
+#: Characters of a text that are read to find a place in it when it is cut.
+CHUNK = 1024
 BASE_KINDS = ("assign", "access", "hex")
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -79,14 +82,15 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(values: Column) -> Column:
-    """Running sums of an array of integers.  Sums grow inside blocks of about
+def running_sums(values: Column, add: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """Running sums of an array of integers (or, with ``F.greatest`` for ``add``,
+    running maxima of integers from 0 up).  Sums grow inside blocks of about
     sqrt(n) values and the blocks' offsets are added, since an array is copied
     whenever a value is appended: n * sqrt(n) copies, where one block needs n * n."""
     def grow(items: Column, size: Callable[[Column], Column]) -> Column:
         """Sums before each item, then the sum of all."""
         return F.aggregate(
-            items, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
+            items, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), size(x)))))
 
     def blocks(values: Column, width: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(values), width)
@@ -96,7 +100,7 @@ def running_sums(values: Column) -> Column:
         offsets = F.slice(grow(inner, lambda b: F.element_at(b, -1)), F.lit(1), F.size(inner))
         zipped = F.arrays_zip(inner.alias("inner"), offsets.alias("offset"))
         return F.flatten(F.transform(zipped, lambda z: F.transform(
-            F.slice(z["inner"], F.lit(2), F.size(z["inner"]) - 1), lambda x: x + z["offset"])))
+            F.slice(z["inner"], F.lit(2), F.size(z["inner"]) - 1), lambda x: add(x, z["offset"]))))
 
     width = F.ceil(F.sqrt(F.size(values))).cast("int")
     sums = bound(F.struct(values.alias("v"), width.alias("w")), lambda p: bound(blocks(p["v"], p["w"]), shifted))
@@ -182,7 +186,10 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, text_col: str = "te
         *(F.lit(x) for kv in keys.items() for x in kv))[s["kind"]]) & s["kind"].isin(*current))
     name, blob, at = free_name(docs, "secrets"), free_name(docs, "blob"), free_name(docs, "blob_found")
     found = ours.select(F.col("blob").alias(at), fresh.alias("f")).groupBy(at).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("f")))).alias(name))
+        F.sort_array(F.flatten(F.collect_list("f"))).alias("all"))
+    # two scans at once may both have run a rule; array_distinct would compare every span with every other
+    found = found.select(at, bound(F.col("all"), lambda spans: F.filter(
+        spans, lambda s, i: ~s.eqNullSafe(F.get(spans, i - 1)))).alias(name))
     rows = docs.select(*keep, content_address(F.col(text_col)).alias(blob))
     joined = rows.join(found, F.col(blob) == F.col(at), "left")
     return joined.select(*keep, F.coalesce(name, F.array().cast(_SPANS)).alias(name)), name
@@ -193,20 +200,44 @@ def span_list(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+def _between(chunks: Column, lo: Column, hi: Column) -> Column:
+    """Characters lo to hi of a text in chunks, which are read from their near ends."""
+    first = F.floor(lo / CHUNK).cast("int")
+    held = F.slice(chunks, first + 1, F.floor((hi - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(hi > lo, F.array_join(held, "").substr(lo % CHUNK + 1, hi - lo)).otherwise("")
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with ``[kind]`` for every stretch of overlapping spans, of the first of them.
+
+    A stretch begins where a span starts at or after the running maximum of the
+    ends before it, which is the end of the stretch before: each gap is known
+    without its predecessors."""
+    def cut(p: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), p["upto"])  # one longer: its last is the end of all
+        opens = F.filter(F.arrays_zip(p["spans"].alias("span"), F.slice(before, F.lit(1), F.size(p["spans"])).alias("at")),
+                         lambda z: z["span"]["start"] >= z["at"])
+        parts = F.transform(opens, lambda z: F.concat(
+            _between(p["chunks"], z["at"], z["span"]["start"]), F.lit("["), z["span"]["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _between(p["chunks"], F.element_at(p["upto"], -1), p["length"]))
+
+    return bound(F.struct(
+        F.regexp_extract_all(text, F.lit(rf"([\s\S]{{1,{CHUNK}}})"), F.lit(1)).alias("chunks"), spans.alias("spans"),
+        running_sums(F.transform(spans, lambda s: s["end"]), F.greatest).alias("upto"),
+        F.length(text).alias("length")), cut)
+
+
 def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text",
            rules: tuple[Rule, ...] = RULES, size_col: str | None = "n_chars") -> DataFrame:
     """The documents with every secret replaced by ``[kind]``; of overlapping
     secrets the first names the cut.  ``size_col``, where the table has it,
-    follows the new text.  Rows without a secret stay as they are."""
+    follows the new text.  Rows without a secret, null and empty texts among
+    them, stay as they are; an empty table gives an empty table.  A very long
+    text is cut whole, in time in proportion to its length and its secrets (and
+    to n * sqrt(n) for n secrets)."""
     found, spans = find_secrets(docs, ledger, text_col, rules)
+    cut = _cut(F.col(text_col), F.col(spans))
     text = F.col(text_col)
-    cut = F.aggregate(
-        spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]),
-                     F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")))
-        .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
     new = free_name(found, "redacted")  # its own column first: a second use of the name would see the new text
     found = found.withColumn(new, F.when(F.size(spans) > 0, cut).otherwise(text))
     columns = []

@@ -44,3 +44,19 @@ def test_each_stage_decides_on_all_its_input(spark):
 def test_run_equals_the_stages_and_reruns_agree(spark):
     first = sorted(map(repr, corpus_pipeline.run(spark, SF).collect()))
     assert first and first == sorted(map(repr, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_stages_with_null_ids_empty_texts_and_clashing_names(spark):
+    words = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(30).collect()]
+    rows = [(None if i % 7 == 0 else i, t, "en", None if i % 3 == 0 else "web", len(t), i, i, i, i, i) for i, t in enumerate(words)]
+    rows += [(100, None, None, "web", 0, 1, 1, 1, 1, 1), (101, "", "en", None, 0, 1, 1, 1, 1, 1), rows[1],
+             (102, words[2] + " token=abcdef1", "en", "web", 0, 1, 1, 1, 1, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, taken int, redacted int, s int, node int, pattern int"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        given = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            columns, before = docs.columns, docs.count()
+            docs = materialize(stage(spark, docs, SF), f"test-{name}")
+            assert docs.columns[:len(columns)] == columns and docs.count() <= before, name
+            assert docs.where("taken IS NULL OR node IS NULL").count() == 0
+        assert (docs.count() > 10) == (given > 0)

@@ -10,7 +10,7 @@ from flowlens.operators import cleaning, evaluation, labels, sampling
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import register
 from flowlens.plans.catalog.evaluation import METRICS_SQL
-from flowlens.session import create_if_absent, file_system, scratch_path
+from flowlens.session import create_if_absent, scratch_path
 from flowlens.sources import flows as fl
 from flowlens.sources import records
 
@@ -88,25 +88,20 @@ def q_source_profile(spark, sf):
 
 
 def _stage_week(spark, sf):
-    """A folder of single files: two headers (one with repeated and case-only
-    twin names), missing-value tokens in labels, and three files without a
-    readable header."""
+    """A folder of flow files, large ones in parts: two headers (one with
+    repeated and case-only twin names), missing-value tokens in labels, and
+    three files without a readable header."""
     root = scratch_path(spark, "week")
     flows = fx.table(spark, sf, "lineitem").select(*_FLOW_COLS)
     label = F.when(F.col("l_linenumber") == 1, "NA").otherwise(F.col(fx.FLOW_LABEL))
     for name, part in (("monday.csv", F.col("l_linenumber") <= 2), ("friday.csv", F.col("l_linenumber") == 3)):
-        fl.write_csv_file(flows.filter(part).select(F.col("l_orderkey").alias(" key"), F.col("l_tax").alias("x"),
-                                                    F.col("l_quantity").alias("x_1"), label.alias(" Label")),
-                          os.path.join(root, name))
+        fl.write_csv(flows.filter(part).select(F.col("l_orderkey").alias(" key"), F.col("l_tax").alias("x"),
+                                               F.col("l_quantity").alias("x_1"), label.alias(" Label")),
+                     os.path.join(root, name))
     twin = flows.filter("l_linenumber = 4").select("l_orderkey", "l_tax", "l_quantity", fx.FLOW_LABEL)
-    lines = twin.select(F.concat_ws(",", *twin.columns).alias("value")).coalesce(1)
-    staged = scratch_path(spark, "twin")
     # the header repeats names, which a table cannot
-    spark.createDataFrame([("key, x,X ,Label",)], "value string").coalesce(1).unionByName(lines).coalesce(1) \
-        .write.text(staged)
-    fs, source = file_system(spark, staged)
-    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
-    fs.rename(part, file_system(spark, os.path.join(root, "twins.csv"))[1])
+    fl.write_csv_lines(twin.select(F.concat_ws(",", *twin.columns).alias("value")), "key, x,X ,Label",
+                       os.path.join(root, "twins.csv"))
     create_if_absent(spark, os.path.join(root, "empty.csv"), "")
     create_if_absent(spark, os.path.join(root, "blank.csv"), " , ,\n1,2,3\n")
     create_if_absent(spark, os.path.join(root, "sub", "binary.csv"), "a\x00b,c\n1,2\n")
@@ -136,6 +131,9 @@ FROM f GROUP BY source_file
 def q_folder_profile(spark, sf):
     """Rows, columns and sums of every readable file of a folder with faulty files."""
     flows = fl.read_flow_folder(spark, _stage_week(spark, sf))
+    # a file in parts is a folder of its name
+    flows = flows.withColumn("source_file", F.when(F.col("source_dir").endswith(".csv"), F.col("source_dir"))
+                             .otherwise(F.col("source_file")))
     sums = flows.groupBy("source_file").agg(
         F.round(F.sum("x"), 4).alias("tax"), F.round(F.sum("x_1"), 4).alias("quantity"),
         F.count_if(F.col("Label").isNull()).alias("missing_labels"))

@@ -8,6 +8,7 @@ cast once with ``try_cast``: "Infinity"/"NaN" tokens parse, junk becomes null.
 from __future__ import annotations
 
 import csv
+import itertools
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -103,32 +104,29 @@ def list_csv_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 @contextmanager
-def _one_file_a_task(spark: SparkSession) -> Iterator[None]:
-    """A scan task per whole file, handed over in small batches, so that a
-    reader that wants the first line stops after it.  Settings come back."""
-    wanted = {"spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40),
-              "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
+def _one_split_a_task(spark: SparkSession) -> Iterator[None]:
+    """A scan task per file or per split of a long file.  The setting comes back."""
+    split, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, spark.conf.get(split))
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(cost, before)
 
 
-def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            line, path = batch.column(0)[0].as_py().decode(errors="replace"), batch.column(1)[0].as_py()
+        headers, problems = [], []
+        for raw in batch.column(0):
+            line = raw.as_py().decode(errors="replace")
             names = next(csv.reader([line.removeprefix("\ufeff")]), [])
             broken = "\x00" in line or "\ufffd" in line
-            problem = "not text" if broken else None if any(n.strip() for n in names) else "no header"
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([names], pa.list_(pa.string())), pa.array([problem], pa.string())],
-                names=["path", "header", "problem"])
-            return
+            headers.append(names)
+            problems.append("not text" if broken else None if any(n.strip() for n in names) else "no header")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), pa.array(headers, pa.list_(pa.string())), pa.array(problems, pa.string())],
+            names=["path", "header", "problem"])
 
 
 def _plain_path(c: str) -> Column:
@@ -139,8 +137,8 @@ def _plain_path(c: str) -> Column:
 def header_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """(path, source_file, header, problem) of every ``*.csv`` under a folder.
 
-    One distributed job reads the first lines, a task a file that stops after
-    its line.  ``problem`` is null for a readable header; else ``empty or
+    One distributed job scans the files in splits and keeps each file's first
+    line, so a task reads a split and no more.  ``problem`` is null for a readable header; else ``empty or
     unreadable`` (no first line could be read), ``not text`` or ``no header``.
     The result is written once.
     """
@@ -148,10 +146,13 @@ def header_catalogue(spark: SparkSession, folder: str) -> DataFrame:
         .select(_plain_path("path").alias("path"))
     lines = (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
              .option("ignoreCorruptFiles", "true").text(folder)
-             .select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("path")))
-    heads = lines.mapInArrow(_first_lines, "path string, header array<string>, problem string")
+             .select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")))
+    # ids count from 0 in a partition's lower 33 bits, and a partition is one split
+    first = lines.where((F.col("place") % (1 << 33) == 0) & (F.col("start") == 0)).select("value", "path")
+    heads = first.mapInArrow(_headers, "path string, header array<string>, problem string")
     name = F.element_at(F.split("path", "/"), -1).alias("source_file")
-    with _one_file_a_task(spark):
+    with _one_split_a_task(spark):
         heads = materialize(heads, "headers").withColumnRenamed("path", "__path")
     # the index writes file:///x where the scan writes file:/x
     listed = found.withColumn("__key", F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"))
@@ -218,19 +219,18 @@ def source_profile(flows: DataFrame, source: str = "source_dir") -> DataFrame:
                                      F.max_by("column_names", F.struct("n_columns", "column_names")).alias("column_names"))
 
 
-def write_csv_file(df: DataFrame, path: str) -> None:
-    """Write a small table (a sample, a report) as one CSV file of that name."""
-    spark = df.sparkSession
-    staged = scratch_path(spark, "csv")
-    write_csv(df.coalesce(1), staged)
-    fs, target = file_system(spark, path)
-    _, source = file_system(spark, staged)
-    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
-    fs.mkdirs(target.getParent())
-    if not fs.rename(part, target):
-        raise OSError(f"cannot write {path}")
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a table as CSV with a header (overwrites the target folder)."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_csv_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Write ready-made CSV lines (column ``value``), a part per partition, each
+    behind the given header line: for headers that no table can have."""
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in itertools.chain([pa.array([header])], (b.column(0) for b in batches)):
+            yield pa.RecordBatch.from_arrays([values], names=["value"])
+
+    # as they are: nothing to separate, quote or trim; the CSV writer gives the parts their extension
+    plain = {"sep": "\x01", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.select("value").mapInArrow(headed, "value string").write.mode("overwrite").options(**plain).csv(path)

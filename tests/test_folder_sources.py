@@ -3,6 +3,8 @@
 import gzip
 import os
 
+from pyspark.sql import functions as F
+
 from flowlens.session import scratch_path
 from flowlens.sources import flows as fl
 
@@ -58,3 +60,22 @@ def test_folder_without_flow_files(spark):
     with open(os.path.join(broken, "cut.csv.gz"), "wb") as f:
         f.write(gzip.compress(b"a\n2\n")[:-6])  # another extension: not a flow file
     assert [r.a for r in fl.read_flow_folder(spark, broken).collect()] == [1.0]
+
+
+def test_a_long_table_is_staged_and_catalogued_in_splits(spark):
+    root = scratch_path(spark, "t_split")
+    rows = spark.range(60_000).repartition(3)
+    fl.write_csv(rows.select("id", F.col("id").alias("x")), os.path.join(root, "whole.csv"))
+    fl.write_csv_lines(rows.select(F.concat_ws(",", "id", "id").alias("value")), "id, ID", os.path.join(root, "twins.csv"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")  # several splits a file
+    try:
+        catalogue = fl.header_catalogue(spark, root).collect()
+        assert spark.conf.get("spark.sql.files.openCostInBytes") != "65536"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(catalogue) == 6 and {tuple(r.header) for r in catalogue} == {("id", "x"), ("id", " ID")}
+    flows = fl.read_flow_folder(spark, root)
+    sums = {r.source_dir: (r.n, r.s) for r in flows.groupBy("source_dir").agg(
+        F.count("*").alias("n"), F.sum("id").alias("s")).collect()}
+    assert sums == {k: (60_000, sum(range(60_000))) for k in ("whole.csv", "twins.csv")}

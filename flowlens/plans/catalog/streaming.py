@@ -136,10 +136,11 @@ def q_stream_intensity(spark, sf):
     root, schema = stage_event_stream(spark, sf, files=2)
     _, delay = event_slices(spark, sf)  # a file may be a whole drop behind the newest one
     close_event_stream(spark, sf, root, W + delay + 1000)
-    partitions = 8 + fx.table(spark, sf, "events").count() // STATE_ROWS
+    partitions = 4 + fx.table(spark, sf, "events").count() // STATE_ROWS
     out, ckpt = scratch_path(spark, "s_intensity"), scratch_path(spark, "s_ickpt")
     detect.run_intensity_stream(_read_stream(spark, root, schema), "user_id", "ts", "event_id", "event_type",
-                                fx.EVENT_BENIGN, W, out, ckpt, delay, state_partitions=partitions)
+                                fx.EVENT_BENIGN, W, out, ckpt, delay, state_partitions=partitions,
+                                groups=8 * partitions)
     return spark.read.parquet(out).drop("run_id", "batch_id")
 
 

@@ -8,6 +8,7 @@ output instead of duplicating it (exactly-once with the checkpoint).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future
 from contextlib import contextmanager
@@ -136,70 +137,122 @@ def latest_window_counts(spark: SparkSession, path: str) -> DataFrame:
 INTENSITY_OUT = (("event_id", T.LongType()), ("ms", T.LongType()), ("count", T.LongType()),
                  ("previous_level", T.StringType()), ("level", T.StringType()), ("kind", T.StringType()))
 _LEVELS = np.array(["Low", "Medium", "High"], dtype=object)
+#: Arrays are kept as bytes: element by element they would cost more than the counting.
 _STATE = T.StructType([
-    T.StructField("times", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())),
-    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("last_rank", T.IntegerType()),
-    T.StructField("done", T.LongType()), T.StructField("timer", T.LongType())])
+    T.StructField("runs", T.BinaryType()), T.StructField("ranks", T.BinaryType()),
+    T.StructField("codes", T.BinaryType()), T.StructField("times", T.BinaryType()),
+    T.StructField("counts", T.BinaryType()), T.StructField("ids", T.BinaryType()),
+    T.StructField("done", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("groups", T.LongType())])
 _BEFORE = -(1 << 62)
+_NO_ID = (1 << 63) - 1
+#: Groups of runs that share a state (``run_intensity_stream``).
+RUN_GROUPS = 64
+
+
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
 
 
 @dataclass
 class Gauge:
-    """The live gauge of one run: distinct event times that still count or are
-    still to come, events and first id at each, the level at the last event,
-    and the time up to which rows have been emitted."""
+    """The live gauges of many runs: per run the distinct event times that still
+    count or are still to come, events and first id at each, and the level at
+    its last event; for all of them the time up to which rows have been emitted.
+
+    Entries are sorted by run and time; ``codes`` are places in ``runs``."""
 
     window_ms: int
     low_max: int = LOW_MAX
     medium_max: int = MEDIUM_MAX
-    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    last_rank: int = 0
+    runs: np.ndarray = field(default_factory=_none)
+    last_rank: np.ndarray = field(default_factory=_none)
+    codes: np.ndarray = field(default_factory=_none)
+    times: np.ndarray = field(default_factory=_none)
+    counts: np.ndarray = field(default_factory=_none)
+    ids: np.ndarray = field(default_factory=_none)
     done: int = _BEFORE
 
-    def add(self, rows: Iterator[pd.DataFrame]) -> None:
-        """Take in events of any order: batches are folded to distinct times first."""
-        held = pd.DataFrame({"ms": self.times, "n": self.counts, "id": self.ids})
-        parts = [b.groupby("ms")["event_id"].agg(n="size", id="min").reset_index() for b in rows if len(b)]
-        folded = pd.concat([held, *parts]).groupby("ms").agg(n=("n", "sum"), id=("id", "min")).sort_index()
-        self.times, self.counts, self.ids = (
-            folded.index.to_numpy(np.int64), folded["n"].to_numpy(np.int64), folded["id"].to_numpy(np.int64))
-
-    def _count(self, at: np.ndarray) -> np.ndarray:
-        """Events in [t - W, t] for every t."""
-        total = np.concatenate([[0], np.cumsum(self.counts)])
-        return (total[np.searchsorted(self.times, at, side="right")]
-                - total[np.searchsorted(self.times, at - self.window_ms, side="left")])
+    def add(self, rows: Iterator[pd.DataFrame], run: str = "run") -> None:
+        """Take in events of any order: batches are folded to distinct times of a
+        run first.  Without a column ``run`` all are of one run."""
+        parts = []
+        for b in rows:
+            if len(b):
+                b = pd.DataFrame({"run": b[run] if run in b else 0, "ms": b["ms"], "id": b["event_id"]})
+                parts.append(b.groupby(["run", "ms"], dropna=False, sort=False)["id"].agg(n="size", id="min").reset_index())
+        if not parts:
+            return
+        new = pd.concat(parts, ignore_index=True)
+        every = pd.concat([pd.Series(self.runs), new["run"]], ignore_index=True) if len(self.runs) else new["run"]
+        codes, runs = pd.factorize(every, use_na_sentinel=False)
+        self.last_rank = np.append(self.last_rank, np.zeros(len(runs) - len(self.runs), np.int64))
+        self.runs = np.asarray(runs)
+        code = np.append(self.codes, codes[len(every) - len(new):])
+        time, n, first = (np.append(x, new[c].to_numpy(np.int64)) for x, c in (
+            (self.times, "ms"), (self.counts, "n"), (self.ids, "id")))
+        order = np.lexsort((time, code))
+        code, time = code[order], time[order]
+        at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (time[1:] != time[:-1])))
+        self.codes, self.times = code[at], time[at]
+        self.counts, self.ids = np.add.reduceat(n[order], at), np.minimum.reduceat(first[order], at)
+
+    def _count(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Events of the run in [t - W, t] for every (run, t)."""
+        total = np.append(0, np.cumsum(self.counts))
+        seen, place = np.unique(self.times, return_inverse=True)
+        keys = self.codes * (len(seen) + 1) + place
+
+        def before(t: np.ndarray, side: str) -> np.ndarray:
+            return total[np.searchsorted(keys, code * (len(seen) + 1) + np.searchsorted(seen, t, side=side))]
+
+        return before(at, "right") - before(at - self.window_ms, "left")
 
     def _rank(self, count: np.ndarray) -> np.ndarray:
-        return (count > self.low_max).astype(int) + (count > self.medium_max)
+        return (count > self.low_max).astype(np.int64) + (count > self.medium_max)
 
     def advance(self, upto: int) -> pd.DataFrame:
         """The rows of all times in (done, upto], in time order; what no later
         time can see is forgotten."""
         new = (self.times > self.done) & (self.times <= upto)
-        count = self._count(self.times[new])
+        code = self.codes[new]
+        count = self._count(code, self.times[new])
         rank = self._rank(count)
-        before = np.concatenate([[self.last_rank], rank[:-1]]).astype(int) if len(rank) else rank
+        first = np.append(True, code[1:] != code[:-1])[:len(code)]
+        before = np.where(first, self.last_rank[code], np.append(0, rank[:-1])[:len(code)])
         moved = rank != before
-        rows = [pd.DataFrame({"event_id": self.ids[new][moved], "ms": self.times[new][moved], "count": count[moved],
-                              "previous_level": _LEVELS[before[moved]], "level": _LEVELS[rank[moved]],
-                              "kind": "change"})]
+        rows = [self._rows(code[moved], self.ids[new][moved], self.times[new][moved], count[moved],
+                           before[moved], rank[moved], "change")]
+        last = np.append(first[1:], True)[:len(code)]
+        self.last_rank[code[last]] = rank[last]
+
         ends = self.times + self.window_ms + 1
-        ends = ends[(ends > self.done) & (ends <= upto)]
-        count, earlier = self._count(ends), self._count(ends - 1)
+        due = (ends > self.done) & (ends <= upto)
+        code, ends = self.codes[due], ends[due]
+        count, earlier = self._count(code, ends), self._count(code, ends - 1)
         after, before = self._rank(count), self._rank(earlier)
         for kind, shown in (("decay", (count > 0) & (after < before)), ("cleared", count == 0)):
-            rows.append(pd.DataFrame({"event_id": None, "ms": ends[shown], "count": count[shown],
-                                      "previous_level": _LEVELS[before[shown]], "level": _LEVELS[after[shown]],
-                                      "kind": kind}))
-        if len(rank):
-            self.last_rank = int(rank[-1])
-        kept = self.times + self.window_ms + 1 > upto
-        self.times, self.counts, self.ids, self.done = self.times[kept], self.counts[kept], self.ids[kept], upto
+            rows.append(self._rows(code[shown], np.full(shown.sum(), _NO_ID), ends[shown], count[shown],
+                                   before[shown], after[shown], kind))
+        self._forget(upto)
         return pd.concat([r for r in rows if len(r)] or rows[:1]).sort_values("ms", kind="stable")
 
+    def _rows(self, code, ids, ms, count, before, after, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({
+            "run": pd.Series(self.runs[code]), "event_id": pd.array(ids, "Int64"), "ms": ms, "count": count,
+            "previous_level": _LEVELS[before], "level": _LEVELS[after], "kind": kind}).assign(
+            event_id=lambda r: r["event_id"].mask(ids == _NO_ID))
+
+    def _forget(self, upto: int) -> None:
+        """Drop times behind the window, and runs without times whose last level is the first one."""
+        kept = self.times + self.window_ms + 1 > upto
+        self.codes, self.times, self.counts, self.ids = (
+            x[kept] for x in (self.codes, self.times, self.counts, self.ids))
+        self.done = upto
+        known = self.last_rank > 0
+        known[self.codes] = True
+        self.codes = (np.cumsum(known) - 1)[self.codes]
+        self.runs, self.last_rank = self.runs[known], self.last_rank[known]
+
     def next_due(self) -> int | None:
         """The first time behind ``done`` at which a row may be due."""
         ends = self.times + self.window_ms + 1
@@ -208,15 +261,20 @@ class Gauge:
 
 
 class IntensityProcessor(StatefulProcessor):
-    """Keeps a ``Gauge`` per run with an event-time timer at its next due time.
-
-    Events wait in the state until the watermark has passed them, so input in
-    any order within the delay gives the rows of ordered input.  The state is
-    bounded by the distinct milliseconds of window and delay, not by the events.
+    """Keeps a ``Gauge`` per group of runs with an event-time timer at its next
+    due time.
+
+    A call, its state and its timer serve all runs of a group, so a batch costs
+    groups times a fixed amount and numpy work in proportion to the events, not
+    runs times calls.  Events wait in the state until the watermark has passed
+    them, so input in any order within the delay gives the rows of ordered
+    input.  The state is bounded by the runs' distinct milliseconds of window
+    and delay (and one entry for each run last seen above the lowest level), not
+    by the events.
     """
 
-    def __init__(self, run: str, schema: T.StructType, window_ms: int, low_max: int, medium_max: int) -> None:
-        self.run, self.schema = run, schema
+    def __init__(self, run: str, schema: T.StructType, window_ms: int, low_max: int, medium_max: int, groups: int) -> None:
+        self.run, self.schema, self.groups = run, schema, groups
         self.limits = (window_ms, low_max, medium_max)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -226,8 +284,10 @@ class IntensityProcessor(StatefulProcessor):
     def _load(self) -> tuple[Gauge, int | None]:
         if not self.state.exists():
             return Gauge(*self.limits), None
-        times, counts, ids, last, done, timer = self.state.get()
-        return Gauge(*self.limits, *(np.asarray(x, np.int64) for x in (times, counts, ids)), last, done), timer
+        runs, *arrays, done, timer, groups = self.state.get()
+        if groups != self.groups:
+            raise ValueError(f"the checkpoint holds {groups} groups of runs, not {self.groups}")
+        return Gauge(*self.limits, pickle.loads(runs), *(np.frombuffer(x, np.int64).copy() for x in arrays), done), timer
 
     def _save(self, gauge: Gauge, timer: int | None) -> None:
         due = gauge.next_due()
@@ -236,12 +296,12 @@ class IntensityProcessor(StatefulProcessor):
         if due is not None and timer != due:
             self.handle.registerTimer(due)
         # last level and clock stay: a run that comes back goes on from there
-        self.state.update((gauge.times.tolist(), gauge.counts.tolist(), gauge.ids.tolist(), gauge.last_rank,
-                           gauge.done, due))
+        self.state.update((pickle.dumps(gauge.runs), *(x.astype(np.int64).tobytes() for x in (
+            gauge.last_rank, gauge.codes, gauge.times, gauge.counts, gauge.ids)), gauge.done, due, self.groups))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         gauge, timer = self._load()
-        gauge.add(rows)
+        gauge.add(rows, self.run)
         self._save(gauge, timer)
         return iter(())
 
@@ -250,9 +310,9 @@ class IntensityProcessor(StatefulProcessor):
         out = gauge.advance(timerValues.getCurrentWatermarkInMs())
         self._save(gauge, None)  # the timer that fired is gone
         if len(out):
-            out.insert(0, self.run, [key[0]] * len(out))
-            out["event_id"] = out["event_id"].astype("Int64")
-            yield out[self.schema.fieldNames()]
+            if key[0] == self.groups:
+                out["run"] = pd.Series([None] * len(out), out.index, object)
+            yield out.rename(columns={"run": self.run})[self.schema.fieldNames()]
 
     def close(self) -> None:
         pass
@@ -279,7 +339,7 @@ def _state_store(spark: SparkSession, partitions: int | None) -> Iterator[None]:
 def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, label: str, benign: str,
                          window_ms: int, out_path: str, checkpoint: str, delay_ms: int = 0,
                          low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX,
-                         state_partitions: int | None = None) -> None:
+                         state_partitions: int | None = None, groups: int = RUN_GROUPS) -> None:
     """Level rows per run over event time: ``change`` where an event's level
     differs from the level at the run's previous event, ``decay`` where the
     window's end lowers the level, ``cleared`` where it empties the window.
@@ -289,17 +349,27 @@ def run_intensity_stream(stream: DataFrame, run: str, ts: str, id_col: str, labe
     count but move the clock: a closing benign row moves the watermark, and the
     batch after it settles what lies behind.  The run may be of any type; rows without a run form a run of their
     own, rows without a time count nowhere.  ``state_partitions`` sizes the state of
-    a new checkpoint (by default the session's shuffle partitions).
+    a new checkpoint (by default the session's shuffle partitions).  Runs are dealt by hash
+    into ``groups``, each with one state that its task holds whole (take more for more
+    events, a few to a state partition at least); a checkpoint keeps the number it began
+    with, another one is an error.
     """
     # one condition that names the event time: the optimizer would move a plain
     # filter on the label below the watermark, and benign rows would not move it
     counts = F.when(F.col("__et").isNotNull(), ~is_benign(label, benign)).otherwise(False)
     ev = (stream.withColumn("__et", F.timestamp_millis(epoch_ms(ts))).withWatermark("__et", f"{delay_ms} milliseconds")
           .filter(counts)
-          .select(F.col(run), F.col(id_col).cast("bigint").alias("event_id"), epoch_ms(ts).alias("ms"), "__et"))
-    schema = T.StructType([ev.schema[run], *(T.StructField(n, t) for n, t in INTENSITY_OUT)])
-    out = ev.groupBy(run).transformWithStateInPandas(
-        IntensityProcessor(run, schema, window_ms, low_max, medium_max), schema, "append", "EventTime")
+          .select(F.col(run), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("event_id"),
+                  epoch_ms(ts).alias("ms"), "__et",
+                  # the null run is a group alone
+                  F.when(F.col(run).isNull(), F.lit(groups)).otherwise(F.pmod(F.xxhash64(run), F.lit(groups)))
+                  .cast("int").alias("__group")))
+    kind = ev.schema[run].dataType
+    schema = T.StructType([T.StructField(run, kind), *(T.StructField(n, t) for n, t in INTENSITY_OUT)])
+    if isinstance(kind, T.IntegralType):  # beside nulls pandas would turn whole numbers into doubles
+        ev = ev.withColumn(run, F.coalesce(run, F.lit(0).cast(kind)))
+    out = ev.groupBy("__group").transformWithStateInPandas(
+        IntensityProcessor(run, schema, window_ms, low_max, medium_max, groups), schema, "append", "EventTime")
 
     def sink(batch: DataFrame, run_id: str, batch_id: int) -> None:
         _write_batch(batch, out_path, run_id, batch_id)

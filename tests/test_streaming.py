@@ -81,3 +81,51 @@ def test_gauge_in_steps_equals_gauge_at_once():
         assert got.values.tolist() == want.values.tolist() or (
             sorted(map(repr, got.fillna(-1).values.tolist())) == sorted(map(repr, want.fillna(-1).values.tolist())))
         assert len(steps.times) == 0 and steps.next_due() is None
+
+
+def test_gauge_of_many_runs_equals_one_gauge_a_run():
+    rng = random.Random(8)
+    events = [(rng.choice(["a", "b", "c", None]), rng.randrange(200)) for _ in range(300)]
+    frame = pd.DataFrame({"run": [r for r, _ in events], "ms": [t for _, t in events], "event_id": range(len(events))})
+    whole, got = detect.Gauge(9, 2, 4), []
+    for upto in (40, 90, 300):
+        whole.add(iter([frame[(frame.ms > whole.done) & (frame.ms <= upto)].sample(frac=1, random_state=2)]))
+        got.append(whole.advance(upto))
+    want = []
+    for run in ("a", "b", "c", None):
+        one = detect.Gauge(9, 2, 4)
+        one.add(iter([frame[frame.run.isna() if run is None else frame.run == run]]))
+        want.append(one.advance(300))
+    key = lambda frames: sorted(repr([None if pd.isna(x) else x for x in r])
+                                for f in frames for r in f.values.tolist())
+    assert key(got) == key(want) and len(whole.times) == 0
+
+
+def test_intensity_state_costs_a_call_per_group_not_per_run(spark, monkeypatch):
+    base = dt.datetime(2024, 1, 1)
+    start = int(base.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    big = 2**53 + 1  # whole numbers beside a null stay whole
+    events = [(None if k % 50 == 0 else big + k, k * 7) for k in range(500) for _ in range(k % 8 + 1)]
+    root = scratch_path(spark, "t_many")
+    for k, rows in enumerate((events, [(big, 200_000)], [(big, 200_001)])):
+        df = spark.createDataFrame([(i, run, base + dt.timedelta(milliseconds=t), "DDoS" if k == 0 else "BENIGN")
+                                    for i, (run, t) in enumerate(rows)],
+                                   "event_id long, user_id long, ts timestamp_ntz, event_type string")
+        df.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"drop={k:04d}"))
+    made = spark.sparkContext.accumulator(0)
+    load = detect.IntensityProcessor._load
+
+    class Counting(detect.IntensityProcessor):
+        def _load(self):
+            made.add(1)
+            return load(self)
+
+    monkeypatch.setattr(detect, "IntensityProcessor", Counting)
+    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(root))
+    out, ckpt = scratch_path(spark, "t_out"), scratch_path(spark, "t_ckpt")
+    detect.run_intensity_stream(stream, "user_id", "ts", "event_id", "event_type", "BENIGN", W, out, ckpt, 20_000,
+                                state_partitions=2, groups=4)
+    got = [(r.user_id, r.ms - start, r["count"], r.previous_level, r.level, r.kind) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == _plain_gauge(events, W)
+    assert 0 < made.value <= 5 * 2 * 4  # groups, calls, batches; 500 runs

@@ -1,20 +1,24 @@
-"""Language-model scores by logistic context mixing inside words.
-
-A text is its lower-case words and an end mark, coded as bytes (every word is
-closed by a space) and each byte as eight binary decisions.  For each decision
-several predictors look up counts under a hash of the last one to six bytes of
-the word.  Their log-odds are added with weights that a gate picks by how many
-contexts are known and which bit is coded; the weights learn in averaged steps
-of _STEP bytes, and a fitted probability map refines the outcome.  No context
-reaches over a word's start, and counts, weights and map are frozen while texts
-are scored (the README names this and its reason).
-
-Learning covers all training texts: their words are counted once, and the
-count table (one row per distinct word) feeds the predictors, the weights and
-the map, every occurrence predicted from the counts of all the others.  While
-a text is scored, the mixture adapts to it: several rates of trust in whole
-training words and in the words seen so far in the text compete by their own
-success.
+"""Language-model scores by logistic context mixing over running text.
+
+A text is its lower-case words and an end mark, coded as one stream of bytes
+(every word is closed by a space) and each byte as binary decisions down a code
+tree, in which the training texts' frequent bytes lie high (Huffman's; it spares
+decisions, every byte keeps its leaf).  For each decision several predictors
+look up counts under a hash of the last one to six bytes of the text, across the
+bounds of words; a text begins behind spaces.  Their log-odds are added with
+weights that a gate picks by how many contexts are known and how deep in the
+tree the decision is, and a probability map refines the outcome.
+
+Learning covers all training texts: their runs of seven bytes (a byte and the
+six before it) are counted, and the count table (one row per distinct run)
+feeds the predictors, the first weights and the first map, every occurrence
+predicted from the counts of all the others.  From there every text, while it
+is scored, keeps weights of its own that learn from each decision and shifts of
+the map of its own under every node of the tree.  Nothing learned reaches a byte
+before it is coded, so the probabilities stay proper.
+
+Behind the bytes, several rates of trust in whole training words and in the
+words seen so far in the text compete by their own success.
 
 The score is the log10 probability of the token sequence; the bits per byte
 follow from it.
@@ -22,6 +26,7 @@ follow from it.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,14 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import NON_SPACE, Words, free_name, lists, mix64, slices, sum_ranges, text_column, word_hashes
+from flowlens.llm.common import NON_SPACE, Words, free_name, lists, slices, sum_ranges, text_column, word_hashes
 from flowlens.operators._small import materialize
 
 ORDERS = (1, 2, 3, 4, 5, 6)
 #: Log2 of the slots of each order's count table.
-SLOTS = (16, 17, 18, 19, 19, 19)
-#: Distinct words per learning task.
+SLOTS = (16, 18, 19, 20, 20, 20)
+#: Distinct runs per learning task, and words per task that hands words on.
+TASK_RUNS = 1 << 20
 TASK_WORDS = 400_000
+#: Runs counted by a task before they are handed on.
+HELD_RUNS = 1 << 21
+#: Text coded together by a task.
+CODED_BYTES = 1 << 21
 #: Words whose counts travel to the scoring tasks; the rest meet by a join.
 HOT_WORDS = 1 << 21
 END = 0xFF
@@ -49,115 +59,273 @@ TRUST = (0.0, 0.05, 0.2, 0.5, 0.9)
 WHOLE = (0.7, 0.93)
 PATHS = tuple((whole, trust) for whole in WHOLE for trust in TRUST)
 BUCKETS = 33
+#: Learning rates of a text's weights and of its shifts of the map.
+RATE = np.float32(0.004)
+SHIFT_RATE = np.float32(0.05)
+#: A text learns after every byte up to twice this place, then after every
+#: 1 / PACE of the bytes it has had so far, MOST bytes at most.
+PACE = 1 << 9
+MOST = 1 << 12
 _DELTA = np.float32(0.4)
 _LIMIT = np.float32(8.0)
-_STEP = 1 << 14  # bytes coded together
-_BASES = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])])
-_INPUTS = len(ORDERS) + 1
-_GATES = (len(ORDERS) + 1) * 8
+_GRAIN = np.float32(127 / 8.0)  # log-odds are held in signed bytes
+_STEP = 1 << 14  # runs that the first weights learn from together
+_LOOK = 1 << 12  # bytes of texts whose inputs are looked up together
+_TAIL = 256  # the last place of a table has room for all nodes
+_BASES = np.concatenate([[0], np.cumsum([(1 << s) + _TAIL for s in SLOTS])])
+_INPUTS = len(ORDERS)
+_DEEP = 32  # deeper than any tree
+_DEPTHS = 12  # depths with gates of their own; the rest share the last
+_GATES = (len(ORDERS) + 1) * _DEPTHS
+_RUN = np.uint64((1 << 56) - 1)
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class Coded:
-    """Words as bytes with closing spaces; byte i belongs to word ``owner[i]``."""
+    """Words as bytes with closing spaces.  ``run[i]`` holds byte i in its low
+    eight bits and the six bytes in front of it above them; byte i belongs to
+    token ``owner[i]`` (the words, then the end marks) and to text ``unit[i]``,
+    where it has place ``place[i]``.
 
-    def __init__(self, words: pa.StringArray, ends: int = 0) -> None:
+    With ``first`` text i owns words ``first[i]:first[i + 1]`` and an end mark;
+    without, every word and each of ``ends`` end marks is a text of its own.
+    """
+
+    def __init__(self, words: pa.StringArray, ends: int = 0, first: np.ndarray | None = None) -> None:
         n = len(words)
         size = np.diff(np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + n + 1]).astype(np.int64) \
             if n else np.zeros(0, np.int64)
-        length = np.concatenate([size + 1, np.ones(ends, np.int64)])
-        self.first = np.concatenate([[0], np.cumsum(length)])
-        self.text = np.full(self.first[-1], 0x20, np.uint8)
-        if n:
-            inside = np.ones(self.first[n], bool)
-            inside[self.first[1:n + 1] - 1] = False
-            if size.any():
-                at = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
-                self.text[:self.first[n]][inside] = np.frombuffer(words.buffers()[2], np.uint8)[at:at + size.sum()]
-        if ends:
-            self.text[self.first[n]:] = END
-        self.owner = np.repeat(np.arange(n + ends), length)
-
-    def contexts(self, lo: int, hi: int) -> np.ndarray:
-        """Hashes of the bytes in front of bytes [lo, hi), a row per order; in
-        front of a word there are spaces."""
-        at = np.arange(lo, hi)
-        inside = at - self.first[self.owner[lo:hi]]
-        code = np.zeros(hi - lo, np.uint64)
-        out = np.empty((len(ORDERS), hi - lo), np.uint64)
-        for k in range(1, max(ORDERS) + 1):
-            byte = np.where(inside >= k, self.text[np.maximum(at - k, 0)], 0x20).astype(np.uint64)
-            code |= byte << np.uint64(8 * (k - 1))
-            if k in ORDERS:
-                out[ORDERS.index(k)] = mix64(code + (np.uint64(k) << np.uint64(56)))
-        return out
-
-    def steps(self) -> Iterator[tuple[int, int, list]]:
-        """(lo, hi, the eight decisions of these bytes): a decision is (bit
-        index, node, bit, slots of all orders)."""
-        for lo in range(0, len(self.text), _STEP):
-            hi = min(lo + _STEP, len(self.text))
-            hashes = self.contexts(lo, hi)
-            byte = self.text[lo:hi].astype(np.int64)
-            decisions = []
-            for b in range(8):
-                node = (1 << b) | (byte >> (8 - b))
-                spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                slots = [((h + spread) >> np.uint64(64 - SLOTS[k])).astype(np.int64) + _BASES[k]
-                         for k, h in enumerate(hashes)]
-                decisions.append((b, node, (byte >> (7 - b)) & 1, slots))
-            yield lo, hi, decisions
+        if first is None:
+            token = np.arange(n + ends)
+            tokens_of = np.ones(n + ends, np.int64)
+        else:
+            ends = len(first) - 1
+            token = np.empty(n + ends, np.int64)
+            closing = first[1:] + np.arange(ends)
+            plain = np.ones(n + ends, bool)
+            plain[closing] = False
+            token[closing], token[plain] = n + np.arange(ends), np.arange(n)
+            tokens_of = np.diff(first) + 1
+        length = np.concatenate([size + 1, np.ones(ends, np.int64)])[token]
+        start = np.concatenate([[0], np.cumsum(length)])
+        unit_start = start[np.concatenate([[0], np.cumsum(tokens_of)])]
+        total, units = int(start[-1]), len(tokens_of)
+        lead = 7  # spaces in front of every text
+        self.tokens, self.units, self.size = n + ends, units, total
+        unit_size = np.diff(unit_start)
+        self.unit = np.repeat(np.arange(units, dtype=np.int32), unit_size)
+        at = np.arange(total)
+        self.place = (at - unit_start[self.unit]).astype(np.int32 if total < 1 << 31 else np.int64)
+        at += lead * (self.unit.astype(np.int64) + 1)
+        body = np.full(total + lead * units, 0x20, np.uint8)
+        inside = np.ones(total, bool)
+        inside[start[1:] - 1] = False
+        if size.any():
+            begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+            body[at[inside]] = np.frombuffer(words.buffers()[2], np.uint8)[begin:begin + size.sum()]
+        body[at[start[1:][token >= n] - 1]] = END
+        self.owner = np.repeat(token.astype(np.int32), length)
+        runs = np.ndarray((max(len(body) - 7, 0),), ">u8", body, strides=(1,))
+        self.run = runs[at - 7].astype(np.uint64) & _RUN if total else np.zeros(0, np.uint64)
+
+
+@dataclass
+class Tree:
+    """Binary code of the bytes: ``length`` of each, ``node`` and ``bit`` at
+    place ``byte * _DEEP + depth`` of its path; nodes are numbered by weight."""
+
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Tree:
+        """Huffman's tree; rare bytes count as one in 8,192 at least."""
+        weight = counts.astype(np.int64) + int(counts.sum()) // 8192 + 1
+        heap = [(int(w), i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(511, np.int64), np.zeros(511, np.int8)
+        for new in range(256, 511):  # lighter nodes come first
+            (w, i), (v, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = new
+            side[j] = 1
+            heapq.heappush(heap, (w + v, new))
+        length, node, bit = np.zeros(256, np.int64), np.zeros(256 * _DEEP, np.int64), np.zeros(256 * _DEEP, np.int8)
+        for byte in range(256):
+            path, at = [], byte
+            while at != 510:
+                path.append((510 - parent[at], side[at]))
+                at = parent[at]
+            length[byte] = len(path)
+            for depth, (n, b) in enumerate(reversed(path)):
+                node[byte * _DEEP + depth], bit[byte * _DEEP + depth] = n, b
+        return Tree(length, node, bit)
+
+
+def decisions(run: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first decision of each run and the end, depths, nodes, bits, slots of all
+    orders) of the decisions of the runs' last bytes; a context's nodes are
+    neighbours in a table."""
+    byte = (run & np.uint64(0xFF)).astype(np.int64)
+    length = tree.length.take(byte)
+    first = np.concatenate([[0], np.cumsum(length)])
+    of = np.repeat(np.arange(len(run)), length)
+    at = (byte * _DEEP - first[:-1]).take(of)
+    at += np.arange(len(of))
+    node, bit = tree.node.take(at), tree.bit.take(at)
+    slots = np.empty((len(ORDERS), len(of)), np.int64)
+    for k, order in enumerate(ORDERS):
+        h = run << np.uint64(56 - 8 * order) >> np.uint64(64 - 8 * order)  # the bytes in front
+        h += np.uint64(order << 56)
+        h *= _ODD[0]
+        h ^= h >> np.uint64(29)
+        h *= _ODD[1]
+        h ^= h >> np.uint64(32)
+        h *= _ODD[2]
+        h >>= np.uint64(64 - SLOTS[k])
+        h += np.uint64(_BASES[k])
+        h.view(np.int64).take(of, out=slots[k], mode="clip")
+        slots[k] += node
+    at &= _DEEP - 1
+    return first, np.minimum(at, _DEPTHS - 1), node, bit, slots
 
 
 @dataclass
 class Model:
-    counts: np.ndarray  # 2 x slots: zeros and ones seen
+    counts: np.ndarray | None  # 2 x slots: zeros and ones seen
     weights: np.ndarray  # gates x inputs
     refined: np.ndarray  # nodes x buckets: log-odds behind the map
+    tree: Tree | None = None  # without one, all bytes lie eight deep
+    odds: np.ndarray | None = None  # slots: log-odds in grains, 0 where nothing was seen
 
     def __post_init__(self) -> None:
-        self.odds, self.seen = _log_odds(self.counts[0], self.counts[1])
-
-    def __reduce__(self):
-        return Model, (self.counts, self.weights, self.refined)
-
-    def inputs(self, slots: list, bit: np.ndarray | None, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds of the predictors and a constant, gate); with ``bit`` the
-        occurrence itself is taken out of the counts."""
-        x = np.empty((_INPUTS, len(slots[0])), np.float32)
-        known = np.zeros(len(slots[0]), np.int64)
+        if self.tree is None:
+            self.tree = Tree.of(np.zeros(256, np.int64))
+        if self.odds is None:
+            odds, seen = _log_odds(self.counts[0], self.counts[1])
+            grains = np.rint(odds * _GRAIN).astype(np.int8)
+            grains[seen & (grains == 0)] = 1
+            self.odds = grains
+
+    def fixed(self) -> Model:
+        """What scoring needs."""
+        return Model(None, self.weights, self.refined, self.tree, self.odds)
+
+    def inputs(self, slots: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds of the predictors, gate)."""
+        grains = self.odds.take(slots)
+        known = np.zeros(len(depth), np.int8)
+        for g in grains:
+            known += (g != 0).view(np.int8)
+        known *= np.int8(_DEPTHS)
+        x = grains.astype(np.float32)
+        x *= 1 / _GRAIN
+        return x, depth + known
+
+    def inputs_without(self, slots: np.ndarray, depth: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the occurrence itself taken out of the counts."""
+        x = np.empty(slots.shape, np.float32)
+        known = np.zeros(len(depth), np.int64)
+        one = bit.astype(np.float32)  # single precision throughout, as the counts are
         for k, s in enumerate(slots):
-            if bit is None:
-                x[k] = self.odds[s]
-                known += self.seen[s]
-            else:
-                one = bit.astype(np.float32)  # single precision throughout, as the counts are
-                x[k], seen = _log_odds(np.maximum(self.counts[0][s] - (1 - one), 0),
-                                       np.maximum(self.counts[1][s] - one, 0))
-                known += seen
-        x[-1] = 0.3
-        return x, known * 8 + b
+            x[k], seen = _log_odds(np.maximum(self.counts[0].take(s) - (1 - one), 0),
+                                   np.maximum(self.counts[1].take(s) - one, 0))
+            known += seen
+        return x, known * _DEPTHS + depth
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.einsum("kn,nk->n", x, self.weights[gate])
-        return np.clip(z, -_LIMIT * 1.4, _LIMIT * 1.4)
-
-    def refine(self, z: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The map's log-odds, interpolated between buckets, averaged with the
-        mixture's."""
-        place, low = _bucket(z)
-        return 0.5 * z + 0.5 * ((1 - place) * self.refined[node, low] + place * self.refined[node, low + 1])
+        z = np.zeros(gate.shape, np.float32)
+        for k in range(_INPUTS):
+            z += x[k] * self.weights[:, k].take(gate)
+        return np.clip(z, -_LIMIT * np.float32(1.4), _LIMIT * np.float32(1.4))
 
     def log_probability(self, coded: Coded) -> np.ndarray:
-        """Natural log probability of every word."""
-        total = np.zeros(len(coded.first) - 1)
-        for lo, hi, decisions in coded.steps():
-            acc = np.zeros(hi - lo)
-            for b, node, bit, slots in decisions:
-                x, gate = self.inputs(slots, None, b)
-                z = self.refine(self.mixed(x, gate), node)
-                acc -= np.logaddexp(0, np.where(bit == 1, -z, z))
-            total += np.bincount(coded.owner[lo:hi], acc, len(total))
-        return total
+        """Natural log probability of every token.
+
+        All texts are coded side by side, each with weights and map shifts of
+        its own.  The decisions of a byte differ in node and, but for the
+        deepest, in gate, so learning after the byte is learning after each
+        decision.  Late in a long text some bytes go together (see PACE): their
+        decisions use what was learned in front of them all."""
+        if not coded.size:
+            return np.zeros(coded.tokens)
+        step = _learning_steps(coded.place)
+        order = np.argsort(step, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(step))])
+        del step
+        weights = np.tile(self.weights.astype(np.float32).ravel(), coded.units)
+        column = np.arange(_INPUTS)[:, None]
+        shift = np.zeros(coded.units << 8, np.float32)
+        refined = self.refined.ravel()
+        slope = np.append(np.diff(refined), np.float32(0))
+        top, edge = _LIMIT * np.float32(1.4), _LIMIT * np.float32(1 - 1e-6)
+        scale, half = np.float32((BUCKETS - 1) / (2 * _LIMIT)), np.float32(0.5)
+        cost = np.empty(coded.size)
+        done = 0
+        while done < len(bounds) - 1:
+            # the inputs of some steps at once; they don't change with learning
+            last = max(done + 1, int(np.searchsorted(bounds, bounds[done] + _LOOK, side="right")) - 1)
+            lo, hi = int(bounds[done]), int(bounds[last])
+            first, depth, node, bit, slots = decisions(coded.run[order[lo:hi]], self.tree)
+            inputs, gates = self.inputs(slots, depth)
+            unit = np.repeat(coded.unit[order[lo:hi]].astype(np.int64), np.diff(first))
+            gates += unit * _GATES
+            gates *= _INPUTS
+            cells = unit * 256 + node
+            signs = (1 - 2 * bit).astype(np.float32)  # a decision costs log(1 + exp(sign * z))
+            node *= BUCKETS
+            paid = np.empty(len(node), np.float32)
+            ends = first[bounds[done:last + 1] - lo].tolist()
+            for i, a, b in zip(range(done, last), ends, ends[1:]):
+                here = slice(a, b)
+                # many bytes of a text move it like four, or they would overshoot
+                slow = np.float32(min(1.0, 4 / _block(int(coded.place[order[bounds[i]]]))))
+                at, own, sign, x = gates[here] + column, cells[here], signs[here], inputs[:, here]
+                held = weights.take(at)
+                z = np.add.reduce(x * held, 0)
+                np.minimum(np.maximum(z, -top, out=z), top, out=z)
+                e = np.exp(sign * z)
+                error = e / (1 + e) * sign
+                error *= -RATE * slow
+                bucket = np.minimum(np.maximum(z, -_LIMIT), edge)
+                bucket += _LIMIT
+                bucket *= scale
+                low = bucket.astype(np.int64)
+                bucket -= low
+                low += node[here]
+                bucket *= slope.take(low)
+                z += bucket
+                z += refined.take(low)
+                z *= half
+                z += shift.take(own)
+                z *= sign
+                e = np.exp(np.minimum(np.maximum(z, -2 * top), 2 * top))
+                np.log1p(e, out=paid[here])
+                late = e / (1 + e) * sign
+                late *= -SHIFT_RATE * slow
+                x *= error
+                np.add.at(weights, at.ravel(), x.ravel())
+                np.add.at(shift, own, late)
+            cost[lo:hi] = np.add.reduceat(paid, first[:-1], dtype=np.float64)
+            done = last
+        return -np.bincount(coded.owner[order], cost, coded.tokens)
+
+
+def _block(place: int) -> int:
+    """Bytes that go together from a place of a text on."""
+    return max(1, min(place // PACE, MOST))
+
+
+def _learning_steps(place: np.ndarray) -> np.ndarray:
+    """The step of learning in which a place of a text is coded."""
+    bounds = [2 * PACE]
+    end = int(place.max()) + 1
+    while bounds[-1] < end:
+        bounds.append(bounds[-1] + _block(bounds[-1]))
+    step = np.minimum(place, 2 * PACE)
+    late = np.flatnonzero(place >= 2 * PACE)
+    step[late] = 2 * PACE - 1 + np.searchsorted(bounds, place[late], side="right")
+    return step.astype(np.uint16) if step.max() < 1 << 16 else step  # small numbers sort faster
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,16 +340,14 @@ def _bucket(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _start_weights() -> np.ndarray:
-    out = np.full((_GATES, _INPUTS), 0.3, np.float32)
-    out[:, -1] = 0
-    return out
+    return np.full((_GATES, _INPUTS), 0.3, np.float32)
 
 
 def _start_map() -> np.ndarray:
     return np.tile(np.linspace(-_LIMIT, _LIMIT, BUCKETS, dtype=np.float32), (256, 1))
 
 
-# ---- learning, over the table (word, n); an end mark is the null word
+# ---- learning, over the tables (word, n), an end mark is the null word, and (run, n)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,55 +362,77 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.append(n, hi - lo), pa.int64())], names=["word", "n"])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Coded, np.ndarray]]:
-    """Bounded parts of a task's words with the number of times each occurs."""
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of seven bytes of the running texts, counted by task."""
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        run, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(run, kind="stable")
+        run = run[order]
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        return run[first], np.add.reduceat(n[order], first)
+
+    def batch_of(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
+
+    held, size = [], 0
     for batch in batches:
-        words, n = text_column(batch, "word"), batch.column(1).to_numpy()
-        end = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        for lo, hi in slices(words, 1 << 20):
-            plain = ~end[lo:hi]
-            own = words.slice(lo, hi - lo).filter(pa.array(plain))
-            ends = int((~plain).sum())
-            yield Coded(own, ends), np.concatenate([n[lo:hi][plain], n[lo:hi][~plain]])
+        texts = text_column(batch, "t")
+        for lo, hi in slices(texts, CODED_BYTES):
+            words = Words(texts.slice(lo, hi - lo), NON_SPACE)
+            run = np.sort(Coded(words.words, first=words.first).run)
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            held.append((run[first], np.diff(np.append(first, len(run)))))
+            size += len(first)
+            if size > HELD_RUNS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HELD_RUNS // 2:
+                    yield batch_of(*held[0])
+                    held, size = [], 0
+    if held:
+        yield batch_of(*merged(held))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[tuple]:
+    """(depths, nodes, bits, slots) of the decisions of bounded parts of a task's
+    runs and how often each occurs."""
+    for batch in batches:
+        run, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
+        for lo in range(0, len(run), _STEP):
+            first, *found = decisions(run[lo:lo + _STEP], tree)
+            yield *found, np.repeat(n[lo:lo + _STEP], np.diff(first))
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fill(shared):
     """Zeros and ones under every slot of the count tables."""
-    counts = np.zeros((2, _BASES[-1]))
-    flat = counts.ravel()
-    for coded, n in _parts(batches):
-        for lo, hi, decisions in coded.steps():
-            times = n[coded.owner[lo:hi]].astype(np.float64)
-            for _, _, bit, slots in decisions:
-                side = bit * _BASES[-1]
-                for s in slots:
-                    np.add.at(flat, s + side, times)
-    at = np.flatnonzero(counts.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])],
-                                     names=["slot", "zeros", "ones"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _BASES[-1]))
+        flat = counts.ravel()
+        for _, _, bit, slots, times in _parts(batches, shared.value):
+            for s in slots:
+                np.add.at(flat, s + bit * _BASES[-1], times)
+        at = np.flatnonzero(counts.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])],
+                                         names=["slot", "zeros", "ones"])
+    return run
 
 
 def _learn_weights(shared):
-    """Online learning over a task's words: weights and their evidence."""
+    """Online learning over a task's runs: weights and their evidence."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        model = Model(model.counts, model.weights.copy(), model.refined)
+        model = Model(model.counts, model.weights.copy(), model.refined, model.tree, model.odds)
         evidence = np.zeros(_GATES)
-        round_ = 0
-        for coded, n in _parts(batches):
-            for lo, hi, decisions in coded.steps():
-                times = n[coded.owner[lo:hi]].astype(np.float64)
-                rate = 0.08 / math.sqrt(1 + round_ / 16)
-                round_ += 1
-                for b, _, bit, slots in decisions:
-                    x, gate = model.inputs(slots, bit, b)
-                    p = 1 / (1 + np.exp(-model.mixed(x, gate)))
-                    weight = np.bincount(gate, times, _GATES)
-                    error = (bit - p) * times
-                    for k in range(_INPUTS):
-                        step = np.bincount(gate, error * x[k], _GATES) / np.maximum(weight, 1)
-                        model.weights[:, k] += (rate * step).astype(np.float32)
-                    evidence += weight
+        for round_, (depth, _, bit, slots, times) in enumerate(_parts(batches, model.tree)):
+            rate = 0.08 / math.sqrt(1 + round_ / 16)
+            x, gate = model.inputs_without(slots, depth, bit)
+            p = 1 / (1 + np.exp(-model.mixed(x, gate)))
+            weight = np.bincount(gate, times, _GATES)
+            error = (bit - p) * times
+            for k in range(_INPUTS):
+                step = np.bincount(gate, error * x[k], _GATES) / np.maximum(weight, 1)
+                model.weights[:, k] += (rate * step).astype(np.float32)
+            evidence += weight
         g, k = np.meshgrid(np.arange(_GATES), np.arange(_INPUTS), indexing="ij")
         yield pa.RecordBatch.from_arrays(
             [pa.array(g.ravel(), pa.int32()), pa.array(k.ravel(), pa.int32()),
@@ -257,40 +445,42 @@ def _learn_map(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         seen = np.zeros((2, 256 * BUCKETS))
-        for coded, n in _parts(batches):
-            for lo, hi, decisions in coded.steps():
-                times = n[coded.owner[lo:hi]].astype(np.float64)
-                for b, node, bit, slots in decisions:
-                    x, gate = model.inputs(slots, bit, b)
-                    place, low = _bucket(model.mixed(x, gate))
-                    for side, share in ((low, 1 - place), (low + 1, place)):
-                        for v in (0, 1):
-                            seen[v] += np.bincount(node * BUCKETS + side, share * times * (bit == v), 256 * BUCKETS)
+        for depth, node, bit, slots, times in _parts(batches, model.tree):
+            place, low = _bucket(model.mixed(*model.inputs_without(slots, depth, bit)))
+            for side, share in ((low, 1 - place), (low + 1, place)):
+                for v in (0, 1):
+                    seen[v] += np.bincount(node * BUCKETS + side, share * times * (bit == v), 256 * BUCKETS)
         at = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[0, at]), pa.array(seen[1, at])],
                                          names=["place", "zeros", "ones"])
     return run
 
 
-def fit(words: DataFrame, n_words: int) -> Model:
-    """Model from the table (word, n) of all training tokens.  Tables of a
-    fixed size reach the driver; a task learns from TASK_WORDS words."""
-    spark = words.sparkSession
-    tasks = max(1, -(-n_words // TASK_WORDS))
-    dealt = materialize(words.select("word", "n").repartition(tasks, F.xxhash64("word")), "lm-words")
-    counted = dealt.coalesce(tasks).mapInArrow(_fill, "slot int, zeros double, ones double").groupBy("slot").agg(
+def fit(runs: DataFrame) -> Model:
+    """Model from the table (run, n) of all bytes of the training texts.
+    Tables of a fixed size reach the driver; a task learns from TASK_RUNS runs."""
+    spark = runs.sparkSession
+    counted = materialize(runs, "lm-runs")
+    tasks = max(1, -(-counted.count() // TASK_RUNS))
+    dealt = materialize(counted.repartition(tasks, F.xxhash64("run")), "lm-dealt")
+    bytes_ = counted.groupBy(F.col("run").bitwiseAND(F.lit(0xFF)).alias("byte")).agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(256, np.int64)
+    often[bytes_["byte"].to_numpy()] = bytes_["n"].to_numpy()
+    tree = Tree.of(often)
+    filled = dealt.coalesce(tasks).mapInArrow(_fill(spark.sparkContext.broadcast(tree)), "slot int, zeros double, ones double").groupBy("slot").agg(
         F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
     counts = np.zeros((2, _BASES[-1]), np.float32)
-    at = counted["slot"].to_numpy()
-    counts[0, at], counts[1, at] = counted["zeros"].to_numpy(), counted["ones"].to_numpy()
-    model = Model(counts, _start_weights(), _start_map())
+    at = filled["slot"].to_numpy()
+    counts[0, at], counts[1, at] = filled["zeros"].to_numpy(), filled["ones"].to_numpy()
+    del filled
+    model = Model(counts, _start_weights(), _start_map(), tree)
 
     learned = dealt.coalesce(tasks).mapInArrow(
         _learn_weights(spark.sparkContext.broadcast(model)), "gate int, input int, weighted double, evidence double") \
         .groupBy("gate", "input").agg(F.sum("weighted").alias("w"), F.sum("evidence").alias("e")).where("e > 0").toArrow()
     weights = model.weights.copy()
     weights[learned["gate"].to_numpy(), learned["input"].to_numpy()] = learned["w"].to_numpy() / learned["e"].to_numpy()
-    model = Model(counts, weights, model.refined)
+    model = Model(counts, weights, model.refined, tree, model.odds)
 
     mapped = dealt.coalesce(tasks).mapInArrow(
         _learn_map(spark.sparkContext.broadcast(model)), "place int, zeros double, ones double").groupBy("place").agg(
@@ -299,7 +489,7 @@ def fit(words: DataFrame, n_words: int) -> Model:
     at, zeros, ones = (mapped[c].to_numpy() for c in ("place", "zeros", "ones"))
     prior = 1 / (1 + np.exp(-refined[at]))  # as strong as a few decisions
     refined[at] = np.log(ones + 4 * prior) - np.log(zeros + 4 * (1 - prior))
-    return Model(counts, weights, refined.reshape(256, BUCKETS).astype(np.float32))
+    return Model(counts, weights, refined.reshape(256, BUCKETS).astype(np.float32), tree, model.odds).fixed()
 
 
 # ---- scoring
@@ -322,24 +512,25 @@ def score_slice(known: np.ndarray, words: Words, word: np.ndarray, share: np.nda
                 settled: np.ndarray) -> np.ndarray:
     """Log probability of each text of a slice on every path of PATHS, without
     the tokens that are not ``settled`` (they follow by ``rare_terms``);
-    ``word`` places every token among the distinct words, of which ``known``
-    holds the log probability as coded bytes (the end mark's last) and
-    ``share`` the share of the training tokens; ``own`` is the token's share of
-    its text so far.
+    ``known`` holds the log probability as coded bytes of every token and then of
+    every text's end mark; ``word`` places every token among the distinct
+    words, of which ``share`` holds the share of the training tokens; ``own`` is
+    the token's share of its text so far.
 
     A token's probability mixes the coded bytes, the word's training share and
     its share of the text so far.  Every pair of trust rates keeps its own
     running product; the text's probability is their mean, in which the pair
     that fits the text best prevails.  The end mark comes from the bytes."""
-    spelled, end = np.exp(known[:-1]), known[-1]
+    known, end = known[:len(word)], known[len(word):]
+    spelled = np.exp(known)
     n = words.per_text()
     paths = []
     for whole, trust in PATHS:
-        base = (whole * share + (1 - whole) * spelled)[word] if len(word) else np.zeros(0)
+        base = whole * share[word] + (1 - whole) * spelled if len(word) else np.zeros(0)
         step = np.log(np.maximum((1 - trust) * base + trust * own, 1e-300))
         # a word too long for double precision keeps its logarithm
         lost = np.flatnonzero((base < 1e-290) & (own * trust == 0))
-        step[lost] = known[:-1][word[lost]] + math.log1p(-trust) + math.log1p(-whole)
+        step[lost] = known[lost] + math.log1p(-trust) + math.log1p(-whole)
         paths.append(sum_ranges(np.where(settled, step, 0.0), words.first) + end + n.astype(bool) * math.log1p(-trust))
     return np.stack(paths, 1)
 
@@ -358,10 +549,10 @@ def rare_terms(share: Column, spelled: Column, own: Column) -> list[Column]:
 
 def _score(shared, fields: list[str], text_col: str, schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes, n_hot, spelled_hot, end_n, tokens, total, all_hot = shared.value
+        model, hashes, n_hot, end_n, tokens, total, all_hot = shared.value
         for batch in batches:
             texts = text_column(batch, text_col)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CODED_BYTES):
                 words = Words(texts.slice(lo, hi - lo), NON_SPACE)
                 coded = words.words.dictionary_encode()
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -373,18 +564,14 @@ def _score(shared, fields: list[str], text_col: str, schema):
                 settled = np.ones(len(code), bool) if all_hot else hit
                 level = np.where(settled, np.log10((n + 1) / total), 0.0)
                 base = sum_ranges(level[word], words.first) + math.log10((end_n + 1) / total)
-                known = np.zeros(len(code) + 1)
-                if len(hashes):
-                    known[:-1] = spelled_hot[at]
-                other = np.append(~hit, True)  # words that bring no probability along, and the end mark
-                known[other] = model.log_probability(Coded(distinct.filter(pa.array(~hit)), 1))
+                known = model.log_probability(Coded(words.words, first=words.first))
                 share, hit, settled = n / max(tokens, 1), hit[word], settled[word]
                 own = _own_share(word, words.first) if len(word) else np.zeros(0)
                 paths = score_slice(known, words, word, share, own, settled)
                 rare = np.flatnonzero(~settled)
                 tokens_of = pa.array(np.searchsorted(rare, words.first), pa.int32())
                 left = pa.StructArray.from_arrays(
-                    [words.words.take(pa.array(rare)), pa.array(known[:-1][word[rare]]), pa.array(own[rare])],
+                    [words.words.take(pa.array(rare)), pa.array(known[rare]), pa.array(own[rare])],
                     names=["w", "p", "own"])
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
@@ -408,23 +595,22 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
     add-one counts), ``score`` (of the mixed model) and ``bits_per_byte`` of
     the coded tokens.
 
-    The counts of the ``hot_words`` most frequent words or fewer, and their
-    probabilities as coded bytes, travel to the scoring tasks; the other words'
-    bytes are coded there, and their counts come by a join, after which their
-    terms of the base score and of every path of the score are added: no result
-    depends on ``hot_words`` beyond rounding.  Null and empty texts are one end; without training texts
-    every decision of the model is even; repeated rows each get a row; an empty
-    table gives an empty table.
+    The counts of the ``hot_words`` most frequent words or fewer travel to the
+    scoring tasks, where every text is coded; the other words' counts come by a
+    join, after which their terms of the base score and of every path of the
+    score are added: no result depends on ``hot_words`` beyond rounding.  Null
+    and empty texts are one end; without training texts the decisions of a text
+    start even; repeated rows each get a row; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    counted = docs.where(training).select(F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.where(training).select(F.col(text_col).cast("string").alias("t"))
+    counted = texts.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(counted, "lm-counts")
     totals = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)),
                        F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     v, tokens, ends = (int(x) for x in totals)
-    model = fit(words, v)
+    model = fit(texts.mapInArrow(_count_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")))
 
     level = F.floor(F.log2("n")).cast("int")
     cut, held = 0, 0
@@ -435,12 +621,12 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
         held += row["count"]
     plain = words.where("word IS NOT NULL")
     hot = plain.where(F.col("n") >= (1 << cut)).repartition(max(1, -(-held // TASK_WORDS)), F.xxhash64("word")) \
-        .mapInArrow(_spell(spark.sparkContext.broadcast(model)), "h bigint, n bigint, p double").toArrow()
+        .mapInArrow(_hash_words, "h bigint, n bigint").toArrow()
     hashes = hot["h"].to_numpy().view(np.uint64) if len(hot) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    n_hot, spelled_hot = (hot[c].to_numpy()[order].astype(np.float64) if len(hot) else np.zeros(0) for c in ("n", "p"))
+    n_hot = hot["n"].to_numpy()[order].astype(np.float64) if len(hot) else np.zeros(0)
     total = float(tokens + v + 1)
-    shared = spark.sparkContext.broadcast((model, hashes[order], n_hot, spelled_hot, ends, tokens, total, cut == 0))
+    shared = spark.sparkContext.broadcast((model, hashes[order], n_hot, ends, tokens, total, cut == 0))
 
     names = {k: free_name(docs, k) for k in
              ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}
@@ -476,15 +662,9 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
         F.col(names["score"]), (-F.col(names["score"]) * math.log2(10) / F.col(size)).alias(names["bits_per_byte"])), names
 
 
-def _spell(shared):
-    """Hash, count and log probability as coded bytes of every word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            words = text_column(batch, "word")
-            for lo, hi in slices(words, 1 << 20):
-                part = words.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word_hashes(part).view(np.int64), pa.int64()), batch.column(1).slice(lo, hi - lo),
-                     pa.array(model.log_probability(Coded(part)))], names=["h", "n", "p"])
-    return run
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and count of every word."""
+    for batch in batches:
+        words = text_column(batch, "word")
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64), pa.int64()), batch.column(1)],
+                                         names=["h", "n"])

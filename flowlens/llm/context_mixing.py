@@ -2,8 +2,8 @@
 
 A text is its lower-case words and an end mark, coded as one stream of bytes
 (every word is closed by a space) and each byte as binary decisions down a code
-tree, in which the training texts' frequent bytes lie high (Huffman's; it spares
-decisions, every byte keeps its leaf).  For each decision several predictors
+tree, in which the bytes frequent behind the last byte in the training texts lie
+high (Huffman's; it spares decisions, every byte keeps its leaf).  For each decision several predictors
 look up counts under a hash of the last one to six bytes of the text, across the
 bounds of words; a text begins behind spaces.  Their log-odds are added with
 weights that a gate picks by how many contexts are known and how deep in the
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,12 @@ TASK_RUNS = 1 << 20
 TASK_WORDS = 400_000
 #: Runs counted by a task before they are handed on.
 HELD_RUNS = 1 << 21
-#: Text coded together by a task.
+#: Log2 of the groups that counted runs are dealt to, and runs that travel in one row.
+DEALS = 10
+PIECE = 512
+#: Text coded together by a task, and texts.
 CODED_BYTES = 1 << 21
+CODED_TEXTS = 1 << 12
 #: Words whose counts travel to the scoring tasks; the rest meet by a join.
 HOT_WORDS = 1 << 21
 END = 0xFF
@@ -69,11 +74,14 @@ MOST = 1 << 12
 _DELTA = np.float32(0.4)
 _LIMIT = np.float32(8.0)
 _GRAIN = np.float32(127 / 8.0)  # log-odds are held in signed bytes
+#: The learning rates where errors are differences of tanh, twice as large, for half log-odds and inputs in grains.
+_WEIGHT_STEP = float(RATE) / (4 * float(_GRAIN) ** 2)
+_SHIFT_STEP = float(SHIFT_RATE) / 4
 _STEP = 1 << 14  # runs that the first weights learn from together
-_LOOK = 1 << 12  # bytes of texts whose inputs are looked up together
+_LOOK = 1 << 13  # bytes of texts whose inputs are looked up together
 _TAIL = 256  # the last place of a table has room for all nodes
 _BASES = np.concatenate([[0], np.cumsum([(1 << s) + _TAIL for s in SLOTS])])
-_INPUTS = len(ORDERS)
+_INPUTS = len(ORDERS)  # an even number
 _DEEP = 32  # deeper than any tree
 _DEPTHS = 12  # depths with gates of their own; the rest share the last
 _GATES = (len(ORDERS) + 1) * _DEPTHS
@@ -113,81 +121,108 @@ class Coded:
         lead = 7  # spaces in front of every text
         self.tokens, self.units, self.size = n + ends, units, total
         unit_size = np.diff(unit_start)
+        small = np.int32 if total < 1 << 31 else np.int64
         self.unit = np.repeat(np.arange(units, dtype=np.int32), unit_size)
-        at = np.arange(total)
-        self.place = (at - unit_start[self.unit]).astype(np.int32 if total < 1 << 31 else np.int64)
-        at += lead * (self.unit.astype(np.int64) + 1)
+        self.place = np.arange(total, dtype=small)
+        self.place -= np.repeat(unit_start[:-1].astype(small), unit_size)
         body = np.full(total + lead * units, 0x20, np.uint8)
-        inside = np.ones(total, bool)
-        inside[start[1:] - 1] = False
+        inside = np.ones(len(body), bool)
+        front = (unit_start[:-1] + lead * np.arange(units))[:, None] + np.arange(lead)
+        inside[front] = False
+        own = inside.copy()
+        closing = start[1:] - 1
+        closing += lead * np.repeat(np.arange(1, units + 1), tokens_of)
+        inside[closing] = False
         if size.any():
             begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
-            body[at[inside]] = np.frombuffer(words.buffers()[2], np.uint8)[begin:begin + size.sum()]
-        body[at[start[1:][token >= n] - 1]] = END
+            body[inside] = np.frombuffer(words.buffers()[2], np.uint8)[begin:begin + size.sum()]
+        body[closing[token >= n]] = END
         self.owner = np.repeat(token.astype(np.int32), length)
-        runs = np.ndarray((max(len(body) - 7, 0),), ">u8", body, strides=(1,))
-        self.run = runs[at - 7].astype(np.uint64) & _RUN if total else np.zeros(0, np.uint64)
+        runs = np.ndarray((max(len(body) - 7, 0),), ">u8", body, strides=(1,)).astype(np.uint64)
+        runs &= _RUN
+        self.run = runs[own[7:]]
 
 
 @dataclass
 class Tree:
-    """Binary code of the bytes: ``length`` of each, ``node`` and ``bit`` at
-    place ``byte * _DEEP + depth`` of its path; nodes are numbered by weight."""
+    """Binary codes of the bytes, one for all places or one behind every byte:
+    ``length`` and ``start`` of each path (by byte in front, if there are many,
+    and byte), ``step`` the paths' decisions as node, bit and depth in one
+    number; nodes are numbered by weight in their code."""
 
     length: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    start: np.ndarray
+    step: np.ndarray
 
     @staticmethod
     def of(counts: np.ndarray) -> Tree:
-        """Huffman's tree; rare bytes count as one in 8,192 at least."""
-        weight = counts.astype(np.int64) + int(counts.sum()) // 8192 + 1
+        """Huffman's code of 256 counts, or of those behind each of 256 bytes;
+        rare bytes count as one in 8,192 at least."""
+        codes = [Tree._code(c) for c in counts.reshape(-1, 256).astype(np.int64)]
+        length = np.concatenate([c[0] for c in codes])
+        return Tree(length, np.cumsum(length) - length, np.concatenate([c[1] for c in codes]))
+
+    @staticmethod
+    def _code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = counts + int(counts.sum()) // 8192 + 1
         heap = [(int(w), i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
-        parent, side = np.zeros(511, np.int64), np.zeros(511, np.int8)
+        parent, side = [0] * 511, [0] * 511
         for new in range(256, 511):  # lighter nodes come first
             (w, i), (v, j) = heapq.heappop(heap), heapq.heappop(heap)
             parent[i] = parent[j] = new
             side[j] = 1
             heapq.heappush(heap, (w + v, new))
-        length, node, bit = np.zeros(256, np.int64), np.zeros(256 * _DEEP, np.int64), np.zeros(256 * _DEEP, np.int8)
+        steps, length = [], np.zeros(256, np.int64)
         for byte in range(256):
             path, at = [], byte
             while at != 510:
-                path.append((510 - parent[at], side[at]))
+                path.append((510 - parent[at]) << 1 | side[at])
                 at = parent[at]
             length[byte] = len(path)
-            for depth, (n, b) in enumerate(reversed(path)):
-                node[byte * _DEEP + depth], bit[byte * _DEEP + depth] = n, b
-        return Tree(length, node, bit)
+            steps += [step << 4 | min(depth, _DEPTHS - 1) for depth, step in enumerate(reversed(path))]
+        return length, np.array(steps, np.int16)
+
+    def key(self, run: np.ndarray) -> np.ndarray:
+        """The place of the runs' last bytes in ``length`` and ``start``."""
+        return (run & np.uint64(len(self.length) - 1)).view(np.int64)
+
+
+def _contexts(run: np.ndarray) -> Iterator[np.ndarray]:
+    """For every order the slot of the first node behind the runs' contexts."""
+    front = run >> np.uint64(8)
+    for k, order in enumerate(ORDERS):
+        h = front & np.uint64((1 << 8 * order) - 1)
+        h *= _ODD[k % len(_ODD)]
+        h >>= np.uint64(64 - SLOTS[k])
+        h += np.uint64(_BASES[k])
+        yield h.view(np.int64)
+
+
+def _paths(run: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first decision of each run and the end, run, depth, node, bit of each decision)."""
+    key = tree.key(run)
+    length = tree.length.take(key, mode="clip")
+    first = np.zeros(len(run) + 1, np.int64)
+    np.cumsum(length, out=first[1:])
+    of = np.repeat(np.arange(len(run)), length)
+    at = (tree.start.take(key, mode="clip") - first[:-1]).take(of, mode="clip")
+    at += np.arange(len(of))
+    step = tree.step.take(at, mode="clip")
+    return first, of, (step & np.int16(15)).astype(np.int8), (step >> np.int16(5)).astype(np.int64), \
+        (step >> np.int16(4)).astype(np.int8) & np.int8(1)
 
 
 def decisions(run: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first decision of each run and the end, depths, nodes, bits, slots of all
     orders) of the decisions of the runs' last bytes; a context's nodes are
     neighbours in a table."""
-    byte = (run & np.uint64(0xFF)).astype(np.int64)
-    length = tree.length.take(byte)
-    first = np.concatenate([[0], np.cumsum(length)])
-    of = np.repeat(np.arange(len(run)), length)
-    at = (byte * _DEEP - first[:-1]).take(of)
-    at += np.arange(len(of))
-    node, bit = tree.node.take(at), tree.bit.take(at)
+    first, of, depth, node, bit = _paths(run, tree)
     slots = np.empty((len(ORDERS), len(of)), np.int64)
-    for k, order in enumerate(ORDERS):
-        h = run << np.uint64(56 - 8 * order) >> np.uint64(64 - 8 * order)  # the bytes in front
-        h += np.uint64(order << 56)
-        h *= _ODD[0]
-        h ^= h >> np.uint64(29)
-        h *= _ODD[1]
-        h ^= h >> np.uint64(32)
-        h *= _ODD[2]
-        h >>= np.uint64(64 - SLOTS[k])
-        h += np.uint64(_BASES[k])
-        h.view(np.int64).take(of, out=slots[k], mode="clip")
-        slots[k] += node
-    at &= _DEEP - 1
-    return first, np.minimum(at, _DEPTHS - 1), node, bit, slots
+    for at, h in zip(slots, _contexts(run), strict=True):
+        h.take(of, out=at, mode="clip")
+        at += node
+    return first, depth, node, bit, slots
 
 
 @dataclass
@@ -253,79 +288,114 @@ class Model:
         order = np.argsort(step, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(step))])
         del step
-        weights = np.tile(self.weights.astype(np.float32).ravel(), coded.units)
-        column = np.arange(_INPUTS)[:, None]
+        # half log-odds throughout, as tanh takes them; inputs stay in grains, and
+        # two of them (or their weights) lie side by side as one complex number
+        pairs = _INPUTS // 2
+        weights = np.tile((self.weights / (2 * _GRAIN)).astype(np.float32).ravel().view(np.complex64)
+                          .reshape(-1, pairs).T, coded.units)
         shift = np.zeros(coded.units << 8, np.float32)
-        refined = self.refined.ravel()
-        slope = np.append(np.diff(refined), np.float32(0))
-        top, edge = _LIMIT * np.float32(1.4), _LIMIT * np.float32(1 - 1e-6)
-        scale, half = np.float32((BUCKETS - 1) / (2 * _LIMIT)), np.float32(0.5)
+        rise = np.diff(self.refined, append=np.float32(0)) / 4
+        slope = rise.astype(np.float32).ravel()
+        level = (self.refined / 4 - rise * np.arange(BUCKETS)).astype(np.float32).ravel()
+        top, low_, high = _LIMIT * np.float32(0.7), -_LIMIT / 2, _LIMIT * np.float32(0.5 - 5e-7)
+        scale, half = np.float32((BUCKETS - 1) / _LIMIT), np.float32(0.5)
+        middle = np.float32((BUCKETS - 1) / 2)
         cost = np.empty(coded.size)
         done = 0
         while done < len(bounds) - 1:
             # the inputs of some steps at once; they don't change with learning
             last = max(done + 1, int(np.searchsorted(bounds, bounds[done] + _LOOK, side="right")) - 1)
             lo, hi = int(bounds[done]), int(bounds[last])
-            first, depth, node, bit, slots = decisions(coded.run[order[lo:hi]], self.tree)
-            inputs, gates = self.inputs(slots, depth)
-            unit = np.repeat(coded.unit[order[lo:hi]].astype(np.int64), np.diff(first))
-            gates += unit * _GATES
-            gates *= _INPUTS
-            cells = unit * 256 + node
-            signs = (1 - 2 * bit).astype(np.float32)  # a decision costs log(1 + exp(sign * z))
-            node *= BUCKETS
-            paid = np.empty(len(node), np.float32)
+            bytes_ = order[lo:hi]
+            first, gates, cells, places, sign, inputs = self._looked_up(coded.run.take(bytes_), coded.unit.take(bytes_))
+            n = len(gates)
+            mixed = np.empty(n, np.float32)
+            held = np.empty((pairs, n), np.complex64)
             ends = first[bounds[done:last + 1] - lo].tolist()
-            for i, a, b in zip(range(done, last), ends, ends[1:]):
-                here = slice(a, b)
+            blocks = _blocks(coded.place[order[bounds[done:last]]]).tolist()
+            for block, a, b in zip(blocks, ends, ends[1:]):
                 # many bytes of a text move it like four, or they would overshoot
-                slow = np.float32(min(1.0, 4 / _block(int(coded.place[order[bounds[i]]]))))
-                at, own, sign, x = gates[here] + column, cells[here], signs[here], inputs[:, here]
-                held = weights.take(at)
-                z = np.add.reduce(x * held, 0)
+                slow = min(1.0, 4 / block)
+                gate, own, s = gates[a:b], cells[a:b], sign[a:b]
+                x = inputs[:, a:b]
+                w = held[:, :b - a]
+                for k in range(pairs):
+                    weights[k].take(gate, out=w[k], mode="clip")
+                z = np.add.reduce(w.view(np.float32) * x.view(np.float32), 0)
+                z = z[0::2] + z[1::2]
                 np.minimum(np.maximum(z, -top, out=z), top, out=z)
-                e = np.exp(sign * z)
-                error = e / (1 + e) * sign
-                error *= -RATE * slow
-                bucket = np.minimum(np.maximum(z, -_LIMIT), edge)
-                bucket += _LIMIT
+                error = s - np.tanh(z)
+                error *= np.float32(_WEIGHT_STEP * slow)
+                bucket = np.minimum(np.maximum(z, low_), high)
                 bucket *= scale
-                low = bucket.astype(np.int64)
-                bucket -= low
-                low += node[here]
-                bucket *= slope.take(low)
-                z += bucket
-                z += refined.take(low)
+                bucket += middle
+                at = bucket.astype(np.int64)
+                at += places[a:b]
+                bucket *= slope.take(at, mode="clip")
+                bucket += level.take(at, mode="clip")
                 z *= half
-                z += shift.take(own)
-                z *= sign
-                e = np.exp(np.minimum(np.maximum(z, -2 * top), 2 * top))
-                np.log1p(e, out=paid[here])
-                late = e / (1 + e) * sign
-                late *= -SHIFT_RATE * slow
-                x *= error
-                np.add.at(weights, at.ravel(), x.ravel())
+                z += bucket
+                z += shift.take(own, mode="clip")
+                mixed[a:b] = z
+                late = s - np.tanh(z)
+                late *= np.float32(_SHIFT_STEP * slow)
                 np.add.at(shift, own, late)
-            cost[lo:hi] = np.add.reduceat(paid, first[:-1], dtype=np.float64)
+                x *= error
+                for k in range(pairs):
+                    np.add.at(weights[k], gate, x[k])
+            sign *= np.float32(-2)
+            mixed *= sign
+            np.minimum(np.maximum(mixed, -4 * top, out=mixed), 4 * top, out=mixed)
+            np.log1p(np.exp(mixed, out=mixed), out=mixed)
+            cost[lo:hi] = np.add.reduceat(mixed, first[:-1])
             done = last
         return -np.bincount(coded.owner[order], cost, coded.tokens)
 
+    def _looked_up(self, run: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the decisions of some bytes need besides what their texts have
+        learned: (first of each byte and the end, the text's gate, the text's
+        shift, the first of the map's buckets, 1 or -1 for the bit, inputs)."""
+        first, of, depth, node, bit = _paths(run, self.tree)
+        grains = np.empty((_INPUTS // 2, len(of), 2), np.int8)
+        known = np.zeros(len(of), np.int8)
+        slot, grain = np.empty(len(of), np.int64), np.empty(len(of), np.int8)
+        for k, h in enumerate(_contexts(run)):
+            h.take(of, out=slot, mode="clip")
+            slot += node
+            self.odds.take(slot, out=grain, mode="clip")
+            known += (grain != 0).view(np.int8)
+            grains[k >> 1, :, k & 1] = grain
+        known *= np.int8(_DEPTHS)
+        known += depth
+        unit = unit.astype(np.int64).take(of, mode="clip")
+        gates = unit * _GATES
+        gates += known
+        unit <<= 8
+        unit += node
+        node *= BUCKETS
+        bit <<= 1
+        bit -= 1
+        return first, gates, unit, node, bit.astype(np.float32), grains.astype(np.float32).view(np.complex64)[:, :, 0]
+
 
 def _block(place: int) -> int:
     """Bytes that go together from a place of a text on."""
     return max(1, min(place // PACE, MOST))
 
 
+def _blocks(place: np.ndarray) -> np.ndarray:
+    return np.clip(place // PACE, 1, MOST)
+
+
 def _learning_steps(place: np.ndarray) -> np.ndarray:
     """The step of learning in which a place of a text is coded."""
     bounds = [2 * PACE]
     end = int(place.max()) + 1
     while bounds[-1] < end:
         bounds.append(bounds[-1] + _block(bounds[-1]))
-    step = np.minimum(place, 2 * PACE)
-    late = np.flatnonzero(place >= 2 * PACE)
-    step[late] = 2 * PACE - 1 + np.searchsorted(bounds, place[late], side="right")
-    return step.astype(np.uint16) if step.max() < 1 << 16 else step  # small numbers sort faster
+    kind = np.uint16 if 2 * PACE + len(bounds) < 1 << 16 else np.int64  # small numbers sort faster
+    late = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + 2 * PACE
+    return np.concatenate([np.arange(2 * PACE), late]).astype(kind).take(place)
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,35 +432,82 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.append(n, hi - lo), pa.int64())], names=["word", "n"])
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of seven bytes of the running texts, counted by task."""
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(run, n) of sorted parts added up, as far as HELD_RUNS allow: a run may
+    come again in a later result, never twice in one."""
+    def sums(parts: list) -> tuple[np.ndarray, np.ndarray]:
         run, n = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(run, kind="stable")
         run = run[order]
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         return run[first], np.add.reduceat(n[order], first)
 
-    def batch_of(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
-
     held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD_RUNS:
+            held = [sums(held)]
+            size = len(held[0][0])
+            if size > HELD_RUNS // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield sums(held)
+
+
+def _run_batch(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         texts = text_column(batch, "t")
         for lo, hi in slices(texts, CODED_BYTES):
             words = Words(texts.slice(lo, hi - lo), NON_SPACE)
             run = np.sort(Coded(words.words, first=words.first).run)
             first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            held.append((run[first], np.diff(np.append(first, len(run)))))
-            size += len(first)
-            if size > HELD_RUNS:
-                held = [merged(held)]
-                size = len(held[0][0])
-                if size > HELD_RUNS // 2:
-                    yield batch_of(*held[0])
-                    held, size = [], 0
-    if held:
-        yield batch_of(*merged(held))
+            yield run[first], np.diff(np.append(first, len(run)))
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of seven bytes of the running texts, counted by task."""
+    for run, n in _merged(_runs_of(batches)):
+        yield _run_batch(run, n)
+
+
+def _deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, dealt by a hash of the run; up to PIECE of them travel in one row."""
+    for run, n in _merged(_runs_of(batches)):
+        deal = (run * _ODD[1] >> np.uint64(64 - DEALS)).astype(np.uint16)
+        order = np.argsort(deal, kind="stable")  # the runs of a deal stay sorted
+        deal = deal[order]
+        first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
+        size = np.diff(np.append(first, len(deal)))
+        pieces = -(-size // PIECE)
+        start = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = pa.py_buffer((np.append(start, len(deal)) * 8).astype(np.int32))
+        packed = [pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(np.ascontiguousarray(c[order]))])
+                  for c in (run, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(deal[start].astype(np.int32)), *packed], names=["deal", "runs", "ns"])
+
+
+def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's deals, added up."""
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            yield tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
+                        for c, kind in (("runs", np.uint64), ("ns", np.int64)))
+
+    for run, n in _merged(parts()):
+        yield _run_batch(run, n)
+
+
+def count_runs(texts: DataFrame) -> DataFrame:
+    """The table (run, n) of all texts ``t``, one row per distinct run.  Tasks
+    add the packed counts up; what doesn't fit a task comes together after."""
+    dealt = texts.mapInArrow(_deal_runs, "deal int, runs binary, ns binary").repartition("deal")
+    return dealt.mapInArrow(_add_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[tuple]:
@@ -463,10 +580,10 @@ def fit(runs: DataFrame) -> Model:
     counted = materialize(runs, "lm-runs")
     tasks = max(1, -(-counted.count() // TASK_RUNS))
     dealt = materialize(counted.repartition(tasks, F.xxhash64("run")), "lm-dealt")
-    bytes_ = counted.groupBy(F.col("run").bitwiseAND(F.lit(0xFF)).alias("byte")).agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(256, np.int64)
-    often[bytes_["byte"].to_numpy()] = bytes_["n"].to_numpy()
-    tree = Tree.of(often)
+    pairs = counted.groupBy(F.col("run").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << 16, np.int64)
+    often[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    tree = Tree.of(often)  # a code behind every byte
     filled = dealt.coalesce(tasks).mapInArrow(_fill(spark.sparkContext.broadcast(tree)), "slot int, zeros double, ones double").groupBy("slot").agg(
         F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
     counts = np.zeros((2, _BASES[-1]), np.float32)
@@ -547,12 +664,22 @@ def rare_terms(share: Column, spelled: Column, own: Column) -> list[Column]:
     return terms
 
 
+def _coded_slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most CODED_BYTES (or one text) and CODED_TEXTS."""
+    for lo, hi in slices(texts, CODED_BYTES):
+        for at in range(lo, hi, CODED_TEXTS):
+            yield at, min(at + CODED_TEXTS, hi)
+
+
 def _score(shared, fields: list[str], text_col: str, schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes, n_hot, end_n, tokens, total, all_hot = shared.value
         for batch in batches:
+            # texts of a length go together: they reach their ends at the same step
+            size = pc.binary_length(text_column(batch, text_col))
+            batch = batch.take(pc.sort_indices(size))
             texts = text_column(batch, text_col)
-            for lo, hi in slices(texts, CODED_BYTES):
+            for lo, hi in _coded_slices(texts):
                 words = Words(texts.slice(lo, hi - lo), NON_SPACE)
                 coded = words.words.dictionary_encode()
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -610,7 +737,7 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
     totals = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)),
                        F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     v, tokens, ends = (int(x) for x in totals)
-    model = fit(texts.mapInArrow(_count_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")))
+    model = fit(count_runs(texts))
 
     level = F.floor(F.log2("n")).cast("int")
     cut, held = 0, 0

@@ -38,7 +38,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import NON_SPACE, Words, free_name, lists, slices, sum_ranges, text_column, word_hashes
+from flowlens.llm.common import (
+    NON_SPACE, Words, free_name, lists, mix64, raw_bytes, slices, sum_ranges, text_column, word_hashes,
+)
 from flowlens.operators._small import materialize
 
 ORDERS = (1, 2, 3, 4, 5, 6)
@@ -51,7 +53,7 @@ TASK_WORDS = 400_000
 HELD_RUNS = 1 << 21
 #: Log2 of the groups that counted runs are dealt to, and runs that travel in one row.
 DEALS = 10
-PIECE = 512
+PIECE = 128
 #: Text coded together by a task, and texts.
 CODED_BYTES = 1 << 21
 CODED_TEXTS = 1 << 12
@@ -79,6 +81,7 @@ _WEIGHT_STEP = float(RATE) / (4 * float(_GRAIN) ** 2)
 _SHIFT_STEP = float(SHIFT_RATE) / 4
 _STEP = 1 << 14  # runs that the first weights learn from together
 _LOOK = 1 << 13  # bytes of texts whose inputs are looked up together
+_PACKED = 1 << 10  # rows of counted runs packed or unpacked together
 _TAIL = 256  # the last place of a table has room for all nodes
 _BASES = np.concatenate([[0], np.cumsum([(1 << s) + _TAIL for s in SLOTS])])
 _INPUTS = len(ORDERS)  # an even number
@@ -88,6 +91,9 @@ _GATES = (len(ORDERS) + 1) * _DEPTHS
 _RUN = np.uint64((1 << 56) - 1)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
+_PLACES = 64
+_NUMBERS = mix64(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _ODD[0])
+
 
 class Coded:
     """Words as bytes with closing spaces.  ``run[i]`` holds byte i in its low
@@ -164,8 +170,8 @@ class Tree:
 
     @staticmethod
     def _code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = counts + int(counts.sum()) // 8192 + 1
-        heap = [(int(w), i) for i, w in enumerate(weight)]
+        least = max(1, int(counts.sum()))
+        heap = [(int(w) * 8192 + least, i) for i, w in enumerate(counts)]
         heapq.heapify(heap)
         parent, side = [0] * 511, [0] * 511
         for new in range(256, 511):  # lighter nodes come first
@@ -433,11 +439,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(run, n) of sorted parts added up, as far as HELD_RUNS allow: a run may
+    """(run, n) of all parts added up, as far as HELD_RUNS allow: a run may
     come again in a later result, never twice in one."""
     def sums(parts: list) -> tuple[np.ndarray, np.ndarray]:
         run, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(run, kind="stable")
+        order = np.argsort(run)
         run = run[order]
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         return run[first], np.add.reduceat(n[order], first)
@@ -477,27 +483,41 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same, dealt by a hash of the run; up to PIECE of them travel in one row."""
+    """The same, dealt by a hash of their first four bytes.  Up to PIECE of them
+    travel in one row, as differences, lowest bytes first: the rest is mostly
+    zeros, which the shuffle's compression takes out."""
     for run, n in _merged(_runs_of(batches)):
-        deal = (run * _ODD[1] >> np.uint64(64 - DEALS)).astype(np.uint16)
+        deal = ((run >> np.uint64(24)) * _ODD[1] >> np.uint64(64 - DEALS)).astype(np.uint16)
         order = np.argsort(deal, kind="stable")  # the runs of a deal stay sorted
         deal = deal[order]
         first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
         size = np.diff(np.append(first, len(deal)))
         pieces = -(-size // PIECE)
-        start = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        ends = pa.py_buffer((np.append(start, len(deal)) * 8).astype(np.int32))
-        packed = [pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(np.ascontiguousarray(c[order]))])
-                  for c in (run, n)]
-        yield pa.RecordBatch.from_arrays([pa.array(deal[start].astype(np.int32)), *packed], names=["deal", "runs", "ns"])
+        every = np.repeat(np.arange(len(size)), pieces)
+        start = PIECE * (np.arange(len(every)) - (np.cumsum(pieces) - pieces)[every])
+        for lo in range(0, len(every), _PACKED):
+            of = every[lo:lo + _PACKED]
+            place = start[lo:lo + _PACKED, None] + np.arange(PIECE)
+            most = size[of][:, None] - 1
+            at = order[first[of][:, None] + np.minimum(place, most)]
+            # a piece is filled up with its last run, counted 0 times
+            run_, n_ = run[at], np.where(place > most, 0, n[at])
+            run_[:, 1:] -= run_[:, :-1].copy()
+            ends = pa.py_buffer(np.arange(0, 8 * PIECE * len(of) + 1, 8 * PIECE, dtype=np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(of), [None, ends, pa.py_buffer(
+                np.ascontiguousarray(c.view(np.uint8).reshape(-1, PIECE, 8).transpose(0, 2, 1)))]) for c in (run_, n_)]
+            yield pa.RecordBatch.from_arrays([pa.array(deal[first][of].astype(np.int32)), *packed],
+                                             names=["deal", "runs", "ns"])
 
 
 def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's deals, added up."""
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            yield tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
-                        for c, kind in (("runs", np.uint64), ("ns", np.int64)))
+        for part in (batch.slice(lo, _PACKED) for batch in batches for lo in range(0, len(batch), _PACKED)):
+            run, n = (np.ascontiguousarray(np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 8, PIECE)
+                                           .transpose(0, 2, 1)).view(kind)[:, :, 0]
+                      for c, kind in (("runs", np.uint64), ("ns", np.int64)))
+            yield np.cumsum(run, 1, dtype=np.uint64).ravel(), n.ravel()
 
     for run, n in _merged(parts()):
         yield _run_batch(run, n)
@@ -684,7 +704,7 @@ def _score(shared, fields: list[str], text_col: str, schema):
                 coded = words.words.dictionary_encode()
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 distinct = coded.dictionary.cast(pa.string())
-                code = word_hashes(distinct)
+                code = _word_codes(distinct)
                 at = np.minimum(np.searchsorted(hashes, code), max(len(hashes) - 1, 0))
                 hit = hashes[at] == code if len(hashes) else np.zeros(len(code), bool)
                 n = np.where(hit, n_hot[at], 0.0) if len(hashes) else np.zeros(len(code))
@@ -789,9 +809,27 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
         F.col(names["score"]), (-F.col(names["score"]) * math.log2(10) / F.col(size)).alias(names["bits_per_byte"])), names
 
 
+def _word_codes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of every word: the sum of numbers that stand for its bytes
+    at their places (long words are hashed one by one)."""
+    body, at = raw_bytes(words)
+    size = np.diff(at)
+    place = np.arange(len(body)) - np.repeat(at[:-1], size)
+    place &= _PLACES - 1
+    place <<= 8
+    place += body
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(_NUMBERS.take(place), out=sums[1:])
+    code = mix64(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64))
+    far = np.flatnonzero(size > _PLACES)
+    if len(far):
+        code[far] = word_hashes(words.take(pa.array(far)))
+    return code
+
+
 def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash and count of every word."""
     for batch in batches:
         words = text_column(batch, "word")
-        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64), pa.int64()), batch.column(1)],
+        yield pa.RecordBatch.from_arrays([pa.array(_word_codes(words).view(np.int64), pa.int64()), batch.column(1)],
                                          names=["h", "n"])

@@ -2,8 +2,8 @@
 
 A text is its lower-case words and an end mark, coded as one stream of bytes
 (every word is closed by a space) and each byte as binary decisions down a code
-tree, in which the bytes frequent behind the last byte in the training texts lie
-high (Huffman's; it spares decisions, every byte keeps its leaf).  For each decision several predictors
+tree, in which the training texts' frequent bytes lie high (Huffman's; it spares
+decisions, every byte keeps its leaf).  For each decision several predictors
 look up counts under a hash of the last one to six bytes of the text, across the
 bounds of words; a text begins behind spaces.  Their log-odds are added with
 weights that a gate picks by how many contexts are known and how deep in the
@@ -151,10 +151,9 @@ class Coded:
 
 @dataclass
 class Tree:
-    """Binary codes of the bytes, one for all places or one behind every byte:
-    ``length`` and ``start`` of each path (by byte in front, if there are many,
-    and byte), ``step`` the paths' decisions as node, bit and depth in one
-    number; nodes are numbered by weight in their code."""
+    """Binary code of the bytes: ``length`` and ``start`` of each path, ``step``
+    the paths' decisions as node, bit and depth in one number; nodes are
+    numbered by weight."""
 
     length: np.ndarray
     start: np.ndarray
@@ -162,16 +161,9 @@ class Tree:
 
     @staticmethod
     def of(counts: np.ndarray) -> Tree:
-        """Huffman's code of 256 counts, or of those behind each of 256 bytes;
-        rare bytes count as one in 8,192 at least."""
-        codes = [Tree._code(c) for c in counts.reshape(-1, 256).astype(np.int64)]
-        length = np.concatenate([c[0] for c in codes])
-        return Tree(length, np.cumsum(length) - length, np.concatenate([c[1] for c in codes]))
-
-    @staticmethod
-    def _code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least = max(1, int(counts.sum()))
-        heap = [(int(w) * 8192 + least, i) for i, w in enumerate(counts)]
+        """Huffman's tree; rare bytes count as one in 8,192 at least."""
+        weight = counts.astype(np.int64) + int(counts.sum()) // 8192 + 1
+        heap = [(int(w), i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
         parent, side = [0] * 511, [0] * 511
         for new in range(256, 511):  # lighter nodes come first
@@ -187,11 +179,7 @@ class Tree:
                 at = parent[at]
             length[byte] = len(path)
             steps += [step << 4 | min(depth, _DEPTHS - 1) for depth, step in enumerate(reversed(path))]
-        return length, np.array(steps, np.int16)
-
-    def key(self, run: np.ndarray) -> np.ndarray:
-        """The place of the runs' last bytes in ``length`` and ``start``."""
-        return (run & np.uint64(len(self.length) - 1)).view(np.int64)
+        return Tree(length, np.cumsum(length) - length, np.array(steps, np.int16))
 
 
 def _contexts(run: np.ndarray) -> Iterator[np.ndarray]:
@@ -199,7 +187,12 @@ def _contexts(run: np.ndarray) -> Iterator[np.ndarray]:
     front = run >> np.uint64(8)
     for k, order in enumerate(ORDERS):
         h = front & np.uint64((1 << 8 * order) - 1)
-        h *= _ODD[k % len(_ODD)]
+        h += np.uint64(order << 56)
+        h *= _ODD[0]
+        h ^= h >> np.uint64(29)
+        h *= _ODD[1]
+        h ^= h >> np.uint64(32)
+        h *= _ODD[2]
         h >>= np.uint64(64 - SLOTS[k])
         h += np.uint64(_BASES[k])
         yield h.view(np.int64)
@@ -207,7 +200,7 @@ def _contexts(run: np.ndarray) -> Iterator[np.ndarray]:
 
 def _paths(run: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first decision of each run and the end, run, depth, node, bit of each decision)."""
-    key = tree.key(run)
+    key = (run & np.uint64(0xFF)).view(np.int64)
     length = tree.length.take(key, mode="clip")
     first = np.zeros(len(run) + 1, np.int64)
     np.cumsum(length, out=first[1:])
@@ -600,10 +593,10 @@ def fit(runs: DataFrame) -> Model:
     counted = materialize(runs, "lm-runs")
     tasks = max(1, -(-counted.count() // TASK_RUNS))
     dealt = materialize(counted.repartition(tasks, F.xxhash64("run")), "lm-dealt")
-    pairs = counted.groupBy(F.col("run").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(1 << 16, np.int64)
-    often[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    tree = Tree.of(often)  # a code behind every byte
+    bytes_ = counted.groupBy(F.col("run").bitwiseAND(F.lit(0xFF)).alias("byte")).agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(256, np.int64)
+    often[bytes_["byte"].to_numpy()] = bytes_["n"].to_numpy()
+    tree = Tree.of(often)
     filled = dealt.coalesce(tasks).mapInArrow(_fill(spark.sparkContext.broadcast(tree)), "slot int, zeros double, ones double").groupBy("slot").agg(
         F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
     counts = np.zeros((2, _BASES[-1]), np.float32)

@@ -51,9 +51,6 @@ TASK_RUNS = 1 << 20
 TASK_WORDS = 400_000
 #: Runs counted by a task before they are handed on.
 HELD_RUNS = 1 << 21
-#: Log2 of the groups that counted runs are dealt to, and runs that travel in one row.
-DEALS = 10
-PIECE = 128
 #: Text coded together by a task, and texts.
 CODED_BYTES = 1 << 21
 CODED_TEXTS = 1 << 12
@@ -81,7 +78,6 @@ _WEIGHT_STEP = float(RATE) / (4 * float(_GRAIN) ** 2)
 _SHIFT_STEP = float(SHIFT_RATE) / 4
 _STEP = 1 << 14  # runs that the first weights learn from together
 _LOOK = 1 << 13  # bytes of texts whose inputs are looked up together
-_PACKED = 1 << 10  # rows of counted runs packed or unpacked together
 _TAIL = 256  # the last place of a table has room for all nodes
 _BASES = np.concatenate([[0], np.cumsum([(1 << s) + _TAIL for s in SLOTS])])
 _INPUTS = len(ORDERS)  # an even number
@@ -431,96 +427,35 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.append(n, hi - lo), pa.int64())], names=["word", "n"])
 
 
-def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(run, n) of all parts added up, as far as HELD_RUNS allow: a run may
-    come again in a later result, never twice in one."""
-    def sums(parts: list) -> tuple[np.ndarray, np.ndarray]:
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of seven bytes of the running texts, counted by task."""
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
         run, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(run)
+        order = np.argsort(run, kind="stable")
         run = run[order]
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         return run[first], np.add.reduceat(n[order], first)
 
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size > HELD_RUNS:
-            held = [sums(held)]
-            size = len(held[0][0])
-            if size > HELD_RUNS // 2:
-                yield held[0]
-                held, size = [], 0
-    if held:
-        yield sums(held)
-
-
-def _run_batch(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
-
+    def batch_of(run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held, size = [], 0
     for batch in batches:
         texts = text_column(batch, "t")
         for lo, hi in slices(texts, CODED_BYTES):
             words = Words(texts.slice(lo, hi - lo), NON_SPACE)
             run = np.sort(Coded(words.words, first=words.first).run)
             first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            yield run[first], np.diff(np.append(first, len(run)))
-
-
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of seven bytes of the running texts, counted by task."""
-    for run, n in _merged(_runs_of(batches)):
-        yield _run_batch(run, n)
-
-
-def _deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same, dealt by a hash of their first four bytes.  Up to PIECE of them
-    travel in one row, as differences, lowest bytes first: the rest is mostly
-    zeros, which the shuffle's compression takes out."""
-    for run, n in _merged(_runs_of(batches)):
-        deal = ((run >> np.uint64(24)) * _ODD[1] >> np.uint64(64 - DEALS)).astype(np.uint16)
-        order = np.argsort(deal, kind="stable")  # the runs of a deal stay sorted
-        deal = deal[order]
-        first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
-        size = np.diff(np.append(first, len(deal)))
-        pieces = -(-size // PIECE)
-        every = np.repeat(np.arange(len(size)), pieces)
-        start = PIECE * (np.arange(len(every)) - (np.cumsum(pieces) - pieces)[every])
-        for lo in range(0, len(every), _PACKED):
-            of = every[lo:lo + _PACKED]
-            place = start[lo:lo + _PACKED, None] + np.arange(PIECE)
-            most = size[of][:, None] - 1
-            at = order[first[of][:, None] + np.minimum(place, most)]
-            # a piece is filled up with its last run, counted 0 times
-            run_, n_ = run[at], np.where(place > most, 0, n[at])
-            run_[:, 1:] -= run_[:, :-1].copy()
-            ends = pa.py_buffer(np.arange(0, 8 * PIECE * len(of) + 1, 8 * PIECE, dtype=np.int32))
-            packed = [pa.Array.from_buffers(pa.binary(), len(of), [None, ends, pa.py_buffer(
-                np.ascontiguousarray(c.view(np.uint8).reshape(-1, PIECE, 8).transpose(0, 2, 1)))]) for c in (run_, n_)]
-            yield pa.RecordBatch.from_arrays([pa.array(deal[first][of].astype(np.int32)), *packed],
-                                             names=["deal", "runs", "ns"])
-
-
-def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's deals, added up."""
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for part in (batch.slice(lo, _PACKED) for batch in batches for lo in range(0, len(batch), _PACKED)):
-            run, n = (np.ascontiguousarray(np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 8, PIECE)
-                                           .transpose(0, 2, 1)).view(kind)[:, :, 0]
-                      for c, kind in (("runs", np.uint64), ("ns", np.int64)))
-            yield np.cumsum(run, 1, dtype=np.uint64).ravel(), n.ravel()
-
-    for run, n in _merged(parts()):
-        yield _run_batch(run, n)
-
-
-def count_runs(texts: DataFrame) -> DataFrame:
-    """The table (run, n) of all texts ``t``, one row per distinct run.  Tasks
-    add the packed counts up; what doesn't fit a task comes together after."""
-    dealt = texts.mapInArrow(_deal_runs, "deal int, runs binary, ns binary").repartition("deal")
-    return dealt.mapInArrow(_add_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+            held.append((run[first], np.diff(np.append(first, len(run)))))
+            size += len(first)
+            if size > HELD_RUNS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HELD_RUNS // 2:
+                    yield batch_of(*held[0])
+                    held, size = [], 0
+    if held:
+        yield batch_of(*merged(held))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[tuple]:
@@ -750,7 +685,7 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", keep:
     totals = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)),
                        F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     v, tokens, ends = (int(x) for x in totals)
-    model = fit(count_runs(texts))
+    model = fit(texts.mapInArrow(_count_runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")))
 
     level = F.floor(F.log2("n")).cast("int")
     cut, held = 0, 0

@@ -1,7 +1,6 @@
 """Context mixing over running text: contexts cross words, every text learns."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -128,28 +127,6 @@ def test_shuffled_words_score_worse(spark):
     assert all(bits[50 + i] > bits[40 + i] + 0.3 for i in range(10))
 
 
-def test_runs_are_counted_once_however_they_travel(spark, monkeypatch):
-    rng = random.Random(8)
-    texts = [" ".join(rng.choices(["aa", "b", "the", "ωx", "q" * 50], k=rng.randint(0, 60))) for _ in range(90)] + ["", None]
-    want = Counter()
-    for text in texts:
-        stream = [0x20] * 6 + [b for w in (text or "").lower().split() for b in [*w.encode(), 0x20]] + [cm.END]
-        want.update(sum(stream[i - j] << 8 * j for j in range(7)) for i in range(6, len(stream)))
-    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
-    found = [(r.run, r.n) for r in cm.count_runs(frame).collect()]
-    assert len(found) == len(want) and dict(found) == want
-    monkeypatch.setattr(cm, "HELD_RUNS", 200)
-    monkeypatch.setattr(cm, "CODED_BYTES", 300)
-    batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]
-    dealt = list(cm._deal_runs(iter(batches)))
-    assert len(dealt) > 3
-    again = Counter()
-    for batch in cm._add_runs(iter(dealt)):
-        for run, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            again[run] += n
-    assert again == want
-
-
 def test_word_codes_differ_by_bytes_places_and_length():
     rng = random.Random(9)
     words = list({"".join(rng.choices("abä", k=rng.randint(1, 9))) for _ in range(4000)})
@@ -158,3 +135,22 @@ def test_word_codes_differ_by_bytes_places_and_length():
     assert len(set(found.tolist())) == len(words)
     assert (cm._word_codes(pa.array(words[::-1]))[::-1] == found).all()
     assert (cm._word_codes(pa.array(["", *words]).slice(1)) == found).all() and len(cm._word_codes(pa.array([], pa.string()))) == 0
+
+
+def test_many_short_texts_are_coded_in_bounded_groups():
+    texts = pa.array(["a"] * (2 * cm.CODED_TEXTS + 1) + ["b" * (cm.CODED_BYTES + 1), "c"])
+    found = list(cm._coded_slices(texts))
+    assert [lo for lo, _ in found] == [0, *(hi for _, hi in found[:-1])] and found[-1][1] == len(texts)
+    assert max(hi - lo for lo, hi in found) == cm.CODED_TEXTS
+
+
+def test_inputs_looked_up_at_once_are_those_of_the_decisions():
+    model = learned(["the cat and the dog " * 9])
+    c = coded(["the cow", "", "zz the dog"])
+    first, depth, node, bit, slots = cm.decisions(c.run, model.tree)
+    x, gate = model.inputs(slots, depth)
+    unit = np.repeat(c.unit, np.diff(first)).astype(np.int64)
+    got = model._looked_up(c.run, c.unit)
+    want = (first, unit * cm._GATES + gate, unit * 256 + node, node * cm.BUCKETS, 2.0 * bit - 1)
+    assert all((a == b).all() for a, b in zip(got, want, strict=False))
+    assert np.allclose(np.stack([got[5].real, got[5].imag], 1).reshape(len(x), -1) / cm._GRAIN, x)
